@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -69,3 +70,24 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 <<
                 start, held = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def grouped_rank(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with a gapless 0-based rank in each group, no task holding more than one bucket of a group.
+
+    Rows are ordered by (bucket, order); ``bucket`` must be a function of the row.
+    Groups are compared null-safe. The bucket counts are one row per group and bucket.
+    """
+    rows = df.withColumn("__b", bucket)
+    sums = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    over = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__b").alias("__gb"),
+        F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"),
+    )
+    local = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(*order)) - 1
+    on = F.col("__b").eqNullSafe(F.col("__gb"))
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    both = rows.withColumn("__r", local).join(sums, on)
+    return both.select(*df.columns, (F.col("__before") + F.col("__r")).cast("long").alias(name))

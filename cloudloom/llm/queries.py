@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import fingerprints, html_extract, mixing, quality, secrets
+from cloudloom.llm import chat, fingerprints, html_extract, mixing, packing, quality, secrets, sharding
 from cloudloom.llm.common import table
 
 
@@ -23,10 +23,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(table(spark, sf_dir, "conversations"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 #: Sizes, budgets by prefix sums over size/weight order, and the cut in key order within each source.
 OP1_SQL = r"""
 WITH d AS (
@@ -76,15 +89,64 @@ FROM e
 """
 
 
+#: Turns numbered within their conversation; neighbours by id among conversations that open alike; the first
+#: unlike place ends the prompt.
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations),
+k AS (
+  SELECT conv_id, n, role AS r1, text AS t1,
+         row_number() OVER (PARTITION BY role, text ORDER BY conv_id NULLS FIRST) - 1 AS rk
+  FROM t WHERE i = 1),
+p AS (
+  SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.n AS na, b.n AS nb
+  FROM k a LEFT JOIN k b ON a.r1 IS NOT DISTINCT FROM b.r1 AND a.t1 IS NOT DISTINCT FROM b.t1 AND b.rk = a.rk + 1
+  WHERE a.rk % 2 = 0),
+same AS (
+  SELECT p.chosen_id, min(CASE WHEN y.i IS NULL OR x.role IS DISTINCT FROM y.role OR x.text IS DISTINCT FROM y.text THEN x.i - 1 END) AS first_unlike
+  FROM p JOIN t x ON x.conv_id = p.chosen_id LEFT JOIN t y ON y.conv_id = p.rejected_id AND y.i = x.i
+  WHERE p.rejected_id IS NOT NULL GROUP BY 1),
+c AS (
+  SELECT p.*, CASE WHEN p.rejected_id IS NOT NULL THEN coalesce(s.first_unlike, p.na)
+                   WHEN l.role = 'assistant' THEN p.na - 1 ELSE p.na END AS k
+  FROM p LEFT JOIN same s USING (chosen_id) JOIN t l ON l.conv_id = p.chosen_id AND l.i = p.na),
+r AS (
+  SELECT conv_id, i, role, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS s,
+         len(coalesce(role, '')) + 5 AS head, len(coalesce(text, '')) AS body
+  FROM t),
+side AS (
+  SELECT c.chosen_id, 0 AS which, r.* FROM c JOIN r ON r.conv_id = c.chosen_id WHERE r.i > c.k
+  UNION ALL SELECT c.chosen_id, 1, r.* FROM c JOIN r ON r.conv_id = c.rejected_id WHERE r.i > c.k
+  UNION ALL SELECT c.chosen_id, 2, r.* FROM c JOIN r ON r.conv_id = c.chosen_id WHERE r.i <= c.k),
+placed AS (SELECT *, sum(len(s)) OVER (PARTITION BY chosen_id, which ORDER BY i) - len(s) + head AS start FROM side),
+g AS (
+  SELECT chosen_id, which, string_agg(s, '' ORDER BY i) AS s,
+         string_agg(start::BIGINT || ':' || (start + body)::BIGINT, ',' ORDER BY i) FILTER (role = 'assistant') AS m
+  FROM placed GROUP BY 1, 2)
+SELECT c.chosen_id, c.rejected_id, c.k::INTEGER AS prompt_turns, coalesce(q.s, '') AS prompt,
+       coalesce(a.s, '') AS chosen, coalesce(a.m, '') AS chosen_mask,
+       CASE WHEN c.rejected_id IS NOT NULL THEN coalesce(b.s, '') END AS rejected,
+       CASE WHEN c.rejected_id IS NOT NULL THEN coalesce(b.m, '') END AS rejected_mask
+FROM c LEFT JOIN g q ON q.chosen_id = c.chosen_id AND q.which = 2
+       LEFT JOIN g a ON a.chosen_id = c.chosen_id AND a.which = 0
+       LEFT JOIN g b ON b.chosen_id = c.chosen_id AND b.which = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_fingerprints": op2_fingerprints,
         "op3_quality_rules": op3_quality_rules,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_html_extraction": op6_html_extraction,
+        "op7_chat_preferences": op7_chat_preferences,
         "op8_secret_scan": op8_secret_scan,
+        "op9_hypergeometric_shards": op9_hypergeometric_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op7_chat_preferences": OP7_SQL}
