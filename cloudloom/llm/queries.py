@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import chat, fingerprints, html_extract, mixing, packing, quality, secrets, sharding
+from cloudloom.llm import chat, fingerprints, html_extract, jaccard_join, mixing, packing, quality, secrets, sharding
 from cloudloom.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -89,6 +93,28 @@ FROM e
 """
 
 
+#: Shared shingles counted for every two documents that share one; reachability by recursion.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE
+           list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
+u AS (SELECT doc_id, unnest(sh) AS x FROM s),
+often AS (SELECT x FROM u GROUP BY x HAVING count(*) > 1),
+v AS (SELECT u.doc_id, u.x FROM u JOIN often USING (x)),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM v a JOIN v b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT i.a, i.b FROM inter i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * i.k >= 80 * (x.n + y.n - i.k)),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM n UNION SELECT reach.d, e.b FROM reach JOIN e ON e.a = reach.r)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.r) AS component_id
+FROM n JOIN reach ON reach.d = n.doc_id GROUP BY 1, 2
+"""
+
 #: Turns numbered within their conversation; neighbours by id among conversations that open alike; the first
 #: unlike place ends the prompt.
 OP7_SQL = r"""
@@ -140,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op2_fingerprints": op2_fingerprints,
         "op3_quality_rules": op3_quality_rules,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_html_extraction": op6_html_extraction,
         "op7_chat_preferences": op7_chat_preferences,
@@ -149,4 +176,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op7_chat_preferences": OP7_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_chat_preferences": OP7_SQL}
