@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import chat, fingerprints, html_extract, jaccard_join, mixing, packing, quality, secrets, sharding
+from cloudloom.llm import chat, fingerprints, html_extract, jaccard_join, mixing, packing, ppm, quality, secrets, sharding
 from cloudloom.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 #: Sizes, budgets by prefix sums over size/weight order, and the cut in key order within each source.
 OP1_SQL = r"""
 WITH d AS (
@@ -172,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_preferences": op7_chat_preferences,
         "op8_secret_scan": op8_secret_scan,
         "op9_hypergeometric_shards": op9_hypergeometric_shards,
+        "op10_ppm_scores": op10_ppm_scores,
     }
 
 
