@@ -151,7 +151,7 @@ def maybe_linked(docs: DataFrame, classes: DataFrame, entries: int, width: int,
         for batch in sliced(batches, "text"):
             for raw in encoded(batch.column("text")):
                 s = shingles(word_hashes(raw), width)
-                if len(s) < DEN:  # a link would need an equal set
+                if len(s) < NUM:  # a link would need an equal set
                     continue
                 mark = _mark(_digest(s))
                 if mark in seen:  # a copy in the same flush

@@ -100,7 +100,7 @@ def taken() -> Column:
 
 def cut(text: str, n: str) -> Column:
     """The stretch of ``text`` up to the end of its ``n``-th word."""
-    return F.expr(f"regexp_extract(`{text}`, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*{WORD}){{', cast({n} as string), '}}'), 0)")
+    return F.expr(f"array_join(slice(regexp_extract_all(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]*{WORD}', 0), 1, cast({n} as int)), '')")
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
