@@ -139,3 +139,35 @@ def merged(entries: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndar
     h = np.concatenate(entries)
     who = np.concatenate([o[(e & _U(0xFFFF)).astype(np.int64)] for e, o in zip(entries, owners, strict=True)])
     return h & ~_U(0xFFFF), who
+
+
+# -------------------------------------------------- blobs through Spark
+
+
+def runs(batches: Iterator) -> Iterator[tuple[int, list[tuple]]]:
+    """(first column, the other columns' rows) of each run of an equal first column."""
+    now, held = None, []
+    for batch in batches:
+        for first, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if first != now and held:
+                yield now, held
+                held = []
+            now = first
+            held.append(rest)
+    if held:
+        yield now, held
+
+
+def laid(blobs, parts: int):
+    """Blob rows by their first column, each value's rows together."""
+    first = blobs.columns[0]
+    return blobs.repartition(parts, first).sortWithinPartitions(first)
+
+
+def dealt(keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> tuple[list[int], list[list[bytes]]]:
+    """Rows of equal-length columns dealt out by key: the buckets, and per column (keys first) a blob for each."""
+    where = (mixed(keys.astype(np.int64).view(_U).copy()) % _U(buckets)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    used, starts = np.unique(where[order], return_index=True)
+    parts = np.split(order, starts[1:]) if len(used) else []
+    return used.tolist(), [[c[p].tobytes() for p in parts] for c in (keys, *columns)]

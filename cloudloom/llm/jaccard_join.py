@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.llm.common import encoded, grouped_rank, saved, shuffle_parts, sliced
 from cloudloom.llm.graph import components
-from cloudloom.llm.hashed import Flush, merged, mixed, shingles, word_hashes
+from cloudloom.llm.hashed import Flush, dealt, laid, merged, mixed, runs, shingles, word_hashes
 
 _U = np.uint64
 #: The threshold as a fraction.
@@ -92,46 +92,33 @@ def sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").mapInArrow(run, "id long, n long, digest binary, mark long")
 
 
-def _blob_rows(flush: Flush, owners: pa.DataType) -> pa.RecordBatch:
+def _blob_rows(flush: Flush) -> pa.RecordBatch:
+    """Owners are an id each, or (id, set size)."""
     rows = list(flush.blobs())
-    ids = np.array(flush.owners, dtype=np.int64)
+    owners = np.array(flush.owners, dtype=np.int64)
     names = ["range", "entries", "owners"]
     arrays = [
         pa.array([r for r, *_ in rows], pa.int32()),
         pa.array([e.tobytes() for _, e, _, _ in rows], pa.binary()),
-        pa.array([ids[o].tobytes() for _, _, o, _ in rows], pa.binary()),
+        pa.array([owners[o].tobytes() for _, _, o, _ in rows], pa.binary()),
     ]
     flush.clear()
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _by_range(blobs: DataFrame, ranges: int, work, schema: str) -> DataFrame:
+def _by_range(blobs: DataFrame, ranges: int, width: int, work, schema: str) -> DataFrame:
     """``work(tokens, owners, range)`` over each range's entries, distinct and sorted by (token, owner)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        now = None
-
-        def done() -> pa.RecordBatch:
-            h, who = merged([e for e, _ in held], [o for _, o in held])
-            order = np.lexsort((who, h))
+        for r, held in runs(batches):
+            h, who = merged([np.frombuffer(e, _U) for e, _ in held], [np.frombuffer(o, np.int64).reshape(-1, width) for _, o in held])
+            order = np.lexsort((who[:, 0], h))
             h, who = h[order], who[order]
             fresh = np.ones(len(h), dtype=bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-            held.clear()
-            return work(h[fresh], who[fresh], now)
-
-        for batch in batches:
-            for r, e, o in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if r != now and held:
-                    yield done()
-                now = r
-                held.append((np.frombuffer(e, _U), np.frombuffer(o, np.int64)))
-        if held:
-            yield done()
+            fresh[1:] = (h[1:] != h[:-1]) | (who[1:, 0] != who[:-1, 0])
+            yield work(h[fresh], who[fresh], r)
 
-    laid = blobs.repartition(ranges, "range").sortWithinPartitions("range")
-    return laid.mapInArrow(run, schema)
+    return laid(blobs, ranges).mapInArrow(run, schema)
 
 
 def _runs(h: np.ndarray) -> np.ndarray:
@@ -143,7 +130,8 @@ def _runs(h: np.ndarray) -> np.ndarray:
 
 def maybe_linked(docs: DataFrame, classes: DataFrame, entries: int, width: int, per_range: int) -> DataFrame:
     """Step 1: ids of the classes (with n and digest) that pass the prefilter."""
-    ranges = max(1, min(65_536, max(shuffle_parts(docs.sparkSession), -(-entries // (3 * per_range)))))
+    buckets = shuffle_parts(docs.sparkSession)
+    ranges = max(1, min(65_536, max(buckets, -(-entries // (3 * per_range)))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = Flush(ranges)
@@ -160,18 +148,25 @@ def maybe_linked(docs: DataFrame, classes: DataFrame, entries: int, width: int,
                 n = len(s)
                 flush.add(mark, s[: n - least_overlap(n) + _slack(n)])
                 if flush.full:
-                    yield _blob_rows(flush, pa.int64())
+                    yield _blob_rows(flush)
                     seen.clear()
         if flush.owners:
-            yield _blob_rows(flush, pa.int64())
+            yield _blob_rows(flush)
 
     def count(h: np.ndarray, who: np.ndarray, _: int) -> pa.RecordBatch:
-        many = who[_runs(h) > 1]
-        ids, n = np.unique(many, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["mark", "shared"])
+        ids, n = np.unique(who[_runs(h) > 1, 0], return_counts=True)
+        used, (keys, counts) = dealt(ids, [n], buckets)
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "marks", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in runs(batches):
+            ids, at = np.unique(np.concatenate([np.frombuffer(k, np.int64) for k, _ in held]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([np.frombuffer(c, np.int64) for _, c in held]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["mark", "shared"])
 
     blobs = docs.select("text").mapInArrow(emit, "range int, entries binary, owners binary")
-    shared = _by_range(blobs, ranges, count, "mark long, shared long").groupBy("mark").agg(F.sum("shared").alias("shared"))
+    counts = _by_range(blobs, ranges, 1, count, "bucket int, marks binary, counts binary")
+    shared = laid(counts, buckets).mapInArrow(total, "mark long, shared long")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 8))
     return classes.join(shared, "mark").where(F.col("shared") >= least).select("id", "n", "digest")
 
@@ -191,7 +186,8 @@ def shared_sets(docs: DataFrame, left: DataFrame, width: int, per_range: int) ->
     """Step 2: id, n, tokens and their frequencies (rarest first) of classes that can still link."""
     spark = docs.sparkSession
     size = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    ranges = max(1, min(65_536, max(shuffle_parts(spark), -(-size[1] // per_range))))
+    buckets = max(shuffle_parts(spark), -(-size[1] // per_range))
+    ranges = min(65_536, buckets)
     bits, bloom = _bloom(left, size[0])
     kept = spark.sparkContext.broadcast(bloom)
 
@@ -211,40 +207,34 @@ def shared_sets(docs: DataFrame, left: DataFrame, width: int, per_range: int) ->
                 s = shingles(word_hashes(raw), width)
                 if _digest(s) != mark:  # another row of that id
                     continue
-                flush.add(i, s)
+                flush.add((i, len(s)), s)
                 if flush.full:
-                    yield _blob_rows(flush, pa.int64())
+                    yield _blob_rows(flush)
         if flush.owners:
-            yield _blob_rows(flush, pa.int64())
+            yield _blob_rows(flush)
 
     def back(h: np.ndarray, who: np.ndarray, r: int) -> pa.RecordBatch:
         often = _runs(h)
         many = often > 1
-        h, who, often = h[many] | _U(r), who[many], often[many]
-        order = np.argsort(who, kind="stable")
-        ids, starts = np.unique(who[order], return_index=True)
-        cuts = pa.array(np.concatenate((starts, [len(h)])).astype(np.int32))
-        tokens = pa.ListArray.from_arrays(cuts, pa.array(h[order].view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(ids), tokens, pa.ListArray.from_arrays(cuts, pa.array(often[order].astype(np.int64)))], names=["id", "tokens", "often"])
-
-    blobs = own.mapInArrow(emit, "range int, entries binary, owners binary")
-    parts = _by_range(blobs, ranges, back, "id long, tokens array<long>, often array<long>")
-    whole = parts.groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("often")).alias("often"))
-    whole = whole.where(F.size("tokens") >= 1).join(left.select("id", "n"), "id").where(F.size("tokens") >= F.ceil(F.col("n") * NUM / DEN))
+        used, blobs = dealt(who[many, 0], [who[many, 1], h[many] | _U(r), often[many]], buckets)
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(c, pa.binary()) for c in blobs]], names=["bucket", "ids", "sizes", "tokens", "often"])
 
     def rare_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, often = batch.column("tokens"), batch.column("often")
-            cuts = tokens.offsets.to_numpy()
-            t, o = tokens.values.to_numpy()[cuts[0] : cuts[-1]], often.values.to_numpy()[often.offsets[0].as_py() : often.offsets[-1].as_py()]
-            cuts = cuts - cuts[0]
-            row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-            order = np.lexsort((t, o, row))
-            at = pa.array(cuts.astype(np.int32))
-            arrays = [batch.column("id"), batch.column("n"), *[pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (t, o)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "tokens", "often"])
-
-    return whole.select("id", "n", "tokens", "often").mapInArrow(rare_first, "id long, n long, tokens array<long>, often array<long>")
+        for _, held in runs(batches):
+            ids, n, t, o = (np.concatenate([np.frombuffer(x, np.int64) for x in column]) for column in zip(*held, strict=True))
+            order = np.lexsort((t, o, ids))
+            ids, n, t, o = ids[order], n[order], t[order], o[order]
+            each, starts, lengths = np.unique(ids, return_index=True, return_counts=True)
+            n = n[starts]
+            able = lengths >= least_overlap(n)
+            keep = np.repeat(able, lengths)
+            cuts = pa.array(np.concatenate(([0], np.cumsum(lengths[able]))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x[keep])) for x in (t, o)]
+            yield pa.RecordBatch.from_arrays([pa.array(each[able]), pa.array(n[able]), *lists], names=["id", "n", "tokens", "often"])
+
+    blobs = own.mapInArrow(emit, "range int, entries binary, owners binary")
+    parts = _by_range(blobs, ranges, 2, back, "bucket int, ids binary, sizes binary, tokens binary, often binary")
+    return laid(parts, buckets).mapInArrow(rare_first, "id long, n long, tokens array<long>, often array<long>")
 
 
 # ---------------------------------------------------------------- candidates
