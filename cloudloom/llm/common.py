@@ -58,7 +58,7 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of ``text`` (one row at least)."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(text)).to_pylist()

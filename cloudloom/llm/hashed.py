@@ -15,7 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: list[np.ndarray] = []
 #: Bytes hashed at once; texts are cut at white space.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ class Flush:
     input.
     """
 
-    def __init__(self, ranges: int, most_entries: int = 1 << 21):
+    def __init__(self, ranges: int, most_entries: int = 1 << 19):
         self.ranges, self.most = ranges, most_entries
         self.clear()
 
