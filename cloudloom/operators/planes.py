@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import cross, dot, minus, moments, norm, vec, with_eigen
 from cloudloom.operators.points import radius_pairs
+from cloudloom.plans.scratch import saved
 
 
 def fit_planes(points: DataFrame, by: str = "plane_id") -> DataFrame:
     """Total-least-squares plane of every group: normal, offset, rms, surface variation."""
     fit = with_eigen(moments(points, by))
     total = F.col("l1") + F.col("l2") + F.col("l3")
-    return fit.select(
+    # one row per plane: written, so that later filters aren't rewritten in terms of the moments
+    return saved(fit.select(
         by, "n", "mx", "my", "mz", "nx", "ny", "nz", (-dot(vec("n"), vec("m"))).alias("d"),
         F.sqrt(F.greatest("l3", F.lit(0.0))).alias("rms"),
         F.when(total > 0, F.greatest("l3", F.lit(0.0)) / total).otherwise(F.lit(0.0)).alias("variation"),
-    )
+    ), "planes")
 
 
 def pairs(planes: DataFrame) -> DataFrame:

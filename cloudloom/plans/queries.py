@@ -261,8 +261,11 @@ FIT_SQL = f"p AS ({B}), m AS (SELECT plane_id, {MOMENTS_SQL} FROM p GROUP BY 1),
 
 @query(f"""
 WITH {FIT_SQL},
-c AS (SELECT a.plane_id, b.plane_id AS other, count(DISTINCT a.pid) AS contacts FROM p a JOIN p b ON a.plane_id <> b.plane_id
-      AND abs(a.x - b.x) <= 15e-2 AND abs(a.y - b.y) <= 15e-2 AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 15e-2 * 15e-2 GROUP BY 1, 2),
+k AS (SELECT *, floor(x / 15e-2) i, floor(y / 15e-2) j, floor(z / 15e-2) l FROM p),
+o AS (SELECT u.range AS di, v.range AS dj, w.range AS dl FROM range(-1, 2) u, range(-1, 2) v, range(-1, 2) w),
+n AS (SELECT k.*, i + di AS ni, j + dj AS nj, l + dl AS nl FROM k, o),
+c AS (SELECT a.plane_id, b.plane_id AS other, count(DISTINCT a.pid) AS contacts FROM n a JOIN k b ON b.i = a.ni AND b.j = a.nj AND b.l = a.nl
+      WHERE a.plane_id <> b.plane_id AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 15e-2 * 15e-2 GROUP BY 1, 2),
 s AS (SELECT plane_id, count(*) AS n FROM p GROUP BY 1)
 SELECT least(c.plane_id, c.other) AS i, greatest(c.plane_id, c.other) AS j, c.contacts::BIGINT AS contacts FROM c JOIN s u USING (plane_id) JOIN s v ON v.plane_id = c.other
 JOIN fit f ON f.plane_id = c.plane_id JOIN fit g ON g.plane_id = c.other
@@ -280,7 +283,7 @@ u AS (SELECT *, ax*(by_*cz - bz*cy) + ay*(bz*cx - bx*cz) + az*(bx*cy - by_*cx) A
 SELECT i, j, k, {r6('-(ad*(by_*cz - bz*cy) + bd*(cy*az - cz*ay) + cd*(ay*bz - az*by_)) / det AS x', '-(ad*(bz*cx - bx*cz) + bd*(cz*ax - cx*az) + cd*(az*bx - ax*bz)) / det AS y', '-(ad*(bx*cy - by_*cx) + bd*(cx*ay - cy*ax) + cd*(ax*by_ - ay*bx)) / det AS z')}
 FROM u WHERE abs(det) >= 1e-6""")
 def plane_corners(spark, sf_dir):
-    fit = saved(planes.fit_planes(box(spark, sf_dir)), "fit")
+    fit = planes.fit_planes(box(spark, sf_dir))
     skew = planes.pairs(fit).where("abs(a_nx * b_nx + a_ny * b_ny + a_nz * b_nz) <= 0.97")
     return rounded(planes.corner_points(fit, skew.select(F.col("a_plane_id").alias("i"), F.col("b_plane_id").alias("j"))))
 
@@ -420,7 +423,7 @@ def storeys(spark, sf_dir):
     return series.storeys(h, by=["building"])
 
 
-TRACK = "SELECT user_id, CAST(unix_micros(ts) AS BIGINT) AS t, value AS v FROM events"
+TRACK = "SELECT user_id, timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS t, value AS v FROM events"
 TRACK_SQL = "SELECT user_id, epoch_us(ts)::BIGINT AS t, value AS v FROM events"
 
 
@@ -557,11 +560,23 @@ def bridge_spans(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS (SELECT * FROM ({E_SQL}) q), {TRI}, n AS (SELECT *, wx/len nx, wy/len ny, wz/len nz FROM nrm WHERE fid % 50 = 2)
-SELECT count(*)::BIGINT AS n FROM p WHERE EXISTS (SELECT 1 FROM n)""")
-def mesh_distance_count(spark, sf_dir):
-    tri = mesh.corners(*part_mesh(spark, sf_dir)).where("fid % 50 = 2")
-    return mesh.signed_distance(embedded(spark, sf_dir), tri).agg(F.count(F.lit(1)).alias("n"))
+WITH pts AS ({E_SQL}), {TRI}, t AS (SELECT fid, ax, ay, az, bx-ax ux, by_-ay uy, bz-az uz, cx-ax vx, cy-ay vy, cz-az vz, cx-bx ex, cy-by_ ey, cz-bz ez, bx, by_, bz, cx, cy, cz, wx, wy, wz FROM w),
+d AS (SELECT pid, t.*, x-ax px, y-ay py, z-az pz, x-bx qx, y-by_ qy, z-bz qz, x-cx rx, y-cy ry, z-cz rz, x, y, z FROM pts, t),
+e AS (SELECT *, ux*px+uy*py+uz*pz d1, vx*px+vy*py+vz*pz d2, ux*qx+uy*qy+uz*qz d3, vx*qx+vy*qy+vz*qz d4, ux*rx+uy*ry+uz*rz d5, vx*rx+vy*ry+vz*rz d6 FROM d),
+g AS (SELECT *, d3*d6-d5*d4 va, d5*d2-d1*d6 vb, d1*d4-d3*d2 vc FROM e),
+h AS (SELECT pid, fid, px*wx + py*wy + pz*wz AS side, CASE
+  WHEN d1 <= 0 AND d2 <= 0 THEN px*px + py*py + pz*pz
+  WHEN d3 >= 0 AND d4 <= d3 THEN qx*qx + qy*qy + qz*qz
+  WHEN vc <= 0 AND d1 >= 0 AND d3 <= 0 THEN pow(px - ux*d1/(d1-d3), 2) + pow(py - uy*d1/(d1-d3), 2) + pow(pz - uz*d1/(d1-d3), 2)
+  WHEN d6 >= 0 AND d5 <= d6 THEN rx*rx + ry*ry + rz*rz
+  WHEN vb <= 0 AND d2 >= 0 AND d6 <= 0 THEN pow(px - vx*d2/(d2-d6), 2) + pow(py - vy*d2/(d2-d6), 2) + pow(pz - vz*d2/(d2-d6), 2)
+  WHEN va <= 0 AND d4 - d3 >= 0 AND d5 - d6 >= 0 THEN pow(qx - ex*(d4-d3)/((d4-d3)+(d5-d6)), 2) + pow(qy - ey*(d4-d3)/((d4-d3)+(d5-d6)), 2) + pow(qz - ez*(d4-d3)/((d4-d3)+(d5-d6)), 2)
+  ELSE pow(px*wx + py*wy + pz*wz, 2) / (wx*wx + wy*wy + wz*wz) END AS d2 FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(d2, 12), fid) rk FROM h)
+SELECT pid, round(sqrt(d2), 6) + 0e0 AS d FROM r WHERE rk = 1""")
+def mesh_distance(spark, sf_dir):
+    found = mesh.signed_distance(embedded(spark, sf_dir), mesh.corners(*part_mesh(spark, sf_dir)))
+    return rounded(found.select("pid", F.abs("d").alias("d")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
