@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import shuffle_parts, sliced
+from cloudloom.llm.common import arrow, shuffle_parts, sliced
 
 BUCKETS = 128
 #: Places of a triplet's bytes in the window of five; each has its own multiplier.
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             marks = [digest((t or "").encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, fingerprint string")
 
 
 def _bucket(edges: list[int]) -> F.Column:
@@ -162,7 +162,7 @@ def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
 
         yield from work(rows())
 
-    return laid.mapInArrow(run, schema)
+    return arrow(laid, run, schema)
 
 
 def edited(text: str, after: str) -> str:

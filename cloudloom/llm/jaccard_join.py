@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import encoded, grouped_rank, saved, shuffle_parts, sliced
+from cloudloom.llm.common import arrow, encoded, grouped_rank, saved, shuffle_parts, sliced
 from cloudloom.llm.graph import components
 from cloudloom.llm.hashed import Flush, dealt, laid, merged, mixed, runs, shingles, word_hashes
 
@@ -89,7 +89,7 @@ def sets(docs: DataFrame, width: int = 5) -> DataFrame:
             arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(map(_mark, digests), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "digest", "mark"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").mapInArrow(run, "id long, n long, digest binary, mark long")
+    return arrow(docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text"), run, "id long, n long, digest binary, mark long")
 
 
 def _blob_rows(flush: Flush) -> pa.RecordBatch:
@@ -118,7 +118,7 @@ def _by_range(blobs: DataFrame, ranges: int, width: int, work, schema: str) -> D
             fresh[1:] = (h[1:] != h[:-1]) | (who[1:, 0] != who[:-1, 0])
             yield work(h[fresh], who[fresh], r)
 
-    return laid(blobs, ranges).mapInArrow(run, schema)
+    return arrow(laid(blobs, ranges), run, schema)
 
 
 def _runs(h: np.ndarray) -> np.ndarray:
@@ -164,9 +164,9 @@ def maybe_linked(docs: DataFrame, classes: DataFrame, entries: int, width: int,
             n = np.bincount(at, weights=np.concatenate([np.frombuffer(c, np.int64) for _, c in held]))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["mark", "shared"])
 
-    blobs = docs.select("text").mapInArrow(emit, "range int, entries binary, owners binary")
+    blobs = arrow(docs.select("text"), emit, "range int, entries binary, owners binary")
     counts = _by_range(blobs, ranges, 1, count, "bucket int, marks binary, counts binary")
-    shared = laid(counts, buckets).mapInArrow(total, "mark long, shared long")
+    shared = arrow(laid(counts, buckets), total, "mark long, shared long")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 8))
     return classes.join(shared, "mark").where(F.col("shared") >= least).select("id", "n", "digest")
 
@@ -197,7 +197,7 @@ def shared_sets(docs: DataFrame, left: DataFrame, width: int, per_range: int) ->
             yield batch.filter(pa.array((kept.value[at >> 6] >> (at & 63) & 1).astype(bool)))
 
     src = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
-    src = src.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(bits)).cast("long")).mapInArrow(maybe, "id long, text string, at long")
+    src = arrow(src.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(bits)).cast("long")), maybe, "id long, text string, at long")
     own = src.join(left, "id").select("id", "digest", "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +232,9 @@ def shared_sets(docs: DataFrame, left: DataFrame, width: int, per_range: int) ->
             lists = [pa.ListArray.from_arrays(cuts, pa.array(x[keep])) for x in (t, o)]
             yield pa.RecordBatch.from_arrays([pa.array(each[able]), pa.array(n[able]), *lists], names=["id", "n", "tokens", "often"])
 
-    blobs = own.mapInArrow(emit, "range int, entries binary, owners binary")
+    blobs = arrow(own, emit, "range int, entries binary, owners binary")
     parts = _by_range(blobs, ranges, 2, back, "bucket int, ids binary, sizes binary, tokens binary, often binary")
-    return laid(parts, buckets).mapInArrow(rare_first, "id long, n long, tokens array<long>, often array<long>")
+    return arrow(laid(parts, buckets), rare_first, "id long, n long, tokens array<long>, often array<long>")
 
 
 # ---------------------------------------------------------------- candidates
@@ -288,7 +288,7 @@ def candidate_edges(shared: DataFrame, small: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys).view(np.int64))], names=["id", "key"])
 
-    met = shared.select("id", "n", "tokens").mapInArrow(emit, "id long, key long")
+    met = arrow(shared.select("id", "n", "tokens"), emit, "id long, key long")
     met = saved(met, "keys")
     heads = met.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
     return met.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
@@ -389,7 +389,7 @@ def exact_links(shared: DataFrame, comps: DataFrame, most_tokens: int) -> DataFr
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return laid.mapInArrow(run, "a long, b long")
+    return arrow(laid, run, "a long, b long")
 
 
 # ---------------------------------------------------------------- the join

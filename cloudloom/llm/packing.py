@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import grouped_rank, saved, sliced
+from cloudloom.llm.common import arrow, grouped_rank, saved, sliced
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -44,7 +44,7 @@ class Coder:
     through the tokenizer whole.
     """
 
-    most_kept = 600_000
+    most_kept = 200_000
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str, special: tuple[str, ...] = ("<|endoftext|>",)):
         import tiktoken
@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, capacity: int = 2_048, coder: tuple[str, str, str] |
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return arrow(docs.select("doc_id", "text"), run, schema)
 
 
 # ---------------------------------------------------------------- plan
@@ -295,4 +295,4 @@ def pack(parts: DataFrame, capacity: int = 2_048, rows_each: int = 50_000) -> Da
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return arrow(ranked, run, f"{schema}, sequence_id long, offset long")

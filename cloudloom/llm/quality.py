@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from cloudloom.llm.common import sliced
+from cloudloom.llm.common import arrow, sliced
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -137,7 +137,7 @@ def score(docs: DataFrame, bands: Bands = Bands(), carry: list[str] | None = Non
             keys = [p.split()[0].strip("`") for p in SCHEMA.split(", ")] + [f"__in_{n}" for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=keys)
 
-    return docs.select(*cols).mapInArrow(run, schema)
+    return arrow(docs.select(*cols), run, schema)
 
 
 def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:

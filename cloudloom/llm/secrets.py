@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cloudloom.llm.common import sliced
+from cloudloom.llm.common import arrow, sliced
 
 KINDS = ("assign", "access", "hex")
 # letters of the key words in either case, ASCII only
@@ -210,7 +210,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "base", "spans"])
 
     kind = "array<struct<start:bigint,end:bigint,kind:string>>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {kind}, spans {kind}")
+    return arrow(docs.select("doc_id", "text"), run, f"doc_id long, base {kind}, spans {kind}")
 
 
 def masked(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
@@ -236,4 +236,4 @@ def mask(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             arrays = [pa.array(clean, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
