@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import MOMENTS_SQL, eigen_sql, moments, with_eigen
-from cloudloom.operators import graph, mesh, planes, points, scene, series
+from cloudloom.operators import fitting, graph, mesh, planes, points, scene, series
 from cloudloom.plans.scratch import saved
 
 # ---------------------------------------------------------------- inputs, in SQL both engines read
@@ -586,3 +586,92 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = planes.fit_planes(clean).withColumn("mean_z", F.col("mz"))
     sized = planes.classify(fit).join(planes.footprints(clean, fit).select("plane_id", "area"), "plane_id")
     return rounded(planes.takeoff(sized), 4)
+
+
+# ---------------------------------------------------------------- fits, outlines, members
+
+RING = "SELECT p_partkey AS pid, p_partkey % 8 AS ring, 3 + (1 + (p_partkey % 8) / 4e0) * cos(p_partkey * 37e-2) + ((p_partkey * 7919) % 100) / 1e4 AS u, -2 + (1 + (p_partkey % 8) / 4e0) * sin(p_partkey * 37e-2) + ((p_partkey * 104729) % 100) / 1e4 AS v FROM part"
+
+
+@query(f"""
+WITH p AS ({RING}), m AS (SELECT ring, avg(u) mu, avg(v) mv FROM p GROUP BY 1), c AS (SELECT ring, mu, mv, u - mu u, v - mv v FROM p JOIN m USING (ring)),
+s AS (SELECT ring, mu, mv, count(*)::BIGINT n, sum(u*u) uu, sum(u*v) uv, sum(v*v) vv, sum(u*(u*u+v*v)) u3, sum(v*(u*u+v*v)) v3 FROM c GROUP BY 1, 2, 3),
+f AS (SELECT *, (u3*vv - v3*uv) / (2*(uu*vv - uv*uv)) a, (v3*uu - u3*uv) / (2*(uu*vv - uv*uv)) b FROM s WHERE uu*vv - uv*uv > 0)
+SELECT ring, n, {r6('mu + a AS u0', 'mv + b AS v0', 'sqrt(a*a + b*b + (uu + vv) / n) AS radius')} FROM f""")
+def circle_fits(spark, sf_dir):
+    return rounded(fitting.circle_fit(view(spark, sf_dir, RING, "part"), "ring"))
+
+
+PAIRS = f"SELECT pid, x, y, z, x + ((pid * 31) % 17) / 1e3 AS tx, y - ((pid * 37) % 13) / 1e3 AS ty, z + 4e-3 AS tz, CASE WHEN plane_id > 4 THEN 1e0 ELSE 0e0 END AS nx, CASE WHEN plane_id IN (3, 4) THEN 1e0 ELSE 0e0 END AS ny, CASE WHEN plane_id < 3 THEN 1e0 ELSE 0e0 END AS nz FROM ({B}) q"
+_ROW = ("y*nz - z*ny", "z*nx - x*nz", "x*ny - y*nx", "nx", "ny", "nz")
+
+
+@query(f"""
+WITH p AS (SELECT *, (tx-x)*nx + (ty-y)*ny + (tz-z)*nz AS res FROM ({PAIRS}) q)
+SELECT count(*)::BIGINT AS n, {r6('sqrt(avg(res*res)) AS rmse')}, {', '.join(f"round(sum(({_ROW[i]}) * ({_ROW[j]})), 4) + 0e0 AS a{i}{j}" for i in range(6) for j in range(i, 6))},
+       {', '.join(f"round(sum(({_ROW[i]}) * res), 4) + 0e0 AS b{i}" for i in range(6))} FROM p""")
+def icp_normal_equations(spark, sf_dir):
+    s = fitting.icp_sums(view(spark, sf_dir, PAIRS, "orders"))
+    return s.select("n", *[(F.round(c, 6 if c == "rmse" else 4) + F.lit(0.0)).alias(c) for c in s.columns if c != "n"])
+
+
+OUTLINE = "SELECT c_nationkey AS poly, c_custkey AS i, (2 + (c_custkey % 7) / 7e0) * cos(c_custkey * 41e-2) AS u, (2 + (c_custkey % 5) / 5e0) * sin(c_custkey * 41e-2) AS v FROM customer"
+
+
+@query(f"""
+WITH p AS ({OUTLINE}), e AS (SELECT poly, u, v, coalesce(lead(u) OVER w, first_value(u) OVER w) AS u1, coalesce(lead(v) OVER w, first_value(v) OVER w) AS v1 FROM p WINDOW w AS (PARTITION BY poly ORDER BY i))
+SELECT poly, {r6('sum(u * v1 - u1 * v) / 2 AS area', 'sum(sqrt((u1-u)*(u1-u) + (v1-v)*(v1-v))) AS perimeter')}, count(*)::BIGINT AS n FROM e GROUP BY 1""")
+def polygon_measures(spark, sf_dir):
+    return rounded(fitting.polygon_measures(view(spark, sf_dir, OUTLINE, "customer")))
+
+
+STAR = "SELECT CAST(n_regionkey AS BIGINT) AS poly, n_nationkey AS i, (1 + n_nationkey % 3) * cos(n_nationkey * 125e-2) + n_regionkey AS u, (1 + n_nationkey % 3) * sin(n_nationkey * 125e-2) AS v FROM nation"
+STAR_EDGES = f"SELECT poly, u, v, coalesce(lead(u) OVER (PARTITION BY poly ORDER BY i), first_value(u) OVER (PARTITION BY poly ORDER BY i)) AS u1, coalesce(lead(v) OVER (PARTITION BY poly ORDER BY i), first_value(v) OVER (PARTITION BY poly ORDER BY i)) AS v1 FROM ({STAR}) s"
+SPOTS = "SELECT o_orderkey AS pid, ((o_orderkey * 7919) % 1009) / 1e2 - 3 AS u, ((o_orderkey * 104729) % 601) / 1e2 - 3 AS v FROM orders"
+
+
+@query(f"""
+WITH e AS ({STAR_EDGES}), p AS ({SPOTS})
+SELECT pid, poly FROM p JOIN e ON (e.v > p.v) <> (e.v1 > p.v) AND p.u < (e.u1 - e.u) * (p.v - e.v) / (e.v1 - e.v) + e.u GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
+def points_in_polygons(spark, sf_dir):
+    edges = view(spark, sf_dir, STAR_EDGES, "nation")
+    return fitting.inside(view(spark, sf_dir, SPOTS, "orders"), edges)
+
+
+HOLES = "SELECT p_partkey AS hole, ((p_partkey * 7919) % 140) / 1e2 AS z0, ((p_partkey * 7919) % 140) / 1e2 + ((p_partkey * 31) % 250) / 1e2 AS z1, ((p_partkey * 37) % 180) / 1e2 AS width FROM part"
+
+
+@query(f"""
+WITH h AS ({HOLES}) SELECT hole, CASE WHEN z0 - 5e-2 < 3e-1 AND z1 - z0 > 16e-1 THEN 'door' ELSE 'window' END AS kind, {r6('z0 - 5e-2 AS sill', 'z1 - z0 AS height', 'width')}
+FROM h WHERE z1 - z0 >= 25e-2 AND width >= 25e-2""")
+def wall_openings(spark, sf_dir):
+    return rounded(fitting.openings(view(spark, sf_dir, HOLES, "part"), 0.05))
+
+
+MEMBERS = "SELECT s_suppkey AS sid, ((s_suppkey * 7919) % 97) / 1e1 AS px, ((s_suppkey * 104729) % 89) / 1e1 AS py, ((s_suppkey * 31) % 7) / 1e0 AS pz, ((s_suppkey * 37) % 101) / 1e1 AS qx, ((s_suppkey * 41) % 83) / 1e1 + 1e-2 AS qy, ((s_suppkey * 43) % 9) / 1e0 AS qz FROM supplier"
+
+
+@query(f"""
+WITH m AS ({MEMBERS}), p AS (SELECT a.sid i, b.sid j, a.px, a.py, a.pz, a.qx-a.px ux, a.qy-a.py uy, a.qz-a.pz uz, b.px bx, b.py by_, b.pz bz, b.qx-b.px vx, b.qy-b.py vy, b.qz-b.pz vz FROM m a JOIN m b ON a.sid < b.sid),
+k AS (SELECT *, ux*ux+uy*uy+uz*uz a, vx*vx+vy*vy+vz*vz e, vx*(px-bx)+vy*(py-by_)+vz*(pz-bz) f, ux*(px-bx)+uy*(py-by_)+uz*(pz-bz) c, ux*vx+uy*vy+uz*vz b FROM p),
+s0 AS (SELECT *, CASE WHEN a*e - b*b > 1e-12 THEN greatest(0e0, least(1e0, (b*f - c*e) / (a*e - b*b))) ELSE 0e0 END AS s FROM k),
+t0 AS (SELECT *, greatest(0e0, least(1e0, (b*s + f) / e)) AS t FROM s0), s1 AS (SELECT *, greatest(0e0, least(1e0, (b*t - c) / a)) AS r FROM t0)
+SELECT i, j, {r6('sqrt(pow(px + ux*r - bx - vx*t, 2) + pow(py + uy*r - by_ - vy*t, 2) + pow(pz + uz*r - bz - vz*t, 2)) AS dist')} FROM s1""")
+def member_distances(spark, sf_dir):
+    return rounded(fitting.segment_distances(view(spark, sf_dir, MEMBERS, "supplier")))
+
+
+@query(f"""
+WITH c AS (SELECT floor(x / 2)::BIGINT cx, floor(y / 2)::BIGINT cy, floor(z / 2)::BIGINT cz FROM ({O}) p GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+o AS (SELECT * FROM (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) v(i, j, k))
+SELECT c.cx, c.cy, c.cz, count(*)::BIGINT AS open FROM c, o WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.cx = c.cx + i AND d.cy = c.cy + j AND d.cz = c.cz + k) GROUP BY 1, 2, 3""")
+def skin_cells(spark, sf_dir):
+    return fitting.boundary_cells(orders_cloud(spark, sf_dir), 2.0)
+
+
+SEAMS = "SELECT l_suppkey AS seam, l_extendedprice / 1e3 AS s FROM lineitem"
+
+
+@query(f"SELECT seam, count(*)::BIGINT AS n, count(DISTINCT floor(s / 25e-2))::BIGINT AS bins, {r6('count(DISTINCT floor(s / 25e-2)) * 25e-2 AS covered')} FROM ({SEAMS}) q GROUP BY 1")
+def seam_coverage(spark, sf_dir):
+    return rounded(fitting.line_coverage(view(spark, sf_dir, SEAMS, "lineitem"), ["seam"], 0.25))
