@@ -182,6 +182,16 @@ def test_compression_bands():
     assert quality.measure(prose(3, 300), packer, bands)[5] in (True, False)
 
 
+def test_bands_reject_beyond_the_base_rules():
+    packer, bands = quality.zstandard.ZstdCompressor(level=3), quality.Bands()
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(300)]
+    # no window of three words makes up half of it, yet it is far more repetitive than good prose
+    text = " ".join(r.choice(vocabulary) for _ in range(700))
+    got = quality.measure(text, packer, bands)
+    assert not got[5] and not got[6] and got[-1] == "repetitive"
+
+
 # ------------------------------------------------------------ 4 Jaccard
 
 
