@@ -5,14 +5,15 @@ symbols that followed them in the training texts (A-Z lower-cased, an end symbol
 each text). A symbol a context has not seen is coded by an escape (estimate: distinct
 symbols over total plus distinct) and looked up one byte shorter, where the symbols
 already refused are excluded; below the empty context all bytes are alike. Because
-the model is pretrained, the blended probability of a symbol depends on the longest
-context in the trie alone, so it is worked out once per context and symbol, and
-scoring a text is a walk of table look-ups.
+the model is pretrained, the probability of a symbol depends on the ``order`` bytes
+before it and on nothing else: it is worked out once per gram (context and symbol)
+and range of contexts, and a text's score is the sum over its grams.
 
-Counts cover all training texts and are summed in Spark; ``most_contexts`` is the
-size of the model: the most frequent contexts of all orders (a context's suffix is
-never less frequent, so the trie is closed). What is sent to tasks has at most
-``most_contexts`` times 256 cells whatever the corpus.
+Every counted context is kept. Grams are dealt out by the hash of their three newest
+context bytes, so a range holds whole branches of the trie; texts ask for the distinct
+grams of a block of texts, and the answers are joined back to the block. Only the
+counts of contexts of up to two bytes are sent to all tasks: at most 256 ** 3 cells,
+whatever the corpus, and far fewer in text.
 
 The base score is a word unigram model with add-one smoothing; its counts are joined
 to the documents by ranges of the words' hashes.
@@ -29,11 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cloudloom.llm.common import arrow, encoded, saved, shuffle_parts, sliced
-from cloudloom.llm.hashed import _LOWER, Flush, dealt, laid, runs, word_hashes
+from cloudloom.llm.hashed import _LOWER, Flush, dealt, laid, mixed, range_of, runs, word_hashes
 
 _U = np.uint64
 #: The end symbol: a byte that UTF-8 never uses.
@@ -66,11 +70,7 @@ def grams(texts: DataFrame, order: int, block: int = 1 << 20) -> DataFrame:
             if not parts:
                 continue
             for start, s in _blocks(parts, order, block):
-                code = np.zeros(len(s) - order, dtype=_U)
-                for d in range(order + 1):
-                    code = code << _U(8) | s[d : len(s) - order + d].astype(_U)
-                code = code[start]
-                held.append(np.unique(code, return_counts=True))
+                held.append(np.unique(codes(s, order)[start], return_counts=True))
                 total += len(held[-1][0])
                 if total > 1_500_000:
                     held = [merge()]
@@ -109,80 +109,195 @@ def _joined(held: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]
     return real, s
 
 
-class Model:
-    """Dense tables: child[context, symbol] and the log10 probability of each symbol after each context."""
+def codes(s: np.ndarray, order: int) -> np.ndarray:
+    """The gram that ends at each symbol behind the first ``order``."""
+    code = np.zeros(len(s) - order, dtype=_U)
+    for d in range(order + 1):
+        code = code << _U(8) | s[d : len(s) - order + d].astype(_U)
+    return code
 
-    def __init__(self, order: int, depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
-        """One entry per (context, symbol) seen; contexts hold their newest byte lowest."""
+
+# ---------------------------------------------------------------- probabilities
+
+#: Contexts of so many bytes at most are known to every task.
+NEAR = 2
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sum of each."""
+    each, at = np.unique(key, return_inverse=True)
+    return each, np.bincount(at, weights=n, minlength=len(each))
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Branches:
+    """Contexts with the counts of their symbols, complete for all suffixes of the grams asked for."""
+
+    def __init__(self, order: int, gram: np.ndarray, n: np.ndarray, near: tuple[np.ndarray, np.ndarray]):
+        """``gram``, ``n``: training counts; ``near``: counts of all grams with ``NEAR`` context bytes."""
         self.order = order
-        seen = np.unique(symbol) if len(symbol) else np.zeros(0, np.int64)
-        #: compact symbol of each byte; what training never saw shares the last
-        self.compact = np.full(256, len(seen), dtype=np.int64)
-        self.compact[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        key = depth.astype(np.int64) << 56 | context
-        nodes, at = np.unique(np.append(key, 0), return_inverse=True)  # the empty context is always there
-        at = at[:-1]
-        node_depth, node_context = nodes >> 56, nodes & ((1 << 56) - 1)
-        counts = np.zeros((len(nodes), width))
-        np.add.at(counts, (at, self.compact[symbol]), n)
-        self.child = np.full((len(nodes), width), -1, dtype=np.int32)
-        self.log = np.zeros((len(nodes), width), dtype=np.float32)
-        # below[x, s]: probability of s after x was refused by x, for symbols x has not seen
-        below = np.zeros((len(nodes), width))
-        there = counts > 0
-        unseen = 256 - len(seen)
-        below[0] = 1.0 / max(1, unseen)
+        self.cells: list[tuple[np.ndarray, np.ndarray]] = []
+        self.nodes: list[tuple[np.ndarray, ...]] = []
+        low = min(NEAR, order)
         for d in range(order + 1):
-            x = np.flatnonzero(node_depth == d)
-            if d and len(x):
-                mask = (1 << 8 * (d - 1)) - 1
-                parent = np.searchsorted(nodes, (d - 1) << 56 | (node_context[x] & mask))
-                oldest = node_context[x] >> 8 * (d - 1)
-                self.child[parent, self.compact[oldest]] = x
-                fresh = there[parent] & ~there[x]
-                total = (counts[parent] * fresh).sum(1, keepdims=True)
-                kinds = fresh.sum(1, keepdims=True)
-                base = np.maximum(total + kinds, 1)
-                escape = np.where(kinds > 0, kinds / base, 1.0)
-                below[x] = np.where(fresh, counts[parent] / base, escape * below[parent])
-            total, kinds = counts[x].sum(1, keepdims=True), there[x].sum(1, keepdims=True)
+            key, times = near if d <= low else (gram, n)
+            cell, count = _summed(key & _U((1 << 8 * (d + 1)) - 1), times)
+            node, at = np.unique(cell >> _U(8), return_inverse=True)
+            total = np.bincount(at, weights=count, minlength=len(node))
+            kinds = np.bincount(at, minlength=len(node)).astype(float)
+            rest = rest_kinds = np.zeros(len(node))
+            if d:
+                # what the context one byte shorter holds besides the symbols seen here
+                up, _ = _at(self.cells[-1][0], cell & _U((1 << 8 * d) - 1))
+                refused = np.bincount(at, weights=self.cells[-1][1][up], minlength=len(node)) if len(cell) else total
+                parent, _ = _at(self.nodes[-1][0], node & _U((1 << 8 * (d - 1)) - 1))
+                if len(node):
+                    rest = self.nodes[-1][1][parent] - refused
+                    rest_kinds = self.nodes[-1][2][parent] - kinds
+            self.cells.append((cell, count))
+            self.nodes.append((node, total, kinds, rest, rest_kinds))
+
+    def log10(self, gram: np.ndarray) -> np.ndarray:
+        """log10 probability of the symbol of each gram after its context."""
+        out = np.zeros(len(gram))
+        open_ = np.ones(len(gram), dtype=bool)
+        # of the escape from the context one byte longer; none yet where no longer context is known
+        total, kinds = np.zeros(len(gram)), np.zeros(len(gram))
+        begun = np.zeros(len(gram), dtype=bool)
+        for d in range(self.order, -1, -1):
+            cell, count = self.cells[d]
+            node, all_, each, rest, rest_kinds = self.nodes[d]
+            asked = gram & _U((1 << 8 * (d + 1)) - 1)
+            x, there = _at(node, asked >> _U(8))
+            if not there.any():
+                continue
+            c, seen = _at(cell, asked)
+            total = np.where(begun, total, all_[x])
+            kinds = np.where(begun, kinds, each[x])
             base = np.maximum(total + kinds, 1)
-            escape = np.where(kinds > 0, kinds / base, 1.0)
-            p = np.where(there[x], counts[x] / base, escape * below[x])
-            self.log[x] = np.log10(np.maximum(p, 1e-300))
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text, given as its symbols."""
-        out = np.zeros(len(texts))
-        order = self.order
-        flat = [self.compact[s] for s in texts]
-        s = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        if not len(s):
-            return out
-        cur = np.zeros(len(s) - order, dtype=np.int64)
-        alive = np.ones(len(cur), dtype=bool)
-        for d in range(1, order + 1):
-            to = self.child[cur, s[order - d : len(s) - d]]
-            alive &= to >= 0
-            cur = np.where(alive, to, cur)
-        each = self.log[cur, s[order:]].astype(np.float64)
-        ends = np.cumsum([len(x) for x in texts])
-        total = np.concatenate(([0.0], np.cumsum(each)))
-        starts = np.concatenate(([0], ends[:-1]))
-        return total[ends - order] - total[starts]
-
-
-def train(texts: DataFrame, order: int = 4, most_contexts: int = 32_768) -> Model:
-    """The model of a table of texts."""
-    counted = saved(grams(texts, order), "grams")
-    each = counted.select("gram", "n", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("depth"))
-    context = F.expr("shiftrightunsigned(gram, 8) & (shiftleft(1L, 8 * depth) - 1)")
-    each = each.select("depth", context.alias("context"), F.expr("gram & 255").alias("symbol"), "n")
-    top = each.groupBy("depth", "context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "depth", "context").limit(most_contexts)
-    sel = each.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n")).join(top.select("depth", "context"), ["depth", "context"])
-    got = sel.select("depth", "context", "symbol", "n").toArrow()
-    return Model(order, *[got.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "symbol", "n")])
+            hit, miss = open_ & there & seen, open_ & there & ~seen
+            out[hit] += np.log10(count[c[hit]] / base[hit])
+            miss &= kinds > 0
+            out[miss] += np.log10(kinds[miss] / base[miss])
+            open_ &= ~hit
+            begun |= there
+            total, kinds = np.where(there, rest[x], total), np.where(there, rest_kinds[x], kinds)
+        known = self.nodes[0][2][0] if len(self.nodes[0][0]) else 0
+        out[open_] -= np.log10(max(1, 256 - known))
+        return out
+
+
+def _dealt_grams(gram: np.ndarray, ranges: int, order: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places in ``gram``) of the grams of each range."""
+    branch = gram >> _U(8) & _U((1 << 8 * min(NEAR + 1, order)) - 1)
+    where = range_of(mixed(branch), ranges)
+    by = np.argsort(where, kind="stable")
+    used, starts = np.unique(where[by], return_index=True)
+    if len(used):
+        yield from zip(used.tolist(), np.split(by, starts[1:]), strict=True)
+
+
+def text_scores(keyed: DataFrame, order: int, per_range: int, block: int = 8 << 20) -> DataFrame:
+    """key, doc_id, held_out, n_words, score (log10 probability of the text) of every row."""
+    spark = keyed.sparkSession
+    counted = saved(grams(keyed.where("not held_out"), order), "grams")
+    low = min(NEAR, order)
+    cells = counted.groupBy(F.expr(f"gram & {(1 << 8 * (low + 1)) - 1}L").alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    near = spark.sparkContext.broadcast((cells.column("gram").to_numpy().astype(_U), cells.column("n").to_numpy().astype(float)))
+    buckets = shuffle_parts(spark)
+    ranges = max(1, min(65_536, max(buckets, -(-counted.count() // per_range))))
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    fields = ["block", "range", "grams", "keys", "ids", "held", "words", "lengths", "texts"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block of texts a row with the texts (range -1) and a row per range with the grams asked for."""
+        packer, held, size, number = zstandard.ZstdCompressor(level=1), [], 0, 0
+        here = TaskContext.get().partitionId() << 32
+
+        def out(number: int) -> pa.RecordBatch:
+            all_ = pa.Table.from_batches(held).combine_chunks()
+            raws = encoded(all_.column("text").combine_chunks())
+            parts = [np.unique(codes(s, order)[real]) for real, s in _blocks([symbols(r, order) for r in raws], order, 1 << 20)]
+            asked = np.unique(np.concatenate(parts))
+            dealt_ = list(_dealt_grams(asked, ranges, order))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            texts = [
+                one(all_.column("key").combine_chunks()), one(all_.column("doc_id").combine_chunks()), one(all_.column("held_out").combine_chunks()),
+                one(pa.array([len(r.split()) for r in raws], pa.int64())), one(pa.array([len(r) for r in raws], pa.int64())),
+                pa.array([packer.compress(b"".join(raws))], pa.binary()),
+            ]
+            first = pa.array([here + number] * (1 + len(dealt_)), pa.int64())
+            which = pa.array([-1, *[r for r, _ in dealt_]], pa.int32())
+            blobs = pa.array([None, *[asked[at].tobytes() for _, at in dealt_]], pa.binary())
+            rest = [pa.concat_arrays([x, pa.nulls(len(dealt_), x.type)]) for x in texts]
+            return pa.RecordBatch.from_arrays([first, which, blobs, *rest], names=fields)
+
+        for batch in sliced(batches, "text", 1 << 20):
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= block:
+                yield out(number)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield out(number)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram = batch.column("gram").to_numpy().view(_U)
+            n = batch.column("n").to_numpy()
+            rows = [(r, gram[at].tobytes(), n[at].tobytes()) for r, at in _dealt_grams(gram, ranges, order)]
+            arrays = [pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["range", "grams", "times"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches):
+            trained = [(np.frombuffer(g, _U), np.frombuffer(t, np.int64)) for _, g, t in rows if t is not None]
+            gram = np.concatenate([np.zeros(0, _U), *[g for g, _ in trained]])
+            n = np.concatenate([np.zeros(0), *[t.astype(float) for _, t in trained]])
+            asked = [(b, np.frombuffer(g, _U)) for b, g, t in rows if t is None]
+            if not asked:
+                continue
+            each = np.unique(np.concatenate([g for _, g in asked]))
+            logs = Branches(order, gram, n, near.value).log10(each).astype(np.float32)
+            for b, g in asked:
+                cols = [pa.array([b], pa.int64()), pa.array([g.tobytes()], pa.binary()), pa.array([logs[np.searchsorted(each, g)].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "grams", "logs"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches):
+            gram = np.concatenate([np.frombuffer(g, _U) for g, *_ in rows if g is not None])
+            by = np.argsort(gram)
+            gram, log = gram[by], np.concatenate([np.frombuffer(x, np.float32) for _, x, *_ in rows if x is not None])[by]
+            keys, ids, held, n, lengths, packed = next(x[2:] for x in rows if x[0] is None)
+            raw, start, scores = zstandard.ZstdDecompressor().decompress(packed), 0, []
+            for length in lengths:
+                s, sum_ = symbols(raw[start : start + length], order), 0.0
+                start += length
+                for a in range(0, len(s) - order, 1 << 20):
+                    sum_ += log[np.searchsorted(gram, codes(s[a : a + order + (1 << 20)], order))].sum(dtype=np.float64)
+                scores.append(float(sum_))
+            cols = [pa.array(keys, pa.int64()), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "held_out", "n_words", "score"])
+
+    id_type = to_arrow_type(keyed.schema["doc_id"].dataType)
+    schema = f"block long, range int, grams binary, keys array<long>, ids array<{kind}>, held array<boolean>, words array<long>, lengths array<long>, texts binary"
+    blocks = saved(arrow(keyed.select("key", "doc_id", "held_out", "text"), ask, schema), "blocks")
+    trained = arrow(counted, count, "range int, grams binary, times binary")
+    both = blocks.where("range >= 0").select("range", "block", "grams", F.lit(None).cast("binary").alias("times"))
+    both = both.unionByName(trained.withColumn("block", F.lit(-1).cast("long")))
+    answers = arrow(laid(both, ranges), answer, "block long, grams binary, logs binary")
+    texts = blocks.where("range = -1").drop("range")
+    back = answers.unionByName(texts.drop("grams"), allowMissingColumns=True).select("block", "grams", "logs", *fields[3:])
+    return arrow(laid(back, buckets), total, f"key long, doc_id {kind}, held_out boolean, n_words long, score double")
 
 
 # ---------------------------------------------------------------- word unigrams
@@ -242,26 +357,14 @@ def held_out(doc_id: str = "doc_id", parts: int = 7, left: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == left
 
 
-def score(docs: DataFrame, order: int = 4, most_contexts: int = 32_768, per_range: int = 1 << 22) -> DataFrame:
+def score(docs: DataFrame, order: int = 4, per_range: int = 1 << 22) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", held_out().alias("held_out"))
     # the lowest bit of a row's key says whether it trains; equal rows share a key
     hashed = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     key = F.expr("shiftleft(h, 1) | cast(not held_out as bigint)")
     keyed = docs.withColumn("h", hashed).withColumn("key", F.when(key == 0, F.lit(2)).otherwise(key)).drop("h")
-    model = spark.sparkContext.broadcast(train(docs.where("not held_out"), order, most_contexts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 1 << 20):
-            texts = encoded(batch.column("text"))
-            scores = model.value.score([symbols(raw, order) for raw in texts])
-            n = [len(raw.split()) for raw in texts]
-            cols = [batch.column(c) for c in ("key", "doc_id", "held_out")] + [pa.array(n, pa.int64()), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "held_out", "n_words", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = saved(arrow(keyed, run, f"key long, doc_id {kind}, held_out boolean, n_words long, score double"), "scores")
+    rows = saved(text_scores(keyed, order, per_range), "scores")
     facts = rows.agg(
         F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"),
         F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1)), F.lit(0)).alias("tokens"),

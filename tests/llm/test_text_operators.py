@@ -563,6 +563,16 @@ def test_scores(docs, none):
     assert ppm.score(none).count() == 0
 
 
+def test_scores_use_every_counted_context(spark):
+    r = random.Random(11)
+    src = {i: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_500)) for i in range(50)}
+    train = [t.encode() for i, t in src.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sum(len({t[i : i + d] for t in train for i in range(len(t))}) for d in range(1, 5)) > 40_000
+    model = slow_ppm(train, 4)
+    for row in ppm.score(spark.createDataFrame(list(src.items()), "doc_id long, text string"), per_range=500).collect():
+        assert row["score"] == pytest.approx(model(src[row["doc_id"]].encode()), rel=1e-6)
+
+
 def test_model_without_training(spark):
     one = spark.createDataFrame([(i, "abc") for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     r = ppm.score(one).first()
