@@ -5,9 +5,11 @@ names, with the first class). Text length and punctuation are aggregated per
 path; each block takes its path's ratios, the two sequences are smoothed along
 the page, fused, and thresholded, which selects content paths. The deepest
 element that holds most of the selected text is the article; its blocks of
-selected paths, and its headings and list or quote items, are the result in page
-order. Elements that never hold main text (navigation, forms, scripts, notices,
-adverts, reader comments and the like) are left out before any ratio is taken.
+selected paths, and its headings and list or quote items (not lists of links),
+are the result in page order. Scripts, navigation, footers, hidden elements and
+the like are left out before any ratio is taken. A form, or an element whose class,
+id or role names an advert, a notice, reader comments and so on, only lowers the
+score of the paths below it, and not where it holds most of the page's text.
 
 Edge cases: null or empty html gives an empty text; unclosed tags, stray ends
 and unterminated comments or quotes are read as browsers do (an open ``p`` or
@@ -42,10 +44,11 @@ BLOCK = set(
 )
 #: Elements left out with all they hold.
 LEFT_OUT = set(
-    "head script style title noscript nav footer aside form button select option textarea input label fieldset legend menu dialog "
+    "head script style title noscript nav footer aside button select option textarea input label legend menu dialog "
     "iframe object embed svg canvas audio video template noframes noembed xmp".split()
 )
-#: Words of class, id or role that name such elements.
+#: Elements, and words of class, id or role, that lower the score of what they hold.
+DOUBTED = {"form", "fieldset"}
 NAMED_OUT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|gdpr|notices?|alert|"
     r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menus?|breadcrumbs?|"
@@ -62,28 +65,31 @@ SPACE = re.compile(r"[\s​]+")
 
 
 class Block:
-    __slots__ = ("nodes", "path", "text")
+    """``doubted``: which of ``nodes`` are named as something else; ``links``: characters inside links."""
 
-    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...], text: str):
-        self.path, self.nodes, self.text = path, nodes, text
+    __slots__ = ("doubted", "links", "nodes", "path", "text")
 
+    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...], doubted: tuple[int, ...], text: str, links: int):
+        self.path, self.nodes, self.doubted, self.text, self.links = path, nodes, doubted, text, links
 
-def _out(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is left out, and its name in paths."""
+
+def _out(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element is left out, whether it is doubted, and its name in paths."""
     if tag in LEFT_OUT:
-        return True, tag
+        return True, False, tag
+    first, gone, doubted = "", False, tag in DOUBTED
     if not attributes or attributes.isspace():
-        return False, tag
-    first, gone = "", False
+        return gone, doubted, tag
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             gone = True
         elif key in ("class", "id", "role") and tag not in ("html", "body", "article", "main", "p", *HEADING):
-            gone = gone or bool(NAMED_OUT.search(value))
+            doubted = doubted or bool(NAMED_OUT.search(value))
         if key == "class" and not first:
             first = value.split()[0] if value.split() else ""
-    return gone, f"{tag}.{first}" if first else tag
+    # doubted elements have paths of their own
+    return gone, doubted, f"{tag}.{first}!" if doubted else f"{tag}.{first}" if first else tag
 
 
 def blocks(page: str) -> list[Block]:
@@ -93,33 +99,36 @@ def blocks(page: str) -> list[Block]:
     tags: list[str] = []
     ids: list[int] = []
     outs: list[bool] = []
+    doubts: list[bool] = []
     held: list[str] = []
-    place: tuple[tuple[str, ...], tuple[int, ...]] | None = None
-    next_id, at = 0, 0
+    place: tuple[tuple[str, ...], tuple[int, ...], tuple[int, ...]] | None = None
+    next_id, at, links = 0, 0, 0
 
     def flush() -> None:
-        nonlocal held, place
+        nonlocal held, place, links
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text and place is not None:
-                found.append(Block(*place, text))
-        held, place = [], None
+                found.append(Block(*place, text, links))
+        held, place, links = [], None, 0
 
     def add(piece: str) -> None:
-        nonlocal place
+        nonlocal place, links
         if piece and not (outs and outs[-1]):
             if place is None:
                 if not piece.strip():
                     return
                 # a block's path ends at its block element; inline tags inside don't count
                 keep = max((i for i, t in enumerate(tags) if t in BLOCK), default=-1) + 1
-                place = tuple(names[:keep]), tuple(ids[:keep])
+                place = tuple(names[:keep]), tuple(ids[:keep]), tuple(i for i, d in zip(ids, doubts, strict=True) if d)
             held.append(piece)
+            if "a" in tags:
+                links += len(piece.strip())
 
     def close_to(i: int) -> None:
         if any(t in BLOCK for t in tags[i:]):
             flush()
-        del names[i:], tags[i:], ids[i:], outs[i:]
+        del names[i:], tags[i:], ids[i:], outs[i:], doubts[i:]
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -161,7 +170,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        gone, name = _out(tag, attributes)
+        gone, doubted, name = _out(tag, attributes)
         if tag == "header" and "article" not in tags and "main" not in tags:
             gone = True
         if gone and not (outs and outs[-1]):
@@ -171,6 +180,7 @@ def blocks(page: str) -> list[Block]:
         tags.append(tag)
         ids.append(next_id)
         outs.append(gone or bool(outs and outs[-1]))
+        doubts.append(doubted)
     add(page[at:])
     flush()
     return found
@@ -187,22 +197,54 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def content_paths(found: list[Block], sigma: float = 1.0, share: float = 0.25) -> set[tuple[str, ...]]:
-    """Paths whose smoothed, fused ratios reach ``share`` of the text-weighted mean."""
+def doubted_nodes(found: list[Block]) -> set[int]:
+    """Elements named as something else, without those that hold most of the page's text.
+
+    Such an element stays doubted where an article or main element lies beside it, or where
+    text at least half as long lies outside all of them (reader comments longer than the article).
+    """
+    held: dict[int, int] = defaultdict(int)
+    for b in found:
+        for node in b.doubted:
+            held[node] += len(b.text)
+    left, total = set(held), sum(len(b.text) for b in found)
+    for node in sorted(held, key=lambda k: (-held[k], k)):
+        if 2 * held[node] <= total:
+            break
+        above = next(set(b.nodes) for b in found if node in b.doubted)
+        rest = [b for b in found if node not in b.doubted and left.isdisjoint(b.doubted)]
+        beside = any(k not in above and t.split(".")[0] in ("article", "main") for b in rest for k, t in zip(b.nodes, b.path, strict=True))
+        if not beside and 2 * sum(len(b.text) for b in rest) < held[node]:
+            left.discard(node)
+    return left
+
+
+def content_paths(
+    found: list[Block], doubted: set[int] = frozenset(), sigma: float = 1.0, share: float = 0.25, prior: float = 0.05
+) -> set[tuple[str, ...]]:
+    """Paths whose fused ratios, their own and smoothed, reach ``share`` of the text-weighted mean.
+
+    ``prior`` is the weight of blocks in doubted elements, in the ratios and in the mean.
+    """
     n, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
         n[b.path] += 1
         chars[b.path] += len(b.text)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
-    text_ratio = smoothed([chars[b.path] / n[b.path] for b in found], sigma)
-    mark_ratio = smoothed([(1 + marks[b.path]) / n[b.path] for b in found], sigma)
-    fused = [math.sqrt(t * p) for t, p in zip(text_ratio, mark_ratio, strict=True)]
-    total = sum(len(b.text) for b in found)
-    level = share * sum(f * len(b.text) for f, b in zip(fused, found, strict=True)) / max(1, total)
-    best: dict[tuple[str, ...], float] = defaultdict(float)
-    for f, b in zip(fused, found, strict=True):
-        best[b.path] = max(best[b.path], f)
-    return {p for p, f in best.items() if f >= level}
+    weight = [1.0 if doubted.isdisjoint(b.doubted) else prior for b in found]
+    text_ratio = [chars[b.path] / n[b.path] for b in found]
+    mark_ratio = [(1 + marks[b.path]) / n[b.path] for b in found]
+    length = [w * len(b.text) for w, b in zip(weight, found, strict=True)]
+    chosen: set[tuple[str, ...]] | None = None
+    for texts, points in ((text_ratio, mark_ratio), (smoothed(text_ratio, sigma), smoothed(mark_ratio, sigma))):
+        fused = [w * math.sqrt(t * p) for w, t, p in zip(weight, texts, points, strict=True)]
+        level = share * sum(f * x for f, x in zip(fused, length, strict=True)) / max(1e-9, sum(length))
+        best: dict[tuple[str, ...], float] = defaultdict(float)
+        for f, b in zip(fused, found, strict=True):
+            best[b.path] = max(best[b.path], f)
+        reached = {p for p, f in best.items() if f >= level}
+        chosen = reached if chosen is None else chosen & reached
+    return chosen or set()
 
 
 def extract(page: str | None, hold: float = 0.6) -> str:
@@ -210,7 +252,8 @@ def extract(page: str | None, hold: float = 0.6) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    chosen = content_paths(found)
+    doubted = doubted_nodes(found)
+    chosen = content_paths(found, doubted)
     text_of: dict[int, int] = defaultdict(int)
     depth: dict[int, int] = {}
     name: dict[int, str] = {}
@@ -226,9 +269,16 @@ def extract(page: str | None, hold: float = 0.6) -> str:
     holders = [k for k, v in text_of.items() if v >= hold * total and name[k].split(".")[0] not in ITEM]
     node = max(named or holders, key=lambda k: depth[k], default=None)
     inside = [b for b in found if node is None or node in b.nodes]
-    if named:
-        return " ".join(b.text for b in inside)
-    kept = [b for b in inside if b.path in chosen or (b.path and b.path[-1].split(".")[0] in ITEM)]
+    chars, links = defaultdict(int), defaultdict(int)
+    for b in inside:
+        chars[b.path] += len(b.text)
+        links[b.path] += b.links
+
+    def item(b: Block) -> bool:
+        tag = b.path[-1].split(".")[0] if b.path else ""
+        return doubted.isdisjoint(b.doubted) and (tag in HEADING or tag in ITEM and 2 * links[b.path] <= chars[b.path])
+
+    kept = [b for b in inside if b.path in chosen or item(b)]
     return " ".join(b.text for b in kept)
 
 

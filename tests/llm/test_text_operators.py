@@ -380,6 +380,24 @@ def test_pages(page, want):
     assert html_extract.extract(page) == want
 
 
+LINKS = "<ul><li><a href=/1>One link</a><li><a href=/2>Two link</a><li><a href=/3>Three</a></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        *[(f"<body>{w}<article><p>{ARTICLE}</p></article></body>", ARTICLE.strip()) for w in ("<div id=page class='no-sidebar'>", "<div class='has-comments'>", "<form action=/x>", "<section class=search>")],
+        # without an article element
+        (f"<div class='no-sidebar'><div class=sidebar><p>Side, text.</div><p>{ARTICLE}<p>{ARTICLE}</div>", f"{ARTICLE.strip()} {ARTICLE.strip()}"),
+        (f"<article><p>{ARTICLE}</p><div>Buy now</div><p>{ARTICLE}</p>{LINKS}</article>", f"{ARTICLE.strip()} {ARTICLE.strip()}"),
+        (f"<div class=post><p>{ARTICLE}</p></div><div id=comments><p>{ARTICLE}</p></div>", ARTICLE.strip()),
+        (f"<main><h2><a href=/x>Head</a></h2><p>{ARTICLE}</p><ul><li>An item<li>Next item</ul></main>", f"Head {ARTICLE.strip()} An item Next item"),
+    ],
+)
+def test_names_are_a_prior_and_paths_decide_inside_articles(page, want):
+    assert html_extract.extract(page) == want
+
+
 def test_pages_of_the_table(spark, data):
     rows = queries.op6_html_extraction(spark, data).collect()
     src = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
