@@ -3,7 +3,11 @@
 Layer 0 is the text itself. Each layer is scanned for the secret kinds, then
 unwrapped: URL escapes and ``\\u`` / ``\\x`` escapes rewrite the whole layer
 character by character, base64 runs yield a layer each, and gzip, zlib, bzip2 or
-xz bytes found under base64 are decompressed. New layers join the worklist until
+xz bytes found under base64 or URL escapes are decompressed. Lines of wrapped base64
+are joined; a run that does not decode as it stands (text is glued to it, or a line
+too many is joined) is decoded at all four alignments, of which the readable
+stretches and the compressed parts are layers. URL escapes that are not UTF-8 stay
+as they are, those beside them are decoded. New layers join the worklist until
 none is left; a layer whose content was seen before is dropped, which ends
 cycles. Every layer keeps, per character, the span of the original text it came
 from, so a finding in any layer is reported as a span of the original text.
@@ -20,11 +24,10 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
 import hashlib
-import io
 import lzma
 import re
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +46,14 @@ KEY_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Between two lines of wrapped base64: a line end, also an escaped one, and indentation.
+LINE_END = re.compile(r"[ \t]*(?:\r\n|\n|\r|\\r\\n|\\n)[ \t]*")
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{LINE_END.pattern}[A-Za-z0-9+/_-]+)+")
+URL_BYTES = re.compile(r"[A-Za-z0-9_.~/+-]*+%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])*+")
+#: How gzip, bzip2, xz and zlib begin.
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+#: A readable stretch among other bytes.
+STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){8,}")
 
 Span = tuple[int, int, int]
 
@@ -95,16 +106,20 @@ def _url(layer: Layer) -> Layer | None:
     found = []
     for m in URL.finditer(layer.text):
         raw = binascii.unhexlify(m[0].replace("%", ""))
-        try:
-            new = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        spans, byte = [], 0
-        for c in new:
-            n = len(c.encode())
-            spans.append((m.start() + 3 * byte, m.start() + 3 * (byte + n)))
-            byte += n
-        found.append((m.start(), m.end(), new, spans))
+        first = 0
+        while first < len(raw):
+            try:
+                new, bad, skip = raw[first:].decode(), len(raw), 0
+            except UnicodeDecodeError as e:
+                new, bad, skip = raw[first : first + e.start].decode(), first + e.start, e.end - e.start
+            spans, byte = [], first
+            for c in new:
+                n = len(c.encode())
+                spans.append((m.start() + 3 * byte, m.start() + 3 * (byte + n)))
+                byte += n
+            if new:
+                found.append((m.start() + 3 * first, m.start() + 3 * bad, new, spans))
+            first = bad + skip
     return _rewritten(layer, found) if found else None
 
 
@@ -121,15 +136,25 @@ def _escapes(layer: Layer) -> Layer | None:
     return _rewritten(layer, found) if found else None
 
 
-def _unpacked(raw: bytes, most_bytes: int) -> bytes | None:
+def _unpacked(raw: bytes | memoryview, most_bytes: int) -> bytes | None:
+    """What compressed bytes hold; bytes behind the end are ignored, a cut end is no error."""
+    out, rest, head = b"", raw, bytes(raw[:6])
     try:
-        if raw[:2] == b"\x1f\x8b":
-            out = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(most_bytes + 1)
-        elif raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        if head[:2] == b"\x1f\x8b":
+            while bytes(rest[:2]) == b"\x1f\x8b" and len(out) <= most_bytes:
+                d = zlib.decompressobj(31)
+                try:
+                    out += d.decompress(rest, most_bytes + 1 - len(out))
+                except zlib.error:
+                    if not out:
+                        raise
+                    break
+                rest = d.unused_data
+        elif head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2], "big") % 31 == 0:
             out = zlib.decompressobj().decompress(raw, most_bytes + 1)
-        elif raw[:3] == b"BZh":
+        elif head[:3] == b"BZh":
             out = bz2.BZ2Decompressor().decompress(raw, most_bytes + 1)
-        elif raw[:6] == b"\xfd7zXZ\x00":
+        elif head == b"\xfd7zXZ\x00":
             out = lzma.LZMADecompressor().decompress(raw, most_bytes + 1)
         else:
             return None
@@ -138,6 +163,15 @@ def _unpacked(raw: bytes, most_bytes: int) -> bytes | None:
     return out if len(out) <= most_bytes else None
 
 
+def _opened(raw: bytes | memoryview, most_bytes: int) -> bytes | memoryview:
+    """The bytes, or what they hold where they are compressed, once or several times."""
+    seen: set[bytes] = set()
+    while (more := _unpacked(raw, most_bytes)) is not None and raw not in seen:
+        seen.add(bytes(raw))
+        raw = more
+    return raw
+
+
 def _readable(raw: bytes) -> str | None:
     try:
         text = raw.decode()
@@ -147,22 +181,66 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _runs(text: str) -> Iterator[tuple[str, list[int] | range]]:
+    """Base64 runs and joined lines of wrapped ones, with the place of every character."""
+    for m in WRAPPED.finditer(text):
+        ends = [(x.start(), x.end()) for x in LINE_END.finditer(text, m.start(), m.end())]
+        lines = list(zip([m.start(), *[b for _, b in ends]], [*[a for a, _ in ends], m.end()], strict=True))
+        i = 0
+        while i < len(lines):
+            # lines of one width, the first and the last may be shorter
+            j, width = i + 1, max(b - a for a, b in lines[i : i + 2])
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            if j < len(lines) and lines[j][1] - lines[j][0] < width:
+                j += 1
+            if j - i > 1 and width >= 16:
+                yield "".join(text[a:b] for a, b in lines[i:j]), [k for a, b in lines[i:j] for k in range(a, b)]
+            i = j
+    for m in BASE64.finditer(text):
+        yield m[0].rstrip("="), range(m.start(), m.end())
+
+
+def _bytes(run: str) -> bytes:
+    """A run's bytes; a last character that holds no whole byte is dropped."""
+    run = run[: len(run) - (len(run) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
 def _base64(layer: Layer, most_bytes: int) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
+    done: list[tuple[int, int]] = []
+    for run, at in _runs(layer.text):
         # encoded text mixes cases; plain words and hexadecimal digests don't
-        if len(run) % 4 == 1 or run.islower() or run.isupper() or run.isalpha() and run[1:].islower():
+        if run.islower() or run.isupper() or run.isalpha() and run[1:].islower():
+            continue
+        # a line of a wrapped run that decoded as a whole
+        if any(a <= at[0] and at[-1] < b for a, b in done):
             continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
+        if len(run) % 4 != 1 and (text := _readable(bytes(_opened(_bytes(run), most_bytes)))) is not None:
+            yield Layer(text, layer.origin(at[0], at[-1] + 1))
+            if not isinstance(at, range):
+                done.append((at[0], at[-1] + 1))
             continue
-        seen: set[bytes] = set()
-        while (more := _unpacked(raw, most_bytes)) is not None and raw not in seen:
-            seen.add(raw)
-            raw = more
-        if (text := _readable(raw)) is not None:
-            yield Layer(text, layer.origin(m.start(), m.end()))
+        for phase in range(4):
+            raw = _bytes(run[phase:])
+            for m in PACKED.finditer(raw):
+                part = memoryview(raw)[m.start() :]
+                if (inner := _opened(part, most_bytes)) is not part and (text := _readable(bytes(inner))) is not None:
+                    yield Layer(text, layer.origin(at[phase + m.start() * 4 // 3], at[-1] + 1))
+            for m in STRETCH.finditer(raw):
+                last = min(len(run), phase - (-m.end() * 4 // 3)) - 1
+                yield Layer(m[0].decode("utf-8", "replace"), layer.origin(at[phase + m.start() * 4 // 3], at[last] + 1))
+
+
+def _url_packed(layer: Layer, most_bytes: int) -> Iterator[Layer]:
+    """Compressed bytes under URL escapes (what needs no escape stands among them)."""
+    for m in URL_BYTES.finditer(layer.text) if "%" in layer.text else ():
+        for token in {m[0], m[0].replace("+", " ")}:
+            raw = urllib.parse.unquote_to_bytes(token)
+            for p in PACKED.finditer(raw):
+                part = memoryview(raw)[p.start() :]
+                if (inner := _opened(part, most_bytes)) is not part and (text := _readable(bytes(inner))) is not None:
+                    yield Layer(text, layer.origin(m.start(), m.end()))
 
 
 def all_spans(text: str, base: list[Span], most_bytes: int = 64 << 20) -> list[Span]:
@@ -173,7 +251,7 @@ def all_spans(text: str, base: list[Span], most_bytes: int = 64 << 20) -> list[S
     while work:
         layer = work.pop()
         fresh = [x for x in (_url(layer), _escapes(layer)) if x is not None]
-        fresh += _base64(layer, most_bytes)
+        fresh += [*_base64(layer, most_bytes), *_url_packed(layer, most_bytes)]
         for x in fresh:
             # one content decoded from two places is two layers; from one place, one
             where = x.at if isinstance(x.at, tuple) else None

@@ -1,8 +1,10 @@
 """The text operators against brute force on small fixtures, edge cases included."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
@@ -470,6 +472,38 @@ def test_nested_layers(code):
     assert "hunter2" not in secrets.masked(text, spans) and secrets.masked(text, spans).startswith("é text ")
 
 
+def lines(s, width, end="\n"):
+    return end.join(s[i : i + width] for i in range(0, len(s), width))
+
+
+LONG = "".join(f"line {i * 7919 % 1000} of prose, " for i in range(12)) + PLAIN + "".join(f" more {i * 31}" for i in range(20))
+
+
+@pytest.mark.parametrize("pad", range(12))
+@pytest.mark.parametrize(
+    "code",
+    [
+        lambda s: base64.encodebytes(s.encode()).decode(),
+        lambda s: lines(base64.b64encode(s.encode()).decode(), 64, "\r\n    "),
+        lambda s: lines(base64.b64encode(s.encode()).decode(), 61, "\\n"),
+        *[lambda s, f=f: lines(base64.b64encode(f(s.encode())).decode(), 64) for f in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)],
+        lambda s: "-----BEGIN CERTIFICATE-----\n" + lines(base64.b64encode(s.encode()).decode(), 64) + "\n-----END CERTIFICATE-----",
+        *[lambda s, glue=glue: glue + base64.b64encode(s.encode()).decode() for glue in ("data/", "key_", "a-", "x", "xy", "abcde", "/")],
+        *[lambda s, glue=glue: glue + base64.urlsafe_b64encode(gzip.compress(s.encode(), mtime=0)).decode() for glue in ("v1/", "a-", "x")],
+        lambda s: "%FF" + "".join(f"%{b:02X}" for b in s.encode()) + "%FE",
+        *[lambda s, q=q: q(gzip.compress(s.encode(), mtime=0)) for q in (urllib.parse.quote, urllib.parse.quote_plus)],
+        lambda s: "".join(f"%{b:02x}" for b in lzma.compress(s.encode())),
+    ],
+)
+def test_wrapped_glued_and_byte_encodings(code, pad):
+    coded = code("z" * pad + " " + LONG)
+    text = f"é text {coded} end"
+    spans = secrets.find(text)[1]
+    at = text.index(coded)
+    # the plain text's spans are there, inside the code
+    assert {k for *_, k in spans} >= {0} and all(at <= a < b <= at + len(coded) for a, b, _ in spans)
+
+
 def test_base_spans_and_digests(spark, docs, none):
     odd = ["PASSWORD:'abcdef'", "ſecret = abcdefgh toKen=abcdef", "api_key : short api-key=abcdef apikey==abcdefg", "AKIA" + "A" * 15 + " AKIA" + "B" * 16, "0123456789abcdef" * 2 + "G", None, "token = token = abcdefg"]
     for t in odd:
