@@ -103,6 +103,31 @@ def footprints(points: DataFrame, planes: DataFrame) -> DataFrame:
     return g.withColumn("area", (F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0")))
 
 
+def footprint_overlaps(points: DataFrame, planes: DataFrame, least: float = 0.3) -> DataFrame:
+    """Planes i < j: share of the smaller bounding box, both in i's frame, that the other covers, and whether it reaches ``least``."""
+    frames = basis(planes).select(F.col("plane_id").alias("frame"), *[f"{a}{k}" for a in "uv" for k in "xyz"])
+    own = points.select("plane_id", "x", "y", "z").join(F.broadcast(frames), F.col("plane_id") >= F.col("frame"))  # planes of a model
+    uv = own.select("frame", "plane_id", dot(vec(""), vec("u")).alias("s"), dot(vec(""), vec("v")).alias("t"))
+    boxes = uv.groupBy("frame", "plane_id").agg(*[f(c).alias(f"{c}{k}") for c in "st" for k, f in ((0, F.min), (1, F.max))])
+    a = boxes.where("frame = plane_id").select(F.col("frame").alias("i"), *[F.col(f"{c}{k}").alias(f"a_{c}{k}") for c in "st" for k in (0, 1)])
+    both = boxes.where("frame <> plane_id").join(F.broadcast(a), F.col("frame") == F.col("i"))
+    side = [F.least(f"{c}1", f"a_{c}1") - F.greatest(f"{c}0", f"a_{c}0") for c in "st"]
+    areas = [(F.col(f"{p}s1") - F.col(f"{p}s0")) * (F.col(f"{p}t1") - F.col(f"{p}t0")) for p in ("", "a_")]
+    shared = F.when((side[0] > 0) & (side[1] > 0), side[0] * side[1])
+    share = F.coalesce(shared / F.greatest(F.least(*areas), F.lit(1e-12)), F.lit(0.0))
+    return both.select("i", F.col("plane_id").alias("j"), share.alias("share"), (shared.isNotNull() & (share >= least)).alias("overlaps"))
+
+
+def snap_to_corners(points: DataFrame, corners: DataFrame, most: float) -> DataFrame:
+    """pid and the nearest corner (i, j, k, x, y, z) within ``most``; points further away keep their place."""
+    c = corners.select("i", "j", "k", *[F.col(x).alias(f"c{x}") for x in "xyz"])
+    both = points.join(F.broadcast(c), F.lit(True), "left")  # corners of a model; points stay without any
+    both = both.withColumn("d2", dot(minus(vec(""), vec("c")), minus(vec(""), vec("c"))))
+    best = both.groupBy("pid", "x", "y", "z").agg(F.min_by(F.struct("cx", "cy", "cz", "d2"), F.struct(F.round("d2", 12), "i", "j", "k")).alias("b"))
+    close = F.coalesce(F.col("b.d2") <= most * most, F.lit(False))
+    return best.select("pid", *[F.when(close, F.col(f"b.c{k}")).otherwise(F.col(k)).alias(k) for k in "xyz"], close.alias("snapped"))
+
+
 def snap_to_lines(points: DataFrame, lines: DataFrame, most: float) -> DataFrame:
     """pid and the foot on the nearest line within ``most``; points further away keep their place."""
     both = points.crossJoin(F.broadcast(lines.select(*[f"d{k}" for k in "xyz"], *[f"p{k}" for k in "xyz"], "i", "j")))

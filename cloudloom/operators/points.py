@@ -116,6 +116,11 @@ def local_spacing(points: DataFrame, k: int = 8, cell: float = 1.0) -> DataFrame
     return knn(points, points, k, cell, skip_self=True).groupBy("pid").agg(F.avg(F.sqrt("d2")).alias("spacing"))
 
 
+def median_spacing(points: DataFrame, cell: float = 1.0) -> DataFrame:
+    """One row: the median distance of all points to their nearest other, 0 with fewer than two points."""
+    return local_spacing(points, 1, cell).agg(F.coalesce(F.percentile("spacing", F.lit(0.5)), F.lit(0.0)).alias("spacing"))
+
+
 def remove_statistical_outliers(points: DataFrame, k: int = 16, ratio: float = 2.5, cell: float = 1.0) -> DataFrame:
     """Points whose mean neighbour distance is at most mean + ratio * population deviation over all."""
     spacing = saved(local_spacing(points, k, cell), "spacing")

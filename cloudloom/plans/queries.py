@@ -150,6 +150,13 @@ def knn_spacing(spark, sf_dir):
     return rounded(points.local_spacing(embedded(spark, sf_dir), 8, 0.5))
 
 
+@query(f"""
+WITH p AS ({E_SQL}), q AS (SELECT a.pid, min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS d FROM p a JOIN p b ON a.pid <> b.pid GROUP BY 1)
+SELECT {r6('coalesce(quantile_cont(d, 5e-1), 0e0) AS spacing')} FROM q""")
+def point_spacing(spark, sf_dir):
+    return rounded(points.median_spacing(embedded(spark, sf_dir), 0.5))
+
+
 @query(f"""
 WITH p AS ({E_SQL}), q AS (SELECT a.pid, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d,
   row_number() OVER (PARTITION BY a.pid ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pid) AS rk FROM p a JOIN p b ON a.pid <> b.pid),
@@ -317,6 +324,40 @@ def plane_footprints(spark, sf_dir):
     return rounded(planes.footprints(p, planes.fit_planes(p)))
 
 
+@query(f"""
+WITH {FIT_SQL}, h AS (SELECT *, CASE WHEN abs(nx) >= 9e-1 THEN 0e0 ELSE 1e0 END hx, CASE WHEN abs(nx) >= 9e-1 THEN 1e0 ELSE 0e0 END hy FROM fit),
+u0 AS (SELECT *, -nz*hy AS ax, nz*hx AS ay, nx*hy - ny*hx AS az FROM h), u1 AS (SELECT *, sqrt(ax*ax + ay*ay + az*az) AS s FROM u0),
+u AS (SELECT plane_id, nx, ny, nz, ax/s AS ux, ay/s AS uy, az/s AS uz FROM u1),
+f AS (SELECT *, ny*uz - nz*uy AS vx, nz*ux - nx*uz AS vy, nx*uy - ny*ux AS vz FROM u),
+q AS (SELECT f.plane_id AS i, p.plane_id AS j, min(p.x*ux + p.y*uy + p.z*uz) s0, max(p.x*ux + p.y*uy + p.z*uz) s1, min(p.x*vx + p.y*vy + p.z*vz) t0, max(p.x*vx + p.y*vy + p.z*vz) t1
+      FROM p JOIN f ON f.plane_id <= p.plane_id GROUP BY 1, 2),
+w AS (SELECT b.i, b.j, least(a.s1, b.s1) - greatest(a.s0, b.s0) AS ds, least(a.t1, b.t1) - greatest(a.t0, b.t0) AS dt,
+      greatest(least((a.s1 - a.s0) * (a.t1 - a.t0), (b.s1 - b.s0) * (b.t1 - b.t0)), 1e-12) AS m FROM q a JOIN q b ON a.i = a.j AND b.i = a.i AND b.j <> b.i),
+o AS (SELECT i, j, ds > 0 AND dt > 0 AS ok, CASE WHEN ds > 0 AND dt > 0 THEN ds * dt / m ELSE 0e0 END AS share FROM w)
+SELECT i, j, {r6('share')}, ok AND share >= 3e-1 AS overlaps FROM o""")
+def plane_overlaps(spark, sf_dir):
+    p = box(spark, sf_dir)
+    return rounded(planes.footprint_overlaps(p, planes.fit_planes(p)))
+
+
+@query(f"""
+WITH {FIT_SQL}, e AS (SELECT a.plane_id AS i, b.plane_id AS j FROM fit a JOIN fit b ON a.plane_id < b.plane_id WHERE abs(a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) <= 97e-2),
+t AS (SELECT e.i, e.j, g.j AS k, a.nx ax, a.ny ay, a.nz az, a.d ad, b.nx bx, b.ny by_, b.nz bz, b.d bd, c.nx cx, c.ny cy, c.nz cz, c.d cd
+      FROM e JOIN e g ON g.i = e.j JOIN e h ON h.i = e.i AND h.j = g.j JOIN fit a ON a.plane_id = e.i JOIN fit b ON b.plane_id = e.j JOIN fit c ON c.plane_id = g.j),
+u AS (SELECT *, ax*(by_*cz - bz*cy) + ay*(bz*cx - bx*cz) + az*(bx*cy - by_*cx) AS det FROM t),
+c AS (SELECT i, j, k, -(ad*(by_*cz - bz*cy) + bd*(cy*az - cz*ay) + cd*(ay*bz - az*by_)) / det AS x, -(ad*(bz*cx - bx*cz) + bd*(cz*ax - cx*az) + cd*(az*bx - ax*bz)) / det AS y,
+      -(ad*(bx*cy - by_*cx) + bd*(cx*ay - cy*ax) + cd*(ax*by_ - ay*bx)) / det AS z FROM u WHERE abs(det) >= 1e-6),
+d AS (SELECT p.pid, p.x, p.y, p.z, c.x AS qx, c.y AS qy, c.z AS qz, i, j, k, (p.x-c.x)*(p.x-c.x) + (p.y-c.y)*(p.y-c.y) + (p.z-c.z)*(p.z-c.z) AS d2 FROM p, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(d2, 12), i, j, k) AS rk, d2 <= 25e-2 AS near FROM d)
+SELECT pid, {r6('CASE WHEN near THEN qx ELSE x END AS x', 'CASE WHEN near THEN qy ELSE y END AS y', 'CASE WHEN near THEN qz ELSE z END AS z')}, near AS snapped FROM r WHERE rk = 1""")
+def corner_snap(spark, sf_dir):
+    p = box(spark, sf_dir)
+    fit = planes.fit_planes(p)
+    skew = planes.pairs(fit).where("abs(a_nx * b_nx + a_ny * b_ny + a_nz * b_nz) <= 0.97")
+    corners = planes.corner_points(fit, skew.select(F.col("a_plane_id").alias("i"), F.col("b_plane_id").alias("j")))
+    return rounded(planes.snap_to_corners(p, corners, 0.5))
+
+
 CLASS_SQL = f"""p AS ({PLANES}), b AS (SELECT min(mean_z) lo, max(mean_z) hi FROM p),
 k AS (SELECT p.*, (mean_z - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1e0 END AS rel FROM p, b),
 c AS (SELECT *, CASE WHEN abs(nz) >= cos(radians(30)) AND rel <= 25e-2 THEN 'floor' WHEN abs(nz) >= cos(radians(30)) AND rel >= 75e-2 THEN 'ceiling'

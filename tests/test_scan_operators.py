@@ -48,6 +48,23 @@ def test_room(spark, data):
     assert {r["class"] for r in queries.flagship(spark, data).collect()} == {None, "floor", "ceiling", "wall"}
 
 
+def test_overlaps_snaps_and_spacing(spark):
+    grid = [(float(x), float(y)) for x in range(5) for y in range(5)]
+    # 0 and 1: parallel, half over each other; 2: beside both
+    rows = [(k, x + shift, y, z) for k, (shift, z) in enumerate([(0.0, 0.0), (2.0, 1.0), (9.0, 0.0)]) for x, y in grid]
+    p = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pid long, plane_id int, x double, y double, z double")
+    flat = spark.createDataFrame([(k, 0.0, 0.0, 1.0, -float(k == 1)) for k in range(3)], "plane_id int, nx double, ny double, nz double, d double")
+    got = {(r["i"], r["j"]): (r["share"], r["overlaps"]) for r in planes.footprint_overlaps(p, flat).collect()}
+    assert got == {(0, 1): (pytest.approx(0.5), True), (0, 2): (0.0, False), (1, 2): (0.0, False)}
+    assert not planes.footprint_overlaps(p, flat, 0.6).where("overlaps").count()
+    few = spark.createDataFrame([(1, 0.1, 0.0, 0.0), (2, 0.8, 0.0, 0.0), (3, 5.0, 0.0, 0.0)], "pid long, x double, y double, z double")
+    corners = spark.createDataFrame([(0, 1, 2, 0.0, 0.0, 0.0), (0, 1, 3, 1.0, 0.0, 0.0)], "i int, j int, k int, x double, y double, z double")
+    assert {r["pid"]: (r["x"], r["snapped"]) for r in planes.snap_to_corners(few, corners, 0.5).collect()} == {1: (0.0, True), 2: (1.0, True), 3: (5.0, False)}
+    assert not planes.snap_to_corners(few, corners.limit(0), 0.5).where("snapped").count() and planes.snap_to_corners(few, corners.limit(0), 0.5).count() == 3
+    # 1-NN distances 0.7, 0.7 and 4.2
+    assert points.median_spacing(few).first()[0] == pytest.approx(0.7) and points.median_spacing(few.limit(1)).first()[0] == 0
+
+
 def test_knn_is_exact_for_any_cell(spark):
     r = np.random.default_rng(3)
     xyz = np.concatenate([r.normal(size=(60, 3)), r.normal(size=(3, 3)) + 40])
