@@ -416,6 +416,14 @@ def groups(docs: DataFrame, width: int = 5, per_range: int = 1 << 22, most_token
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with one document of each group of linked ones: that of the smallest id."""
+    """``docs`` with one row of each group of linked ones: that of the smallest id, null first; any one of equal ids."""
+    clear = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1").isEmpty()
+    if not clear:
+        # ids that don't name one row: rows are numbered for the join, and written so that the numbers hold
+        rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        found = groups(rows.select(F.col("__row").alias("doc_id"), "text"), **kw).select(F.col("doc_id").alias("__row"), "component_id")
+        named = saved(rows.select("__row", "doc_id").join(found, "__row"), "named")
+        first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
+        return rows.join(first, "__row", "left_semi").select(*docs.columns)
     gone = groups(docs, **kw).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -259,6 +259,15 @@ def test_groups_of_odd_texts(docs, none):
     assert kept == {d for d, (_, c) in slow_groups(docs.collect()).items() if c == d}
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(None, a), (5, a), (6, a), (7, b), (7, b), (7, c), (8, b), (None, c), (9, prose(4, 60)), (9, prose(5, 60)), (None, None), (10, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    want = [(None, a), (7, b), (None, c), (9, prose(4, 60)), (9, prose(5, 60)), (None, None), (10, "")]
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(want)
+
+
 def test_word_hashes_of_long_texts(monkeypatch):
     raw = prose(4, 3000).encode()
     whole = hashed.word_hashes(raw)
