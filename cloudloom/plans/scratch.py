@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ _OWN: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="cloudloom-"))
 
 
