@@ -9,7 +9,8 @@ of the budget, the row at the cut taken in part.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source
 of its own, after all others; an empty table, or one without words, gives targets
-of 0; rows with equal ids are ordered by size. Extra columns are not read.
+of 0; rows with equal ids are ordered by size (in ``mixed`` also by text and the other
+columns). Extra columns are handed on by ``mixed`` and else not read.
 """
 
 from __future__ import annotations
@@ -64,29 +65,38 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     )
 
 
-def mix(docs: DataFrame, seed: str = "mix", rows_each: int = 50_000, **kw) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row of ``docs``.
-
-    ``taken``: words the mix takes of the row over all epochs. ``rows_each``: rows of
-    a bucket at most, about; the buckets' count follows the rows.
-    """
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with size, the hash-random key, and the key's leading bits."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    base = docs.select("doc_id", "source", words().alias("size"), key.alias("key"))
-    base = saved(base.withColumn("lead", F.conv(F.substring("key", 1, 8), 16, 10).cast("long")), "mix")
-    n = base.count()
-    buckets = max(16, -(-n // rows_each))
-    base = base.withColumn("bucket", F.floor(F.col("lead") * buckets / (1 << 32)).cast("int")).drop("lead")
-    sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    rows = docs.withColumn("size", words()).withColumn("key", key)
+    return rows.withColumn("lead", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))
+
+
+def _planned(rows: DataFrame, rows_each: int, ties: list[str], **kw) -> DataFrame:
+    """Keyed ``rows`` with source_size, target and taken; the sums need none of their other columns."""
+    buckets = max(16, -(-rows.count() // rows_each))
+    rows = rows.withColumn("bucket", F.floor(F.col("lead") * buckets / (1 << 32)).cast("int")).drop("lead")
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     src = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), **kw)
     over = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(over), F.lit(0)))
     offsets = offsets.join(src, offsets["source"].eqNullSafe(src["source"])).select(
         offsets["source"].alias("o_source"), F.col("bucket").alias("o_bucket"), "offset", "source_size", "target"
     )
-    local = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = base.withColumn("upto", F.sum("size").over(local))
-    both = rows.join(offsets, rows["source"].eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
-    return both.select("doc_id", "source", "size", "source_size", "target", taken().alias("taken"))
+    local = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.withColumn("upto", F.sum("size").over(local))
+    both = placed.join(offsets, placed["source"].eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
+    return both.withColumn("taken", taken())
+
+
+def mix(docs: DataFrame, seed: str = "mix", rows_each: int = 50_000, **kw) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row of ``docs``.
+
+    ``taken``: words the mix takes of the row over all epochs. ``rows_each``: rows of
+    a bucket at most, about; the buckets' count follows the rows.
+    """
+    rows = saved(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix")
+    return _planned(rows, rows_each, [], **kw).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def taken() -> Column:
@@ -103,16 +113,18 @@ def cut(text: str, n: str) -> Column:
     return F.expr(f"array_join(slice(regexp_extract_all(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]*{WORD}', 0), 1, cast({n} as int)), '')")
 
 
-def mixed(docs: DataFrame, **kw) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = "mix", rows_each: int = 20_000, **kw) -> DataFrame:
     """The mix itself: a row of ``docs`` for each epoch that takes it whole, and the cut row's first words.
 
-    Rows are told apart by doc_id; what the mix takes nothing of is not in it.
+    A row is planned and written out where it lies, so rows that repeat an id, or all of a
+    row, are taken each on its own; what the mix takes nothing of is not in it.
     """
     names = docs.columns
-    plan = mix(docs, **kw).where("taken > 0").select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), F.col("taken").alias("m_taken"))
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("m_id")))
-    times = F.expr("sequence(1, cast(ceil(m_taken / m_size) as int))")
-    both = both.withColumn("m_epoch", F.explode(times))
-    left = F.expr("m_taken - (m_epoch - 1) * m_size")
-    text = F.when(left >= F.col("m_size"), F.col("text")).otherwise(cut("text", "(m_taken - (m_epoch - 1) * m_size)"))
-    return both.withColumn("text", text).select(*names)
+    rows = docs.select("doc_id", "source", "text", F.struct(*[docs[n] for n in names if n != "text"]).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    ties = ["text"] if "map<" in kind or "variant" in kind else ["text", "row"]
+    plan = _planned(_keyed(rows, seed), rows_each, ties, **kw).where("taken > 0").select("text", "row", "size", "taken")
+    plan = plan.withColumn("epoch", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")))
+    left = F.expr("taken - (epoch - 1) * size")
+    text = F.when(left >= F.col("size"), F.col("text")).otherwise(cut("text", "(taken - (epoch - 1) * size)"))
+    return plan.select(*[text.alias(n) if n == "text" else F.col("row")[n].alias(n) for n in names])
