@@ -127,7 +127,8 @@ def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
 
     ``rows`` is an iterator; the row after the last is the first. Rows are dealt out
     by ranges of doc_id in one shuffle; the head of every range also goes to the
-    range before it, so no task needs another's rows. Ties follow the text's hash.
+    range before it, so no task needs another's rows. A task gets one range. Ties follow the
+    text's hash; all rows of one doc_id (an identity, so few) lie in one range.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
@@ -142,14 +143,15 @@ def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
     if not heads:
         return spark.createDataFrame([], schema)
     # a head is sent on to the bucket that precedes its own; the first bucket's to the last
-    to = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    pick = F.create_map(*[x for b, _ in heads for x in (F.lit(b), F.lit(to[b]))])
-    top = F.create_map(*[x for b, h in heads for x in (F.lit(b), F.struct(F.lit(h["k"]).alias("k"), F.lit(h["some"]).alias("some"), F.lit(h["tie"]).alias("tie")))])
-    sent = dealt.withColumn("is_head", F.element_at(top, F.col("bucket")) == key)
-    sent = sent.withColumn("copy", F.explode(F.when(F.col("is_head"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    sent = sent.withColumn("bucket", F.when(F.col("copy"), F.element_at(pick, F.col("bucket"))).otherwise(F.col("bucket")))
+    rows = [(b, heads[i - 1][0], *h) for i, (b, h) in enumerate(heads)]
+    ends = spark.createDataFrame(rows, "h_bucket int, h_to int, h_k long, h_some boolean, h_tie long")
+    # a row per shuffle partition at most
+    sent = dealt.join(F.broadcast(ends), F.col("bucket") == F.col("h_bucket"))
+    is_head = F.struct(F.col("h_k").alias("k"), F.col("h_some").alias("some"), F.col("h_tie").alias("tie")) == key
+    sent = sent.withColumn("copy", F.explode(F.when(is_head, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    sent = sent.withColumn("bucket", F.when(F.col("copy"), F.col("h_to")).otherwise(F.col("bucket")))
     order = [F.col("bucket"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
-    laid = sent.repartition(parts, "bucket").sortWithinPartitions(*order).select("bucket", "copy", "doc_id", "text")
+    laid = sent.repartitionById(len(edges) + 1, F.col("bucket")).sortWithinPartitions(*order).select("bucket", "copy", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
