@@ -8,8 +8,8 @@ chunks leave the chunk band (a local stretch of repetition or noise that the
 whole-document ratio averages away).
 
 Edge cases: a null text is an empty one: zero counts, ``base_failed`` and not
-kept. Texts shorter than ``Bands.least`` bytes have no band (the frame overhead
-would decide). Whole texts of any length are measured. Rows are independent, so
+kept. Every other text is measured, however short (the frame's overhead lowers short
+texts' ratios, and so their bands). Whole texts of any length are measured. Rows are independent, so
 repeated rows, ties and clashing extra columns change nothing; an empty table
 gives an empty result.
 """
@@ -40,15 +40,17 @@ class Bands:
 
     The limits are the lowest and highest ratio of a bounded sample, widened by 0.03:
     the 1,578 documents of sf0.1 that are labelled good, have an even doc_id, pass the
-    base rules and have at least ``least`` bytes (the chunk band: their 1,323 chunks,
-    of documents with two chunks or more). The sample has nothing above 64,000 bytes:
-    there the lower limit goes on (ratios grow with the length), the upper one is a
-    guard only and the chunks decide.
+    base rules (the chunk band: their 1,323 chunks, of documents with two chunks or
+    more). The sample has nothing up to 200 bytes, where the upper limit of the next band
+    goes on and the lower one falls with the frame's share of the length, and nothing
+    above 64,000 bytes: there the lower limit goes on (ratios grow with the length), the
+    upper one is a guard only and the chunks decide.
     """
 
     level: int = 3
-    least: int = 200
     whole: tuple[tuple[int, float, float], ...] = (
+        (120, 0.90, 1.65),
+        (200, 1.10, 1.65),
         (350, 1.35, 1.65),
         (500, 1.38, 1.87),
         (700, 1.44, 1.87),
@@ -116,7 +118,7 @@ def measure(text: str | None, packer: zstandard.ZstdCompressor, bands: Bands) ->
     ratio = len(raw) / len(packer.compress(raw)) if raw else 0.0
     low = high = 0.0
     reason = "base" if failed else ""
-    if len(raw) >= bands.least:
+    if raw:
         least, most = bands.of(len(raw))
         # a tail shorter than half a chunk joins the chunk before it
         starts = list(range(0, max(1, len(raw) - bands.chunk // 2), bands.chunk))
