@@ -19,6 +19,7 @@ an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -39,11 +40,14 @@ Pattern = tuple[tuple[int, ...], int]
 class Coder:
     """Ids of the byte-level tokenizer as little-endian 32-bit bytes.
 
-    Single spaces separate tokens, so a text is cut there and the ids of each stretch
-    are kept for the next time. Texts with runs of spaces or with special tokens go
-    through the tokenizer whole.
+    A single space between two characters that are not white space begins a token and
+    no token reaches across it, so a text is cut there and the ids of each stretch are
+    kept for the next time. A text with a space at its end or beside other white space,
+    or with special tokens, goes through the tokenizer whole.
     """
 
+    beside = re.compile(r"\A\s| (?:\s|\Z)|\s ")
+
     most_kept = 200_000
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str, special: tuple[str, ...] = ("<|endoftext|>",)):
@@ -81,7 +85,7 @@ class Coder:
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):
                 out[i] = self._whole(text)
-            elif "  " in text:
+            elif self.beside.search(text):
                 out[i] = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
             else:
                 split.append((i, text.split(" ")))
@@ -155,19 +159,26 @@ class Counts:
 
     def __init__(self, counts: np.ndarray):
         self.n = counts.copy()
+        self.there = np.flatnonzero(counts)
+        self.by_sum: dict[int, np.ndarray] = {}
 
     def enough(self, lengths: tuple[int, ...]) -> int:
         """How often the combination can be taken."""
         return min(int(self.n[x]) // lengths.count(x) for x in lengths)
 
+    def pairs(self, total: int) -> np.ndarray:
+        """The index: longer halves of all pairs of this sum, longest first; made when first asked for."""
+        if total not in self.by_sum:
+            high = self.there[(2 * self.there >= total) & (self.there < total)][::-1]
+            self.by_sum[total] = high[self.n[total - high] > 0] if len(high) else high
+        return self.by_sum[total]
+
     def pair(self, total: int, most: int) -> tuple[int, int] | None:
         """Two available lengths of this sum, the longest possible first."""
-        high = min(total - 1, most)
-        low = (total + 1) // 2
-        if high < low:
-            return None
-        a = np.arange(high, low - 1, -1)
-        hit = np.flatnonzero((self.n[a] > 0) & (self.n[total - a] > 0) & ((2 * a != total) | (self.n[a] > 1)))
+        a = self.pairs(total)
+        # what is used up never comes back
+        a = self.by_sum[total] = a[(self.n[a] > 0) & (self.n[total - a] > 0) & ((2 * a != total) | (self.n[a] > 1))]
+        hit = np.flatnonzero(a <= most)
         return (int(a[hit[0]]), int(total - a[hit[0]])) if len(hit) else None
 
     def pair_sums(self, most: int) -> np.ndarray:
