@@ -61,16 +61,47 @@ SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main",
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ITEM = HEADING | {"li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "p", "caption"}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
-SPACE = re.compile(r"[\s​]+")
+SPACE = re.compile(r"\s+")
 
 
 class Block:
-    """``doubted``: which of ``nodes`` are named as something else; ``links``: characters inside links."""
+    """A text block: its element, path, innermost doubted element (0: none), text, and characters inside links."""
 
-    __slots__ = ("doubted", "links", "nodes", "path", "text")
+    __slots__ = ("doubt", "links", "node", "path", "text")
 
-    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...], doubted: tuple[int, ...], text: str, links: int):
-        self.path, self.nodes, self.doubted, self.text, self.links = path, nodes, doubted, text, links
+    def __init__(self, node: int, path: int, doubt: int, text: str, links: int):
+        self.node, self.path, self.doubt, self.text, self.links = node, path, doubt, text, links
+
+
+class Page:
+    """The elements of a page in order, as arrays by number (0: the page itself), and its text blocks.
+
+    ``last``: the largest number inside an element; ``article``: the nearest article or main
+    element around it, itself included (0: none); ``paths``: numbers of (path above, name).
+    """
+
+    def __init__(self):
+        self.parent, self.last, self.tag, self.path, self.depth, self.article = [0], [0], [""], [0], [0], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.tag_of_path = [""]
+        self.doubt_above: dict[int, int] = {}
+        self.blocks: list[Block] = []
+
+    def element(self, tag: str, name: str, above: int) -> int:
+        path = self.paths.setdefault((self.path[above], name), len(self.paths) + 1)
+        if path == len(self.tag_of_path):
+            self.tag_of_path.append(tag)
+        k = len(self.parent)
+        self.parent.append(above)
+        self.last.append(k)
+        self.tag.append(tag)
+        self.path.append(path)
+        self.depth.append(self.depth[above] + 1)
+        self.article.append(k if tag in ("article", "main") else self.article[above])
+        return k
+
+    def holds(self, node: int, other: int) -> bool:
+        return node <= other <= self.last[node] if node else True
 
 
 def _out(tag: str, attributes: str) -> tuple[bool, bool, str]:
@@ -92,24 +123,27 @@ def _out(tag: str, attributes: str) -> tuple[bool, bool, str]:
     return gone, doubted, f"{tag}.{first}!" if doubted else f"{tag}.{first}" if first else tag
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order, those of left-out elements excepted."""
-    found: list[Block] = []
-    names: list[str] = []  # of open elements, as in paths
+def read(page: str) -> Page:
+    """Elements and text blocks in page order, blocks of left-out elements excepted; linear in the page and its depth."""
+    made = Page()
+    # open elements: tags, numbers, whether left out, doubted ones; places in the stack by tag, of blocks, of scopes
     tags: list[str] = []
-    ids: list[int] = []
+    nodes: list[int] = []
     outs: list[bool] = []
-    doubts: list[bool] = []
+    doubts: list[int] = []
+    places: dict[str, list[int]] = defaultdict(list)
+    block_at: list[int] = []
+    scope_at: list[int] = []
     held: list[str] = []
-    place: tuple[tuple[str, ...], tuple[int, ...], tuple[int, ...]] | None = None
-    next_id, at, links = 0, 0, 0
+    place: tuple[int, int] | None = None
+    at, links = 0, 0
 
     def flush() -> None:
         nonlocal held, place, links
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text and place is not None:
-                found.append(Block(*place, text, links))
+                made.blocks.append(Block(place[0], made.path[place[0]], place[1], text, links))
         held, place, links = [], None, 0
 
     def add(piece: str) -> None:
@@ -119,18 +153,29 @@ def blocks(page: str) -> list[Block]:
                 if not piece.strip():
                     return
                 # a block's path ends at its block element; inline tags inside don't count
-                keep = max((i for i, t in enumerate(tags) if t in BLOCK), default=-1) + 1
-                place = tuple(names[:keep]), tuple(ids[:keep]), tuple(i for i, d in zip(ids, doubts, strict=True) if d)
+                place = nodes[block_at[-1]] if block_at else 0, doubts[-1] if doubts else 0
             held.append(piece)
-            if "a" in tags:
+            if places["a"]:
                 links += len(piece.strip())
 
     def close_to(i: int) -> None:
-        if any(t in BLOCK for t in tags[i:]):
+        if block_at and block_at[-1] >= i:
             flush()
-        del names[i:], tags[i:], ids[i:], outs[i:], doubts[i:]
-
-    for m in TOKEN.finditer(page):
+        while len(tags) > i:
+            tag, node = tags.pop(), nodes.pop()
+            outs.pop()
+            places[tag].pop()
+            made.last[node] = len(made.parent) - 1
+            for stack in (block_at, scope_at):
+                if stack and stack[-1] == len(tags):
+                    stack.pop()
+            if doubts and doubts[-1] == node:
+                doubts.pop()
+
+    # nothing behind the last ">" is a tag; an open comment there ends the page
+    end = page.rfind(">") + 1
+    tail = page[end:].partition("<!--")[0]
+    for m in TOKEN.finditer(page[:end] if tail or end < len(page) else page):
         if m.start() < at:
             continue
         add(page[at : m.start()])
@@ -140,12 +185,12 @@ def blocks(page: str) -> list[Block]:
         tag = m[2] or m[5]
         if not tag:
             continue
-        tag, end = tag.lower(), bool(m[1] or m[4])
-        if end:
-            if tag in tags:
-                i = len(tags) - 1 - tags[::-1].index(tag)
+        tag, ends = tag.lower(), bool(m[1] or m[4])
+        if ends:
+            if places[tag]:
+                i = places[tag][-1]
                 # an inline end never closes a block
-                if tag in BLOCK or not any(t in BLOCK for t in tags[i:]):
+                if tag in BLOCK or not (block_at and block_at[-1] >= i):
                     close_to(i)
             elif tag == "p":
                 flush()
@@ -158,9 +203,9 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         for open_tag, by in CLOSES.items():
-            if tag in by and open_tag in tags:
-                i = len(tags) - 1 - tags[::-1].index(open_tag)
-                if not any(t in SCOPE for t in tags[i + 1 :]):
+            if tag in by and places[open_tag]:
+                i = places[open_tag][-1]
+                if not (scope_at and scope_at[-1] > i):
                     close_to(i)
         if tag in RAW:
             done = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -171,19 +216,30 @@ def blocks(page: str) -> list[Block]:
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
         gone, doubted, name = _out(tag, attributes)
-        if tag == "header" and "article" not in tags and "main" not in tags:
+        if tag == "header" and not places["article"] and not places["main"]:
             gone = True
         if gone and not (outs and outs[-1]):
             flush()
-        next_id += 1
-        names.append(name)
+        node = made.element(tag, name, nodes[-1] if nodes else 0)
+        if doubted:
+            made.doubt_above[node] = doubts[-1] if doubts else 0
+            doubts.append(node)
+        places[tag].append(len(tags))
+        if tag in BLOCK:
+            block_at.append(len(tags))
+        if tag in SCOPE:
+            scope_at.append(len(tags))
         tags.append(tag)
-        ids.append(next_id)
+        nodes.append(node)
         outs.append(gone or bool(outs and outs[-1]))
-        doubts.append(doubted)
-    add(page[at:])
+    if at < end:
+        add(page[at:end])
+    if at <= end:
+        add(tail)
+    close_to(0)
     flush()
-    return found
+    made.last[0] = len(made.parent) - 1
+    return made
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -197,49 +253,68 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def doubted_nodes(found: list[Block]) -> set[int]:
+def doubted_nodes(page: Page) -> set[int]:
     """Elements named as something else, without those that hold most of the page's text.
 
     Such an element stays doubted where an article or main element lies beside it, or where
     text at least half as long lies outside all of them (reader comments longer than the article).
     """
-    held: dict[int, int] = defaultdict(int)
-    for b in found:
-        for node in b.doubted:
-            held[node] += len(b.text)
-    left, total = set(held), sum(len(b.text) for b in found)
-    for node in sorted(held, key=lambda k: (-held[k], k)):
-        if 2 * held[node] <= total:
-            break
-        above = next(set(b.nodes) for b in found if node in b.doubted)
-        rest = [b for b in found if node not in b.doubted and left.isdisjoint(b.doubted)]
-        beside = any(k not in above and t.split(".")[0] in ("article", "main") for b in rest for k, t in zip(b.nodes, b.path, strict=True))
-        if not beside and 2 * sum(len(b.text) for b in rest) < held[node]:
+    above, left = page.doubt_above, set(page.doubt_above)
+    held: dict[int, int] = dict.fromkeys(above, 0)
+    total = 0
+    for b in page.blocks:
+        total += len(b.text)
+        if b.doubt:
+            held[b.doubt] += len(b.text)
+    for node in sorted(above, reverse=True):
+        if above[node]:
+            held[above[node]] += held[node]
+    # those that hold most of the text lie in one another; from the outermost inwards
+    heavy = [node for node in sorted(above) if 2 * held[node] > total]
+    level = {node: k + 1 for k, node in enumerate(heavy)}
+    # how deep a doubted element lies among them; -1 if a lighter one lies around it or is it
+    depth = {0: 0}
+    for node in sorted(above):
+        up = depth[above[node]]
+        depth[node] = level.get(node, -1) if up >= 0 else -1
+    free: dict[int, list[Block]] = defaultdict(list)
+    for b in page.blocks:
+        if depth[b.doubt] >= 0:
+            free[depth[b.doubt]].append(b)
+    outside, beside = 0, False
+    for k, node in enumerate(heavy):
+        # text outside the element, as far as no element that stays doubted holds it
+        outside += sum(len(b.text) for b in free[k])
+        beside = beside or any(page.article[b.node] and not page.holds(page.article[b.node], node) for b in free[k])
+        if beside or 2 * outside >= held[node]:
+            # it stays, and the text in it is no text outside for those further in
+            free = defaultdict(list)
+        else:
             left.discard(node)
     return left
 
 
-def content_paths(
-    found: list[Block], doubted: set[int] = frozenset(), sigma: float = 1.0, share: float = 0.25, prior: float = 0.05
-) -> set[tuple[str, ...]]:
+def content_paths(page: Page, doubted: set[int] = frozenset(), sigma: float = 1.0, share: float = 0.25, prior: float = 0.05) -> set[int]:
     """Paths whose fused ratios, their own and smoothed, reach ``share`` of the text-weighted mean.
 
-    ``prior`` is the weight of blocks in doubted elements, in the ratios and in the mean.
+    ``prior`` is the weight of blocks in ``doubted`` elements, in the ratios and in the mean.
     """
+    found = page.blocks
     n, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
         n[b.path] += 1
         chars[b.path] += len(b.text)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
-    weight = [1.0 if doubted.isdisjoint(b.doubted) else prior for b in found]
+    inside = _inside(page, doubted)
+    weight = [prior if inside[b.doubt] else 1.0 for b in found]
     text_ratio = [chars[b.path] / n[b.path] for b in found]
     mark_ratio = [(1 + marks[b.path]) / n[b.path] for b in found]
     length = [w * len(b.text) for w, b in zip(weight, found, strict=True)]
-    chosen: set[tuple[str, ...]] | None = None
+    chosen: set[int] | None = None
     for texts, points in ((text_ratio, mark_ratio), (smoothed(text_ratio, sigma), smoothed(mark_ratio, sigma))):
         fused = [w * math.sqrt(t * p) for w, t, p in zip(weight, texts, points, strict=True)]
         level = share * sum(f * x for f, x in zip(fused, length, strict=True)) / max(1e-9, sum(length))
-        best: dict[tuple[str, ...], float] = defaultdict(float)
+        best: dict[int, float] = defaultdict(float)
         for f, b in zip(fused, found, strict=True):
             best[b.path] = max(best[b.path], f)
         reached = {p for p, f in best.items() if f >= level}
@@ -247,39 +322,44 @@ def content_paths(
     return chosen or set()
 
 
-def extract(page: str | None, hold: float = 0.6) -> str:
+def _inside(page: Page, doubted: set[int]) -> dict[int, bool]:
+    """By doubted element (0: none): whether it or one around it is among ``doubted``."""
+    inside = {0: False}
+    for node in sorted(page.doubt_above):
+        inside[node] = node in doubted or inside[page.doubt_above[node]]
+    return inside
+
+
+def extract(html: str | None, hold: float = 0.6) -> str:
     """The page's main text."""
-    found = blocks(page or "")
-    if not found:
+    page = read(html or "")
+    if not page.blocks:
         return ""
-    doubted = doubted_nodes(found)
-    chosen = content_paths(found, doubted)
-    text_of: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    name: dict[int, str] = {}
-    total = 0
-    for b in found:
+    doubted = doubted_nodes(page)
+    chosen = content_paths(page, doubted)
+    text_of = [0] * len(page.parent)
+    for b in page.blocks:
         if b.path in chosen:
-            total += len(b.text)
-            for d, (node, tag) in enumerate(zip(b.nodes, b.path, strict=True)):
-                text_of[node] += len(b.text)
-                depth[node], name[node] = d, tag
+            text_of[b.node] += len(b.text)
+    for node in range(len(text_of) - 1, 0, -1):
+        text_of[page.parent[node]] += text_of[node]
     # the article: an element named so, else the deepest element that holds most of the selected text
-    named = [k for k, t in name.items() if t.split(".")[0] in ("article", "main") and text_of[k] >= hold * total]
-    holders = [k for k, v in text_of.items() if v >= hold * total and name[k].split(".")[0] not in ITEM]
-    node = max(named or holders, key=lambda k: depth[k], default=None)
-    inside = [b for b in found if node is None or node in b.nodes]
+    most = [k for k in range(1, len(text_of)) if text_of[k] and text_of[k] >= hold * text_of[0]]
+    named = [k for k in most if page.tag[k] in ("article", "main")]
+    holders = [k for k in most if page.tag[k] not in ITEM]
+    node = max(named or holders, key=lambda k: page.depth[k], default=0)
+    inside = [b for b in page.blocks if page.holds(node, b.node)]
     chars, links = defaultdict(int), defaultdict(int)
     for b in inside:
         chars[b.path] += len(b.text)
         links[b.path] += b.links
+    out = _inside(page, doubted)
 
     def item(b: Block) -> bool:
-        tag = b.path[-1].split(".")[0] if b.path else ""
-        return doubted.isdisjoint(b.doubted) and (tag in HEADING or tag in ITEM and 2 * links[b.path] <= chars[b.path])
+        tag = page.tag_of_path[b.path]
+        return not out[b.doubt] and (tag in HEADING or tag in ITEM and 2 * links[b.path] <= chars[b.path])
 
-    kept = [b for b in inside if b.path in chosen or item(b)]
-    return " ".join(b.text for b in kept)
+    return " ".join(b.text for b in inside if b.path in chosen or item(b))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
