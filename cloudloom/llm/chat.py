@@ -22,18 +22,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import grouped_rank
+from cloudloom.llm.common import grouped_rank, saved
 
 END = "<|end|>\n"
 TURN = "struct<role:string,text:string>"
 
 
 def gathered(turns: DataFrame) -> DataFrame:
-    """conv_id, turns: one row per conversation."""
+    """conv_id, turns: one row per conversation, written once for the steps that read it."""
     one = F.struct("turn", "role", "text")
-    return turns.groupBy("conv_id").agg(
+    convs = turns.groupBy("conv_id").agg(
         F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")
     )
+    return saved(convs, "conversations")
+
+
+def _opening(turn: Column) -> Column:
+    """A digest of role and text that no other pair of them has: each with its length, null apart."""
+
+    def told(x: Column) -> Column:
+        return F.when(x.isNull(), F.lit("-")).otherwise(F.concat_ws(":", F.length(x).cast("string"), x))
+
+    return F.sha2(F.concat(told(turn["role"]), F.lit("|"), told(turn["text"])), 256)
 
 
 def _rendered(turn: Column) -> Column:
@@ -65,22 +75,24 @@ def common_turns(a: Column, b: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.size(same)).cast("int")
 
 
-def pair_up(convs: DataFrame, width: int = 65_536) -> DataFrame:
+def pair_up(convs: DataFrame, width: int = 4_096) -> DataFrame:
     """chosen_id, chosen, rejected_id, rejected: neighbours by id among those that open alike.
 
     Ranks are counted in ranges of ``width`` ids, so an opening that very many
     conversations share is spread over tasks.
     """
-    first = F.get("turns", F.lit(0))
-    keyed = convs.withColumn("opening", F.sha2(F.concat_ws("|", F.coalesce(first["role"], F.lit("\0")), F.coalesce(first["text"], F.lit("\0"))), 256))
-    ids = keyed.select("conv_id", "opening")
+    ids = convs.select("conv_id", _opening(F.get("turns", F.lit(0))).alias("opening"))
     bucket = F.floor(F.coalesce("conv_id", F.lit(-1)) / width)
-    ranks = grouped_rank(ids, ["opening"], bucket, [F.col("conv_id").asc_nulls_first()])
-    sides = ranks.select("conv_id", F.concat_ws(":", "opening", F.floor(F.col("rank") / 2).cast("string")).alias("pair"), (F.col("rank") % 2).alias("side"))
-    both = convs.join(sides.withColumnRenamed("conv_id", "s_id"), F.col("conv_id").eqNullSafe(F.col("s_id")))
-    a = both.where("side = 0").select("pair", F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen"))
-    b = both.where("side = 1").select(F.col("pair").alias("pair_b"), F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"))
-    return a.join(b, F.col("pair") == F.col("pair_b"), "left").drop("pair", "pair_b")
+    ranks = saved(grouped_rank(ids, ["opening"], bucket, [F.col("conv_id").asc_nulls_first()]), "ranks")
+    # only ids move until the pairs stand
+    even = ranks.where("rank % 2 = 0").select("opening", F.col("rank").alias("at"), F.col("conv_id").alias("chosen_id"))
+    odd = ranks.where("rank % 2 = 1").select("opening", (F.col("rank") - 1).alias("at"), F.col("conv_id").alias("rejected_id"), F.lit(True).alias("there"))
+    pairs = even.join(odd, ["opening", "at"], "left").select("chosen_id", "rejected_id", "there")
+    a = convs.select(F.col("conv_id").alias("a_id"), F.col("turns").alias("chosen"))
+    b = convs.select(F.col("conv_id").alias("b_id"), F.col("turns").alias("rejected"))
+    both = pairs.join(a, F.col("chosen_id").eqNullSafe(F.col("a_id"))).drop("a_id")
+    # a null conv_id is the smallest of its opening and never rejected
+    return both.join(b, F.col("there") & (F.col("rejected_id") == F.col("b_id")), "left").drop("b_id", "there")
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
