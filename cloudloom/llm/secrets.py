@@ -6,17 +6,20 @@ character by character, base64 runs yield a layer each, and gzip, zlib, bzip2 or
 xz bytes found under base64 or URL escapes are decompressed. Lines of wrapped base64
 are joined; a run that does not decode as it stands (text is glued to it, or a line
 too many is joined) is decoded at all four alignments, of which the readable
-stretches and the compressed parts are layers. URL escapes that are not UTF-8 stay
-as they are, those beside them are decoded. New layers join the worklist until
-none is left; a layer whose content was seen before is dropped, which ends
-cycles. Every layer keeps, per character, the span of the original text it came
-from, so a finding in any layer is reported as a span of the original text.
+stretches and the compressed parts are layers. Runs of under 16 characters are no
+layers: they hold at most 11 bytes, and no kind of secret is that short. URL escapes
+that are not UTF-8 stay as they are, those beside them are decoded. New layers join
+the worklist until none is left; a layer whose content was seen before is dropped,
+which ends cycles. Every layer knows which span of the original text a character
+came from (kept as runs of equal steps, not per character), so a finding in any
+layer is reported as a span of the original text.
 
 Edge cases: null is an empty text without spans; texts of any length are scanned
 whole; equal spans of a kind found in several layers are one span; undecodable
-runs are left alone. Decompression of one layer stops with no layer at
-``most_bytes`` (a guard against archive bombs, not a limit on texts).
-Rows are independent; extra columns are never read.
+runs are left alone. Bytes that decompress to more than ``most_bytes`` are opened
+as a stream, a layer per ``most_bytes``, each with the last ``OVERLAP`` bytes of the
+one before: nothing is skipped, memory stays bounded, and a finding has one span
+wherever it lies in the stream. Rows are independent; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import urllib.parse
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,13 +54,18 @@ ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Between two lines of wrapped base64: a line end, also an escaped one, and indentation.
 LINE_END = re.compile(r"[ \t]*(?:\r\n|\n|\r|\\r\\n|\\n)[ \t]*")
-WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{LINE_END.pattern}[A-Za-z0-9+/_-]+)+")
-URL_BYTES = re.compile(r"[A-Za-z0-9_.~/+-]*+%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])*+")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{LINE_END.pattern}[A-Za-z0-9+/_-]+)+")
+URL_BYTES = re.compile(r"(?<![A-Za-z0-9_.~/+-])[A-Za-z0-9_.~/+-]*+%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])*+")
 #: How gzip, bzip2, xz and zlib begin.
 PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 #: A readable stretch among other bytes.
 STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){8,}")
 
+#: Characters that take equally many bytes.
+EQUAL = re.compile(r"[\0-\x7f]+|[\x80-\u07ff]+|[\u0800-\uffff]+|[\U00010000-\U0010ffff]+")
+#: Bytes that a part of a long stream repeats from the part before it.
+OVERLAP = 1 << 16
+
 Span = tuple[int, int, int]
 
 
@@ -72,104 +83,184 @@ def base_spans(text: str, raw: bytes | None = None) -> list[Span]:
     return found
 
 
+class Places:
+    """Where characters came from: runs of characters whose spans have one width and lie one step apart."""
+
+    __slots__ = ("first", "n", "start", "step", "width")
+
+    def __init__(self):
+        # by run: its first character, the start of its span, the step to the next one's, the width
+        self.first, self.start, self.step, self.width = (array("q") for _ in range(4))
+        self.n = 0
+
+    def add(self, start: int, step: int, width: int, times: int = 1) -> None:
+        if self.first:
+            held, k = self.n - self.first[-1], start - self.start[-1]
+            if width == self.width[-1]:
+                if held == 1 and k > 0 and (times == 1 or step == k):
+                    self.step[-1] = k
+                    self.n += times
+                    return
+                if held > 1 and k == held * self.step[-1] and (times == 1 or step == self.step[-1]):
+                    self.n += times
+                    return
+        for column, x in zip((self.first, self.start, self.step, self.width), (self.n, start, step, width), strict=True):
+            column.append(x)
+        self.n += times
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The span of characters a to b; spans never go back, so the first and the last tell it."""
+        i, j = bisect_right(self.first, a) - 1, bisect_right(self.first, b - 1) - 1
+        return self.start[i] + self.step[i] * (a - self.first[i]), self.start[j] + self.step[j] * (b - 1 - self.first[j]) + self.width[j]
+
+    def copy(self, other: Places, a: int, b: int) -> None:
+        """Add the places of characters a to b of ``other``."""
+        i = bisect_right(other.first, a) - 1
+        while a < b:
+            end = min(b, other.first[i + 1] if i + 1 < len(other.first) else other.n)
+            self.add(other.start[i] + other.step[i] * (a - other.first[i]), other.step[i], other.width[i], end - a)
+            a, i = end, i + 1
+
+
 class Layer:
-    """A decoded text; ``at``: per character its original span, None for layer 0, or one span for all."""
+    """A decoded text; ``at``: where its characters came from, None for layer 0, or one span for all."""
 
     __slots__ = ("at", "text")
 
-    def __init__(self, text: str, at: list[tuple[int, int]] | tuple[int, int] | None):
+    def __init__(self, text: str, at: Places | tuple[int, int] | None):
         self.text, self.at = text, at
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.at is None:
             return start, end
-        if isinstance(self.at, tuple):
-            return self.at
-        part = self.at[start:end]
-        return min(a for a, _ in part), max(b for _, b in part)
-
-
-def _rewritten(layer: Layer, found: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
-    """The layer with replaced stretches; each replacement brings spans relative to the layer."""
-    out: list[str] = []
-    at: list[tuple[int, int]] = []
-    whole, last = isinstance(layer.at, tuple), 0
-    for start, end, new, spans in [*found, (len(layer.text), len(layer.text), "", [])]:
-        out += [layer.text[last:start], new]
+        return self.at if isinstance(self.at, tuple) else self.at.span(start, end)
+
+
+def _rewritten(layer: Layer, found: Iterator[tuple[int, str, int]]) -> Layer | None:
+    """The layer with stretches replaced: (start, characters, width of each one's stretch), in order."""
+    out, at, last, whole = io.StringIO(), Places(), 0, isinstance(layer.at, tuple)
+    for start, new, width in found:
+        out.write(layer.text[last:start])
+        out.write(new)
         if not whole:
-            at += [layer.origin(i, i + 1) for i in range(last, start)] + [layer.origin(a, b) for a, b in spans]
-        last = end
-    return Layer("".join(out), layer.at if whole else at)
+            _kept(layer, at, last, start)
+            if layer.at is None:
+                at.add(start, width, width, len(new))
+            else:
+                for k in range(len(new)):
+                    a, b = layer.origin(start + k * width, start + (k + 1) * width)
+                    at.add(a, b - a, b - a)
+        last = start + len(new) * width
+    if not last:
+        return None
+    out.write(layer.text[last:])
+    if not whole:
+        _kept(layer, at, last, len(layer.text))
+    return Layer(out.getvalue(), layer.at if whole else at)
+
+
+def _kept(layer: Layer, at: Places, a: int, b: int) -> None:
+    if a < b and layer.at is None:
+        at.add(a, 1, 1, b - a)
+    elif a < b:
+        at.copy(layer.at, a, b)
 
 
 def _url(layer: Layer) -> Layer | None:
-    found = []
-    for m in URL.finditer(layer.text):
-        raw = binascii.unhexlify(m[0].replace("%", ""))
-        first = 0
-        while first < len(raw):
-            try:
-                new, bad, skip = raw[first:].decode(), len(raw), 0
-            except UnicodeDecodeError as e:
-                new, bad, skip = raw[first : first + e.start].decode(), first + e.start, e.end - e.start
-            spans, byte = [], first
-            for c in new:
-                n = len(c.encode())
-                spans.append((m.start() + 3 * byte, m.start() + 3 * (byte + n)))
-                byte += n
-            if new:
-                found.append((m.start() + 3 * first, m.start() + 3 * bad, new, spans))
-            first = bad + skip
-    return _rewritten(layer, found) if found else None
+    def found() -> Iterator[tuple[int, str, int]]:
+        for m in URL.finditer(layer.text):
+            raw = binascii.unhexlify(m[0].replace("%", ""))
+            first = 0
+            while first < len(raw):
+                try:
+                    new, skip = raw[first:].decode(), 0
+                except UnicodeDecodeError as e:
+                    new, skip = raw[first : first + e.start].decode(), e.end - e.start
+                # characters of one width at a time
+                for part in EQUAL.finditer(new):
+                    n = len(part[0][0].encode())
+                    yield m.start() + 3 * first, part[0], 3 * n
+                    first += n * len(part[0])
+                first += skip
+
+    return _rewritten(layer, found())
 
 
 def _escapes(layer: Layer) -> Layer | None:
-    units: list[tuple[int, int, int]] = []
-    for m in ESCAPE.finditer(layer.text):
-        code = int(next(g for g in m.groups() if g), 16)
-        if units and 0xDC00 <= code < 0xE000 and 0xD800 <= units[-1][2] < 0xDC00 and units[-1][1] == m.start():
-            start, _, high = units.pop()
-            units.append((start, m.end(), 0x10000 + ((high - 0xD800) << 10) + code - 0xDC00))
-        else:
-            units.append((m.start(), m.end(), code))
-    found = [(a, b, chr(c), [(a, b)]) for a, b, c in units if c < 0x110000 and not 0xD800 <= c < 0xE000]
-    return _rewritten(layer, found) if found else None
-
-
-def _unpacked(raw: bytes | memoryview, most_bytes: int) -> bytes | None:
-    """What compressed bytes hold; bytes behind the end are ignored, a cut end is no error."""
-    out, rest, head = b"", raw, bytes(raw[:6])
+    def units() -> Iterator[tuple[int, int, int]]:
+        held = None
+        for m in ESCAPE.finditer(layer.text):
+            code = int(m[m.lastindex], 16)
+            if held and 0xDC00 <= code < 0xE000 and 0xD800 <= held[2] < 0xDC00 and held[1] == m.start():
+                yield held[0], m.end(), 0x10000 + ((held[2] - 0xD800) << 10) + code - 0xDC00
+                held = None
+                continue
+            if held:
+                yield held
+            held = m.start(), m.end(), code
+        if held:
+            yield held
+
+    return _rewritten(layer, ((a, chr(c), b - a) for a, b, c in units() if c < 0x110000 and not 0xD800 <= c < 0xE000))
+
+
+def _inflated(d, raw: bytes | memoryview, most: int) -> Iterator[bytes]:
+    while True:
+        part = d.decompress(raw, most)
+        raw = d.unconsumed_tail
+        if part:
+            yield part
+        if d.eof or not (part or raw):
+            return
+
+
+def _stream(raw: bytes | memoryview, most: int) -> Iterator[bytes]:
+    """What compressed bytes hold, ``most`` bytes at a time; bytes behind the end are ignored, a cut end is no error."""
+    head = bytes(raw[:6])
+    if head[:2] == b"\x1f\x8b":
+        rest = raw
+        while bytes(rest[:2]) == b"\x1f\x8b":
+            d = zlib.decompressobj(31)
+            yield from _inflated(d, rest, most)
+            rest = d.unused_data
+    elif head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2], "big") % 31 == 0:
+        yield from _inflated(zlib.decompressobj(), raw, most)
+    elif head[:3] == b"BZh" or head == b"\xfd7zXZ\x00":
+        d = bz2.BZ2Decompressor() if head[:3] == b"BZh" else lzma.LZMADecompressor()
+        part = d.decompress(raw, most)
+        while part or not (d.eof or d.needs_input):
+            yield part
+            part = d.decompress(b"", most) if not d.eof and not d.needs_input else b""
+
+
+def _unpacked(raw: bytes | memoryview, most: int) -> Iterator[bytes]:
+    """The stream in parts of ``most`` bytes (the last shorter), each behind the last OVERLAP bytes of the one before."""
+    held, behind = bytearray(), 0
     try:
-        if head[:2] == b"\x1f\x8b":
-            while bytes(rest[:2]) == b"\x1f\x8b" and len(out) <= most_bytes:
-                d = zlib.decompressobj(31)
-                try:
-                    out += d.decompress(rest, most_bytes + 1 - len(out))
-                except zlib.error:
-                    if not out:
-                        raise
-                    break
-                rest = d.unused_data
-        elif head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2], "big") % 31 == 0:
-            out = zlib.decompressobj().decompress(raw, most_bytes + 1)
-        elif head[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(raw, most_bytes + 1)
-        elif head == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(raw, most_bytes + 1)
-        else:
-            return None
+        for part in _stream(raw, most):
+            held += part
+            while len(held) >= most + behind:
+                yield bytes(held[: most + behind])
+                del held[: most + behind - OVERLAP]
+                behind = OVERLAP
     except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-        return None
-    return out if len(out) <= most_bytes else None
+        pass
+    if len(held) > behind:
+        yield bytes(held)
 
 
-def _opened(raw: bytes | memoryview, most_bytes: int) -> bytes | memoryview:
-    """The bytes, or what they hold where they are compressed, once or several times."""
-    seen: set[bytes] = set()
-    while (more := _unpacked(raw, most_bytes)) is not None and raw not in seen:
-        seen.add(bytes(raw))
-        raw = more
-    return raw
+def _opened(raw: bytes | memoryview, most: int, seen: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
+    """What compressed bytes hold, once or several times packed; nothing if they are not compressed."""
+    for part in _unpacked(raw, most):
+        mark = hashlib.sha256(part).digest()
+        if mark in seen:
+            continue
+        inner = False
+        for x in _opened(part, most, seen | {mark}):
+            inner = True
+            yield x
+        if not inner:
+            yield part
 
 
 def _readable(raw: bytes) -> str | None:
@@ -207,25 +298,39 @@ def _bytes(run: str) -> bytes:
     return base64.b64decode(run + "=" * (-len(run) % 4))
 
 
+def _texts(parts: Iterator[bytes]) -> Iterator[str]:
+    for part in parts:
+        # a part may begin or end inside a character
+        text = _readable(part) or _readable(part.decode("utf-8", "ignore").encode()) if len(part) > OVERLAP else _readable(part)
+        if text is not None:
+            yield text
+
+
 def _base64(layer: Layer, most_bytes: int) -> Iterator[Layer]:
     done: list[tuple[int, int]] = []
     for run, at in _runs(layer.text):
-        # encoded text mixes cases; plain words and hexadecimal digests don't
-        if run.islower() or run.isupper() or run.isalpha() and run[1:].islower():
-            continue
         # a line of a wrapped run that decoded as a whole
         if any(a <= at[0] and at[-1] < b for a, b in done):
             continue
-        if len(run) % 4 != 1 and (text := _readable(bytes(_opened(_bytes(run), most_bytes)))) is not None:
-            yield Layer(text, layer.origin(at[0], at[-1] + 1))
-            if not isinstance(at, range):
-                done.append((at[0], at[-1] + 1))
-            continue
+        if len(run) % 4 != 1:
+            raw, whole, origin = _bytes(run), False, layer.origin(at[0], at[-1] + 1)
+            packed = False
+            for part in _opened(raw, most_bytes):
+                packed = True
+                for text in _texts(iter((part,))):
+                    whole = True
+                    yield Layer(text, origin)
+            if not packed and (text := _readable(raw)) is not None:
+                whole = True
+                yield Layer(text, origin)
+            if whole:
+                if not isinstance(at, range):
+                    done.append((at[0], at[-1] + 1))
+                continue
         for phase in range(4):
             raw = _bytes(run[phase:])
             for m in PACKED.finditer(raw):
-                part = memoryview(raw)[m.start() :]
-                if (inner := _opened(part, most_bytes)) is not part and (text := _readable(bytes(inner))) is not None:
+                for text in _texts(_opened(memoryview(raw)[m.start() :], most_bytes)):
                     yield Layer(text, layer.origin(at[phase + m.start() * 4 // 3], at[-1] + 1))
             for m in STRETCH.finditer(raw):
                 last = min(len(run), phase - (-m.end() * 4 // 3)) - 1
@@ -238,29 +343,38 @@ def _url_packed(layer: Layer, most_bytes: int) -> Iterator[Layer]:
         for token in {m[0], m[0].replace("+", " ")}:
             raw = urllib.parse.unquote_to_bytes(token)
             for p in PACKED.finditer(raw):
-                part = memoryview(raw)[p.start() :]
-                if (inner := _opened(part, most_bytes)) is not part and (text := _readable(bytes(inner))) is not None:
+                for text in _texts(_opened(memoryview(raw)[p.start() :], most_bytes)):
                     yield Layer(text, layer.origin(m.start(), m.end()))
 
 
-def all_spans(text: str, base: list[Span], most_bytes: int = 64 << 20) -> list[Span]:
+def _unwrapped(layer: Layer, most_bytes: int) -> Iterator[Layer]:
+    """The layers under one, made as they are asked for."""
+    for way in (_url, _escapes):
+        if (x := way(layer)) is not None:
+            yield x
+    yield from _base64(layer, most_bytes)
+    yield from _url_packed(layer, most_bytes)
+
+
+def all_spans(text: str, base: list[Span], most_bytes: int = 16 << 20) -> list[Span]:
     """Base spans and those of every decoded layer, as spans of ``text``."""
     found = set(base)
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work = [Layer(text, None)]
+    # depth first, so that only the layers above one are held
+    work = [_unwrapped(Layer(text, None), most_bytes)]
     while work:
-        layer = work.pop()
-        fresh = [x for x in (_url(layer), _escapes(layer)) if x is not None]
-        fresh += [*_base64(layer, most_bytes), *_url_packed(layer, most_bytes)]
-        for x in fresh:
-            # one content decoded from two places is two layers; from one place, one
-            where = x.at if isinstance(x.at, tuple) else None
-            key = hashlib.sha256(repr(where).encode() + x.text.encode("utf-8", "surrogatepass")).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            found.update((*x.origin(a, b), k) for a, b, k in base_spans(x.text))
-            work.append(x)
+        x = next(work[-1], None)
+        if x is None:
+            work.pop()
+            continue
+        # one content decoded from two places is two layers; from one place, one
+        where = x.at if isinstance(x.at, tuple) else None
+        key = hashlib.sha256(repr(where).encode() + x.text.encode("utf-8", "surrogatepass")).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        found.update((*x.origin(a, b), k) for a, b, k in base_spans(x.text))
+        work.append(_unwrapped(x, most_bytes))
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
