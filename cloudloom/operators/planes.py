@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import cross, dot, minus, moments, norm, vec, with_eigen
-from cloudloom.operators.points import radius_pairs
+from cloudloom.operators.points import XYZ, _offsets, with_cell
 from cloudloom.plans.scratch import saved
 
 
@@ -55,6 +55,19 @@ def intersection_lines(planes: DataFrame, parallel: float = 1e-8) -> DataFrame:
     )
 
 
+def supported(corners: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """Corners (i, j, k, x, y, z) with a point (plane_id, x, y, z) of each of their planes within ``radius``."""
+    sides = corners.withColumn("plane_id", F.explode(F.array("i", "j", "k")))
+    a = with_cell(sides, radius).withColumn("o", F.explode(_offsets()))
+    a = a.select("i", "j", "k", "plane_id", *XYZ, *[(F.col(f"c{c}") + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip(XYZ, "ijk", strict=True)])
+    b = with_cell(points.select("plane_id", *XYZ), radius).select(F.col("plane_id").alias("p"), *[F.col(c).alias(f"n{c}") for c in XYZ], *[F.col(f"c{c}").alias(f"t{c}") for c in XYZ])
+    on = [F.col("plane_id") == F.col("p"), *[F.col(f"c{c}") == F.col(f"t{c}") for c in XYZ]]
+    d2 = sum((F.col(c) - F.col(f"n{c}")) * (F.col(c) - F.col(f"n{c}")) for c in XYZ)
+    near = a.join(b, [*on, d2 <= radius * radius], "left_semi").select("i", "j", "k", "plane_id").distinct()
+    whole = near.groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("n")).where("n = 3")
+    return corners.join(whole.select("i", "j", "k"), ["i", "j", "k"], "left_semi")
+
+
 def corner_points(planes: DataFrame, adjacency: DataFrame, least_det: float = 1e-6) -> DataFrame:
     """Positions in which three mutually adjacent planes meet; ``adjacency``: (i, j), i < j."""
     e = adjacency.select("i", "j")
@@ -73,10 +86,21 @@ def adjacency(points: DataFrame, planes: DataFrame, radius: float, least: int =
 
     ``points``: pid, plane_id, x, y, z.
     """
-    near = radius_pairs(points, points, radius)
+    cell = ["cx", "cy", "cz"]
+    keyed = with_cell(points.select("pid", "plane_id", *XYZ), radius)
+    # only points of cells that another plane is near to are looked at, and only until the first hit
+    cells = saved(keyed.select("plane_id", *cell).distinct(), "cells")
+    step = cells.withColumn("o", F.explode(_offsets()))
+    step = step.select("plane_id", *cell, *[(F.col(c) + F.col(f"o.{o}")).alias(f"t{c}") for c, o in zip(cell, "ijk", strict=True)])
+    there = cells.select(F.col("plane_id").alias("other"), *[F.col(c).alias(f"t{c}") for c in cell])
+    near = step.join(there, [f"t{c}" for c in cell]).where("plane_id <> other")
+    a = keyed.join(near, ["plane_id", *cell]).drop(*cell)
+    b = keyed.select(F.col("plane_id").alias("other"), *[F.col(c).alias(f"t{c}") for c in cell], *[F.col(c).alias(f"n{c}") for c in XYZ])
+    on = [a["other"] == b["other"], *[a[f"t{c}"] == b[f"t{c}"] for c in cell]]
+    d2 = sum((a[c] - b[f"n{c}"]) * (a[c] - b[f"n{c}"]) for c in XYZ)
+    hit = a.join(b, [*on, d2 <= radius * radius], "left_semi").select("pid", "plane_id", "other").distinct()
     owner = points.select("pid", "plane_id")
-    both = near.join(owner, "pid").join(owner.select(F.col("pid").alias("nid"), F.col("plane_id").alias("other")), "nid").where("plane_id <> other")
-    counts = both.groupBy("plane_id", "other").agg(F.countDistinct("pid").alias("contacts"))
+    counts = hit.groupBy("plane_id", "other").agg(F.count(F.lit(1)).alias("contacts"))
     sizes = owner.groupBy("plane_id").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(F.broadcast(sizes), "plane_id").join(F.broadcast(sizes.select(F.col("plane_id").alias("other"), F.col("n").alias("n_other"))), "other")
     smaller = (F.col("n") < F.col("n_other")) | ((F.col("n") == F.col("n_other")) & (F.col("plane_id") < F.col("other")))

@@ -141,6 +141,15 @@ def estimate_normals(points: DataFrame, k: int = 16, cell: float = 1.0) -> DataF
     return neighbourhood_shape(points, k, cell).select("pid", "nx", "ny", "nz")
 
 
+def towards(normals: DataFrame, points: DataFrame, seen_from: DataFrame, cell: float) -> DataFrame:
+    """pid, nx, ny, nz turned to face the nearest of ``seen_from`` (pid, x, y, z: a path or a viewpoint)."""
+    near = knn(points, seen_from, 1, cell).select("pid", "nid")
+    views = seen_from.select(F.col("pid").alias("nid"), *[F.col(n).alias(f"s{n}") for n in XYZ])
+    both = normals.join(points.select("pid", *XYZ), "pid").join(near.join(views, "nid"), "pid", "left")
+    away = F.coalesce(dot(minus(vec("s"), vec("")), vec("n")) < 0, F.lit(False))
+    return both.select("pid", *[F.when(away, -F.col(f"n{n}")).otherwise(F.col(f"n{n}")).alias(f"n{n}") for n in XYZ])
+
+
 def edge_artifacts(points: DataFrame, k: int = 12, linearity: float = 0.95, sparsity: float = 2.5, sparse_only: bool = True, cell: float = 1.0) -> DataFrame:
     """pids of points on linear (and sparse) neighbourhoods."""
     shape = neighbourhood_shape(points, k, cell).withColumn("linear", (F.col("l1") - F.col("l2")) / F.col("l1"))
