@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.functions.catalogs import sections, stock
 from cloudloom.functions.linalg import MOMENTS_SQL, eigen_sql, moments, with_eigen
 from cloudloom.operators import fitting, graph, mesh, planes, points, scene, series
 from cloudloom.plans.scratch import saved
@@ -550,14 +551,8 @@ def free_space_votes(spark, sf_dir):
 
 # ---------------------------------------------------------------- parts and members
 
-#: Stock thicknesses in metres.
-STOCK = [0.003, 0.004, 0.005, 0.006, 0.008, 0.01, 0.012, 0.015, 0.02, 0.025, 0.03, 0.04]
-#: Rolled sections: family, name, height, width in metres.
-SECTIONS = [
-    ("I", "IPE 100", 0.100, 0.055), ("I", "IPE 120", 0.120, 0.064), ("I", "IPE 140", 0.140, 0.073), ("I", "IPE 160", 0.160, 0.082),
-    ("I", "IPE 200", 0.200, 0.100), ("I", "IPE 240", 0.240, 0.120), ("I", "IPE 300", 0.300, 0.150), ("H", "HEA 100", 0.096, 0.100),
-    ("H", "HEA 200", 0.190, 0.200), ("H", "HEB 200", 0.200, 0.200), ("U", "UPN 100", 0.100, 0.050), ("U", "UPN 200", 0.200, 0.075),
-]
+STOCK = stock()
+SECTIONS = [r for r in sections() if r[0] in ("I", "H", "U")]
 MEASURED = "SELECT p_partkey AS part, CASE p_partkey % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'H' ELSE 'U' END AS family, 8e-2 + ((p_partkey * 7919) % 250) / 1e3 AS height, 4e-2 + ((p_partkey * 104729) % 180) / 1e3 AS width, ((p_partkey * 31) % 450) / 1e4 + 1e-3 AS t, CAST(p_size AS DOUBLE) AS area FROM part"
 SECTION_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}', {h!r}::DOUBLE, {b!r}::DOUBLE)" for f, n, h, b in SECTIONS) + ") s(family, profile, h, b)"
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import MOMENTS_SQL, cross, dot, eigen_sql, vec
-from cloudloom.operators import graph, mesh, planes, points, registration, repair, search, shapes, solids
+from cloudloom.operators import graph, mesh, parts, planes, points, registration, repair, search, shapes, solids
 from cloudloom.operators.points import XYZ
 from cloudloom.plans.queries import E_SQL, FACES, FIT_SQL, TRI, VERTICES, B, O, box, embedded, orders_cloud, part_mesh, query, r6, rounded, view
 from cloudloom.plans.scratch import saved
@@ -386,3 +386,65 @@ def vertex_cameras(spark, sf_dir):
     _, vertices = part_mesh(spark, sf_dir)
     centres = vertices.select(F.col("vid").alias("id"), "x", "y", "z", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
     return rounded(repair.best_cameras(centres, cams))
+
+
+# ---------------------------------------------------------------- parts
+
+_NOISE = "4e-3 * (((o_orderkey * 1299709 + 3) % 999961) / 999961e0 + ((o_orderkey * 224737 + 5) % 999959) / 999959e0 - 1)"
+#: An upright pillar and a level pipe with 2 mm noise, with their normals.
+PIPES = f"""
+SELECT pid, part, CASE WHEN part = 0 THEN 2 + r * cos(t) ELSE 4 * s END AS x, CASE WHEN part = 0 THEN 2 + r * sin(t) ELSE 5 + r * cos(t) END AS y, CASE WHEN part = 0 THEN 3 * s ELSE 1 + r * sin(t) END AS z,
+       CASE WHEN part = 0 THEN cos(t) ELSE 0e0 END AS nx, CASE WHEN part = 0 THEN sin(t) ELSE cos(t) END AS ny, CASE WHEN part = 0 THEN 0e0 ELSE sin(t) END AS nz
+FROM (SELECT o_orderkey AS pid, (o_orderkey * 31) % 3 % 2 AS part, CASE WHEN (o_orderkey * 31) % 3 % 2 = 0 THEN 25e-2 ELSE 4e-1 END + {_NOISE} AS r,
+             6.283185307179586 * (((o_orderkey * 7919 + 13) % 999983) / 999983e0) AS t, ((o_orderkey * 104729 + 7) % 999979) / 999979e0 AS s FROM orders) q"""
+
+
+@query("SELECT * FROM (VALUES ('x', 0.4::DOUBLE), ('z', 0.25::DOUBLE)) t(axis, radius)")
+def cylinder_search(spark, sf_dir):
+    """The pillar and the pipe found from points and normals: axis and radius to a centimetre."""
+    p = saved(view(spark, sf_dir, PIPES, "orders"), "pipes")
+    found, _ = parts.detect_cylinders(p, 0.02, min_inliers=p.count() // 5, radius=0.4)
+    axis = F.when(F.abs("ax") > 0.99, "x").when(F.abs("ay") > 0.99, "y").when(F.abs("az") > 0.99, "z").otherwise("none")
+    return found.select(axis.alias("axis"), F.round("radius", 2).alias("radius"))
+
+
+#: Surface points of an I section 200 x 100 and a hollow section 100 x 100, 3 m long, half a millimetre of noise.
+BEAMS = """
+SELECT pid, cluster, x + 5 * cluster AS x, CASE WHEN cluster = 0 THEN a ELSE 8e-1 * a - 6e-1 * b END AS y, CASE WHEN cluster = 0 THEN b ELSE 6e-1 * a + 8e-1 * b END AS z
+FROM (SELECT pid, cluster, 3 * s AS x,
+        CASE WHEN cluster = 0 THEN CASE WHEN w < 50 THEN (t - 5e-1) * 1e-1 ELSE e END ELSE CASE WHEN w < 25 THEN 5e-2 + e WHEN w < 50 THEN -5e-2 + e ELSE (t - 5e-1) * 1e-1 END END AS a,
+        CASE WHEN cluster = 0 THEN CASE WHEN w < 25 THEN 1e-1 + e WHEN w < 50 THEN -1e-1 + e ELSE (t - 5e-1) * 2e-1 END ELSE CASE WHEN w < 50 THEN (t - 5e-1) * 1e-1 WHEN w < 75 THEN 5e-2 + e ELSE -5e-2 + e END END AS b
+      FROM (SELECT l_orderkey * 8 + l_linenumber AS pid, CAST(l_orderkey % 2 AS BIGINT) AS cluster, (l_partkey * 7919 + l_orderkey * 31 + l_linenumber * 17) % 100 AS w,
+                   ((l_orderkey * 104729 + l_linenumber * 1299709 + l_partkey) % 999979) / 999979e0 AS s, ((l_orderkey * 15485863 + l_linenumber * 7919 + l_suppkey) % 999983) / 999983e0 AS t,
+                   1e-3 * (((l_orderkey * 224737 + l_partkey * 5) % 999959) / 999959e0 - 5e-1) AS e FROM lineitem) q0) q1"""
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'I/H', 'IPE 200', 3.0::DOUBLE), (1::BIGINT, 'hollow', 'SHS 100', 3.0::DOUBLE)) t(cluster, family, profile, length)")
+def steel_members(spark, sf_dir):
+    """Family, section and length of two beams from their surface points."""
+    p = saved(view(spark, sf_dir, BEAMS, "lineitem"), "beams")
+    return parts.members(p).select("cluster", "family", "profile", F.round("length", 1).alias("length"))
+
+
+#: Both faces of a plate of 8 mm and of one of 12 mm, square to it.
+SHEETS = """
+SELECT o_orderkey AS pid, CAST(1 + o_orderkey % 4 AS BIGINT) AS plane_id, CASE WHEN o_orderkey % 4 < 2 THEN 6e-1 * u ELSE 1 + 12e-3 * (o_orderkey % 2) + e END AS x, 4e-1 * v AS y,
+       CASE WHEN o_orderkey % 4 < 2 THEN 8e-3 * (o_orderkey % 2) + e ELSE 6e-1 * u END AS z
+FROM (SELECT o_orderkey, ((o_orderkey * 7919 + 13) % 999983) / 999983e0 AS u, ((o_orderkey * 104729 + 7) % 999979) / 999979e0 AS v, 5e-4 * (((o_orderkey * 1299709 + 3) % 999961) / 999961e0 - 5e-1) AS e FROM orders) q"""
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT, 0.008::DOUBLE, 0.008::DOUBLE), (3::BIGINT, 4::BIGINT, 0.012::DOUBLE, 0.012::DOUBLE)) t(i, j, thickness, stock)")
+def plate_pairs(spark, sf_dir):
+    """Plates found as pairs of faces, with their thickness to a tenth of a millimetre."""
+    p = saved(view(spark, sf_dir, SHEETS, "orders"), "sheets")
+    found = parts.plates(p, planes.fit_planes(p), 0.002)
+    return found.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.round("thickness", 4).alias("thickness"), "stock")
+
+
+@query(f"""
+WITH RECURSIVE p AS ({E_SQL}), e AS (SELECT a.pid AS a, b.pid AS b FROM p a JOIN p b ON a.pid <> b.pid AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 6e-2 * 6e-2),
+s(node, root, step) USING KEY (node) AS (SELECT pid, pid, 0 FROM p UNION
+   SELECT e.b, min(s.root), max(s.step) + 1 FROM s JOIN e ON e.a = s.node JOIN recurring.s t ON t.node = e.b WHERE s.root < t.root GROUP BY e.b)
+SELECT node AS pid, root AS cluster FROM s""")
+def radius_clusters(spark, sf_dir):
+    return parts.radius_clusters(embedded(spark, sf_dir), 0.06).select("pid", "cluster")
