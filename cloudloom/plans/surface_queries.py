@@ -244,10 +244,10 @@ m AS (SELECT d.u AS vid, avg(x) mx, avg(y) my, avg(z) mz FROM d JOIN v ON v.vid
 a AS (SELECT vid, coalesce(x + 5e-1 * (mx - x), x) x, coalesce(y + 5e-1 * (my - y), y) y, coalesce(z + 5e-1 * (mz - z), z) z FROM v LEFT JOIN m USING (vid)),
 n AS (SELECT d.u AS vid, avg(x) mx, avg(y) my, avg(z) mz FROM d JOIN a ON a.vid = d.w GROUP BY 1),
 b AS (SELECT vid, coalesce(x - 53e-2 * (mx - x), x) x, coalesce(y - 53e-2 * (my - y), y) y, coalesce(z - 53e-2 * (mz - z), z) z FROM a LEFT JOIN n USING (vid))
-SELECT vid, {r6('x', 'y', 'z')} FROM b""")
+SELECT vid, round(x, 9) + 0e0 AS x, round(y, 9) + 0e0 AS y, round(z, 9) + 0e0 AS z FROM b""")
 def smoothed_mesh(spark, sf_dir):
     faces, vertices = part_mesh(spark, sf_dir)
-    return rounded(repair.taubin(faces, vertices, 1))
+    return rounded(repair.taubin(faces, vertices, 1), 9)
 
 
 @query(f"""
