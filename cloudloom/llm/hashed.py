@@ -85,8 +85,12 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
 
 
 def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
-    """Range of a hash, from its low bits (at most 65,536 ranges)."""
-    return ((h & _U(0xFFFF)) * _U(ranges) >> _U(16)).astype(np.int64)
+    """Range of a hash, from its low 16 bits and then its top 16: up to 2 ** 32 ranges."""
+    return ((h & _U(0xFFFF)) << _U(16) | h >> _U(48)) * _U(ranges) >> _U(32)
+
+
+#: An owner that stands for those already credited.
+NOBODY = 0
 
 
 class Flush:
@@ -94,44 +98,51 @@ class Flush:
 
     An entry is 48 bits of the hash and 16 of the owner's number in the flush; with
     the range, 48 + log2(ranges) bits tell hashes apart, and the ranges grow with the
-    input.
+    input. Hashes that several owners of the flush have go out once, owned by NOBODY,
+    and these owners are credited here: a hash that very many owners have costs its
+    range one entry per flush.
     """
 
-    def __init__(self, ranges: int, most_entries: int = 1 << 19):
-        self.ranges, self.most = ranges, most_entries
+    def __init__(self, most_entries: int = 1 << 19):
+        self.most = most_entries
         self.clear()
 
     def clear(self) -> None:
         self.hashes: list[np.ndarray] = []
-        self.extras: list[np.ndarray] = []
-        self.owners: list = []
+        self.owners: list[int] = []
         self.held = 0
 
-    def add(self, owner, hashes: np.ndarray, extra: np.ndarray | None = None) -> None:
+    def add(self, owner: int, hashes: np.ndarray) -> None:
+        """``hashes``: distinct."""
         self.owners.append(owner)
         self.hashes.append(hashes)
-        if extra is not None:
-            self.extras.append(extra)
         self.held += len(hashes)
 
     @property
     def full(self) -> bool:
-        return self.held >= self.most or len(self.owners) >= 65_535
+        return self.held >= self.most or len(self.owners) >= 65_534
 
-    def blobs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
-        """(range, entries, numbers of the owners in it, extras); owners are renumbered per blob."""
-        h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, _U)
+    def out(self, ranges: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """(range, entries, owners) of each range, then the owners credited and how often."""
+        h = np.concatenate(self.hashes)
+        owners = np.append(np.array(self.owners, dtype=np.int64), NOBODY)
         number = np.repeat(np.arange(len(self.owners), dtype=_U), [len(x) for x in self.hashes])
-        extra = np.concatenate(self.extras) if self.extras else None
-        where = range_of(h, self.ranges)
-        packed = (h & ~_U(0xFFFF)) | number
+        order = np.argsort(h, kind="stable")
+        h, number = h[order], number[order]
+        fresh = np.concatenate(([True], h[1:] != h[:-1]))
+        several = np.diff(np.append(np.flatnonzero(fresh), len(h))) > 1
+        credited = np.bincount(number[np.repeat(several, np.diff(np.append(np.flatnonzero(fresh), len(h))))].astype(np.int64), minlength=len(self.owners))
+        h, number = h[fresh], np.where(several, _U(len(self.owners)), number[fresh])
+        where = range_of(h, ranges).astype(np.int64)
         order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], np.arange(self.ranges + 1))
-        for r in range(self.ranges):
-            at = order[cuts[r] : cuts[r + 1]]
-            if len(at):
-                there, local = np.unique((packed[at] & _U(0xFFFF)).astype(np.int64), return_inverse=True)
-                yield r, (packed[at] & ~_U(0xFFFF)) | local.astype(_U), there, None if extra is None else extra[at]
+        used, starts = np.unique(where[order], return_index=True)
+        rows = []
+        for r, at in zip(used.tolist(), np.split(order, starts[1:]), strict=True):
+            there, local = np.unique(number[at].astype(np.int64), return_inverse=True)
+            rows.append((r, (h[at] & ~_U(0xFFFF)) | local.astype(_U), owners[there]))
+        some = np.flatnonzero(credited)
+        self.clear()
+        return rows, owners[some], credited[some]
 
 
 def merged(entries: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

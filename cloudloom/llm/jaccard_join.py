@@ -7,8 +7,9 @@ threshold. The steps:
 1. Prefilter. In the order of the shingles' hashes, two linked sets share at least
    ``c`` shingles within their extended prefixes (size - least overlap + c). Only
    these prefixes are exchanged; a class with fewer shared shingles there has no link.
-2. Shared shingles. The classes left exchange all their shingles; those found in two
-   classes or more come back with their frequency. A link lies in them alone.
+2. Shared shingles. The classes left, in blocks, ask for the frequency of all their
+   shingles, each once per block; those found in two classes or more are kept. A link
+   lies in them alone.
 3. Candidates. Rarest shingle first, a small set enumerates the fixed-size (2-)subsets
    of its extended prefix, a large set scans the inverted lists of its prefix (one
    shingle each); sets near the boundary do both. The boundary is the size with the
@@ -21,7 +22,8 @@ threshold. The steps:
 5. The links' components give every document its class.
 
 Nothing is capped; the steps bound memory by ranges and blocks whose number grows
-with the input.
+with the input. Words, shingles and sets are told apart by hashes: 64 bits for a
+shingle (48 and the range's in the prefilter), 128 bits for a set.
 
 Edge cases: texts without words (null included) have empty sets and link with
 nothing; fewer words than the width are one shingle; repeated rows and copies share a
@@ -36,18 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import arrow, encoded, grouped_rank, saved, shuffle_parts, sliced
-from cloudloom.llm.graph import components
-from cloudloom.llm.hashed import Flush, dealt, laid, merged, mixed, runs, shingles, word_hashes
+from cloudloom.llm.graph import components, joined
+from cloudloom.llm.hashed import NOBODY, Flush, dealt, laid, merged, mixed, range_of, runs, shingles, word_hashes
 
 _U = np.uint64
 #: The threshold as a fraction.
 NUM, DEN = 4, 5
-#: Sizes among which the boundary between small and large sets is sought.
-LARGEST_SMALL = 128
+#: Sizes up to this one are told apart when the boundary is sought, larger ones in steps of a sixteenth of a doubling.
+EACH_SIZE = 128
 _NO_ID = -(1 << 63)
 
 
@@ -92,49 +95,28 @@ def sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return arrow(docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text"), run, "id long, n long, digest binary, mark long")
 
 
-def _blob_rows(flush: Flush) -> pa.RecordBatch:
-    """Owners are an id each, or (id, set size)."""
-    rows = list(flush.blobs())
-    owners = np.array(flush.owners, dtype=np.int64)
-    names = ["range", "entries", "owners"]
-    arrays = [
-        pa.array([r for r, *_ in rows], pa.int32()),
-        pa.array([e.tobytes() for _, e, _, _ in rows], pa.binary()),
-        pa.array([owners[o].tobytes() for _, _, o, _ in rows], pa.binary()),
-    ]
-    flush.clear()
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def _by_range(blobs: DataFrame, ranges: int, width: int, work, schema: str) -> DataFrame:
-    """``work(tokens, owners, range)`` over each range's entries, distinct and sorted by (token, owner)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, held in runs(batches):
-            h, who = merged([np.frombuffer(e, _U) for e, _ in held], [np.frombuffer(o, np.int64).reshape(-1, width) for _, o in held])
-            order = np.lexsort((who[:, 0], h))
-            h, who = h[order], who[order]
-            fresh = np.ones(len(h), dtype=bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (who[1:, 0] != who[:-1, 0])
-            yield work(h[fresh], who[fresh], r)
-
-    return arrow(laid(blobs, ranges), run, schema)
-
-
-def _runs(h: np.ndarray) -> np.ndarray:
-    """For sorted values, how often each entry's value occurs."""
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate((starts, [len(h)])))
-    return np.repeat(sizes, sizes)
-
-
 def maybe_linked(docs: DataFrame, classes: DataFrame, entries: int, width: int, per_range: int) -> DataFrame:
-    """Step 1: ids of the classes (with n and digest) that pass the prefilter."""
+    """Step 1: ids of the classes (with n and digest) that pass the prefilter.
+
+    Shingles that several sets of a flush share are counted there, so a range holds no
+    more entries of a very frequent shingle than there are flushes.
+    """
     buckets = shuffle_parts(docs.sparkSession)
-    ranges = max(1, min(65_536, max(buckets, -(-entries // (3 * per_range)))))
+    ranges = max(buckets, -(-entries // (3 * per_range)))
+    names = ["range", "entries", "owners", "counts"]
+    kinds = [pa.int64(), *[pa.binary()] * 3]
+
+    def out(flush: Flush) -> pa.RecordBatch:
+        rows, credited, times = flush.out(ranges)
+        used, (keys, counts) = dealt(credited, [times.astype(np.int64)], buckets)
+        columns = [
+            [*[r for r, *_ in rows], *[u % ranges for u in used]], [*[e.tobytes() for _, e, _ in rows], *[None] * len(used)],
+            [*[o.tobytes() for *_, o in rows], *keys], [*[None] * len(rows), *counts],
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush = Flush(ranges)
+        flush = Flush()
         seen: set[int] = set()
         for batch in sliced(batches, "text"):
             for raw in encoded(batch.column("text")):
@@ -148,15 +130,26 @@ def maybe_linked(docs: DataFrame, classes: DataFrame, entries: int, width: int,
                 n = len(s)
                 flush.add(mark, s[: n - least_overlap(n) + _slack(n)])
                 if flush.full:
-                    yield _blob_rows(flush)
+                    yield out(flush)
                     seen.clear()
         if flush.owners:
-            yield _blob_rows(flush)
+            yield out(flush)
 
-    def count(h: np.ndarray, who: np.ndarray, _: int) -> pa.RecordBatch:
-        ids, n = np.unique(who[_runs(h) > 1, 0], return_counts=True)
-        used, (keys, counts) = dealt(ids, [n], buckets)
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "marks", "counts"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in runs(batches):
+            ids, n = [np.frombuffer(o, np.int64) for e, o, _ in held if e is None], [np.frombuffer(c, np.int64) for e, _, c in held if e is None]
+            if len(ids) < len(held):
+                h, who = merged([np.frombuffer(e, _U) for e, _, _ in held if e is not None], [np.frombuffer(o, np.int64) for e, o, _ in held if e is not None])
+                order = np.lexsort((who, h))
+                h, who = h[order], who[order]
+                fresh = np.ones(len(h), dtype=bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+                h, who = h[fresh], who[fresh]
+                here = np.unique(who[(_runs(h) > 1) & (who != NOBODY)], return_counts=True)
+                ids.append(here[0])
+                n.append(here[1])
+            used, (keys, counts) = dealt(np.concatenate(ids), [np.concatenate(n)], buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "marks", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in runs(batches):
@@ -164,13 +157,20 @@ def maybe_linked(docs: DataFrame, classes: DataFrame, entries: int, width: int,
             n = np.bincount(at, weights=np.concatenate([np.frombuffer(c, np.int64) for _, c in held]))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["mark", "shared"])
 
-    blobs = arrow(docs.select("text"), emit, "range int, entries binary, owners binary")
-    counts = _by_range(blobs, ranges, 1, count, "bucket int, marks binary, counts binary")
+    blobs = arrow(docs.select("text"), emit, "range long, entries binary, owners binary, counts binary")
+    counts = arrow(laid(blobs, ranges), count, "bucket int, marks binary, counts binary")
     shared = arrow(laid(counts, buckets), total, "mark long, shared long")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 8))
     return classes.join(shared, "mark").where(F.col("shared") >= least).select("id", "n", "digest")
 
 
+def _runs(h: np.ndarray) -> np.ndarray:
+    """For sorted values, how often each entry's value occurs."""
+    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate((starts, [len(h)])))
+    return np.repeat(sizes, sizes)
+
+
 def _bloom(ids: DataFrame, n: int):
     """A bit per hashed id: at most 2^27 bits, 16 MB, whatever the input; a filter only, the join decides."""
     bits = 1 << min(27, max(16, (16 * max(1, n)).bit_length()))
@@ -186,8 +186,8 @@ def shared_sets(docs: DataFrame, left: DataFrame, width: int, per_range: int) ->
     """Step 2: id, n, tokens and their frequencies (rarest first) of classes that can still link."""
     spark = docs.sparkSession
     size = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    buckets = max(shuffle_parts(spark), -(-size[1] // per_range))
-    ranges = min(65_536, buckets)
+    buckets = shuffle_parts(spark)
+    ranges = max(buckets, -(-size[1] // per_range))
     bits, bloom = _bloom(left, size[0])
     kept = spark.sparkContext.broadcast(bloom)
 
@@ -199,62 +199,109 @@ def shared_sets(docs: DataFrame, left: DataFrame, width: int, per_range: int) ->
     src = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
     src = arrow(src.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(bits)).cast("long")), maybe, "id long, text string, at long")
     own = src.join(left, "id").select("id", "digest", "text")
+    fields = ["block", "range", "ids", "sizes", "tokens", "times"]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block of sets a row with the sets (range -1) and a row per range with the shingles in it and their counts."""
+        here, number, ids, held, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            flat = np.concatenate(held)
+            each, times = np.unique(flat, return_counts=True)
+            parts = list(_in_ranges(each, ranges))
+            rows = [(here + number, -1, np.array(ids, np.int64), np.array([len(x) for x in held], np.int64), flat, None)]
+            rows += [(here + number, r, None, None, each[at], times[at].astype(np.int64)) for r, at in parts]
+            columns = [[x.tobytes() if isinstance(x, np.ndarray) else x for x in column] for column in zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=fields)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush = Flush(ranges)
         for batch in sliced(batches, "text"):
             for i, mark, raw in zip(batch.column("id").to_pylist(), batch.column("digest").to_pylist(), encoded(batch.column("text")), strict=True):
                 s = shingles(word_hashes(raw), width)
                 if _digest(s) != mark:  # another row of that id
                     continue
-                flush.add((i, len(s)), s)
-                if flush.full:
-                    yield _blob_rows(flush)
-        if flush.owners:
-            yield _blob_rows(flush)
-
-    def back(h: np.ndarray, who: np.ndarray, r: int) -> pa.RecordBatch:
-        often = _runs(h)
-        many = often > 1
-        used, blobs = dealt(who[many, 0], [who[many, 1], h[many] | _U(r), often[many]], buckets)
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(c, pa.binary()) for c in blobs]], names=["bucket", "ids", "sizes", "tokens", "often"])
+                ids.append(i)
+                held.append(s)
+                size += len(s)
+                if size >= 1 << 19:
+                    yield out()
+                    ids, held, size, number = [], [], 0, number + 1
+        if held:
+            yield out()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The frequency of every shingle asked for, in the order asked."""
+        for r, rows in runs(batches):
+            asked = [np.frombuffer(t, _U) for _, t, _ in rows]
+            each, at = np.unique(np.concatenate(asked), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.int64) for *_, x in rows])).astype(np.int64)
+            cuts = np.cumsum([len(x) for x in asked])[:-1]
+            for (block, *_), x in zip(rows, np.split(n[at], cuts), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([r]), pa.array([x.tobytes()], pa.binary())], names=["block", "range", "often"])
 
     def rare_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in runs(batches):
-            ids, n, t, o = (np.concatenate([np.frombuffer(x, np.int64) for x in column]) for column in zip(*held, strict=True))
-            order = np.lexsort((t, o, ids))
-            ids, n, t, o = ids[order], n[order], t[order], o[order]
+        for _, rows in runs(batches):
+            own_ids, own_sizes, own_tokens = next(x[2:] for x in rows if x[0] < 0)
+            t, n = np.frombuffer(own_tokens, _U), np.frombuffer(own_sizes, np.int64)
+            ids = np.repeat(np.frombuffer(own_ids, np.int64), n)
+            n = np.repeat(n, n)
+            each, at = np.unique(t, return_inverse=True)
+            told = {r: np.frombuffer(o, np.int64) for r, o, *_ in rows if r >= 0}
+            often = np.zeros(len(each), np.int64)
+            for r, places in _in_ranges(each, ranges):
+                often[places] = told[r]
+            often = often[at]
+            many = often > 1
+            ids, n, t, often = ids[many], n[many], t[many].view(np.int64), often[many]
+            order = np.lexsort((t, often, ids))
+            ids, n, t, often = ids[order], n[order], t[order], often[order]
             each, starts, lengths = np.unique(ids, return_index=True, return_counts=True)
             n = n[starts]
             able = lengths >= least_overlap(n)
             keep = np.repeat(able, lengths)
             cuts = pa.array(np.concatenate(([0], np.cumsum(lengths[able]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x[keep])) for x in (t, o)]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x[keep])) for x in (t, often)]
             yield pa.RecordBatch.from_arrays([pa.array(each[able]), pa.array(n[able]), *lists], names=["id", "n", "tokens", "often"])
 
-    blobs = arrow(own, emit, "range int, entries binary, owners binary")
-    parts = _by_range(blobs, ranges, 2, back, "bucket int, ids binary, sizes binary, tokens binary, often binary")
-    return arrow(laid(parts, buckets), rare_first, "id long, n long, tokens array<long>, often array<long>")
+    blocks = saved(arrow(own, ask, "block long, range long, ids binary, sizes binary, tokens binary, times binary"), "blocks")
+    buckets = max(buckets, -(-size[1] // (1 << 20)))  # two blocks a task, about, however many there are
+    answers = arrow(laid(blocks.where("range >= 0").select("range", "block", "tokens", "times"), ranges), answer, "block long, range long, often binary")
+    sets_ = blocks.where("range < 0").select("block", "range", "ids", "sizes", "tokens")
+    back = answers.unionByName(sets_, allowMissingColumns=True).select("block", "range", "often", "ids", "sizes", "tokens")
+    return arrow(laid(back, buckets), rare_first, "id long, n long, tokens array<long>, often array<long>")
+
+
+def _in_ranges(each: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places) of the hashes of each range, in their order."""
+    where = range_of(each, ranges).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    used, starts = np.unique(where[order], return_index=True)
+    if len(used):
+        yield from zip(used.tolist(), np.split(order, starts[1:]), strict=True)
 
 
 # ---------------------------------------------------------------- candidates
 
 
+#: A subset is a row that travels and is stored; an entry of a list is a number scanned in memory.
+SUBSET_COST = 8
+
+
 def boundary(costs: dict[int, tuple[int, int]]) -> int:
     """The largest size of small sets with the least cost; by size: (subsets, list entries)."""
     best, chosen = None, 0
     sizes = sorted(costs)
-    for x in [0, *[s for s in sizes if s <= LARGEST_SMALL]]:
+    for x in [0, *sizes]:
         near = least_overlap(x)
-        cost = sum(c[0] for s, c in costs.items() if s <= x) + sum(c[1] for s, c in costs.items() if s > x or s >= near)
+        cost = SUBSET_COST * sum(c[0] for s, c in costs.items() if s <= x) + sum(c[1] for s, c in costs.items() if s > x or s >= near)
         if best is None or cost < best:
             best, chosen = cost, x
     return chosen
 
 
 def size_costs(shared: DataFrame) -> dict[int, tuple[int, int]]:
-    """Subsets to enumerate and list entries to scan, by size; sizes that can't be small are one."""
-    size = F.least("n", F.lit(LARGEST_SMALL + 1))
+    """Subsets to enumerate and list entries to scan, by size (the largest of a step): a few hundred rows."""
+    size = F.when(F.col("n") <= EACH_SIZE, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.ceil(F.log2("n") * 16) / 16))).cast("long")
     prefix = F.size("tokens") - F.ceil(F.col("n") * NUM / DEN) + 1
     lists = F.aggregate(F.slice("often", F.lit(1), prefix.cast("int")), F.lit(0).cast("long"), lambda a, x: a + x)
     rows = shared.groupBy(size.alias("s")).agg(F.sum(prefix * (prefix + 1) / 2).cast("long").alias("subsets"), F.sum(lists).alias("lists")).collect()
@@ -290,8 +337,8 @@ def candidate_edges(shared: DataFrame, small: int) -> DataFrame:
 
     met = arrow(shared.select("id", "n", "tokens"), emit, "id long, key long")
     met = saved(met, "keys")
-    heads = met.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
-    return met.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    heads = saved(met.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("met")).where("met > 1"), "heads")
+    return joined(met, heads, "key", "met").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- exact search
@@ -330,8 +377,14 @@ def tree_links(ids: list[int], sizes: list[int], tokens: list[np.ndarray]) -> li
             t = flat[cuts[u] : cuts[u + 1]]
             a, k = starts[t], starts[t + 1] - starts[t]
             at = np.repeat(a - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum())
-            both = np.bincount(lists[at], minlength=m)
-            hit = np.flatnonzero(alive & (both > 0) & linked(both, int(n[u]), n))
+            # a cost of what is met, not of all sets
+            if len(at) < m // 8:
+                near, both = np.unique(lists[at], return_counts=True)
+            else:
+                both = np.bincount(lists[at], minlength=m)
+                near = np.flatnonzero(both)
+                both = both[near]
+            hit = near[alive[near] & linked(both, int(n[u]), n[near])]
             alive[hit] = False
             left -= len(hit)
             out += [(ids[u], ids[v]) for v in hit]
