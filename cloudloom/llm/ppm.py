@@ -15,8 +15,9 @@ grams of a block of texts, and the answers are joined back to the block. Only th
 counts of contexts of up to two bytes are sent to all tasks: at most 256 ** 3 cells,
 whatever the corpus, and far fewer in text.
 
-The base score is a word unigram model with add-one smoothing; its counts are joined
-to the documents by ranges of the words' hashes.
+The base score is a word unigram model with add-one smoothing: a block asks for the
+counts of its distinct words in the same exchange, by ranges of the words' hashes, so a
+word of all texts costs its range one entry per block. Words are told apart by 64 bits.
 
 Edge cases: a null text is an empty one, its score that of the end symbol; texts of
 any length are scored whole; repeated rows count as often as they occur and are scored
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cloudloom.llm.common import arrow, encoded, saved, shuffle_parts, sliced
-from cloudloom.llm.hashed import _LOWER, Flush, dealt, laid, mixed, range_of, runs, word_hashes
+from cloudloom.llm.hashed import _LOWER, laid, mixed, range_of, runs, word_hashes
 
 _U = np.uint64
 #: The end symbol: a byte that UTF-8 never uses.
@@ -197,47 +198,61 @@ class Branches:
 def _dealt_grams(gram: np.ndarray, ranges: int, order: int) -> Iterator[tuple[int, np.ndarray]]:
     """(range, places in ``gram``) of the grams of each range."""
     branch = gram >> _U(8) & _U((1 << 8 * min(NEAR + 1, order)) - 1)
-    where = range_of(mixed(branch), ranges)
+    where = range_of(mixed(branch), ranges).astype(np.int64)
     by = np.argsort(where, kind="stable")
     used, starts = np.unique(where[by], return_index=True)
     if len(used):
         yield from zip(used.tolist(), np.split(by, starts[1:]), strict=True)
 
 
-def text_scores(keyed: DataFrame, order: int, per_range: int, block: int = 8 << 20) -> DataFrame:
-    """key, doc_id, held_out, n_words, score (log10 probability of the text) of every row."""
-    spark = keyed.sparkSession
-    counted = saved(grams(keyed.where("not held_out"), order), "grams")
+def _dealt_words(words: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places in ``words``) of the word hashes of each range; they follow the grams' ranges."""
+    where = range_of(words, ranges).astype(np.int64) + ranges
+    by = np.argsort(where, kind="stable")
+    used, starts = np.unique(where[by], return_index=True)
+    if len(used):
+        yield from zip(used.tolist(), np.split(by, starts[1:]), strict=True)
+
+
+def scored(docs: DataFrame, order: int, per_range: int, block: int = 16 << 20) -> DataFrame:
+    """doc_id, held_out, n_words, part (sum of log10(c + 1) over its words), n_known, score (log10 probability) of every row.
+
+    One more row has ``fact`` set and in n_words the number of kinds of training words.
+    """
+    spark = docs.sparkSession
+    counted = saved(grams(docs.where("not held_out"), order), "grams")
     low = min(NEAR, order)
     cells = counted.groupBy(F.expr(f"gram & {(1 << 8 * (low + 1)) - 1}L").alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     near = spark.sparkContext.broadcast((cells.column("gram").to_numpy().astype(_U), cells.column("n").to_numpy().astype(float)))
     buckets = shuffle_parts(spark)
-    ranges = max(1, min(65_536, max(buckets, -(-counted.count() // per_range))))
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    fields = ["block", "range", "grams", "keys", "ids", "held", "words", "lengths", "texts"]
+    ranges = max(buckets, -(-counted.count() // per_range))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = ["block", "range", "asked", "times", "ids", "held", "lengths", "texts"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per block of texts a row with the texts (range -1) and a row per range with the grams asked for."""
+        """Per block of texts a row with the texts (range -1) and a row per range with the grams, or words and their training counts."""
         packer, held, size, number = zstandard.ZstdCompressor(level=1), [], 0, 0
         here = TaskContext.get().partitionId() << 32
 
-        def out(number: int) -> pa.RecordBatch:
+        def out() -> pa.RecordBatch:
             all_ = pa.Table.from_batches(held).combine_chunks()
             raws = encoded(all_.column("text").combine_chunks())
             parts = [np.unique(codes(s, order)[real]) for real, s in _blocks([symbols(r, order) for r in raws], order, 1 << 20)]
             asked = np.unique(np.concatenate(parts))
-            dealt_ = list(_dealt_grams(asked, ranges, order))
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            texts = [
-                one(all_.column("key").combine_chunks()), one(all_.column("doc_id").combine_chunks()), one(all_.column("held_out").combine_chunks()),
-                one(pa.array([len(r.split()) for r in raws], pa.int64())), one(pa.array([len(r) for r in raws], pa.int64())),
-                pa.array([packer.compress(b"".join(raws))], pa.binary()),
+            trains = np.logical_not(all_.column("held_out").to_numpy())
+            own = [word_hashes(r) for r in raws]
+            words, at = np.unique(np.concatenate(own), return_inverse=True)
+            times = np.bincount(at, weights=np.repeat(trains, [len(w) for w in own]), minlength=len(words)).astype(np.int64)
+            rows = [(r, asked[p].tobytes(), None) for r, p in _dealt_grams(asked, ranges, order)]
+            rows += [(r, words[p].tobytes(), times[p].tobytes()) for r, p in _dealt_words(words, ranges)]
+            one = lambda x: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x), pa.nulls(len(rows), pa.list_(x.type))])
+            columns = [
+                pa.array([here + number] * (1 + len(rows)), pa.int64()), pa.array([-1, *[r for r, *_ in rows]], pa.int64()),
+                pa.array([None, *[x for _, x, _ in rows]], pa.binary()), pa.array([None, *[t for *_, t in rows]], pa.binary()),
+                one(all_.column("doc_id").combine_chunks()), one(all_.column("held_out").combine_chunks()), one(pa.array([len(r) for r in raws], pa.int64())),
+                pa.array([packer.compress(b"".join(raws)), *[None] * len(rows)], pa.binary()),
             ]
-            first = pa.array([here + number] * (1 + len(dealt_)), pa.int64())
-            which = pa.array([-1, *[r for r, _ in dealt_]], pa.int32())
-            blobs = pa.array([None, *[asked[at].tobytes() for _, at in dealt_]], pa.binary())
-            rest = [pa.concat_arrays([x, pa.nulls(len(dealt_), x.type)]) for x in texts]
-            return pa.RecordBatch.from_arrays([first, which, blobs, *rest], names=fields)
+            return pa.RecordBatch.from_arrays(columns, names=fields)
 
         for batch in sliced(batches, "text", 1 << 20):
             if not batch.num_rows:
@@ -245,112 +260,89 @@ def text_scores(keyed: DataFrame, order: int, per_range: int, block: int = 8 <<
             held.append(batch)
             size += batch.column("text").nbytes
             if size >= block:
-                yield out(number)
+                yield out()
                 held, size, number = [], 0, number + 1
         if held:
-            yield out(number)
+            yield out()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gram = batch.column("gram").to_numpy().view(_U)
             n = batch.column("n").to_numpy()
-            rows = [(r, gram[at].tobytes(), n[at].tobytes()) for r, at in _dealt_grams(gram, ranges, order)]
-            arrays = [pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["range", "grams", "times"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches):
-            trained = [(np.frombuffer(g, _U), np.frombuffer(t, np.int64)) for _, g, t in rows if t is not None]
-            gram = np.concatenate([np.zeros(0, _U), *[g for g, _ in trained]])
-            n = np.concatenate([np.zeros(0), *[t.astype(float) for _, t in trained]])
-            asked = [(b, np.frombuffer(g, _U)) for b, g, t in rows if t is None]
-            if not asked:
-                continue
+            rows = [(-1, r, gram[at].tobytes(), n[at].tobytes()) for r, at in _dealt_grams(gram, ranges, order)]
+            arrays = [pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "range", "asked", "times"])
+
+    def of_grams(rows: list) -> Iterator[tuple]:
+        trained = [(np.frombuffer(g, _U), np.frombuffer(t, np.int64)) for b, g, t in rows if b < 0]
+        gram = np.concatenate([np.zeros(0, _U), *[g for g, _ in trained]])
+        n = np.concatenate([np.zeros(0), *[t.astype(float) for _, t in trained]])
+        asked = [(b, np.frombuffer(g, _U)) for b, g, _ in rows if b >= 0]
+        if asked:
             each = np.unique(np.concatenate([g for _, g in asked]))
-            logs = Branches(order, gram, n, near.value).log10(each).astype(np.float32)
+            logs = Branches(order, gram, n, near.value).log10(each)
             for b, g in asked:
-                cols = [pa.array([b], pa.int64()), pa.array([g.tobytes()], pa.binary()), pa.array([logs[np.searchsorted(each, g)].tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["block", "grams", "logs"])
+                yield b, g.tobytes(), logs[np.searchsorted(each, g)].tobytes()
+
+    def of_words(rows: list) -> Iterator[tuple]:
+        """The training counts of the words each block asks for, in the order asked, and the number of kinds for block -1."""
+        asked = [np.frombuffer(w, _U) for _, w, _ in rows]
+        each, at = np.unique(np.concatenate(asked), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([np.frombuffer(t, np.int64) for *_, t in rows])).astype(np.int64)
+        for (b, *_), x in zip(rows, np.split(c[at], np.cumsum([len(x) for x in asked])[:-1]), strict=True):
+            yield b, None, x.tobytes()
+        yield -1, None, np.array([(c > 0).sum()], np.int64).tobytes()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, rows in runs(batches):
+            for b, asked, told in (of_grams if r < ranges else of_words)(rows):
+                cols = [pa.array([b], pa.int64()), pa.array([r], pa.int64()), pa.array([asked], pa.binary()), pa.array([told], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "range", "asked", "told"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches):
-            gram = np.concatenate([np.frombuffer(g, _U) for g, *_ in rows if g is not None])
+        names = ["doc_id", "held_out", "n_words", "part", "n_known", "score", "fact"]
+        types = [id_type, pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
+        for b, rows in runs(batches):
+            if b < 0:
+                kinds = sum(int(np.frombuffer(t, np.int64)[0]) for _, _, t, *_ in rows)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, kinds, None, None, None, True), types, strict=True)], names=names)
+                continue
+            gram = np.concatenate([np.frombuffer(g, _U) for r, g, *_ in rows if 0 <= r < ranges])
             by = np.argsort(gram)
-            gram, log = gram[by], np.concatenate([np.frombuffer(x, np.float32) for _, x, *_ in rows if x is not None])[by]
-            keys, ids, held, n, lengths, packed = next(x[2:] for x in rows if x[0] is None)
-            raw, start, scores = zstandard.ZstdDecompressor().decompress(packed), 0, []
+            gram, log = gram[by], np.concatenate([np.frombuffer(t) for r, _, t, *_ in rows if 0 <= r < ranges])[by]
+            ids, held, lengths, packed = next(x[3:] for x in rows if x[0] < 0)
+            joined, start, raws = memoryview(zstandard.ZstdDecompressor().decompress(packed)), 0, []
             for length in lengths:
-                s, sum_ = symbols(raw[start : start + length], order), 0.0
+                raws.append(joined[start : start + length])
                 start += length
+            own = [word_hashes(bytes(r)) for r in raws]
+            words = np.unique(np.concatenate(own))
+            c, told = np.zeros(len(words), np.int64), {r: np.frombuffer(t, np.int64) for r, _, t, *_ in rows if r >= ranges}
+            for r, places in _dealt_words(words, ranges):
+                c[places] = told[r]
+            part, known, scores = [], [], []
+            for raw, w in zip(raws, own, strict=True):
+                s, sum_ = symbols(bytes(raw), order), 0.0
                 for a in range(0, len(s) - order, 1 << 20):
-                    sum_ += log[np.searchsorted(gram, codes(s[a : a + order + (1 << 20)], order))].sum(dtype=np.float64)
+                    sum_ += log[np.searchsorted(gram, codes(s[a : a + order + (1 << 20)], order))].sum()
                 scores.append(float(sum_))
-            cols = [pa.array(keys, pa.int64()), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "held_out", "n_words", "score"])
-
-    id_type = to_arrow_type(keyed.schema["doc_id"].dataType)
-    schema = f"block long, range int, grams binary, keys array<long>, ids array<{kind}>, held array<boolean>, words array<long>, lengths array<long>, texts binary"
-    blocks = saved(arrow(keyed.select("key", "doc_id", "held_out", "text"), ask, schema), "blocks")
-    trained = arrow(counted, count, "range int, grams binary, times binary")
-    both = blocks.where("range >= 0").select("range", "block", "grams", F.lit(None).cast("binary").alias("times"))
-    both = both.unionByName(trained.withColumn("block", F.lit(-1).cast("long")))
-    answers = arrow(laid(both, ranges), answer, "block long, grams binary, logs binary")
-    texts = blocks.where("range = -1").drop("range")
-    back = answers.unionByName(texts.drop("grams"), allowMissingColumns=True).select("block", "grams", "logs", *fields[3:])
-    return arrow(laid(back, buckets), total, f"key long, doc_id {kind}, held_out boolean, n_words long, score double")
-
-
-# ---------------------------------------------------------------- word unigrams
-
-
-def word_parts(docs: DataFrame, entries: int, per_range: int) -> DataFrame:
-    """key, part (sum of log10(c + 1)), known: a row per key; key 0 has the number of kinds of words as known."""
-    buckets = shuffle_parts(docs.sparkSession)
-    ranges = max(1, min(65_536, max(buckets, -(-entries // per_range))))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush = Flush(ranges)
-
-        def out() -> pa.RecordBatch:
-            rows = list(flush.blobs())
-            ids = np.array(flush.owners, dtype=np.int64)
-            flush.clear()
-            cols = [[r for r, *_ in rows], [e.tobytes() for _, e, _, _ in rows], [ids[o].tobytes() for _, _, o, _ in rows], [x.tobytes() for *_, x in rows]]
-            kinds = [pa.int32(), *[pa.binary()] * 3]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["range", "entries", "owners", "times"])
-
-        for batch in sliced(batches, "text"):
-            for key, raw in zip(batch.column("key").to_pylist(), encoded(batch.column("text")), strict=True):
-                h, n = np.unique(word_hashes(raw), return_counts=True)
-                flush.add(key, h, n.astype(np.uint32))
-                if flush.full:
-                    yield out()
-        if flush.owners:
-            yield out()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in runs(batches):
-            entries = [np.frombuffer(e, _U) for e, _, _ in held]
-            who = np.concatenate([np.frombuffer(o, np.int64)[(e & _U(0xFFFF)).astype(np.int64)] for e, (_, o, _) in zip(entries, held, strict=True)])
-            times = np.concatenate([np.frombuffer(t, np.uint32) for *_, t in held]).astype(np.float64)
-            token = np.unique(np.concatenate(entries) & ~_U(0xFFFF), return_inverse=True)[1]
-            c = np.bincount(token, weights=times * (who & 1))
-            keys, at = np.unique(who, return_inverse=True)
-            part = np.bincount(at, weights=times * np.log10(c + 1)[token])
-            known = np.bincount(at, weights=times * (c > 0)[token]).astype(np.int64)
-            used, blobs = dealt(np.append(keys, 0), [np.append(part, 0.0), np.append(known, (c > 0).sum())], buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]], names=["bucket", "keys", "parts", "known"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in runs(batches):
-            keys, part, known = (np.concatenate([np.frombuffer(x, k) for x in column]) for column, k in zip(zip(*held, strict=True), (np.int64, np.float64, np.int64), strict=True))
-            each, at = np.unique(keys, return_inverse=True)
-            sums = [np.bincount(at, weights=part), np.bincount(at, weights=known).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, (each, *sums))), names=["key", "part", "known"])
-
-    blobs = arrow(docs.select("key", "text"), emit, "range int, entries binary, owners binary, times binary")
-    counts = arrow(laid(blobs, ranges), count, "bucket int, keys binary, parts binary, known binary")
-    return arrow(laid(counts, buckets), total, "key long, part double, known long")
+                found = c[np.searchsorted(words, w)]
+                part.append(float(np.log10(found + 1.0).sum()))
+                known.append(int((found > 0).sum()))
+            columns = (ids, held, [len(w) for w in own], part, known, scores, [False] * len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, types, strict=True)], names=names)
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    schema = f"block long, range long, asked binary, times binary, ids array<{kind}>, held array<boolean>, lengths array<long>, texts binary"
+    blocks = saved(arrow(docs.select("doc_id", "held_out", "text"), ask, schema), "blocks")
+    trained = arrow(counted, count, "block long, range long, asked binary, times binary")
+    both = blocks.where("range >= 0").select("range", "block", "asked", "times").unionByName(trained)
+    # two blocks a task, about, however many there are
+    buckets = max(buckets, -(-blocks.where("range = -1").count() // 2))
+    answers = arrow(laid(both, 2 * ranges), answer, "block long, range long, asked binary, told binary")
+    texts = blocks.where("range = -1").select("block", "range", *fields[4:])
+    back = answers.unionByName(texts, allowMissingColumns=True).select("block", "range", "asked", "told", *fields[4:])
+    return arrow(laid(back, buckets), total, f"doc_id {kind}, held_out boolean, n_words long, part double, n_known long, score double, fact boolean")
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 7, left: int = 2) -> Column:
@@ -359,29 +351,20 @@ def held_out(doc_id: str = "doc_id", parts: int = 7, left: int = 2) -> Column:
 
 def score(docs: DataFrame, order: int = 4, per_range: int = 1 << 22) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    docs = docs.select("doc_id", "text", held_out().alias("held_out"))
-    # the lowest bit of a row's key says whether it trains; equal rows share a key
-    hashed = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    key = F.expr("shiftleft(h, 1) | cast(not held_out as bigint)")
-    keyed = docs.withColumn("h", hashed).withColumn("key", F.when(key == 0, F.lit(2)).otherwise(key)).drop("h")
-    rows = saved(text_scores(keyed, order, per_range), "scores")
+    rows = saved(scored(docs.select("doc_id", "text", held_out().alias("held_out")), order, per_range), "scores")
     facts = rows.agg(
-        F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"),
-        F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1)), F.lit(0)).alias("tokens"),
-        F.count_if(~F.col("held_out")).alias("texts"),
+        F.coalesce(F.sum(F.when(F.col("fact"), F.col("n_words"))), F.lit(0)).alias("kinds"),
+        F.coalesce(F.sum(F.when(~F.col("fact") & ~F.col("held_out"), F.col("n_words") + 1)), F.lit(0)).alias("tokens"),
+        F.count_if(~F.col("fact") & ~F.col("held_out")).alias("texts"),
     ).first()
-    parts = saved(word_parts(keyed, facts["words"], per_range), "words")
-    kinds = (parts.where("key = 0").agg(F.sum("known")).first()[0] or 0) + (facts["texts"] > 0)
+    kinds = facts["kinds"] + (facts["texts"] > 0)
     per_token = F.log10(F.lit(float(facts["tokens"] + kinds + 1)))
     end = F.log10(F.lit(float(facts["texts"] + 1)))
-    # equal rows have put their sums together
-    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    each = parts.join(times, "key").select("key", (F.col("part") / F.col("times")).alias("part"), F.expr("known div times").alias("known"))
     n_tokens = F.col("n_words") + 1
-    return rows.join(each, "key", "left").select(
+    return rows.where("not fact").select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"),
-        (F.coalesce("known", F.lit(0)) + (1 if facts["texts"] else 0)).alias("n_known"),
+        (F.col("n_known") + (1 if facts["texts"] else 0)).alias("n_known"),
         F.lit(facts["tokens"]).cast("long").alias("train_tokens"),
-        (F.coalesce("part", F.lit(0.0)) + end - per_token * n_tokens).alias("base_score"),
+        (F.col("part") + end - per_token * n_tokens).alias("base_score"),
         "score",
     )
