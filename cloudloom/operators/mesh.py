@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import cross, dot, minus, norm, vec
+from cloudloom.operators.points import FEW, _offsets, with_cell
+from cloudloom.plans.scratch import saved
 
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -137,18 +139,43 @@ def point_triangle_d2(p, a, b, c) -> Column:
     )
 
 
-def signed_distance(points: DataFrame, tri: DataFrame) -> DataFrame:
+def _nearest_face(both: DataFrame) -> DataFrame:
+    """pid, d, fid of the nearest of the faces each point is joined with."""
+    d2 = point_triangle_d2(vec(""), vec("a"), vec("b"), vec("c"))
+    side = dot(minus(vec(""), vec("a")), vec("n"))
+    best = both.select("pid", "fid", d2.alias("d2"), side.alias("side")).groupBy("pid").agg(F.min_by(F.struct("d2", "side", "fid"), F.struct(F.round("d2", 12), "fid")).alias("b"))
+    return best.select("pid", (F.sqrt("b.d2") * F.when(F.col("b.side") < 0, -1.0).otherwise(1.0)).alias("d"), F.col("b.fid").alias("fid"))
+
+
+def signed_distance(points: DataFrame, tri: DataFrame, cell: float | None = None) -> DataFrame:
     """pid, distance to the nearest face, positive on the side of its normal.
 
-    ``tri`` is a model: its faces are few against the points and sent to every task.
+    Faces lie in the grid cells their boxes touch, points look at their own cell and the 26
+    around it: a distance up to the cell size is certain. Points further away try again in
+    cells twice as large (``cell``: to begin with the mean size of a face's box, a 16th of the largest at least); the last few
+    of a fixed number are sent to the faces. Without faces there are no rows.
     """
-    faces = with_face_normals(tri).select("fid", *[f"{k}{n}" for k in "abc" for n in "xyz"], "nx", "ny", "nz")
-    both = points.select("pid", "x", "y", "z").crossJoin(F.broadcast(faces))
-    d2 = point_triangle_d2(vec(""), vec("a"), vec("b"), vec("c"))
-    side = dot(minus(vec(""), vec("a")), vec("n"))
-    both = both.select("pid", "fid", d2.alias("d2"), side.alias("side"))
-    best = both.groupBy("pid").agg(F.min_by(F.struct("d2", "side", "fid"), F.struct(F.round("d2", 12), "fid")).alias("b"))
-    return best.select("pid", (F.sqrt("b.d2") * F.when(F.col("b.side") < 0, -1.0).otherwise(1.0)).alias("d"), "b.fid")
+    faces = saved(with_face_normals(tri).select("fid", *[f"{k}{n}" for k in "abc" for n in "xyz"], "nx", "ny", "nz"), "faces")
+    ends = {n: [f(*[F.col(f"{k}{n}") for k in "abc"]) for f in (F.least, F.greatest)] for n in "xyz"}
+    extent = F.greatest(*[high - low for low, high in ends.values()])
+    # no face lies in more than a few thousand cells
+    size = cell or faces.agg(F.greatest(F.avg(extent), F.max(extent) / 16)).first()[0]
+    left, done = points.select("pid", "x", "y", "z").dropna(), None
+    while True:
+        if size is None or left.limit(FEW + 1).count() <= FEW:
+            last = _nearest_face(faces.crossJoin(F.broadcast(left.limit(FEW))))  # so many points at most
+            return last if done is None else done.unionByName(last)
+        size = max(float(size), 1e-9)
+        keyed = faces
+        for n, (low, high) in ends.items():
+            keyed = keyed.withColumn(f"g{n}", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+        asked = with_cell(left, size, prefix="g").withColumn("o", F.explode(_offsets()))
+        asked = asked.select("pid", "x", "y", "z", *[(F.col(f"g{n}") + F.col(f"o.{o}")).alias(f"g{n}") for n, o in zip("xyz", "ijk", strict=True)])
+        near = _nearest_face(asked.join(keyed, ["gx", "gy", "gz"]))
+        sure = saved(near.where(F.abs("d") <= size), "near")
+        done = sure if done is None else done.unionByName(sure)
+        left = saved(left.join(sure.select("pid"), "pid", "left_anti"), "left")
+        size *= 2
 
 
 def merge_runs(segments: DataFrame, gap: float = 0.08) -> DataFrame:

@@ -2,12 +2,16 @@
 
 Neighbour searches are grid-keyed equi-joins: a query point meets the points of its
 cell and the 26 around it. A k-nearest answer is final when its k-th distance does not
-exceed the cell size; the few points left try again in cells twice as large. No step
-collects points or compares all pairs.
+exceed the cell size; the points left try again in cells twice as large, and the last
+few of a fixed number are compared with all points where these lie.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,33 +88,75 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, inclusive: bo
     return both.where(F.col("d2") <= radius * radius if inclusive else F.col("d2") < radius * radius)
 
 
+#: So many query points at most are sent to all tasks and compared with every point.
+FEW = 2_048
+
+
+def _nearest_of_few(few: DataFrame, points: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """(pid, nid, d2, rk) of at most ``FEW`` query points: each task keeps its own k nearest, which then meet."""
+    spark = few.sparkSession
+    rows = few.select("pid", *XYZ).dropna().toArrow()
+    ids = rows.column("pid").to_numpy()
+    at = np.stack([rows.column(c).to_numpy() for c in XYZ]) if len(ids) else np.zeros((3, 0))
+    sent = spark.sparkContext.broadcast((ids, at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, at = sent.value
+        best_d, best_n = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1_024):
+                part = batch.slice(a, 1_024)
+                nid = part.column("pid").to_numpy(zero_copy_only=False)
+                x, y, z = (part.column(c).to_numpy(zero_copy_only=False) for c in XYZ)
+                # the same sum in the same order as in the grid search
+                dx, dy, dz = at[0][:, None] - x[None], at[1][:, None] - y[None], at[2][:, None] - z[None]
+                d2 = dx * dx + dy * dy + dz * dz
+                if skip_self:
+                    d2[ids[:, None] == nid[None]] = np.inf
+                d2[np.isnan(d2)] = np.inf
+                d, n = np.concatenate([best_d, d2], axis=1), np.concatenate([best_n, np.broadcast_to(nid, d2.shape)], axis=1)
+                order = np.lexsort((n, d), axis=1)[:, :k]
+                best_d, best_n = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
+        there = np.isfinite(best_d)
+        pid = np.broadcast_to(ids[:, None], best_d.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(pid[there]), pa.array(best_n[there]), pa.array(best_d[there])], names=["pid", "nid", "d2"])
+
+    near = points.select(F.col("pid").cast("long").alias("pid"), *XYZ).where("pid is not null").mapInArrow(run, "pid long, nid long, d2 double")
+    ranked = near.withColumn("rk", F.row_number().over(W.partitionBy("pid").orderBy("d2", "nid")))
+    return ranked.where(F.col("rk") <= k)
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, skip_self: bool = False) -> DataFrame:
-    """(pid, nid, d2, rk): the k nearest points of each query, ties by nid; all points if there are fewer."""
-    box = points.agg(*[(F.max(n) - F.min(n)).alias(n) for n in XYZ]).first()
-    far = queries.agg(*[F.min(n).alias(f"a{n}") for n in XYZ], *[F.max(n).alias(f"b{n}") for n in XYZ]).first()
-    if box is None or box["x"] is None or far["ax"] is None:
-        return queries.sparkSession.createDataFrame([], "pid long, nid long, d2 double, rk int")
-    both = queries.select(*XYZ).unionByName(points.select(*XYZ)).agg(*[(F.max(n) - F.min(n)).alias(n) for n in XYZ]).first()
-    reach = max(both)
+    """(pid, nid, d2, rk): the k nearest points of each query, ties by nid; all points if there are fewer.
+
+    Query points whose k-th neighbour is not certain in the grid try again in cells twice as
+    large; the last ``FEW`` of them are compared with all points in one pass without a shuffle.
+    """
     left, done, size = queries.select("pid", *XYZ), None, float(cell)
     while True:
+        if left.limit(FEW + 1).count() <= FEW:
+            last = _nearest_of_few(left, points, k, skip_self)
+            return last if done is None else done.unionByName(last)
         pairs = radius_pairs(left, points, size)
         if skip_self:
             pairs = pairs.where("pid <> nid")
-        last = size > 2 * reach
-        ranked = pairs.withColumn("rk", F.row_number().over(W.partitionBy("pid").orderBy("d2", "nid"))).where(F.col("rk") <= k)
-        if last:
-            return ranked if done is None else done.unionByName(ranked)
-        ranked = saved(ranked, "knn")
+        ranked = saved(pairs.withColumn("rk", F.row_number().over(W.partitionBy("pid").orderBy("d2", "nid"))).where(F.col("rk") <= k), "knn")
         full = ranked.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("pid")
         final = ranked.join(full, "pid", "left_semi")
         done = final if done is None else done.unionByName(final)
-        left = saved(left.join(full, "pid", "left_anti"), "left")
-        if left.isEmpty():
-            return done
+        before, left = left, saved(left.join(full, "pid", "left_anti"), "left")
+        # a cell as large as the whole cloud finds all there is
+        if size > _reach(before, points):
+            return done.unionByName(ranked.join(full, "pid", "left_anti"))
         size *= 2
 
 
+def _reach(queries: DataFrame, points: DataFrame) -> float:
+    """Twice the largest side of the box around both."""
+    both = queries.select(*XYZ).unionByName(points.select(*XYZ)).agg(*[(F.max(n) - F.min(n)).alias(n) for n in XYZ]).first()
+    return 2 * max(x or 0.0 for x in both)
+
+
 def local_spacing(points: DataFrame, k: int = 8, cell: float = 1.0) -> DataFrame:
     """pid and the mean distance to its k nearest others."""
     return knn(points, points, k, cell, skip_self=True).groupBy("pid").agg(F.avg(F.sqrt("d2")).alias("spacing"))

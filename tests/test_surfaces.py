@@ -272,3 +272,44 @@ def test_projection_and_back(spark):
     for r in solids.unprojected(solids.pinhole(rows), 8).collect():
         want = np.array([r["cx"], r["cy"], r["cz"]]) / np.linalg.norm([r["cx"], r["cy"], r["cz"]])
         assert np.allclose([r["dx"], r["dy"], r["dz"]], want, atol=1e-6)
+
+
+# ------------------------------------------------------------ searches that change their way with the size
+
+
+@pytest.mark.parametrize("few", [0, 30, 2_048])
+def test_nearest_neighbours_either_way(spark, monkeypatch, few):
+    from cloudloom.operators import points
+
+    monkeypatch.setattr(points, "FEW", few)
+    r = np.random.default_rng(13)
+    p = np.vstack([r.normal(0, 0.1, (200, 3)), r.uniform(-3, 3, (60, 3)), [[0.0, 0, 0]] * 3])
+    d = ((p[:, None] - p[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)): k + 1 for i in range(len(p)) for k, j in enumerate(np.lexsort((np.arange(len(p)), d[i]))[:5])}
+    own = cloud(spark, p)
+    got = {(x["pid"], x["nid"]): x["rk"] for x in points.knn(own, own, 5, 0.2, skip_self=True).collect()}
+    assert got == want
+    assert points.knn(own.limit(0), own, 5, 0.2).count() == 0 and points.knn(own.limit(2), own.limit(0), 5, 0.2).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 2_048])
+def test_distance_to_faces_either_way(spark, monkeypatch, few):
+    from cloudloom.operators import mesh
+
+    monkeypatch.setattr(mesh, "FEW", few)
+    items = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), (1, 4.0, 0.0, 0.0, 5.0, 1.0, 1.0)], "item long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    faces, vertices = solids.boxes(items)
+    r = np.random.default_rng(14)
+    p = r.uniform(-1, 6, (80, 3))
+
+    def away(q, low):
+        inside = np.minimum(q - [low, 0, 0], [low + 1, 1, 1] - q)
+        out = np.maximum(-inside, 0)
+        return -inside.min() if (inside > 0).all() else np.linalg.norm(out)
+
+    got = {x["pid"]: x["d"] for x in mesh.signed_distance(cloud(spark, p), corners(faces, vertices)).collect()}
+    for i, q in enumerate(p):
+        want = min((away(q, low) for low in (0.0, 4.0)), key=abs)
+        assert abs(got[i]) == pytest.approx(abs(want), abs=1e-9) and (want > 0 or got[i] <= 0)
+    assert mesh.signed_distance(cloud(spark, p).limit(0), corners(faces, vertices)).count() == 0
