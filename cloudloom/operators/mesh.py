@@ -90,13 +90,18 @@ def weld(faces: DataFrame, vertices: DataFrame, tolerance: float) -> tuple[DataF
     return out, vertices.join(kept.select(F.col("to").alias("vid")), "vid", "left_semi")
 
 
-def merge(parts: list[tuple[DataFrame, DataFrame]], shift: int = 1 << 40) -> tuple[DataFrame, DataFrame]:
-    """Union of (faces, vertices) parts; ids of part k are offset by k times ``shift``."""
+def merge(parts: list[tuple[DataFrame, DataFrame]], shift: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Union of (faces, vertices) parts; ids of each part start behind the largest of those before, or at multiples of ``shift``."""
     faces = vertices = None
+    face_at = vertex_at = 0
     for k, (f, v) in enumerate(parts):
-        f = f.withColumns({c: F.col(c) + k * shift for c in ("fid", "a", "b", "c")})
-        v = v.withColumn("vid", F.col("vid") + k * shift)
+        if shift is not None:
+            face_at = vertex_at = k * shift
+        most = (f.agg(F.max("fid")).first()[0], v.agg(F.max("vid")).first()[0]) if shift is None else (0, 0)
+        f = f.withColumns({c: F.col(c) + at for c, at in (("fid", face_at), *((c, vertex_at) for c in "abc"))})
+        v = v.withColumn("vid", F.col("vid") + vertex_at)
         faces, vertices = (f, v) if faces is None else (faces.unionByName(f), vertices.unionByName(v))
+        face_at, vertex_at = face_at + (most[0] or 0) + 1, vertex_at + (most[1] or 0) + 1
     return faces, vertices
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from cloudloom.functions.linalg import MOMENTS_SQL, cross, dot, eigen_sql, vec
 from cloudloom.operators import graph, mesh, parts, planes, points, registration, repair, search, shapes, solids
 from cloudloom.operators.points import XYZ
+from cloudloom.plans import reconstruct
 from cloudloom.plans.queries import E_SQL, FACES, FIT_SQL, TRI, VERTICES, B, O, box, embedded, orders_cloud, part_mesh, query, r6, rounded, view
 from cloudloom.plans.scratch import saved
+from cloudloom.sources import models
 
 # ---------------------------------------------------------------- planes
 
@@ -238,16 +240,18 @@ def mesh_islands(spark, sf_dir):
 
 
 @query(f"""
-WITH v AS ({VERTICES}), f AS ({FACES}), e AS (SELECT a AS u, b AS w FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT c, a FROM f),
+WITH v AS (SELECT vid, x * sqrt(2e0) AS x, y * sqrt(2e0) AS y, z * sqrt(2e0) AS z FROM ({VERTICES}) q), f AS ({FACES}), e AS (SELECT a AS u, b AS w FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT c, a FROM f),
 d AS (SELECT u, w FROM e UNION ALL SELECT w, u FROM e),
 m AS (SELECT d.u AS vid, avg(x) mx, avg(y) my, avg(z) mz FROM d JOIN v ON v.vid = d.w GROUP BY 1),
 a AS (SELECT vid, coalesce(x + 5e-1 * (mx - x), x) x, coalesce(y + 5e-1 * (my - y), y) y, coalesce(z + 5e-1 * (mz - z), z) z FROM v LEFT JOIN m USING (vid)),
 n AS (SELECT d.u AS vid, avg(x) mx, avg(y) my, avg(z) mz FROM d JOIN a ON a.vid = d.w GROUP BY 1),
 b AS (SELECT vid, coalesce(x - 53e-2 * (mx - x), x) x, coalesce(y - 53e-2 * (my - y), y) y, coalesce(z - 53e-2 * (mz - z), z) z FROM a LEFT JOIN n USING (vid))
-SELECT vid, round(x, 9) + 0e0 AS x, round(y, 9) + 0e0 AS y, round(z, 9) + 0e0 AS z FROM b""")
+SELECT vid, {r6('x', 'y', 'z')} FROM b""")
 def smoothed_mesh(spark, sf_dir):
     faces, vertices = part_mesh(spark, sf_dir)
-    return rounded(repair.taubin(faces, vertices, 1), 9)
+    # scaled by an irrational number, so that no sixth digit lies on the edge of rounding
+    scaled = vertices.withColumns({c: F.col(c) * F.sqrt(F.lit(2.0)) for c in XYZ})
+    return rounded(repair.taubin(faces, scaled, 1))
 
 
 @query(f"""
@@ -294,10 +298,18 @@ WITH v AS ({VERTICES}), f AS ({FACES}), m AS (SELECT s AS part, fid + s * 109951
 SELECT m.fid, m.a, v.x + 0e0 AS x FROM m JOIN v ON v.vid + m.part * 1099511627776 = m.a""")
 def merged_meshes(spark, sf_dir):
     one = part_mesh(spark, sf_dir)
-    faces, vertices = mesh.merge([one, one])
+    faces, vertices = mesh.merge([one, one], 1 << 40)
     return faces.join(vertices.select(F.col("vid").alias("a"), "x"), "a").select("fid", "a", "x")
 
 
+@query(f"""
+WITH v AS ({VERTICES}), f AS ({FACES}), n AS (SELECT vid, row_number() OVER (ORDER BY vid) AS i, x, y, z FROM v)
+SELECT 0 AS part, vid AS id, printf('v %.6f %.6f %.6f', x, y, z) AS line FROM n
+UNION ALL SELECT 1, fid, printf('f %d %d %d', a.i, b.i, c.i) FROM f JOIN n a ON a.vid = f.a JOIN n b ON b.vid = f.b JOIN n c ON c.vid = f.c""")
+def obj_text(spark, sf_dir):
+    return models.obj_lines(*part_mesh(spark, sf_dir))
+
+
 @query("SELECT l_suppkey AS key, min(l_orderkey) AS first, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
 def unique_keys(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("key"), "l_orderkey")
@@ -448,3 +460,13 @@ s(node, root, step) USING KEY (node) AS (SELECT pid, pid, 0 FROM p UNION
 SELECT node AS pid, root AS cluster FROM s""")
 def radius_clusters(spark, sf_dir):
     return parts.radius_clusters(embedded(spark, sf_dir), 0.06).select("pid", "cluster")
+
+
+# ---------------------------------------------------------------- end to end
+
+
+@query("SELECT * FROM (VALUES ('ceiling', 1::BIGINT), ('floor', 1::BIGINT), ('wall', 4::BIGINT)) t(class, n)")
+def reconstructed_room(spark, sf_dir):
+    """Classes of the surfaces rebuilt from the room's points alone, preprocessing to outlines."""
+    found, _, _ = reconstruct.surfaces(box(spark, sf_dir), reconstruct.settings("indoor", voxel_size=0.0, edge_artifact_filter=False, distance_threshold=0.03))
+    return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"))

@@ -44,11 +44,11 @@ class Table:
 
 
 def ply_header(path: str) -> Table:
-    """Vertices must come first and have no list properties."""
+    """Where the vertices are; elements before them are passed over, a vertex has no list properties."""
     with open(path, "rb") as f:
         if f.readline().strip() != b"ply":
             raise ValueError(f"{path}: not a PLY file")
-        order, props, count, element = "", [], 0, ""
+        order, elements = "", []
         while (line := f.readline()) and line.strip() != b"end_header":
             word = line.decode("ascii", "replace").split()
             if not word:
@@ -56,15 +56,36 @@ def ply_header(path: str) -> Table:
             if word[0] == "format":
                 order = {"ascii": "", "binary_little_endian": "<", "binary_big_endian": ">"}[word[1]]
             elif word[0] == "element":
-                if word[1] != "vertex" and not props:
-                    raise ValueError(f"{path}: vertices are not the first element")
-                element, count = word[1], int(word[2]) if word[1] == "vertex" else count
-            elif word[0] == "property" and element == "vertex":
-                if word[1] == "list":
-                    raise ValueError(f"{path}: a vertex has a list property")
-                props.append((NAMES.get(word[2], word[2]), PLY_TYPES[word[1]]))
-        dtype = np.dtype([(n, order + t) for n, t in props]) if order else None
-        return Table(f.tell(), dtype, tuple(n for n, _ in props), count)
+                elements.append((word[1], int(word[2]), []))
+            elif word[0] == "property":
+                elements[-1][2].append(word[1:])
+        for name, count, props in elements:
+            if name == "vertex":
+                break
+            _pass_over(f, order, count, props)
+        else:
+            raise ValueError(f"{path}: no vertices")
+        if any(x[0] == "list" for x in props):
+            raise ValueError(f"{path}: a vertex has a list property")
+        kept = [(NAMES.get(n, n), PLY_TYPES[k]) for k, n in props]
+        dtype = np.dtype([(n, order + t) for n, t in kept]) if order else None
+        return Table(f.tell(), dtype, tuple(n for n, _ in kept), count)
+
+
+def _pass_over(f, order: str, count: int, props: list[list[str]]) -> None:
+    """Skip an element's records; lists are read for their lengths alone."""
+    if not order:
+        for _ in range(count):
+            f.readline()
+        return
+    width = lambda k: int(PLY_TYPES[k][1:])
+    if all(x[0] != "list" for x in props):
+        f.seek(count * sum(width(x[0]) for x in props), 1)
+        return
+    for _ in range(count):
+        for x in props:
+            n = int(np.frombuffer(f.read(width(x[1])), order + PLY_TYPES[x[1]])[0]) if x[0] == "list" else 1
+            f.seek(n * width(x[2] if x[0] == "list" else x[0]), 1)
 
 
 def pcd_header(path: str) -> Table:
@@ -156,7 +177,10 @@ class CloudReader(DataSourceReader):
         if "rgb" in got:
             packed = got["rgb"].astype(np.float32).view(np.uint32) if got["rgb"].dtype.kind == "f" else got["rgb"].astype(np.uint32)
             got |= {"r": packed >> 16 & 255, "g": packed >> 8 & 255, "b": packed & 255}
-        return _columns(got, first, names)
+        batch = _columns(got, first, names)
+        # a scanner marks points without a return by NaN
+        whole = np.isfinite(got["x"].astype(float)) & np.isfinite(got["y"].astype(float)) & np.isfinite(got["z"].astype(float))
+        return batch if whole.all() else batch.filter(pa.array(whole))
 
 
 def wanted(table: Table) -> set[str]:
@@ -199,15 +223,17 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     """xyz, pts, csv or asc text: 3 columns, 4 (and intensity), 6 (and colour) or 7 and more (intensity, colour).
 
     Lines that are no numbers (headers, counts) are left out; numbers are separated by
-    white space, commas or semicolons. The widest line that is not the only one of its
-    kind tells the layout.
+    white space, commas or semicolons. The commonest width tells the layout; narrower lines
+    have nulls, and ``pid`` follows the order of the lines but has gaps.
     """
     number = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
     lines = spark.read.text(path).select(F.split(F.trim("value"), r"[\s,;]+").alias("w"))
     good = lines.where(F.forall("w", lambda x: x.rlike(f"^{number}$")) & (F.size("w") >= 3))
     width = good.agg(F.mode(F.size("w"))).first()[0] or 3
     names = ["x", "y", "z"] + (["intensity", "r", "g", "b"] if width >= 7 else ["r", "g", "b"] if width == 6 else ["intensity"] if width >= 4 else [])
-    return good.select(*[F.element_at("w", i + 1).cast("double").alias(n) for i, n in enumerate(names)])
+    # a line narrower than most keeps what it has
+    numbered = good.select(F.monotonically_increasing_id().alias("pid"), *[F.try_element_at("w", F.lit(i + 1)).cast("double").alias(n) for i, n in enumerate(names)])
+    return numbered
 
 
 def read_cloud(spark: SparkSession, path: str) -> DataFrame:
@@ -219,3 +245,19 @@ def read_cloud(spark: SparkSession, path: str) -> DataFrame:
     if kind in ("xyz", "pts", "txt", "csv", "asc"):
         return read_text(spark, path)
     raise ValueError(f"no reader for .{kind}")
+
+
+def header_facts(path: str) -> tuple[int | None, bool | None]:
+    """(points, whether they have colour) from the header alone; None where a header does not tell."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind not in HEADERS:
+        return None, None
+    table = HEADERS[kind](path)
+    return table.count, {"r", "g", "b"} <= wanted(table)
+
+
+def grey_probe(cloud: DataFrame, rows: int = 4_000) -> bool:
+    """Whether the first ``rows`` points (a probe, by pid) have no colour of their own: channels within a 100th of the peak."""
+    first = cloud.orderBy("pid").limit(rows)
+    peak, apart = first.agg(F.max(F.greatest("r", "g", "b")), F.max(F.greatest(F.abs(F.col("r") - F.col("g")), F.abs(F.col("g") - F.col("b"))))).first()
+    return peak is None or apart <= max(2.0, peak / 100)
