@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cloudloom.functions.catalogs import sections, stock
 from cloudloom.functions.linalg import moments
 from cloudloom.operators.graph import components
-from cloudloom.operators.planes import footprint_overlaps
+from cloudloom.operators.planes import footprint_overlaps, intersection_lines, pairs
 from cloudloom.operators.points import XYZ, radius_pairs
 from cloudloom.operators.search import _NORMAL, _taken, largest_pieces
 from cloudloom.operators.series import match_profiles, nearest_stock
@@ -309,9 +309,9 @@ def plates(points: DataFrame, planes: DataFrame, threshold: float, max_thickness
     a = F.broadcast(facts.select(F.col("plane_id").alias("i"), *[F.col(c).alias(f"a{c}") for c in (*_NORMAL, "d")]))
     own = points.select("plane_id", *XYZ).join(F.broadcast(facts.select("plane_id", *_NORMAL)), "plane_id")
     cos = F.abs(sum(F.col(c) * F.col(f"a{c}") for c in _NORMAL))
-    pairs = own.join(a, (F.col("i") != F.col("plane_id")) & (cos >= math.cos(math.radians(3))))
+    facing = own.join(a, (F.col("i") != F.col("plane_id")) & (cos >= math.cos(math.radians(3))))
     off = sum(F.col(c) * F.col(f"an{c}") for c in XYZ) + F.col("ad")
-    gaps = pairs.groupBy("i", F.col("plane_id").alias("j")).agg(F.abs(F.percentile_approx(off, 0.5, 10_000)).alias("thickness"), F.stddev_pop(off).alias("spread"))
+    gaps = facing.groupBy("i", F.col("plane_id").alias("j")).agg(F.abs(F.percentile_approx(off, 0.5, 10_000)).alias("thickness"), F.stddev_pop(off).alias("spread"))
     gaps = gaps.where((F.col("thickness") >= 2.5 * threshold) & (F.col("thickness") <= max_thickness) & (F.col("spread") <= 3 * threshold))
     meet = {(r["i"], r["j"]) for r in footprint_overlaps(points, planes).where("overlaps").collect()}
     found = [r for r in gaps.collect() if (min(r["i"], r["j"]), max(r["i"], r["j"])) in meet]
@@ -324,3 +324,98 @@ def plates(points: DataFrame, planes: DataFrame, threshold: float, max_thickness
             used |= {i, r["j"]}
             out.append((i, r["j"], r["thickness"]))
     return nearest_stock(spark.createDataFrame(out, "i long, j long, thickness double"), stock(), value="thickness")
+
+
+# ---------------------------------------------------------------- sheet metal
+
+
+def seams(points: DataFrame, plates: DataFrame, contact: float, least: float = 0.02, most_cos: float = 0.97) -> DataFrame:
+    """(i, j, ax .. bz, length): stretches in which two plates that are not near parallel both lie by their common line.
+
+    ``plates``: (plane_id, nx, ny, nz, d), the middle plane of each; ``points``: (plane_id, x, y, z).
+    """
+    lines = intersection_lines(plates).where(F.abs("dx").isNotNull())
+    cos = pairs(plates).select(F.col("a_plane_id").alias("i"), F.col("b_plane_id").alias("j"), F.abs(sum(F.col(f"a_n{c}") * F.col(f"b_n{c}") for c in XYZ)).alias("cos"))
+    lines = saved(lines.join(cos.where(F.col("cos") <= most_cos), ["i", "j"]), "lines")
+    both = lines.withColumn("side", F.explode(F.array("i", "j")))
+    own = points.select("plane_id", *XYZ).join(F.broadcast(both), F.col("plane_id") == F.col("side"))  # plates of a model
+    way = [F.col(c) - F.col(f"p{c}") for c in XYZ]
+    t = sum(w * F.col(f"d{c}") for w, c in zip(way, XYZ, strict=True))
+    near = own.withColumn("t", t).where(sum(w * w for w in way) - t * t <= contact * contact)
+    reach = near.groupBy("i", "j", "side").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    met = reach.groupBy("i", "j").agg(F.count(F.lit(1)).alias("sides"), F.max("t0").alias("t0"), F.min("t1").alias("t1")).where(F.col("sides") == 2)
+    met = met.withColumn("length", F.col("t1") - F.col("t0")).where(F.col("length") >= least).join(lines, ["i", "j"])
+    ends = [(F.col(f"p{c}") + F.col(f"d{c}") * F.col(k)).alias(f"{e}{c}") for e, k in (("a", "t0"), ("b", "t1")) for c in XYZ]
+    return met.select("i", "j", *ends, "length")
+
+
+def _to_outline(p: np.ndarray, outline: np.ndarray) -> float:
+    """Distance of a point to the border of a loop in space."""
+    a, way = outline, np.roll(outline, -1, axis=0) - outline
+    t = np.clip(((p - a) * way).sum(axis=1) / np.maximum((way * way).sum(axis=1), 1e-18), 0, 1)
+    return float(np.linalg.norm(a + t[:, None] * way - p, axis=1).min())
+
+
+def junctions(plates: list[dict], found: list[dict], reach: float = 3.0) -> list[str]:
+    """corner where a seam's middle lies by the border of both plates, else tee.
+
+    Plates of a model: id, outline (n x 3), thickness, normal, area; seams: i, j, a, b.
+    """
+    by_id = {p["id"]: p for p in plates}
+    middle = [(s, (s["a"] + s["b"]) / 2) for s in found]
+    return ["corner" if all(_to_outline(m, by_id[s[k]]["outline"]) <= reach * by_id[s[k]]["thickness"] for k in ("i", "j")) else "tee" for s, m in middle]
+
+
+def unfold(plates: list[dict], found: list[dict], k_factor: float = 0.44, inner: float | None = None) -> list[dict]:
+    """Flat parts of plates joined at corners: ids, loops in the plane, bend lines and angles, thickness.
+
+    Plates of unlike gauge (25 %) stay apart. A part lies in the plane of its largest plate; the
+    others turn about their seams, longest first, each moved out by the bend allowance
+    angle * (inner radius + k_factor * thickness).
+    """
+    by_id = {p["id"]: p for p in plates}
+    bends = [
+        s for s, kind in zip(found, junctions(plates, found), strict=True)
+        if kind == "corner" and abs(by_id[s["i"]]["thickness"] - by_id[s["j"]]["thickness"]) <= 0.25 * max(by_id[s["i"]]["thickness"], by_id[s["j"]]["thickness"])
+    ]
+    bends.sort(key=lambda s: -float(np.linalg.norm(s["b"] - s["a"])))
+    left, parts = set(by_id), []
+    while left:
+        base = max(sorted(left), key=lambda k: by_id[k]["area"])
+        plate = by_id[base]
+        u, v = frame(plate["normal"])
+        flat = {base: lambda p, o=plate["outline"][0], u=u, v=v: np.c_[(p - o) @ u, (p - o) @ v]}
+        part = {"ids": [base], "loops": {base: flat[base](plate["outline"])}, "bends": [], "angles": [], "thickness": plate["thickness"]}
+        while True:
+            hinge = next((s for s in bends if (s["i"] in flat) != (s["j"] in flat) and {s["i"], s["j"]} <= left), None)
+            if hinge is None:
+                break
+            known, new = (hinge["i"], hinge["j"]) if hinge["i"] in flat else (hinge["j"], hinge["i"])
+            a, b = flat[known](np.array([hinge["a"], hinge["b"]]))
+            along = (b - a) / np.linalg.norm(b - a)
+            out = np.array([-along[1], along[0]])
+            if (part["loops"][known].mean(axis=0) - a) @ out > 0:
+                out = -out
+            # seen along the hinge: how far the new plate turns away from going straight on
+            axis = (hinge["b"] - hinge["a"]) / np.linalg.norm(hinge["b"] - hinge["a"])
+            arms = []
+            for k in (known, new):
+                way = by_id[k]["outline"].mean(axis=0) - hinge["a"]
+                way = way - (way @ axis) * axis
+                arms.append(way / np.linalg.norm(way))
+            angle = math.pi - math.acos(max(-1.0, min(1.0, float(arms[0] @ arms[1]))))
+            allowance = angle * ((inner if inner is not None else plate["thickness"]) + k_factor * plate["thickness"])
+
+            def placed(p, h=hinge["a"], axis=axis, a=a, along=along, out=out, allowance=allowance):
+                t = (p - h) @ axis
+                away = np.linalg.norm((p - h) - t[:, None] * axis, axis=1)
+                return a + t[:, None] * along + (away + allowance)[:, None] * out
+
+            flat[new] = placed
+            part["ids"].append(new)
+            part["loops"][new] = placed(by_id[new]["outline"])
+            part["bends"].append((a + allowance / 2 * out, b + allowance / 2 * out))
+            part["angles"].append(math.degrees(angle))
+        left -= set(part["ids"])
+        parts.append(part | {"loops": [part["loops"][k] for k in part["ids"]]})
+    return parts

@@ -9,6 +9,8 @@ faces keeps its place; empty meshes give empty results.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,3 +186,60 @@ def oriented_faces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     rest = [c for c in faces.columns if c not in ("a", "b", "c")]
     out = both.join(chosen, ["fid", "turn"]).select("fid", "a", "b", "c", F.col("turn").alias("turned"))
     return out.join(faces.select(*rest), "fid") if len(rest) > 1 else out
+
+
+def snapped_to_planes(vertices: DataFrame, normals: DataFrame, surfaces: DataFrame, voxel: float, degrees: float = 32.0) -> DataFrame:
+    """Vertices on a surface moved onto it, those on two that are not near parallel onto their common line.
+
+    ``normals``: (vid, nx, ny, nz); ``surfaces``: (plane_id, nx, ny, nz, d, x0 .. z1), few against
+    the vertices. A vertex belongs to a surface within 0.8 ``voxel`` of its plane and two of its
+    box; the first two by plane_id count. A single surface must also face as the vertex does.
+    """
+    s = surfaces.select("plane_id", *[F.col(f"n{c}").alias(f"s{c}") for c in XYZ], F.col("d").alias("sd"), *[f"{c}{k}" for c in XYZ for k in (0, 1)])
+    inside = [F.col(c).between(F.col(f"{c}0") - 2 * voxel, F.col(f"{c}1") + 2 * voxel) for c in XYZ]
+    off = dot(vec(""), vec("s")) + F.col("sd")
+    on = vertices.join(F.broadcast(s), inside[0] & inside[1] & inside[2] & (F.abs(off) < 0.8 * voxel))
+    held = on.groupBy("vid").agg(F.slice(F.sort_array(F.collect_list(F.struct("plane_id", "sx", "sy", "sz", "sd"))), 1, 2).alias("p"))
+    both = vertices.join(held, "vid", "left").join(normals.select("vid", *[F.col(f"n{c}").alias(f"w{c}") for c in XYZ]), "vid", "left")
+    one, two = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    both = both.withColumns({f"a{c}": one[f"s{c}"] for c in XYZ} | {f"b{c}": two[f"s{c}"] for c in XYZ})
+    both = both.withColumns({"ea": dot(vec(""), vec("a")) + one["sd"], "eb": dot(vec(""), vec("b")) + two["sd"], "c": dot(vec("a"), vec("b"))})
+    # the nearest point of both planes, or of the first
+    det = 1 - F.col("c") * F.col("c")
+    cross_ = F.col("eb").isNotNull() & (F.abs("c") < 0.95)
+    p, q = (F.col("ea") - F.col("c") * F.col("eb")) / det, (F.col("eb") - F.col("c") * F.col("ea")) / det
+    faces_it = F.coalesce(F.abs(dot(vec("w"), vec("a"))) >= math.cos(math.radians(degrees)), F.lit(False))
+    moved = {}
+    for c in XYZ:
+        line = F.col(c) - p * F.col(f"a{c}") - q * F.col(f"b{c}")
+        flat = F.col(c) - F.col("ea") * F.col(f"a{c}")
+        moved[c] = F.when(cross_, line).when(F.col("ea").isNotNull() & faces_it, flat).otherwise(F.col(c))
+    return both.withColumn("snapped", F.coalesce(cross_ | (F.col("ea").isNotNull() & faces_it), F.lit(False))).withColumns(moved).select(*vertices.columns, "snapped")
+
+
+def snapped_to_cylinders(vertices: DataFrame, cylinders: DataFrame, voxel: float) -> DataFrame:
+    """Vertices within 0.8 ``voxel`` of a cylinder (cyl_id, px .. az, radius, length) moved onto it, the first by cyl_id."""
+    k = cylinders.select("cyl_id", *[F.col(f"{p}{c}").alias(f"k{p}{c}") for p in "pa" for c in XYZ], "radius", "length")
+    way = tuple(F.col(c) - F.col(f"kp{c}") for c in XYZ)
+    t = dot(way, vec("ka"))
+    far = F.sqrt(F.greatest(dot(way, way) - t * t, F.lit(0.0)))
+    on = vertices.join(F.broadcast(k), (F.abs(t) <= F.col("length") / 2) & (F.abs(far - F.col("radius")) < 0.8 * voxel) & (far > 1e-9))
+    to = [(F.col(f"kp{c}") + F.col(f"ka{c}") * t + (w - F.col(f"ka{c}") * t) * F.col("radius") / far).alias(f"m{c}") for c, w in zip(XYZ, way, strict=True)]
+    best = on.select("vid", "cyl_id", *to).groupBy("vid").agg(F.min_by(F.struct(*[f"m{c}" for c in XYZ]), "cyl_id").alias("m"))
+    both = vertices.join(best, "vid", "left")
+    return both.withColumns({c: F.coalesce(F.col(f"m.m{c}"), F.col(c)) for c in XYZ}).drop("m")
+
+
+def panes(holes: DataFrame, inward: float = 0.04, least: float = 0.04, most: float = 25.0) -> DataFrame:
+    """Triangles (hole, k, ax .. cz) that glaze openings (hole, nx, ny, nz, area, loop of x, y, z): a fan about the centre, set back."""
+    fit = holes.where(F.abs("area").between(least, most))
+    n = F.size("loop")
+
+    def middle(c: str):
+        return F.aggregate("loop", F.lit(0.0), lambda s, x: s + x[c]) / n
+
+    centre = {c: middle(c) for c in XYZ}
+    fit = fit.withColumns({f"m{c}": e for c, e in centre.items()}).withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
+    a, b = F.get("loop", F.col("k")), F.get("loop", (F.col("k") + 1) % n)
+    at = [(e - F.col(f"n{c}") * inward).alias(f"{p}{c}") for p, f in (("a", lambda c: F.col(f"m{c}")), ("b", lambda c: a[c]), ("c", lambda c: b[c])) for c in XYZ for e in [f(c)]]
+    return fit.select("hole", "k", *at)

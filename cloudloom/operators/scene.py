@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.functions.linalg import moments, with_eigen
+from cloudloom.operators.graph import grid_components
+from cloudloom.plans.scratch import saved
+
 
 def terrain(points: DataFrame, cell: float = 0.5, share: float = 0.05, passes: int = 6) -> DataFrame:
     """(cx, cy, ground): per cell the point at index floor(share * n) of the sorted heights, then slope limits.
@@ -65,3 +69,68 @@ def carve_votes(points: DataFrame, view: tuple[float, float, float], az: int = 5
     wall = at.groupBy("az", "el").agg(F.percentile("r", F.lit(0.6)).alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 6")
     both = at.join(wall, ["az", "el"])
     return both.select("pid", (F.col("r") < F.col("c") - F.greatest(F.lit(0.25), F.col("c") * 0.05)).alias("passed"))
+
+
+def classify(points: DataFrame, cell: float = 0.5, band: float = 0.2, voxel: float = 0.3, least: int = 40) -> DataFrame:
+    """(pid, class) of points with x, y, z and, where known, r, g, b: ground, vehicle, vegetation, bars or rest.
+
+    Ground lies less than ``band`` above the terrain. What is above falls into connected clusters
+    of ``voxel`` cells, judged by their extent, shape and greenness; a point whose cell has no
+    terrain is rest, and so are clusters of fewer than ``least`` points. Shapes come from
+    aggregates, so a cluster may be as large as it likes.
+    """
+    ground = saved(terrain(points, cell), "terrain")
+    high = saved(points.join(height_above(points, ground, cell), "pid", "left"), "heights")
+    above = high.where(F.coalesce(F.col("height") >= band, F.lit(True)))
+    labels = saved(grid_components(above.select("pid", "x", "y", "z"), voxel), "clusters")
+    own = above.join(labels, "pid")
+    green = (F.col("g") * 2 - F.col("r") - F.col("b") > 24).cast("double") if {"r", "g", "b"} <= set(points.columns) else F.lit(0.0)
+    shape = with_eigen(moments(own, "label"))
+    shape = saved(shape.select("label", "n", *[F.sqrt(F.greatest(F.col(c), F.lit(1e-12))).alias(c) for c in ("l1", "l2", "l3")]), "shapes")
+    box = own.groupBy("label").agg(*[(F.max(c) - F.min(c)).alias(f"e{c}") for c in "xyz"], F.min("height").alias("low"), F.avg(green).alias("green"))
+    f = shape.join(box, "label")
+    foot = F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey"))
+    linear, round_ = (F.col("l1") - F.col("l2")) / F.col("l1"), F.col("l3") / F.col("l1")
+    kind = (
+        F.when(F.col("n") < least, "rest").when(F.col("green") > 0.3, "vegetation")
+        .when((foot > 12) | (F.col("ez") > 6) | (F.col("n") > 600_000), "rest")
+        .when((round_ > 0.35) & (F.col("ez") > 0.8) & (F.col("green") > 0.12), "vegetation")
+        .when((F.col("low") < 0.6) & F.col("ez").between(1, 3.2) & foot.between(1.4, 8) & (linear < 0.9) & (F.col("n") > 1_500), "vehicle")
+        .when((linear > 0.85) | (F.least("ex", "ey") < 0.35), "bars").otherwise("rest")
+    )
+    named = labels.join(f.select("label", kind.alias("class")), "label").select("pid", "class")
+    return high.where(F.col("height") < band).select("pid", F.lit("ground").alias("class")).unionByName(named)
+
+
+_CROSS = ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))
+
+
+def closed_cells(cells: DataFrame, times: int = 2) -> DataFrame:
+    """Cells (cx, cy) grown and shrunk again ``times`` cells through their four neighbours: small gaps are filled."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _CROSS])
+
+    def around(x: DataFrame) -> DataFrame:
+        return x.withColumn("o", F.explode(steps)).select((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+
+    cells = cells.select("cx", "cy").distinct()
+    for _ in range(times):
+        cells = around(cells).distinct()
+    for _ in range(times):
+        whole = around(cells).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(_CROSS))
+        cells = whole.select("cx", "cy")
+    return cells
+
+
+def terrain_mesh(points: DataFrame, cell: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(faces, vertices) of a grid over the observed cells of ground points; a vertex has the mean height of the cells around it."""
+    ground = saved(terrain(points, cell), "terrain")
+    seen = closed_cells(ground)
+    filled = spread(ground).groupBy("cx", "cy").agg(F.avg("near").alias("guess"))
+    grid = saved(seen.join(ground, ["cx", "cy"], "left").join(filled, ["cx", "cy"], "left").select("cx", "cy", F.coalesce("ground", "guess").alias("ground")).dropna(), "grid")
+    vid = lambda i, j: F.shiftleft(F.col("cx") + i + (1 << 30), 31) + F.col("cy") + j + (1 << 30)
+    corner = F.array(*[F.struct(vid(i, j).alias("vid"), ((F.col("cx") + i) * cell).alias("x"), ((F.col("cy") + j) * cell).alias("y")) for i in (0, 1) for j in (0, 1)])
+    ends = grid.select(F.explode(corner).alias("v"), "ground").select("v.*", "ground")
+    vertices = ends.groupBy("vid").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.avg("ground").alias("z"))
+    pair = F.array(F.struct(vid(0, 0).alias("a"), vid(1, 0).alias("b"), vid(1, 1).alias("c"), F.lit(0).alias("k")), F.struct(vid(0, 0).alias("a"), vid(1, 1).alias("b"), vid(0, 1).alias("c"), F.lit(1).alias("k")))
+    faces = grid.select(F.explode(pair).alias("f")).select((F.col("f.a") * 2 + F.col("f.k")).alias("fid"), "f.a", "f.b", "f.c", F.lit(0).alias("group_id"))
+    return faces, vertices

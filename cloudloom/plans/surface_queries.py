@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import MOMENTS_SQL, cross, dot, eigen_sql, vec
-from cloudloom.operators import graph, mesh, parts, planes, points, registration, repair, search, shapes, solids
+from cloudloom.operators import graph, mesh, parts, planes, points, registration, repair, scene, search, shapes, solids
 from cloudloom.operators.points import XYZ
 from cloudloom.plans import reconstruct
 from cloudloom.plans.queries import E_SQL, FACES, FIT_SQL, TRI, VERTICES, B, O, box, embedded, orders_cloud, part_mesh, query, r6, rounded, view
@@ -470,3 +470,23 @@ def reconstructed_room(spark, sf_dir):
     """Classes of the surfaces rebuilt from the room's points alone, preprocessing to outlines."""
     found, _, _ = reconstruct.surfaces(box(spark, sf_dir), reconstruct.settings("indoor", voxel_size=0.0, edge_artifact_filter=False, distance_threshold=0.03))
     return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Ground, a vehicle, a green tree and a pole, from lines of orders.
+SCENE = """
+SELECT pid, kind, CASE kind WHEN 'ground' THEN 12 * u WHEN 'vehicle' THEN 4 + 4.2e0 * u WHEN 'vegetation' THEN 10 + 8e-1 * (u - 5e-1) ELSE 2 + 4e-2 * u END AS x,
+       CASE kind WHEN 'ground' THEN 8 * v WHEN 'vehicle' THEN 3 + CASE WHEN w < 50 THEN 1.8e0 * v WHEN w < 75 THEN 0e0 ELSE 1.8e0 END WHEN 'vegetation' THEN 6 + 8e-1 * (v - 5e-1) ELSE 6 + 4e-2 * v END AS y,
+       CASE kind WHEN 'ground' THEN 2e-2 * s WHEN 'vehicle' THEN CASE WHEN w < 50 THEN 1.6e0 ELSE 4e-1 + 1.2e0 * v END WHEN 'vegetation' THEN 1 + 8e-1 * s ELSE 3 * s END AS z,
+       CASE WHEN kind = 'vegetation' THEN 40 ELSE 120 END AS r, CASE WHEN kind = 'vegetation' THEN 160 ELSE 120 END AS g, CASE WHEN kind = 'vegetation' THEN 40 ELSE 120 END AS b
+FROM (SELECT l_orderkey * 8 + l_linenumber + 1000000 * (l_partkey % 1000) + 1000000000 * (l_suppkey % 100) AS pid, CASE WHEN k < 50 THEN 'ground' WHEN k < 85 THEN 'vehicle' WHEN k < 92 THEN 'vegetation' ELSE 'bars' END AS kind, (k * 37) % 100 AS w, u, v, s
+      FROM (SELECT *, (l_partkey * 7919 + l_orderkey * 31 + l_linenumber * 17) % 100 AS k, ((l_orderkey * 104729 + l_linenumber * 1299709 + l_partkey) % 999979) / 999979e0 AS u,
+                   ((l_orderkey * 15485863 + l_linenumber * 7919 + l_suppkey) % 999983) / 999983e0 AS v, ((l_orderkey * 224737 + l_partkey * 5 + l_linenumber * 65537) % 999959) / 999959e0 AS s FROM lineitem) q0) q1"""
+
+
+@query("SELECT * FROM (VALUES ('bars', true), ('ground', true), ('vegetation', true), ('vehicle', true)) t(kind, found)")
+def scene_classes(spark, sf_dir):
+    """Whether nine in ten points of each thing in the scene got its class (those less than the band above ground aside)."""
+    p = saved(view(spark, sf_dir, SCENE, "lineitem").withColumn("pid", F.monotonically_increasing_id()), "scene")
+    found = scene.classify(p)
+    both = p.join(found, "pid").where("kind = 'ground' or z >= 0.4")
+    return both.groupBy("kind").agg((F.avg((F.col("kind") == F.col("class")).cast("double")) >= 0.9).alias("found"))
