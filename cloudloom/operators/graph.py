@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from cloudloom.plans.scratch import saved
 
 
+def joined(rows: DataFrame, own: DataFrame, key: str, times: str, total: int, share: int = 256) -> DataFrame:
+    """``rows`` with the columns of ``own``, which has a row per ``key`` and in ``times`` how many of ``rows`` have it.
+
+    ``total``: how many rows there are, or more. Keys of more than one in ``share`` of them number
+    fewer than ``share``, so they are sent to every task and their rows stay where they lie.
+    """
+    hot, rest = (own.where(F.col(times) * share > total).drop(times), own.where(F.col(times) * share <= total).drop(times))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node by edges (a, b)."""
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -15,10 +25,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = saved(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = saved(joined(both, low, "a", "n", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = joined(large, least, "a", "n", 2 * before[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = saved(least.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "small")
         after = mark(e)
         if after == before:
