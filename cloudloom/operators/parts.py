@@ -419,3 +419,67 @@ def unfold(plates: list[dict], found: list[dict], k_factor: float = 0.44, inner:
         left -= set(part["ids"])
         parts.append(part | {"loops": [part["loops"][k] for k in part["ids"]]})
     return parts
+
+
+# ---------------------------------------------------------------- gears
+
+
+def teeth(profile: np.ndarray, least: int = 8, most: int = 300) -> tuple[int, float] | None:
+    """Teeth of a profile of radii over even angles, and how far the peak stands out; None without a clear one."""
+    power = np.abs(np.fft.rfft(profile - profile.mean()))
+    most = min(most, len(power) - 1)
+    if most < least:
+        return None
+    z = least + int(power[least : most + 1].argmax())
+    # a profile of paired flanks peaks at twice the teeth
+    if z % 2 == 0 and z // 2 >= least and power[z // 2] > 0.5 * power[z]:
+        z //= 2
+    rest = np.ones(len(power), dtype=bool)
+    rest[:least] = False
+    for k in range(z, len(power), z):
+        rest[max(0, k - 1) : k + 2] = False
+    noise = float(np.median(power[least:]))
+    if power[z] <= 1e-9 * np.abs(profile).sum() or power[z] < 4 * noise or rest.any() and power[z] < 2 * power[rest].max():
+        return None
+    return z, float(power[z] / max(noise, 1e-12))
+
+
+def gears(points: DataFrame, by: str = "cluster", least: int = 500, bins: int = 1_024) -> DataFrame:
+    """(by, teeth, module, tip, root, width) of clusters that are spur gears: points (by, x, y, z).
+
+    The axis is the cluster's shortest or longest direction, whichever shows teeth more clearly. A
+    profile is the largest radius per angle; it and a few sums a cluster come to the driver.
+    """
+    spark = points.sparkSession
+    frames = []
+    for r in moments(points.select(by, *XYZ), by).where(F.col("n") >= least).collect():
+        m = np.array([[r["cxx"], r["cxy"], r["cxz"]], [r["cxy"], r["cyy"], r["cyz"]], [r["cxz"], r["cyz"], r["czz"]]])
+        vectors = np.linalg.eigh(m)[1]
+        n = int(max(64, min(bins, 2 ** int(math.log2(r["n"] / 4)))))
+        for way in (0, 2):
+            u, v = frame(vectors[:, way])
+            frames.append((r[by], way, n, r["mx"], r["my"], r["mz"], *map(float, vectors[:, way]), *map(float, u), *map(float, v)))
+    names = f"{by} {points.schema[by].dataType.simpleString()}, way int, bins int, mx double, my double, mz double, " + ", ".join(f"{k}{c} double" for k in "auv" for c in XYZ)
+    local = points.select(by, *XYZ).join(F.broadcast(spark.createDataFrame(frames, names)), by)  # two rows a cluster
+    local = local.select(by, "way", "bins", *[sum((F.col(c) - F.col(f"m{c}")) * F.col(f"{k}{c}") for c in XYZ).alias(k) for k in "auv"])
+    angle = (F.atan2("v", "u") + math.pi) / (2 * math.pi)
+    rows = local.select(by, "way", F.least(F.floor(angle * F.col("bins")), F.col("bins") - 1).cast("int").alias("bin"), F.sqrt(F.col("u") ** 2 + F.col("v") ** 2).alias("r"))
+    profiles = rows.groupBy(by, "way", "bin").agg(F.max("r").alias("r"))
+    held: dict = {}
+    for r in profiles.groupBy(by, "way").agg(F.collect_list(F.struct("bin", "r")).alias("p")).toLocalIterator():  # `bins` numbers each
+        held[r[by], r["way"]] = {x["bin"]: x["r"] for x in r["p"]}
+    width = {(r[by], r["way"]): r["w"] for r in local.groupBy(by, "way").agg((F.max("a") - F.min("a")).alias("w")).collect()}
+    best: dict = {}
+    for f in frames:
+        own = held.get((f[0], f[1]), {})
+        if len(own) < f[2] // 2:
+            continue
+        profile = np.interp(np.arange(f[2]), sorted(own), [own[k] for k in sorted(own)], period=f[2])
+        found = teeth(profile)
+        if found and (f[0] not in best or found[1] > best[f[0]][0]):
+            z, clear = found
+            tip, low = float(np.quantile(profile, 0.9)), float(np.quantile(profile, 0.08))
+            module = 2 * tip / (z + 2)
+            if tip - low >= 0.5 * module:
+                best[f[0]] = (clear, (f[0], z, module, tip, low, width[f[0], f[1]]))
+    return spark.createDataFrame([x for _, x in best.values()], f"{by} {points.schema[by].dataType.simpleString()}, teeth int, module double, tip double, root double, width double")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import dot, vec
-from cloudloom.operators import planes, points, search, shapes
+from cloudloom.operators import mesh, planes, points, search, shapes
 from cloudloom.operators.points import XYZ
 from cloudloom.plans.scratch import saved
 
@@ -142,6 +142,28 @@ def surface_mesh(found: DataFrame) -> DataFrame:
     return both.select(F.monotonically_increasing_id().alias("fid"), "plane_id", *at)
 
 
+def fit_score(found: DataFrame, work: DataFrame, spacing: float) -> dict[str, float]:
+    """How well surfaces explain points: p95 of the distances that are near, the share that is not, and one number, less is better."""
+    tri = surface_mesh(found)
+    far = saved(mesh.signed_distance(work.select("pid", *XYZ), tri).select(F.abs("d").alias("d")), "far")
+    band = 5 * spacing
+    facts = far.agg(F.percentile_approx(F.when(F.col("d") <= band, F.col("d")), 0.95, 10_000).alias("p95"), F.avg((F.col("d") <= band).cast("double")).alias("near")).first()
+    p95, missing, n = facts["p95"] if facts["p95"] is not None else band, 1 - (facts["near"] or 0.0), found.count()
+    return {"p95": p95, "unexplained": missing, "surfaces": float(n), "score": p95 / max(spacing, 1e-9) + 3 * missing + 0.002 * n}
+
+
+def tune(cloud: DataFrame, candidates: dict[str, Settings]) -> tuple[str, dict[str, dict[str, float]]]:
+    """The candidate of the least score, and all scores; a candidate that finds nothing has none."""
+    scores: dict[str, dict[str, float]] = {}
+    for name, s in candidates.items():
+        found, _, spacing = surfaces(cloud, s)
+        if not found.isEmpty():
+            scores[name] = fit_score(found, cloud.dropna(subset=list(XYZ)), spacing)
+    if not scores:
+        raise ValueError("no candidate found a surface")
+    return min(scores, key=lambda k: (scores[k]["score"], k)), scores
+
+
 def report(found: DataFrame) -> DataFrame:
     """Count and area by class, and the total as class null."""
     return planes.takeoff(found)

@@ -490,3 +490,17 @@ def scene_classes(spark, sf_dir):
     found = scene.classify(p)
     both = p.join(found, "pid").where("kind = 'ground' or z >= 0.4")
     return both.groupBy("kind").agg((F.avg((F.col("kind") == F.col("class")).cast("double")) >= 0.9).alias("found"))
+
+
+#: A disc with 24 teeth of module 4 mm: points of its rim, tip and root circles alternating.
+GEAR = """
+SELECT o_orderkey AS pid, 1::BIGINT AS cluster, 1 + r * cos(t) AS x, 2 + 3e-2 * s AS y, 3 + r * sin(t) AS z
+FROM (SELECT o_orderkey, t, s, CASE WHEN (t * 24 / 6.283185307179586) % 1e0 < 5e-1 THEN 52e-3 ELSE 43e-3 END AS r
+      FROM (SELECT o_orderkey, 6.283185307179586 * (((o_orderkey * 7919 + 13) % 999983) / 999983e0) AS t, ((o_orderkey * 104729 + 7) % 999979) / 999979e0 AS s FROM orders) q0) q1"""
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 24, 0.004::DOUBLE, 0.03::DOUBLE)) t(cluster, teeth, module, width)")
+def gear_teeth(spark, sf_dir):
+    """Teeth, module and width of a gear from its points."""
+    p = view(spark, sf_dir, GEAR.replace("1::BIGINT", "CAST(1 AS BIGINT)"), "orders")
+    return parts.gears(saved(p, "gear")).select("cluster", "teeth", F.round("module", 4).alias("module"), F.round("width", 3).alias("width"))

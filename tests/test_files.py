@@ -149,3 +149,54 @@ def test_settings():
             reconstruct.settings(*bad)
     with pytest.raises(ValueError):
         reconstruct.settings(colour=1)
+
+
+def test_camera_files(spark, tmp_path):
+    from cloudloom.sources import cameras
+
+    def made(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    made("cameras.txt", "# list\n1 PINHOLE 640 480 500 510 320 240\n2 SIMPLE_RADIAL 100 80 90 50 40 -0.1\n")
+    made("images.txt", "# list\n7 1 0 0 0 1 2 3 1 a b.jpg\n\n8 0.7071067811865476 0 0 0.7071067811865476 0 0 0 2 c.jpg\n1 2 -1\n")
+    rows = {r["cam_id"]: r for r in cameras.read_colmap(spark, str(tmp_path)).collect()}
+    assert rows[7]["name"] == "a b.jpg" and rows[7]["r0"] == 1 and rows[7]["t2"] == 3 and rows[7]["fy"] == 510
+    assert [round(rows[8][f"r{i}"], 9) for i in range(9)] == [0, -1, 0, 1, 0, 0, 0, 0, 1] and rows[8]["k1"] == -0.1
+    named = cameras.read_image_poses(spark, made("p.txt", "index x y z roll pitch yaw qx qy qz qw timestamp\na.jpg 1 2 3 90 10 20 0 0 0 1 1234567\n")).first()
+    assert tuple(named) == ("a.jpg", 1, 2, 3, [0, 0, 0, 1], 1234567)
+    rows = cameras.read_image_poses(spark, made("q.txt", "a 5 6 7 0 0 1 0 9999\nb 1 0 0 0 8 9 10\nc 1 2 3\n")).collect()
+    assert [(r["name"], r["x"], r["t"]) for r in rows] == [("a", 5, 9999), ("b", 8, None)]
+    text = "intrinsic:\n   left:\n      model_type: POLYFISHEYE\n      camera_name: left\n      image_width: 3504\n      image_height: 4672\n      A11: 1480.0\n      A12: 1.07\n      k2: -0.016\n      k3: 7.5e-02\n"
+    text += "   middle:\n      image_width: 640\n      image_height: 480\n      camera_matrix: !!m\n         data: [ 5.48e+02, 0., 3.27e+02, 0., 5.49e+02, 2.57e+02, 0., 0., 1. ]\n"
+    found = cameras.read_calibrations(spark, made("c.yaml", text))
+    assert [(c["model"], c["fx"], c["fy"], c["poly"]) for c in found] == [("POLYFISHEYE", 1480, 1480, [-0.016, 0.075]), ("PINHOLE", 548, 549, [])]
+    assert cameras.pick(found, 4672, 3504)["name"] == "left" and cameras.pick(found, 640, 482)["fx"] == 548 and cameras.pick(found, 100, 100) is None
+    twins = [found[0], found[0] | {"name": "right"}]
+    assert cameras.pick(twins, 3504, 4672) is None and cameras.pick(twins, 3504, 4672, "img_RIGHT_1.jpg")["name"] == "right"
+
+
+def test_gear_profiles():
+    from cloudloom.operators import parts
+
+    t = np.arange(1_024) / 1_024
+    for z in (17, 24, 48):
+        profile = np.where((t * z) % 1 < 0.45, 1.0, 0.8)
+        assert parts.teeth(profile)[0] == z
+    r = np.random.default_rng(1)
+    assert parts.teeth(1 + 0.01 * r.normal(size=1_024)) is None and parts.teeth(np.ones(64)) is None
+
+
+def test_command_line(spark, tmp_path):
+    from cloudloom import cli
+
+    r = np.random.default_rng(2)
+    flat = [f"{x:.4f} {y:.4f} {0.02 * math.sin(3 * x):.4f}" for x, y in r.uniform(0, 2, (300, 2))]
+    (tmp_path / "a.xyz").write_text("\n".join(flat))
+    told = cli.main(["info", str(tmp_path / "a.xyz")])
+    assert told["n"] == 300 and 0 <= told["x_min"] < 0.1 and told["header_points"] is None
+    assert 0 < cli.main(["thin", str(tmp_path / "a.xyz"), str(tmp_path / "thin"), "--size", "0.5"])["points"] <= 64
+    same = cli.main(["compare", str(tmp_path / "a.xyz"), str(tmp_path / "a.xyz"), "--as-is"])
+    assert same["points"] == 300 and same["largest"] == 0 and same["within"] == 1
+    with pytest.raises(ValueError, match="no writer"):
+        models.write_mesh(spark.range(0), spark.range(0), "x.abc")
