@@ -40,15 +40,15 @@ Pattern = tuple[tuple[int, ...], int]
 class Coder:
     """Ids of the byte-level tokenizer as little-endian 32-bit bytes.
 
-    A single space between two characters that are not white space begins a token and
-    no token reaches across it, so a text is cut there and the ids of each stretch are
-    kept for the next time. A text with a space at its end or beside other white space,
-    or with special tokens, goes through the tokenizer whole.
+    The vocabulary is that of ``tokenizer``, run by a faster library; texts with special
+    tokens go through the tokenizer itself. A single space between two characters that are
+    not white space begins a token and no token reaches across it, so long texts are cut
+    there and their ids joined.
     """
 
-    beside = re.compile(r"\A\s| (?:\s|\Z)|\s ")
-
-    most_kept = 200_000
+    cut = re.compile(r"(?<=\S) (?=\S)")
+    #: Characters tokenised at once, about.
+    most_chars = 1 << 20
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str, special: tuple[str, ...] = ("<|endoftext|>",)):
         import tiktoken
@@ -56,9 +56,6 @@ class Coder:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
         self.fast = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.tokenizer, self.special, self.whole = tokenizer, special, None
-        self.width = np.zeros(max(table.values()) + 1, dtype=np.int64)
-        self.width[list(table.values())] = list(map(len, table))
-        self.later: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         if self.whole is None:
@@ -67,44 +64,20 @@ class Coder:
             self.whole = Tokenizer.from_file(self.tokenizer)
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Ids of stretches that follow a space: tokenised as one text, then cut where their bytes end."""
-        if not fresh:
-            return
-        ids = np.array(self.fast.encode_ordinary(" " + " ".join(fresh)), "<u4")
-        ends = np.cumsum([1 + len(x.encode()) for x in fresh])
-        cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
-        raw, start = ids.tobytes(), 0
-        for x, end in zip(fresh, (4 * cuts).tolist(), strict=True):
-            self.later[x] = raw[start:end]
-            start = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[i] = self._whole(text)
-            elif self.beside.search(text):
-                out[i] = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-            else:
-                split.append((i, text.split(" ")))
-        later = self.later
-        if len(later) > self.most_kept:
-            later.clear()
-        heads = [parts.pop(0) for _, parts in split]
-        fresh = set().union(*[parts for _, parts in split]) - later.keys()
-        self._learn(list(fresh))
-        for (i, parts), head in zip(split, heads, strict=True):
-            first = np.array(self.fast.encode_ordinary(head), "<u4").tobytes()
-            out[i] = first + b"".join([later[x] for x in parts])
-        for x in fresh:
-            if len(x) > 100:
-                del later[x]
-        return out
+    def _parts(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > self.most_chars and (m := self.cut.search(text, start + self.most_chars)):
+            yield text[start : m.start()]
+            start = m.start()
+        yield text[start:] if start else text
 
     def ids(self, text: str) -> bytes:
-        return self.encode([text])[0]
+        if any(s in text for s in self.special):
+            return self._whole(text)
+        return b"".join([np.array(self.fast.encode_ordinary(x), "<u4").tobytes() for x in self._parts(text)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [self.ids(t) for t in texts]
 
 
 _CODERS: dict[tuple, Coder] = {}
