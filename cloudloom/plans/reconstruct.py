@@ -39,6 +39,9 @@ class Settings:
     parallel_tol_deg: float = 8.0
     ortho_tol_deg: float = 8.0
     merge_offset_factor: float = 4.0
+    edge_snap_factor: float = 8.0
+    corner_snap_factor: float = 12.0
+    contact_factor: float = 6.0
     outward: bool = True
     seed: int = 7
 
@@ -46,7 +49,7 @@ class Settings:
 # What a scene or a sensor changes.
 SCENES = {
     "building": {},
-    "indoor": {"outward": False, "normal_threshold_deg": 35.0},
+    "indoor": {"outward": False, "normal_threshold_deg": 35.0, "edge_snap_factor": 10.0},
     "object": {"min_inlier_ratio": 0.02, "parallel_tol_deg": 10.0, "ortho_tol_deg": 10.0},
     "fast": {"max_planes": 32, "sor_neighbors": 8},
     "detail": {"min_inlier_ratio": 0.004, "min_inliers_abs": 40, "max_planes": 128},
@@ -104,6 +107,44 @@ def preprocess(cloud: DataFrame, s: Settings, path: DataFrame | None = None) ->
     return work, float(points.median_spacing(work, cell).first()["spacing"])
 
 
+def snapped(outlines: DataFrame, fit: DataFrame, own: DataFrame, spacing: float, s: Settings) -> DataFrame:
+    """Outlines whose corners lie on the corners and lines in which the planes meet, where these are near.
+
+    Planes meet where their points do. A corner of an outline goes to the nearest corner of its
+    plane within ``corner_snap_factor`` spacings, else to the nearest line within
+    ``edge_snap_factor``; what falls together or in line is one.
+    """
+    met = planes.adjacency(own.select("pid", "plane_id", *XYZ), fit, s.contact_factor * spacing)
+    met = saved(met.select("i", "j"), "met")
+    lines = planes.intersection_lines(fit).join(F.broadcast(met), ["i", "j"])
+    tops = planes.supported(saved(planes.corner_points(fit, met), "corners"), own, s.corner_snap_factor * spacing)
+    lines = saved(lines.withColumn("plane_id", F.explode(F.array("i", "j"))).select("plane_id", *[f"{k}{c}" for k in "dp" for c in XYZ]), "lines")
+    tops = saved(tops.withColumn("plane_id", F.explode(F.array("i", "j", "k"))).select("plane_id", *[F.col(c).alias(f"c{c}") for c in XYZ]), "tops")
+    frames = planes.basis(fit).select("plane_id", "d", *[f"{a}{c}" for a in "nuv" for c in XYZ])
+    rings = outlines.select("plane_id", F.posexplode(F.concat(F.array("loop"), "holes")).alias("ring", "p"))
+    ends = rings.select("plane_id", "ring", F.posexplode("p").alias("k", "p")).select("plane_id", "ring", "k", "p.u", "p.v").join(F.broadcast(frames), "plane_id")
+    ends = ends.withColumns({c: F.col(f"u{c}") * F.col("u") + F.col(f"v{c}") * F.col("v") - F.col(f"n{c}") * F.col("d") for c in XYZ})
+    ends = saved(ends.select("plane_id", "ring", "k", *XYZ, *[f"{a}{c}" for a in "uv" for c in XYZ]), "ends")
+    key = ["plane_id", "ring", "k"]
+    gap = sum((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in XYZ)
+    near = ends.join(F.broadcast(tops), "plane_id").withColumn("gap", gap).where(F.col("gap") <= (s.corner_snap_factor * spacing) ** 2)
+    at = near.groupBy(*key).agg(F.min_by(F.struct(*[f"c{c}" for c in XYZ]), F.struct(F.round("gap", 12), *[f"c{c}" for c in XYZ])).alias("top"))
+    t = sum((F.col(c) - F.col(f"p{c}")) * F.col(f"d{c}") for c in XYZ)
+    foot = ends.join(F.broadcast(lines), "plane_id").withColumn("t", t).withColumns({f"f{c}": F.col(f"p{c}") + F.col(f"d{c}") * F.col("t") for c in XYZ})
+    foot = foot.withColumn("gap", sum((F.col(c) - F.col(f"f{c}")) * (F.col(c) - F.col(f"f{c}")) for c in XYZ)).where(F.col("gap") <= (s.edge_snap_factor * spacing) ** 2)
+    on = foot.groupBy(*key).agg(F.min_by(F.struct(*[f"f{c}" for c in XYZ]), F.struct(F.round("gap", 12), *[f"f{c}" for c in XYZ])).alias("foot"))
+    both = ends.join(at, key, "left").join(on, key, "left")
+    both = both.withColumns({c: F.coalesce(F.col(f"top.c{c}"), F.col(f"foot.f{c}"), F.col(c)) for c in XYZ})
+    flat = both.select(*key, F.struct("k", *[sum(F.col(c) * F.col(f"{a}{c}") for c in XYZ).alias(a) for a in "uv"]).alias("p"))
+    again = flat.groupBy("plane_id", "ring").agg(F.transform(F.sort_array(F.collect_list("p")), lambda x: F.struct(x["u"].alias("u"), x["v"].alias("v"))).alias("loop"))
+    again = saved(shapes.reshaped(again, 0.0, None), "rings").where(F.size("loop") >= 3)
+    ring = F.zip_with("loop", F.concat(F.slice("loop", 2, F.size("loop")), F.slice("loop", 1, 1)), lambda a, b: a["u"] * b["v"] - b["u"] * a["v"])
+    again = again.withColumn("area", F.aggregate(ring, F.lit(0.0), lambda a, x: a + x) / 2)
+    outer = again.where("ring = 0").select("plane_id", "loop", "area")
+    inner = again.where("ring > 0").groupBy("plane_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring", "loop"))), lambda x: x["loop"]).alias("holes"))
+    return outer.join(inner, "plane_id", "left").select("plane_id", "loop", F.coalesce("holes", F.expr("array()").cast(f"array<{shapes.LOOP}>")).alias("holes"), "area")
+
+
 def surfaces(cloud: DataFrame, s: Settings | None = None, path: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
     """Surfaces (plane_id, n, normal, d, rms, mean_z, class, outline, holes, area), the points' owners, and the spacing."""
     s = s or Settings()
@@ -112,10 +153,11 @@ def surfaces(cloud: DataFrame, s: Settings | None = None, path: DataFrame | None
     least = max(s.min_inliers_abs, int(s.min_inlier_ratio * work.count()))
     reach = max(4 * threshold, 3 * spacing)
     _, owners = search.detect(work, threshold, s.normal_threshold_deg, least, s.max_planes, reach, seed=s.seed)
-    # what no plane owns is looked at once more, with wider limits
-    more, again = search.rescue(work, owners, threshold, least, normal_deg=s.normal_threshold_deg, max_planes=s.max_planes, radius=reach)
-    shift = owners.agg(F.coalesce(F.max("plane_id") + 1, F.lit(0))).first()[0]
-    owners = saved(owners.unionByName(again.withColumn("plane_id", F.col("plane_id") + shift)), "owners")
+    if owners.isEmpty():
+        # doubled walls of a bad registration fill the whole slab: once more with wider limits
+        _, owners = search.rescue(work, owners, threshold, least, normal_deg=s.normal_threshold_deg, max_planes=s.max_planes, radius=reach)
+        threshold *= 1.6
+    owners = saved(owners, "owners")
     own = saved(work.join(owners, "pid"), "own")
     fit = planes.fit_planes(own)
     if s.regularize:
@@ -126,6 +168,7 @@ def surfaces(cloud: DataFrame, s: Settings | None = None, path: DataFrame | None
     uv = own.select("pid", "plane_id", *XYZ).join(F.broadcast(frames), "plane_id")
     uv = uv.select("plane_id", *[dot(vec(""), vec(a)).alias(a) for a in "uv"])
     outlines = saved(shapes.surfaces(uv, spacing), "outlines")
+    outlines = saved(snapped(outlines, fit, own, spacing, s), "snapped")
     named = planes.refine(planes.classify(fit.withColumn("mean_z", F.col("mz"))))
     return saved(named.join(outlines.select("plane_id", "loop", "holes", F.abs("area").alias("area")), "plane_id"), "surfaces"), owners, spacing
 

@@ -313,3 +313,34 @@ def test_distance_to_faces_either_way(spark, monkeypatch, few):
         want = min((away(q, low) for low in (0.0, 4.0)), key=abs)
         assert abs(got[i]) == pytest.approx(abs(want), abs=1e-9) and (want > 0 or got[i] <= 0)
     assert mesh.signed_distance(cloud(spark, p).limit(0), corners(faces, vertices)).count() == 0
+
+
+# ------------------------------------------------------------ end to end
+
+
+def test_a_box_is_rebuilt_closed(spark):
+    from cloudloom.operators import mesh
+    from cloudloom.plans import reconstruct
+
+    r = np.random.default_rng(21)
+    size, rows = np.array([4.0, 3.0, 2.5]), []
+    for axis in range(3):
+        for side in (0, 1):
+            rest = [k for k in range(3) if k != axis]
+            # a scanner's even grid, jittered
+            grid = np.stack(np.meshgrid(*[np.arange(0.05, size[k], 0.1) for k in rest]), -1).reshape(-1, 2)
+            p = np.zeros((len(grid), 3))
+            p[:, rest] = grid + r.uniform(-0.03, 0.03, grid.shape)
+            p[:, axis] = side * size[axis] + r.normal(0, 0.004, len(grid))
+            rows.append(p)
+    points = cloud(spark, np.vstack(rows))
+    found, _, spacing = reconstruct.surfaces(points, reconstruct.settings(voxel_size=0.0, distance_threshold=0.02, edge_artifact_filter=False))
+    assert sorted(x["class"] for x in found.collect()) == ["ceiling", "floor", "wall", "wall", "wall", "wall"]
+    tri = reconstruct.surface_mesh(found)
+    assert mesh.signed_volume(tri).first()["volume"] == pytest.approx(30, rel=0.01)
+    ends = {tuple(round(v, 6) for v in e) for x in tri.collect() for e in ((x["ax"], x["ay"], x["az"]), (x["bx"], x["by"], x["bz"]), (x["cx"], x["cy"], x["cz"]))}
+    true = np.array(list(np.ndindex(2, 2, 2))) * size
+    # eight corners, each within 3 cm, shared exactly by the faces that meet there
+    assert len(ends) == 8 and all(np.linalg.norm(true - e, axis=1).min() < 0.03 for e in np.array(sorted(ends)))
+    name, scores = reconstruct.tune(points, {"fine": reconstruct.settings(voxel_size=0.0, distance_threshold=0.02, edge_artifact_filter=False)})
+    assert name == "fine" and scores["fine"]["unexplained"] < 0.02 and scores["fine"]["surfaces"] == 6
