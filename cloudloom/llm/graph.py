@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from cloudloom.llm.common import saved
 
 
-def joined(rows: DataFrame, own: DataFrame, key: str, times: str, share: int = 256) -> DataFrame:
+def joined(rows: DataFrame, own: DataFrame, key: str, times: str, total: int, share: int = 256) -> DataFrame:
     """``rows`` with the columns of ``own``, which has a row per ``key`` and in ``times`` how many of ``rows`` have it.
 
-    A key of more than one in ``share`` rows is joined where its rows lie: there are fewer
-    than ``share`` of them, whatever the input, so they can be sent to every task.
+    A key of more than one in ``share`` of ``total`` rows (how many there are, or more) is joined
+    where its rows lie: there are fewer than ``share`` of them, whatever the input, so they can
+    be sent to every task.
     """
-    total = own.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
     hot = own.where(F.col(times) * share > total).drop(times)
     rest = own.where(F.col(times) * share <= total).drop(times)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
@@ -39,12 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = _sum(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "low")
-        large = joined(both, low, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = joined(both, low, "a", "n", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         large = saved(large, "large")
-        least = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        small = joined(large, least, "a", "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = joined(large, least, "a", "n", 2 * before[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = saved(least.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "small")
         after = _sum(e)
         if after == before:

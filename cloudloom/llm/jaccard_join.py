@@ -17,8 +17,10 @@ threshold. The steps:
 4. Sets that meet in a subset or list form candidate components. Each is searched
    with an inverted index: from a set to all unreached sets that truly link to it, and
    on from those, so that a group of near copies costs one look at each, not a pair
-   for every two. Large components are cut into blocks by size; block pairs that
-   sizes allow are searched each in a task. Only tree links leave a task.
+   for every two. Large components are cut into blocks by size; each block is searched
+   with itself and the next, and what that links is one group. Other pairs of blocks that
+   sizes allow are searched only where they are not of one group as a whole. Only tree
+   links leave a task.
 5. The links' components give every document its class.
 
 Nothing is capped; the steps bound memory by ranges and blocks whose number grows
@@ -337,8 +339,8 @@ def candidate_edges(shared: DataFrame, small: int) -> DataFrame:
 
     met = arrow(shared.select("id", "n", "tokens"), emit, "id long, key long")
     met = saved(met, "keys")
-    heads = saved(met.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("met")).where("met > 1"), "heads")
-    return joined(met, heads, "key", "met").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    heads = met.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("met")).where("met > 1")
+    return joined(met, heads, "key", "met", met.count()).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- exact search
@@ -412,9 +414,31 @@ def exact_links(shared: DataFrame, comps: DataFrame, most_tokens: int) -> DataFr
     x = edges.select("root", F.col("block").alias("i"), F.col("high").alias("high_i"))
     y = edges.select(F.col("root").alias("root_y"), F.col("block").alias("j"), F.col("low").alias("low_j"))
     pairs = x.join(y, (F.col("root") == F.col("root_y")) & (F.col("i") <= F.col("j")) & (F.col("high_i") * DEN >= F.col("low_j") * NUM)).select("root", "i", "j")
+    # blocks that follow each other first: what they link needs no search between blocks further apart
+    close = pairs.where("j <= i + 1")
+    single = narrow.join(totals.where("blocks = 1").select("root"), "root").select("id", "root", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    found = _searched(_sent(block, close).unionByName(single), own)
+    far = pairs.where("j > i + 1")
+    if far.isEmpty():
+        return found
+    found = saved(found, "links")
+    group = components(found).withColumnsRenamed({"node": "id", "root": "group"})
+    named = block.join(group, "id", "left").select("root", "block", F.coalesce("group", "id").alias("group"))
+    ends = saved(named.groupBy("root", "block").agg(F.min("group").alias("g0"), F.max("group").alias("g1")), "ends")
+    x, y = (ends.select(F.col("root").alias(f"{k}_root"), F.col("block").alias(f"{k}_block"), F.col("g0").alias(f"{k}0"), F.col("g1").alias(f"{k}1")) for k in "xy")
+    both = far.join(x, (F.col("root") == F.col("x_root")) & (F.col("i") == F.col("x_block"))).join(y, (F.col("root") == F.col("y_root")) & (F.col("j") == F.col("y_block")))
+    left = both.where("not (x0 = x1 and y0 = y1 and x0 = y0)").select("root", "i", "j")
+    return found.unionByName(_searched(_sent(block, left), own))
+
+
+def _sent(block: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, root, i, j): the sets of the blocks of each pair."""
     wanted = pairs.select("root", F.col("i").alias("block"), "i", "j").unionByName(pairs.where("i < j").select("root", F.col("j").alias("block"), "i", "j"))
-    sent = block.join(wanted, ["root", "block"]).select("id", "root", "i", "j")
-    sent = sent.unionByName(narrow.join(totals.where("blocks = 1").select("root"), "root").select("id", "root", F.lit(0).alias("i"), F.lit(0).alias("j")))
+    return block.join(wanted, ["root", "block"]).select("id", "root", "i", "j")
+
+
+def _searched(sent: DataFrame, own: DataFrame) -> DataFrame:
+    """Tree links (a, b) among the sets sent to one (root, i, j)."""
     laid = sent.join(own.select("id", "n", "tokens"), "id")
     laid = laid.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").select("root", "i", "j", "id", "n", "tokens")
 
