@@ -110,6 +110,25 @@ def test_groups_with_one_very_common_passage(spark, monkeypatch):
     assert got == {i: i if i < 300 else i - 300 for i in range(450)}
 
 
+def test_one_large_group_is_not_searched_block_against_block(spark, monkeypatch):
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for _ in range(240):
+        ws = list(base)
+        ws[r.randrange(200)] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    lone = [" ".join([*base[:12], *[f"x{k}y{i}" for i in range(180)]]) for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *lone])), "doc_id long, text string")
+    asked = []
+    sent = jaccard_join._sent
+    monkeypatch.setattr(jaccard_join, "_sent", lambda block, pairs: asked.append(pairs.count()) or sent(block, pairs))
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.groups(docs, most_tokens=2_000).collect()}
+    assert got == {i: 0 if i < 240 else i for i in range(246)}
+    # the first call has the pairs of blocks that follow each other, the second what is left
+    assert asked[0] >= 20 and (len(asked) == 1 or asked[1] <= asked[0])
+
+
 def test_search_costs_what_is_met():
     r = random.Random(1)
     n = 20_000
@@ -122,7 +141,7 @@ def test_search_costs_what_is_met():
 def test_joins_of_hot_keys(spark):
     rows = spark.range(2_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("a"), F.col("id").alias("x"))
     own = rows.groupBy("a").agg(F.min("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    got = {tuple(r) for r in graph.joined(rows, own, "a", "n").select("a", "x", "m").collect()}
+    got = {tuple(r) for r in graph.joined(rows, own, "a", "n", 2_000).select("a", "x", "m").collect()}
     assert got == {tuple(r) for r in rows.join(own.drop("n"), "a").select("a", "x", "m").collect()} and len(got) == 2_000
 
 
@@ -147,6 +166,11 @@ def test_tokens_about_white_space():
         got = coder.encode(texts[k : k + 700])
         for t, ids, want in zip(texts[k : k + 700], got, plain.encode_batch(texts[k : k + 700], add_special_tokens=False), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == want.ids, t
+    # long texts are cut where no token reaches across
+    small = packing.Coder(*where)
+    small.most_chars = 5
+    for t in [*texts[:3_000], " ".join(f"word{i}, x" for i in range(200)), "A" * 3_000]:
+        assert small.ids(t) == coder.ids(t), t
 
 
 # ------------------------------------------------------------ html
