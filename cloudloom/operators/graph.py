@@ -12,8 +12,11 @@ def joined(rows: DataFrame, own: DataFrame, key: str, times: str, total: int, sh
     """``rows`` with the columns of ``own``, which has a row per ``key`` and in ``times`` how many of ``rows`` have it.
 
     ``total``: how many rows there are, or more. Keys of more than one in ``share`` of them number
-    fewer than ``share``, so they are sent to every task and their rows stay where they lie.
+    fewer than ``share``, so they are sent to every task and their rows stay where they lie. Up to a
+    million rows one task can hold any key.
     """
+    if total <= 1 << 20:
+        return rows.join(own.drop(times), key)
     hot, rest = (own.where(F.col(times) * share > total).drop(times), own.where(F.col(times) * share <= total).drop(times))
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 

@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import cross, dot, minus, norm, vec
-from cloudloom.operators.points import FEW, _offsets, with_cell
+from cloudloom.operators.points import _offsets, with_cell
 from cloudloom.plans.scratch import saved
 
+#: So many points at most are compared with every face.
+FEW = 16
+
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Faces with the positions of their corners: ax .. cz."""
