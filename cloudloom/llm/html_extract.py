@@ -1,12 +1,12 @@
 """HTML extraction by tag-path ratios.
 
 A page is cut into blocks of text; every block has a root-to-leaf tag path (tag
-names, with the first class). Text length and punctuation are aggregated per
+names, with the first class). Text outside links and punctuation are aggregated per
 path; each block takes its path's ratios, the two sequences are smoothed along
-the page, fused, and thresholded, which selects content paths. The deepest
-element that holds most of the selected text is the article; its blocks of
-selected paths, and its headings and list or quote items (not lists of links),
-are the result in page order. Scripts, navigation, footers, hidden elements and
+the page, fused, and thresholded, which selects content paths. The blocks of these
+paths are the result in page order, each with the headings right before it; what lies
+on no selected path goes, whatever its tag. Items and cells, which are short by nature, have
+their paths' scores multiplied by ``SHORT``. Scripts, navigation, footers, hidden elements and
 the like are left out before any ratio is taken. A form, or an element whose class,
 id or role names an advert, a notice, reader comments and so on, only lowers the
 score of the paths below it, and not where it holds most of the page's text.
@@ -59,7 +59,8 @@ NAMED_OUT = re.compile(
 CLOSES = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "td", "blockquote"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-ITEM = HEADING | {"li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "p", "caption"}
+#: Weights of the paths of elements that hold little text each.
+SHORT = dict.fromkeys(("li", "td", "th", "dd", "dt"), 10.0) | dict.fromkeys(("blockquote", "pre", "caption", "figcaption"), 4.0)
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 SPACE = re.compile(r"\s+")
 
@@ -115,7 +116,7 @@ def _out(tag: str, attributes: str) -> tuple[bool, bool, str]:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             gone = True
-        elif key in ("class", "id", "role") and tag not in ("html", "body", "article", "main", "p", *HEADING):
+        elif key in ("class", "id", "role") and tag not in ("html", "body", "article", "main", *HEADING):
             doubted = doubted or bool(NAMED_OUT.search(value))
         if key == "class" and not first:
             first = value.split()[0] if value.split() else ""
@@ -294,30 +295,40 @@ def doubted_nodes(page: Page) -> set[int]:
     return left
 
 
-def content_paths(page: Page, doubted: set[int] = frozenset(), sigma: float = 1.0, share: float = 0.25, prior: float = 0.05) -> set[int]:
-    """Paths whose fused ratios, their own and smoothed, reach ``share`` of the text-weighted mean.
+def fused_ratios(page: Page, doubted: set[int] = frozenset(), sigma: float = 1.0, prior: float = 0.05) -> tuple[list[float], list[float]]:
+    """Per block the fused ratio of its path, and the same from the ratios smoothed along the page.
 
-    ``prior`` is the weight of blocks in ``doubted`` elements, in the ratios and in the mean.
+    The text ratio is a path's characters outside links per block, the punctuation ratio its marks
+    and one per block; ``prior`` is the weight of blocks in ``doubted`` elements.
     """
     found = page.blocks
     n, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
         n[b.path] += 1
-        chars[b.path] += len(b.text)
+        chars[b.path] += max(0, len(b.text) - b.links)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
     inside = _inside(page, doubted)
-    weight = [prior if inside[b.doubt] else 1.0 for b in found]
+    weight = [SHORT.get(page.tag_of_path[b.path], 1.0) * (prior if inside[b.doubt] else 1.0) for b in found]
     text_ratio = [chars[b.path] / n[b.path] for b in found]
     mark_ratio = [(1 + marks[b.path]) / n[b.path] for b in found]
-    length = [w * len(b.text) for w, b in zip(weight, found, strict=True)]
+    own, along = (
+        [w * math.sqrt(t * p) for w, t, p in zip(weight, texts, points, strict=True)]
+        for texts, points in ((text_ratio, mark_ratio), (smoothed(text_ratio, sigma), smoothed(mark_ratio, sigma)))
+    )
+    return own, along
+
+
+def content_paths(page: Page, doubted: set[int] = frozenset(), sigma: float = 1.0, share: float = 0.25, prior: float = 0.05) -> set[int]:
+    """Paths whose fused ratios, their own and smoothed, reach ``share`` of the text-weighted mean."""
+    inside = _inside(page, doubted)
+    length = [(prior if inside[b.doubt] else 1.0) * len(b.text) for b in page.blocks]
     chosen: set[int] | None = None
-    for texts, points in ((text_ratio, mark_ratio), (smoothed(text_ratio, sigma), smoothed(mark_ratio, sigma))):
-        fused = [w * math.sqrt(t * p) for w, t, p in zip(weight, texts, points, strict=True)]
+    for fused in fused_ratios(page, doubted, sigma, prior):
         level = share * sum(f * x for f, x in zip(fused, length, strict=True)) / max(1e-9, sum(length))
         best: dict[int, float] = defaultdict(float)
-        for f, b in zip(fused, found, strict=True):
+        for f, b in zip(fused, page.blocks, strict=True):
             best[b.path] = max(best[b.path], f)
-        reached = {p for p, f in best.items() if f >= level}
+        reached = {p for p, f in best.items() if f and f >= level}
         chosen = reached if chosen is None else chosen & reached
     return chosen or set()
 
@@ -330,36 +341,23 @@ def _inside(page: Page, doubted: set[int]) -> dict[int, bool]:
     return inside
 
 
-def extract(html: str | None, hold: float = 0.6) -> str:
-    """The page's main text."""
+def extract(html: str | None) -> str:
+    """The page's main text: blocks of content paths, and headings that stand before one."""
     page = read(html or "")
     if not page.blocks:
         return ""
     doubted = doubted_nodes(page)
     chosen = content_paths(page, doubted)
-    text_of = [0] * len(page.parent)
-    for b in page.blocks:
-        if b.path in chosen:
-            text_of[b.node] += len(b.text)
-    for node in range(len(text_of) - 1, 0, -1):
-        text_of[page.parent[node]] += text_of[node]
-    # the article: an element named so, else the deepest element that holds most of the selected text
-    most = [k for k in range(1, len(text_of)) if text_of[k] and text_of[k] >= hold * text_of[0]]
-    named = [k for k in most if page.tag[k] in ("article", "main")]
-    holders = [k for k in most if page.tag[k] not in ITEM]
-    node = max(named or holders, key=lambda k: page.depth[k], default=0)
-    inside = [b for b in page.blocks if page.holds(node, b.node)]
-    chars, links = defaultdict(int), defaultdict(int)
-    for b in inside:
-        chars[b.path] += len(b.text)
-        links[b.path] += b.links
     out = _inside(page, doubted)
-
-    def item(b: Block) -> bool:
-        tag = page.tag_of_path[b.path]
-        return not out[b.doubt] and (tag in HEADING or tag in ITEM and 2 * links[b.path] <= chars[b.path])
-
-    return " ".join(b.text for b in inside if b.path in chosen or item(b))
+    kept: list[str] = []
+    led = False  # whether the next block that is no heading is kept
+    for b in reversed(page.blocks):
+        heading = page.tag_of_path[b.path] in HEADING
+        if not heading:
+            led = b.path in chosen
+        if led and not (heading and out[b.doubt]):
+            kept.append(b.text)
+    return " ".join(reversed(kept))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

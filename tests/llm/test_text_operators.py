@@ -410,6 +410,51 @@ def test_names_are_a_prior_and_paths_decide_inside_articles(page, want):
     assert html_extract.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # an advert in a paragraph of its own path, an unnamed box, a table of short cells, links in a list
+        (f"<article><p>{ARTICLE}</p><p class=cta>Subscribe now!</p><p>{ARTICLE}</p></article>", f"{ARTICLE.strip()} {ARTICLE.strip()}"),
+        (f"<div><div><h2>Head</h2><div>{ARTICLE}</div><div class=x>Buy now</div><div>{ARTICLE}</div></div><p>Short teaser</p></div>", f"Head {ARTICLE.strip()} {ARTICLE.strip()}"),
+        (f"<main><p>{ARTICLE}</p><table><tr><th>Year<th>Sum, net<tr><td>1999<td>12.5</table><h3>More</h3><p><a href=/x>Read on here</a></p></main>", f"{ARTICLE.strip()} Year Sum, net 1999 12.5 More Read on here"),
+        (f"<div id=a><span>{ARTICLE}</span></div><div id=b class=teasers>{LINKS}<h3>Also read</h3>{LINKS}</div>", ARTICLE.strip()),
+        # short paragraphs share their path with long ones; a heading before what goes, goes
+        (f"<article><h1>T</h1><p>{ARTICLE}</p><p>Yes.</p><h2>Ads</h2><div class=box>Buy</div></article>", f"T {ARTICLE.strip()} Yes."),
+    ],
+)
+def test_ratios_of_paths_decide_whatever_the_tag(page, want):
+    assert html_extract.extract(page) == want
+
+
+def slow_fused(page, doubted, sigma=1.0, prior=0.05):
+    """Both fused ratios of every block from their definition, block by block."""
+    bs = page.blocks
+    heavy = lambda b: html_extract.SHORT.get(page.tag_of_path[b.path], 1.0) * (prior if any(page.holds(k, b.node) for k in doubted) else 1.0)
+    same = [[x for x in bs if x.path == b.path] for b in bs]
+    text = [sum(max(0, len(x.text) - x.links) for x in s) / len(s) for s in same]
+    mark = [(1 + sum(len(re.findall("[.,;:!?…、。，！？]", x.text)) for x in s)) / len(s) for s in same]
+
+    def blurred(v):
+        near = lambda i: [(v[j], math.exp(-((i - j) ** 2) / (2 * sigma * sigma))) for j in range(len(v)) if abs(i - j) <= math.ceil(2 * sigma)]
+        return [sum(x * k for x, k in near(i)) / sum(k for _, k in near(i)) for i in range(len(v))]
+
+    return [[heavy(b) * math.sqrt(t * m) for b, t, m in zip(bs, ts, ms, strict=True)] for ts, ms in ((text, mark), (blurred(text), blurred(mark)))]
+
+
+def test_fused_ratios_of_the_table_and_what_they_change(spark, data, monkeypatch):
+    """Ratios equal the slow ones on every page, and with no path or every path selected no page keeps its text."""
+    pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    told = [html_extract.extract(x) for x in pages]
+    for x in pages:
+        page = html_extract.read(x)
+        doubted = html_extract.doubted_nodes(page)
+        for got, want in zip(html_extract.fused_ratios(page, doubted), slow_fused(page, doubted), strict=True):
+            assert got == pytest.approx(want)
+    for chosen in (lambda page, *_: set(), lambda page, *_: {b.path for b in page.blocks}):
+        monkeypatch.setattr(html_extract, "content_paths", chosen)
+        assert all(html_extract.extract(x) != t for x, t in zip(pages, told, strict=True))
+
+
 def test_pages_of_the_table(spark, data):
     rows = queries.op6_html_extraction(spark, data).collect()
     src = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
