@@ -2,11 +2,12 @@
 
 Layer 0 is the text itself. Each layer is scanned for the secret kinds, then
 unwrapped: URL escapes and ``\\u`` / ``\\x`` escapes rewrite the whole layer
-character by character, base64 runs yield a layer each, and gzip, zlib, bzip2 or
-xz bytes found under base64 or URL escapes are decompressed. Lines of wrapped base64
-are joined; a run that does not decode as it stands (text is glued to it, or a line
+character by character, base64 runs yield a layer each, and gzip, zlib, bzip2,
+xz or bare deflate bytes found under base64 or URL escapes are decompressed. Decoded bytes
+are read as UTF-8 or, where every other byte says so, UTF-16. Lines of wrapped base64, of
+any width, are joined; a run that does not decode as it stands (text is glued to it, or a line
 too many is joined) is decoded at all four alignments, of which the readable
-stretches and the compressed parts are layers. Runs of under 16 characters are no
+stretches and the compressed parts are layers. Runs of under 16 characters, lines joined, are no
 layers: they hold at most 11 bytes, and no kind of secret is that short. URL escapes
 that are not UTF-8 stay as they are, those beside them are decoded. New layers join
 the worklist until none is left; a layer whose content was seen before is dropped,
@@ -54,7 +55,7 @@ ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Between two lines of wrapped base64: a line end, also an escaped one, and indentation.
 LINE_END = re.compile(r"[ \t]*(?:\r\n|\n|\r|\\r\\n|\\n)[ \t]*")
-WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{LINE_END.pattern}[A-Za-z0-9+/_-]+)+")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{LINE_END.pattern}[A-Za-z0-9+/_-]+)+")
 URL_BYTES = re.compile(r"(?<![A-Za-z0-9_.~/+-])[A-Za-z0-9_.~/+-]*+%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])*+")
 #: How gzip, bzip2, xz and zlib begin.
 PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
@@ -233,11 +234,28 @@ def _stream(raw: bytes | memoryview, most: int) -> Iterator[bytes]:
             part = d.decompress(b"", most) if not d.eof and not d.needs_input else b""
 
 
-def _unpacked(raw: bytes | memoryview, most: int) -> Iterator[bytes]:
+def _deflated(raw: bytes) -> bool:
+    """Whether the bytes are one whole deflate stream without a header; bytes of another kind end early or in an error."""
+    if not raw or raw[0] >> 1 & 3 == 3:
+        return False
+    d, size, rest = zlib.decompressobj(-15), 0, raw
+    try:
+        while not d.eof:
+            part = d.decompress(rest, 1 << 20)
+            rest = d.unconsumed_tail
+            size += len(part)
+            if not (part or rest or d.eof):
+                return False
+    except zlib.error:
+        return False
+    return size >= 8 and len(d.unused_data) < 3
+
+
+def _unpacked(raw: bytes | memoryview, most: int, bare: bool = False) -> Iterator[bytes]:
     """The stream in parts of ``most`` bytes (the last shorter), each behind the last OVERLAP bytes of the one before."""
     held, behind = bytearray(), 0
     try:
-        for part in _stream(raw, most):
+        for part in _inflated(zlib.decompressobj(-15), raw, most) if bare else _stream(raw, most):
             held += part
             while len(held) >= most + behind:
                 yield bytes(held[: most + behind])
@@ -249,9 +267,9 @@ def _unpacked(raw: bytes | memoryview, most: int) -> Iterator[bytes]:
         yield bytes(held)
 
 
-def _opened(raw: bytes | memoryview, most: int, seen: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
+def _opened(raw: bytes | memoryview, most: int, seen: frozenset[bytes] = frozenset(), bare: bool = False) -> Iterator[bytes]:
     """What compressed bytes hold, once or several times packed; nothing if they are not compressed."""
-    for part in _unpacked(raw, most):
+    for part in _unpacked(raw, most, bare):
         mark = hashlib.sha256(part).digest()
         if mark in seen:
             continue
@@ -263,13 +281,29 @@ def _opened(raw: bytes | memoryview, most: int, seen: frozenset[bytes] = frozens
             yield part
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
+def _wide(raw: bytes) -> str | None:
+    """The byte order of UTF-16: by its mark, or where a tenth of every other byte is zero and the rest is not."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    first, second = raw[::2].count(0), raw[1::2].count(0)
+    if 10 * max(first, second) < len(raw) // 2 or 4 * min(first, second) > max(first, second):
         return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+    return "utf-16-be" if first > second else "utf-16-le"
+
+
+def _readable(raw: bytes) -> str | None:
+    kinds = ["utf-8"]
+    if len(raw) > 1 and (wide := _wide(raw)):
+        kinds.append(wide)
+    for kind in kinds:
+        try:
+            text = raw[: len(raw) // 2 * 2].decode(kind) if kind != "utf-8" else raw.decode()
+        except UnicodeDecodeError:
+            continue
+        odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
+        if text and odd * 20 <= len(text):
+            return text
+    return None
 
 
 def _runs(text: str) -> Iterator[tuple[str, list[int] | range]]:
@@ -285,7 +319,7 @@ def _runs(text: str) -> Iterator[tuple[str, list[int] | range]]:
                 j += 1
             if j < len(lines) and lines[j][1] - lines[j][0] < width:
                 j += 1
-            if j - i > 1 and width >= 16:
+            if j - i > 1 and sum(b - a for a, b in lines[i:j]) >= 16:
                 yield "".join(text[a:b] for a, b in lines[i:j]), [k for a, b in lines[i:j] for k in range(a, b)]
             i = j
     for m in BASE64.finditer(text):
@@ -323,6 +357,10 @@ def _base64(layer: Layer, most_bytes: int) -> Iterator[Layer]:
             if not packed and (text := _readable(raw)) is not None:
                 whole = True
                 yield Layer(text, origin)
+            elif not packed and _deflated(raw):
+                for text in _texts(_opened(raw, most_bytes, bare=True)):
+                    whole = True
+                    yield Layer(text, origin)
             if whole:
                 if not isinstance(at, range):
                     done.append((at[0], at[-1] + 1))
@@ -342,6 +380,9 @@ def _url_packed(layer: Layer, most_bytes: int) -> Iterator[Layer]:
     for m in URL_BYTES.finditer(layer.text) if "%" in layer.text else ():
         for token in {m[0], m[0].replace("+", " ")}:
             raw = urllib.parse.unquote_to_bytes(token)
+            if _readable(raw) is None and _deflated(raw):
+                for text in _texts(_opened(raw, most_bytes, bare=True)):
+                    yield Layer(text, layer.origin(m.start(), m.end()))
             for p in PACKED.finditer(raw):
                 for text in _texts(_opened(memoryview(raw)[p.start() :], most_bytes)):
                     yield Layer(text, layer.origin(m.start(), m.end()))
@@ -386,7 +427,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans of one text."""
     text = text or ""
     base = base_spans(text)
-    coded = "%" in text and URL.search(text) or "\\" in text and ESCAPE.search(text) or BASE64.search(text)
+    coded = "%" in text and URL.search(text) or "\\" in text and ESCAPE.search(text) or BASE64.search(text) or WRAPPED.search(text)
     return base, all_spans(text, base) if coded else base
 
 

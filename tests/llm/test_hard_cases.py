@@ -1,12 +1,15 @@
 """Cases that once gave wrong or unbounded results: separators, repeated ids, hot keys, long streams, deep pages."""
 
 import base64
+import bz2
 import gzip
 import itertools
+import lzma
 import random
 import re
 import time
 import urllib.parse
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -314,3 +317,50 @@ def test_scores_do_not_depend_on_blocks(spark):
         sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in t) for t in ppm.scored(docs, 4, *args).collect()), key=str) for args in ((1 << 22,), (20, 300))
     )
     assert one == two
+
+
+# ------------------------------------------------------------ secrets under random layers
+
+
+def bare_deflate(raw):
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(raw) + c.flush()
+
+
+def wrapped(r, text):
+    width = r.choice([4, 5, 8, 12, 16, 64, 76])
+    return r.choice(["\n", "\r\n", "\n  "]).join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def encoded_once(r, text):
+    packers = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, bare_deflate]
+    ways = [
+        lambda: "".join(f"%{b:02X}" for b in text.encode()),
+        lambda: "".join(f"\\u{ord(c):04x}" for c in text),
+        lambda: base64.b64encode(text.encode()).decode(),
+        lambda: wrapped(r, base64.b64encode(text.encode()).decode()),
+        lambda: wrapped(r, base64.b64encode(r.choice(packers)(text.encode())).decode()),
+        lambda: base64.b64encode(text.encode(r.choice(["utf-16-le", "utf-16-be", "utf-16"]))).decode(),
+        lambda: urllib.parse.quote_from_bytes(r.choice([gzip.compress, zlib.compress, bare_deflate])(text.encode())),
+    ]
+    return r.choice(ways)()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_secrets_under_random_layers_are_found_where_they_lie(seed):
+    """What was encoded is decoded again, in any order of layers, and the spans lie on the payload."""
+    r = random.Random(seed)
+    for _ in range(40):
+        kind, secret = r.choice([(0, "token = Ab9xyzQ12345"), (1, "AKIA" + "".join(r.choices("ABCXYZ123", k=16))), (2, "".join(r.choices("0123456789abcdef", k=32)))])
+        payload = f"some words, {secret} and more"
+        for _ in range(r.randint(1, 3)):
+            payload = encoded_once(r, payload)
+        head = "Text before it is here. "
+        spans = secrets.find(f"{head}{payload} and after.")[1]
+        assert any(k == kind and len(head) <= a < b <= len(head) + len(payload) for a, b, k in spans), payload
+
+
+def test_plain_prose_in_short_lines_has_no_spans():
+    r = random.Random(1)
+    words = ["token", "international", "a", "secret", "of", "communication", "and", "password"]
+    assert secrets.find("\n".join(r.choice(words) for _ in range(3_000)))[1] == []
