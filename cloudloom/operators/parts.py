@@ -24,7 +24,7 @@ from cloudloom.functions.linalg import moments
 from cloudloom.operators.graph import components
 from cloudloom.operators.planes import footprint_overlaps, intersection_lines, pairs
 from cloudloom.operators.points import XYZ, radius_pairs
-from cloudloom.operators.search import _NORMAL, _taken, largest_pieces
+from cloudloom.operators.search import _NORMAL, _taken, counted, largest_pieces
 from cloudloom.operators.series import match_profiles, nearest_stock
 from cloudloom.plans.scratch import saved
 
@@ -71,37 +71,34 @@ def _explained(p: np.ndarray, n: np.ndarray, tried: np.ndarray, threshold: float
 
 
 def _counts(points: DataFrame, tried: np.ndarray, threshold: float, least: float) -> np.ndarray:
-    h = len(tried)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((h, h))
-        for batch in batches:
-            column = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*XYZ, *_NORMAL)]
-            for a in range(0, batch.num_rows, 4_096):
-                p, n = (np.stack([c[a : a + 4_096] for c in column[k : k + 3]]) for k in (0, 3))
-                own = _explained(p, n, tried, threshold, least).astype(np.float32)
-                total += own @ own.T
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
-
-    out = np.zeros((h, h))
-    for r in points.select(*XYZ, *_NORMAL).mapInArrow(run, "total binary").toLocalIterator():
-        out += np.frombuffer(r["total"]).reshape(h, h)
-    return out
+    return counted(points, lambda p, n: _explained(p, n, tried, threshold, least), len(tried))
 
 
 def on_cylinders(points: DataFrame, cylinders: list[tuple], threshold: float, least: float = 0.85) -> DataFrame:
     """Points with the nearest cylinder (plane_id, centre, axis, radius) they lie on, and t, off: along the axis, from its surface."""
-    each = []
-    for k, px, py, pz, ax, ay, az, r in cylinders:
-        d = [F.col(c) - v for c, v in zip(XYZ, (px, py, pz), strict=True)]
-        t = d[0] * ax + d[1] * ay + d[2] * az
-        w = [x - t * v for x, v in zip(d, (ax, ay, az), strict=True)]
-        far = F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
-        radial = F.abs(w[0] * F.col("nx") + w[1] * F.col("ny") + w[2] * F.col("nz"))
-        ok = (F.abs(far - r) < threshold) & (radial > far * least)
-        each.append(F.when(ok, F.struct(F.abs(far - r).alias("near"), F.lit(k).cast("long").alias("plane_id"), t.alias("t"), (far - r).alias("off"))))
-    best = points.withColumn("__b", F.array_min(F.array_compact(F.array(*each)))).where("__b is not null")
-    return best.select(*points.columns, F.col("__b.plane_id").alias("plane_id"), F.col("__b.t").alias("t"), F.col("__b.off").alias("off"))
+    own = np.array([c[1:] for c in cylinders], dtype=np.float64).reshape(-1, 7)
+    ids = np.array([c[0] for c in cylinders], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows if len(ids) else 0, 16_384):
+                part = batch.slice(s, 16_384)
+                p, n = (np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in names]) for names in (XYZ, _NORMAL))
+                best = np.full((4, part.num_rows), np.inf)
+                for k, (px, py, pz, ax, ay, az, r) in enumerate(own):
+                    d = p - np.array([[px], [py], [pz]])
+                    t = d[0] * ax + d[1] * ay + d[2] * az
+                    w = d - t * np.array([[ax], [ay], [az]])
+                    far = np.sqrt((w * w).sum(axis=0))
+                    off = np.abs(far - r)
+                    ok = (off < threshold) & (np.abs((w * n).sum(axis=0)) > far * least) & (off < best[0])
+                    best[:, ok] = off[ok], np.full(ok.sum(), k), t[ok], (far - r)[ok]
+                on = np.flatnonzero(np.isfinite(best[0]))
+                added = [pa.array(ids[best[1, on].astype(np.int64)]), pa.array(best[2, on]), pa.array(best[3, on])]
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(on)).columns, *added], names=[*part.schema.names, "plane_id", "t", "off"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in points.dtypes)
+    return points.mapInArrow(run, f"{kinds}, plane_id long, t double, off double")
 
 
 def _refined(own: DataFrame, cylinders: list[tuple]) -> list[tuple]:
@@ -168,7 +165,7 @@ def detect_cylinders(
         if not fit:
             idle += 1
             continue
-        own = saved(largest_pieces(on_cylinders(left, fit, threshold, least_radial), piece), "pieces")
+        own = saved(largest_pieces(saved(on_cylinders(left, fit, threshold, least_radial), "on"), piece), "pieces")
         frames = spark.createDataFrame([(f[0], *map(float, np.concatenate(frame(np.array(f[4:7])))), *f[1:4]) for f in fit],
                                        "plane_id long, ux double, uy double, uz double, vx double, vy double, vz double, ox double, oy double, oz double")
         turned = own.join(F.broadcast(frames), "plane_id")
@@ -196,6 +193,161 @@ def detect_cylinders(
     return spark.createDataFrame(found, schema), owners
 
 
+_CONE = "cone_id long, n long, px double, py double, pz double, ax double, ay double, az double, half_deg double, r_min double, r_max double, height double, rms double"
+
+
+def cone_of(u: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """Axis and half angle of directions from an apex: u.w = 1 in least squares, |w| = 1 / cos(half); None if they are none of a cone."""
+    w = np.linalg.lstsq(u, np.ones(len(u)), rcond=None)[0]
+    return _axis_of(w)
+
+
+def _axis_of(w: np.ndarray) -> tuple[np.ndarray, float] | None:
+    size = float(np.linalg.norm(w))
+    if size <= 1 + 1e-9:
+        return None
+    half = math.acos(1 / size)
+    return (w / size, half) if math.radians(1) < half < math.radians(88) else None
+
+
+def cone_from_three(p: np.ndarray, n: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Apex (where the tangent planes of three points meet), axis and half angle; None if they meet nowhere near."""
+    if abs(np.linalg.det(n)) < 1e-4:
+        return None
+    apex = np.linalg.solve(n, (n * p).sum(axis=1))
+    away = p - apex
+    size = np.linalg.norm(away, axis=1)
+    if np.linalg.norm(apex - p.mean(axis=0)) > reach or size.min() < 1e-9:
+        return None
+    found = cone_of(away / size[:, None])
+    return (apex, *found) if found else None
+
+
+def _cone_gaps(p: np.ndarray, n: np.ndarray, tried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signed distances of points (columns) to the sides of cones (rows of apex, axis, half angle), and how far normals agree with the side's."""
+    d = [p[i] - tried[:, i : i + 1] for i in range(3)]
+    axis = [tried[:, 3 + i : 4 + i] for i in range(3)]
+    far = np.sqrt(d[0] ** 2 + d[1] ** 2 + d[2] ** 2)
+    along = sum(d[i] * axis[i] for i in range(3))
+    half = tried[:, 6:7]
+    gap = far * np.sin(np.arccos(np.clip(along / np.maximum(far, 1e-12), -1, 1)) - half)
+    out = [d[i] - along * axis[i] for i in range(3)]
+    wide = np.maximum(np.sqrt(out[0] ** 2 + out[1] ** 2 + out[2] ** 2), 1e-12)
+    turn = np.cos(half) * sum(out[i] * n[i] for i in range(3)) / wide - np.sin(half) * sum(axis[i] * n[i] for i in range(3))
+    return gap, np.abs(turn)
+
+
+def on_cones(points: DataFrame, ids: list[int], cones: np.ndarray, threshold: float, least: float = 0.85) -> DataFrame:
+    """Points with the nearest cone (plane_id) within ``threshold`` with whose side their normal agrees, and off: signed distance from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 16_384):
+                part = batch.slice(s, 16_384)
+                off, agree = _cone_gaps(*(np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in names]) for names in (XYZ, _NORMAL)), cones)
+                off[agree < least] = np.inf
+                best = np.abs(off).argmin(axis=0)
+                own = off[best, np.arange(part.num_rows)]
+                on = np.flatnonzero(np.abs(own) < threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.take(pa.array(on)).columns, pa.array(np.array(ids, np.int64)[best[on]]), pa.array(own[on])], names=[*part.schema.names, "plane_id", "off"]
+                )
+
+    return points.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in points.dtypes) + ", plane_id long, off double")
+
+
+def _refined_cones(own: DataFrame, ids: list[int], cones: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Cones fitted to their points: the apex nearest to all tangent planes, then the circle of directions; sums of a fixed number each."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    level = sum(F.col(c) * F.col(n) for c, n in zip(XYZ, _NORMAL, strict=True))
+    sums = own.groupBy("plane_id").agg(
+        *[F.sum(F.col(_NORMAL[i]) * F.col(_NORMAL[j])).alias(f"m{i}{j}") for i, j in pairs], *[F.sum(F.col(_NORMAL[i]) * level).alias(f"b{i}") for i in range(3)]
+    )
+    square = lambda r, k: np.array([[r[f"{k}{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+    apexes = {r["plane_id"]: np.linalg.lstsq(square(r, "m"), np.array([r[f"b{i}"] for i in range(3)]), rcond=None)[0] for r in sums.collect()}
+    if not apexes:
+        return [], cones[:0]
+    table = own.sparkSession.createDataFrame([(k, *map(float, a)) for k, a in apexes.items()], "plane_id long, ex double, ey double, ez double")
+    away = own.join(F.broadcast(table), "plane_id")  # a row per hypothesis
+    away = away.withColumn("__s", F.sqrt(sum((F.col(c) - F.col(f"e{c}")) ** 2 for c in XYZ))).where(F.col("__s") > 1e-9)
+    u = [(F.col(c) - F.col(f"e{c}")) / F.col("__s") for c in XYZ]
+    turns = away.groupBy("plane_id").agg(*[F.sum(u[i] * u[j]).alias(f"m{i}{j}") for i, j in pairs], *[F.sum(u[i]).alias(f"b{i}") for i in range(3)])
+    out: dict[int, list[float]] = {}
+    for r in turns.collect():
+        found = _axis_of(np.linalg.lstsq(square(r, "m"), np.array([r[f"b{i}"] for i in range(3)]), rcond=None)[0])
+        if found:
+            out[r["plane_id"]] = [*apexes[r["plane_id"]], *found[0], found[1]]
+    kept = [k for k in ids if k in out]
+    return kept, np.array([out[k] for k in kept]).reshape(-1, 7)
+
+
+def detect_cones(
+    points: DataFrame, threshold: float, min_inliers: int = 400, most: int = 8, radius: float | None = None, hypotheses: int = 256, share: float = 0.3,
+    least_side: float = 0.85, least_arc: int = 16, seed: int = 7, dry: int = 3,
+) -> tuple[DataFrame, DataFrame]:
+    """Truncated cones (cone_id, n, apex, axis, half angle, radii and height between their ends, rms) and the assignment (pid, cone_id).
+
+    A hypothesis goes through three points with normals, whose tangent planes meet in the apex. It is
+    kept if enough points in one piece lie within ``threshold`` of its side, their rms is at most
+    half of that, its half angle is from 3 to 80 degrees, and they cover ``least_arc`` of 64 sectors.
+    """
+    spark = points.sparkSession
+    piece = 4 * threshold if radius is None else radius
+    left = saved(points.select("pid", *XYZ, *_NORMAL).where(" and ".join(f"{c} is not null" for c in (*XYZ, *_NORMAL))), "left")
+    box = left.agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
+    reach = 10 * math.sqrt(sum((x or 0.0) ** 2 for x in box))
+    found, owners, round_, idle = [], None, 0, 0
+    while idle < dry and len(found) < most and left.count() >= min_inliers:
+        drawn = left.orderBy(F.xxhash64("pid", F.lit(seed + round_)), "pid").limit(3 * hypotheses).toPandas()
+        round_ += 1
+        p, n = drawn[list(XYZ)].to_numpy(), drawn[list(_NORMAL)].to_numpy()
+        third = len(p) // 3
+        made = [cone_from_three(p[i::third][:3], n[i::third][:3], reach) for i in range(third)]
+        tried = np.array([[*a, *x, h] for a, x, h in (m for m in made if m)]).reshape(-1, 7)
+        def near(x: np.ndarray, own: np.ndarray, tried=tried) -> np.ndarray:
+            gap, agree = _cone_gaps(x, own, tried)
+            return (np.abs(gap) < threshold) & (agree >= least_side)
+
+        chosen = _taken(counted(left, near, len(tried)), max(3, min_inliers // 2), most - len(found), share) if len(tried) else []
+        idle += 1
+        if not chosen:
+            continue
+        ids, cones = [len(found) + k for k in range(len(chosen))], tried[chosen]
+        for _ in range(3):
+            ids, cones = _refined_cones(saved(on_cones(left, ids, cones, threshold, least_side), "on"), ids, cones) if ids else (ids, cones)
+        if not ids:
+            continue
+        own = saved(largest_pieces(saved(on_cones(left, ids, cones, threshold, least_side), "on"), piece), "pieces")
+        frames = [(k, *map(float, np.concatenate(frame(c[3:6]))), *map(float, c[:6])) for k, c in zip(ids, cones, strict=True)]
+        table = spark.createDataFrame(frames, "plane_id long, " + ", ".join(f"{f}{c} double" for f in "uvoa" for c in XYZ))
+        turned = own.join(F.broadcast(table), "plane_id")  # a row per cone
+        u, v, t = (sum((F.col(c) - F.col(f"o{c}")) * F.col(f"{f}{c}") for c in XYZ) for f in "uva")
+        sector = F.floor((F.atan2(v, u) + math.pi) / (2 * math.pi) * 64) % 64
+        facts = turned.groupBy("plane_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("off") ** 2)).alias("rms"), F.min(t).alias("t0"), F.max(t).alias("t1"), F.countDistinct(sector).alias("arc")
+        )
+        half = {k: float(c[6]) for k, c in zip(ids, cones, strict=True)}
+        good = {
+            r["plane_id"]: r for r in facts.collect()
+            if r["n"] >= min_inliers and r["rms"] <= threshold / 2 and r["arc"] >= least_arc and 3 < math.degrees(half[r["plane_id"]]) < 80
+        }
+        if not good:
+            continue
+        idle, to = 0, {}
+        for k, c in sorted(((k, c) for k, c in zip(ids, cones, strict=True) if k in good), key=lambda x: (-good[x[0]]["n"], x[0])):
+            r, to[k] = good[k], len(found)
+            slope = math.tan(half[k])
+            ends = sorted((abs(r["t0"]) * slope, abs(r["t1"]) * slope))
+            found.append((to[k], r["n"], *map(float, c[:6]), math.degrees(half[k]), *ends, r["t1"] - r["t0"], r["rms"]))
+        number = spark.createDataFrame(list(to.items()), "plane_id long, cone_id long")
+        mine = saved(own.join(F.broadcast(number), "plane_id").select("pid", "cone_id"), "assigned")  # a row per cone
+        owners = mine if owners is None else owners.unionByName(mine)
+        left = saved(left.join(mine.select("pid"), "pid", "left_anti"), "left")
+    if owners is None:
+        owners = spark.createDataFrame([], "pid long, cone_id long")
+    return spark.createDataFrame(found, _CONE), owners
+
+
 def shafts(cylinders: DataFrame, degrees: float = 3.0, offset: float = 0.25) -> DataFrame:
     """(shaft, step, cyl_id, diameter, start, end): coaxial cylinders of a model, longest first, along the shaft's axis."""
     rows = sorted(cylinders.collect(), key=lambda r: (-r["length"], r["cyl_id"]))
@@ -257,17 +409,26 @@ def members(points: DataFrame, least: int = 400) -> DataFrame:
         q = F.percentile_approx(x, [low, 1 - low], 10_000)
         return [q[0].alias(f"{x}0"), q[1].alias(f"{x}1")]
 
-    turned = local.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(44)))).withColumn("w", F.radians(F.col("step") * 2))
-    turned = turned.select("cluster", "step", "a", (F.col("u") * F.cos("w") - F.col("v") * F.sin("w")).alias("p"), (F.col("u") * F.sin("w") + F.col("v") * F.cos("w")).alias("q"))
-    limits = saved(turned.groupBy("cluster", "step").agg(*ends("p", 0.01), *ends("q", 0.01)), "limits")
+    def at_step(rows: DataFrame, *keep: str) -> DataFrame:
+        w = F.radians(F.col("step") * 2)
+        return rows.select("cluster", "step", *keep, (F.col("u") * F.cos(w) - F.col("v") * F.sin(w)).alias("p"), (F.col("u") * F.sin(w) + F.col("v") * F.cos(w)).alias("q"))
+
+    # the points are counted in cells of the section once; the cells are turned, at most 256 squared a member
+    grain = local.groupBy("cluster").agg((F.greatest(F.max("u") - F.min("u"), F.max("v") - F.min("v"), F.lit(1e-9)) / 256).alias("g"))
+    cells = local.join(F.broadcast(grain), "cluster").groupBy("cluster", "g", *[F.floor(F.col(c) / F.col("g")).alias(c) for c in "uv"]).agg(F.count(F.lit(1)).alias("n"))
+    cells = saved(cells.select("cluster", "n", *[((F.col(c) + 0.5) * F.col("g")).alias(c) for c in "uv"]), "cells")
+    turned = at_step(cells.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(44)))), "n")
+    within = [F.percentile(c, [0.01, 0.99], F.col("n")) for c in "pq"]
+    limits = turned.groupBy("cluster", "step").agg(*[w.alias(c) for w, c in zip(within, "pq", strict=True)])
+    limits = saved(limits.select("cluster", "step", *[F.col(c)[k].alias(f"{c}{k}") for c in "pq" for k in (0, 1)]), "limits")
     banded = turned.join(F.broadcast(limits), ["cluster", "step"])  # 45 rows a member
     border = F.lit(False)
     for c in "pq":
         band = (F.col(f"{c}1") - F.col(f"{c}0")) * 0.08
         border = border | (F.col(c) < F.col(f"{c}0") + band) | (F.col(c) > F.col(f"{c}1") - band)
-    score = banded.groupBy("cluster", "step").agg(F.avg(border.cast("double")).alias("score"))
+    score = banded.groupBy("cluster", "step").agg((F.sum(F.when(border, F.col("n")).otherwise(0)) / F.sum("n")).alias("score"))
     best = score.groupBy("cluster").agg(F.max_by("step", F.struct(F.round("score", 9), -F.col("step"))).alias("step"))
-    section = saved(turned.join(F.broadcast(best), ["cluster", "step"], "left_semi").select("cluster", "a", "p", "q"), "section")
+    section = saved(at_step(local.join(F.broadcast(best), "cluster"), "a").drop("step"), "section")  # a row per member
     size = section.groupBy("cluster").agg(*[e for c in "apq" for e in ends(c, 0.005)])
     size = saved(size.select("cluster", (F.col("a1") - F.col("a0")).alias("length"), "p0", "p1", "q0", "q1"), "size")
     own = section.join(F.broadcast(size), "cluster")

@@ -1,9 +1,15 @@
 """Point relations (pid, x, y, z and attributes): thinning, neighbours, noise, colour.
 
-Neighbour searches are grid-keyed equi-joins: a query point meets the points of its
-cell and the 26 around it. A k-nearest answer is final when its k-th distance does not
-exceed the cell size; the points left try again in cells twice as large, and the last
-few of a fixed number are compared with all points where these lie.
+Searches within a radius are grid-keyed equi-joins: a query point meets the points of its
+cell and the 26 around it. Nearest neighbours are found in blocks of cells, each with the cells
+around it, in Arrow batches; the cells are halved where points lie dense. A k-nearest answer is
+final when its k-th distance does not exceed the cell size; the points left try again in cells
+twice as large, and the last few of a fixed number are compared with all points where these lie.
+
+Edge cases: rows with a null or NaN coordinate take no part in searches; equal points are
+neighbours at distance zero, ties go to the lower pid; with fewer points than asked for, all
+are neighbours; empty clouds give no rows. A block holds as many points as lie in its cells: more
+than ``CELL_POINTS`` equal points cannot be told apart by any cell and stay in one.
 """
 
 from __future__ import annotations
@@ -89,7 +95,9 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, inclusive: bo
 
 
 #: So many query points at most are sent to all tasks and compared with every point.
-FEW = 2_048
+FEW = 64
+#: Points of a cell at most when a search begins; denser cells are split. Points of a block of cells, about.
+CELL_POINTS, BLOCK_POINTS = 256, 1_024
 
 
 def _nearest_of_few(few: DataFrame, points: DataFrame, k: int, skip_self: bool) -> DataFrame:
@@ -126,29 +134,95 @@ def _nearest_of_few(few: DataFrame, points: DataFrame, k: int, skip_self: bool)
     return ranked.where(F.col("rk") <= k)
 
 
+def _cell_size(points: DataFrame, cell: float, k: int) -> tuple[float, float]:
+    """A size near ``cell`` at which the occupied cells hold about ``k`` points and none more than ``CELL_POINTS``, and the mean they hold."""
+    size, mean, fewer = float(cell), 1.0, False
+    for _ in range(24):
+        counts = points.groupBy(*[F.floor(F.col(c) / size) for c in XYZ]).agg(F.count(F.lit(1)).alias("n"))
+        most, mean = counts.agg(F.max("n"), F.avg("n")).first()
+        mean = mean or 1.0
+        if (most or 0) > CELL_POINTS or mean > 3 * k:
+            size, fewer = size / 2, True
+        elif mean < k / 4 and not fewer and 8 * (most or 0) <= CELL_POINTS:
+            size *= 2
+        else:
+            break
+    return size, mean
+
+
+def _in_blocks(left: DataFrame, points: DataFrame, k: int, size: float, side: int, skip_self: bool) -> DataFrame:
+    """(pid, nid, d2, rk, sure): each query's k nearest points among those in its block of ``side`` cells an axis and one cell around it."""
+    cells = {f"c{c}": F.floor(F.col(c) / size) for c in XYZ}
+    block = ["bx", "by", "bz"]
+    q = left.select("pid", *XYZ, *[F.floor(v / side).alias(b) for b, v in zip(block, cells.values(), strict=True)])
+    # named anew, as both sides may be one relation
+    d = points.withColumns(cells).select(F.col("pid").alias("nid"), *[F.col(c).alias(f"n{c}") for c in XYZ], *cells)
+    for b, c in zip(block, cells, strict=True):
+        d = d.withColumn(b, F.explode(F.sequence(F.floor((F.col(c) - 1) / side), F.floor((F.col(c) + 1) / side))))
+    d = d.drop(*cells).join(q.select(*block).distinct(), block, "left_semi")
+
+    def nearest(own: pa.Table, there: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.float64, np.int32, bool)]
+        all_pid, all_nid = own.column("pid").to_numpy(), there.column("nid").to_numpy()
+        at, to = (np.stack([t.column(p + c).to_numpy() for c in XYZ]) for t, p in ((own, ""), (there, "n")))
+        # two cells an axis at a time, with those around them
+        pair, cell = np.floor(np.floor(at / size) / 2), np.floor(to / size)
+        order = np.lexsort(pair)
+        pair = pair[:, order]
+        fresh = np.flatnonzero(np.concatenate(([True], (pair[:, 1:] != pair[:, :-1]).any(axis=0))))
+        for a, b in zip(fresh.tolist(), [*fresh[1:].tolist(), len(order)], strict=True):
+            low = 2 * pair[:, a : a + 1]
+            near = np.flatnonzero(((cell >= low - 1) & (cell <= low + 2)).all(axis=0))
+            nid, spots = all_nid[near], to[:, near]
+            step = max(1, (1 << 20) // max(1, len(nid)))
+            for rows in [order[c : min(c + step, b)] for c in range(a, b if len(nid) else a, step)]:
+                pid = all_pid[rows]
+                dx, dy, dz = (at[c, rows, None] - spots[c] for c in range(3))
+                d2 = dx * dx + dy * dy + dz * dz
+                if skip_self:
+                    d2[pid[:, None] == nid] = np.inf
+                far = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(nid) >= k else np.full(len(pid), np.inf)
+                i, j = np.nonzero((d2 <= far[:, None]) & np.isfinite(d2))
+                by = np.lexsort((nid[j], d2[i, j], i))
+                i, j = i[by], j[by]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                keep = rank < k
+                i, j = i[keep], j[keep]
+                for column, v in zip(out, (pid[i], nid[j], d2[i, j], rank[keep].astype(np.int32) + 1, far[i] <= size * size), strict=True):
+                    column.append(v)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], names=["pid", "nid", "d2", "rk", "sure"])
+
+    both = q.groupBy(*block).cogroup(d.groupBy(*block))
+    return both.applyInArrow(nearest, "pid long, nid long, d2 double, rk int, sure boolean")
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, skip_self: bool = False) -> DataFrame:
     """(pid, nid, d2, rk): the k nearest points of each query, ties by nid; all points if there are fewer.
 
-    Query points whose k-th neighbour is not certain in the grid try again in cells twice as
-    large; the last ``FEW`` of them are compared with all points in one pass without a shuffle.
+    Points meet in blocks of cells, each with the cells around it; the cells are so small that even
+    the densest holds few points. A k-th distance of at most a cell is final, the queries left try
+    again in cells twice as large, and the last ``FEW`` of them are compared with all points in one
+    pass without a shuffle. Rows with a null id or coordinate take no part.
     """
-    left, done, size = queries.select("pid", *XYZ), None, float(cell)
+    real = lambda df: df.select(F.col("pid").cast("long").alias("pid"), *[F.col(c).cast("double").alias(c) for c in XYZ]).dropna()
+    points = real(points)
+    left, done = real(queries), None
+    size, mean = _cell_size(points, cell, k)
+    side, reach = max(1, min(32, int((BLOCK_POINTS / mean) ** 0.5))), None
     while True:
         if left.limit(FEW + 1).count() <= FEW:
             last = _nearest_of_few(left, points, k, skip_self)
             return last if done is None else done.unionByName(last)
-        pairs = radius_pairs(left, points, size)
-        if skip_self:
-            pairs = pairs.where("pid <> nid")
-        ranked = saved(pairs.withColumn("rk", F.row_number().over(W.partitionBy("pid").orderBy("d2", "nid"))).where(F.col("rk") <= k), "knn")
-        full = ranked.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("pid")
-        final = ranked.join(full, "pid", "left_semi")
-        done = final if done is None else done.unionByName(final)
-        before, left = left, saved(left.join(full, "pid", "left_anti"), "left")
+        found = saved(_in_blocks(left, points, k, size, side, skip_self), "knn")
+        final = found.where("sure").drop("sure")
+        reach = _reach(left, points) if reach is None else reach
         # a cell as large as the whole cloud finds all there is
-        if size > _reach(before, points):
-            return done.unionByName(ranked.join(full, "pid", "left_anti"))
-        size *= 2
+        if size > reach:
+            rest = found.drop("sure")
+            return rest if done is None else done.unionByName(rest)
+        done = final if done is None else done.unionByName(final)
+        left = saved(left.join(final.select("pid").distinct(), "pid", "left_anti"), "left")
+        size, side = size * 2, max(1, side // 2)
 
 
 def _reach(queries: DataFrame, points: DataFrame) -> float:

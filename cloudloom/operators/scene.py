@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import moments, with_eigen
 from cloudloom.operators.graph import grid_components
+from cloudloom.operators.points import XYZ
 from cloudloom.plans.scratch import saved
 
 
@@ -58,8 +65,6 @@ def carve_votes(points: DataFrame, view: tuple[float, float, float], az: int = 5
     cell's ranges, in cells of six points at least; a point nearer than it by more than
     max(0.25, 5 %) was passed through.
     """
-    import math
-
     dx, dy, dz = (F.col(n) - v for n, v in zip("xyz", view, strict=True))
     r = F.sqrt(dx * dx + dy * dy + dz * dz)
     at = points.select("pid", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), r.alias("r")).where("r > 0")
@@ -71,6 +76,102 @@ def carve_votes(points: DataFrame, view: tuple[float, float, float], az: int = 5
     return both.select("pid", (F.col("r") < F.col("c") - F.greatest(F.lit(0.25), F.col("c") * 0.05)).alias("passed"))
 
 
+#: The grid of rays and depths of a view: cells of azimuth and elevation, logarithmic buckets of range between the limits.
+RAYS_AZ, RAYS_EL, DEPTHS, NEAREST, FARTHEST = 512, 160, 96, 0.8, 120.0
+NOBODY = 255
+
+
+def _ray_cells(at: np.ndarray, view: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Range, ray cell and depth bucket of points (rows) seen from ``view``, and which are in range."""
+    d = at - view
+    r = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+    turn = np.arctan2(d[:, 1], d[:, 0])
+    lift = np.arcsin(np.clip(d[:, 2] / np.maximum(r, 1e-6), -1, 1))
+    az = np.minimum(((turn + math.pi) / (2 * math.pi) * RAYS_AZ).astype(np.int64), RAYS_AZ - 1)
+    el = np.minimum(((lift + math.pi / 2) / math.pi * RAYS_EL).astype(np.int64), RAYS_EL - 1)
+    ok = (r > NEAREST) & (r < FARTHEST)
+    near = math.log(NEAREST)
+    bucket = ((np.log(np.maximum(r, NEAREST)) - near) / (math.log(FARTHEST) - near) * DEPTHS).astype(np.int64)
+    return r, az * RAYS_EL + el, np.minimum(bucket, DEPTHS - 1), ok
+
+
+def spread_views(views: DataFrame, most: int = 110) -> list[tuple[float, float, float]]:
+    """Positions (pid, x, y, z in order of pid) of a track, at most ``most`` of them, evenly spread by number."""
+    known = views.dropna(subset=["pid", *XYZ])
+    n = known.count()
+    if n > most:
+        wanted = [int(k * (n - 1) / (most - 1)) for k in range(most)]
+        # numbered by ranges of pid: no task holds the track
+        ranged = saved(known.select("pid", *XYZ).repartitionByRange("pid").sortWithinPartitions("pid", *XYZ).withColumn("__p", F.spark_partition_id()), "track")
+        sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}
+        before = dict(zip(sorted(sizes), np.cumsum([0] + [sizes[p] for p in sorted(sizes)]).tolist(), strict=False))
+        start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__p"))
+        place = start + F.row_number().over(W.partitionBy("__p").orderBy("pid", *XYZ)) - 1
+        known = ranged.withColumn("__at", place).where(F.col("__at").isin(wanted))
+    return [tuple(r) for r in known.orderBy("pid").select(*XYZ).collect()]
+
+
+def carve_views(points: DataFrame, views: DataFrame, most_views: int = 110, least: int = 3, quantile: float = 0.6, slack: float = 0.1) -> DataFrame:
+    """(pid, passed, held, ghost) of points (pid, x, y, z): views whose ray passes through the point, views whose surface it lies on.
+
+    Each of up to ``most_views`` views has a histogram of log-depths per ray cell; the bucket that
+    reaches ``quantile`` of a cell of six points or more is its surface. A point nearer than that
+    by more than max(0.25, 5 %) is passed, one within max(0.12, slack + 2 %) holds; it is a ghost
+    if at least ``least`` views pass it and more than twice as many as hold it. The histograms are
+    summed by Spark; the surfaces, a byte per view and cell (9 MB at most), go to every task, so
+    points never move. Rows with a null coordinate are left out; without views nothing is passed.
+    """
+    spark = points.sparkSession
+    at = np.array(spread_views(views, most_views)).reshape(-1, 3)
+    known = points.dropna(subset=list(XYZ)).select("pid", *XYZ)
+    cells = RAYS_AZ * RAYS_EL
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in XYZ])
+            for k, view in enumerate(at):
+                _, cell, bucket, ok = _ray_cells(p, view)
+                key, n = np.unique((k * cells + cell[ok]) * DEPTHS + bucket[ok], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    counts = known.select(*XYZ).mapInArrow(seen, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = counts.select(F.expr(f"key div {DEPTHS}").alias("ray"), (F.col("key") % DEPTHS).cast("int").alias("bucket"), "n")
+    over = W.partitionBy("ray").orderBy("bucket")
+    upto, total = F.sum("n").over(over), F.sum("n").over(W.partitionBy("ray"))  # at most as many rows as buckets
+    reached = counts.select("ray", "bucket", upto.alias("upto"), total.alias("total")).where("total >= 6")
+    # the first bucket with at least floor(quantile x total) points up to it
+    surface = reached.where(F.col("upto") >= F.floor(F.col("total") * quantile)).groupBy("ray").agg(F.min("bucket").alias("bucket"))
+    packed = surface.select(F.expr(f"ray div {cells}").alias("view"), (F.col("ray") % cells).cast("int").alias("cell"), "bucket")
+
+    def bytes_of(own: pa.Table) -> pa.Table:
+        row = np.full(cells, NOBODY, np.uint8)
+        row[own.column("cell").to_numpy()] = own.column("bucket").to_numpy()
+        return pa.table({"view": own.column("view").slice(0, 1), "row": [row.tobytes()]})
+
+    table = np.full((max(1, len(at)), cells), NOBODY, np.uint8)
+    for r in packed.groupBy("view").applyInArrow(bytes_of, "view long, row binary").collect():
+        table[r["view"]] = np.frombuffer(r["row"], np.uint8)
+    sent = spark.sparkContext.broadcast(table)
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = math.log(FARTHEST) - math.log(NEAREST)
+        far = np.exp(math.log(NEAREST) + np.arange(NOBODY + 1) / DEPTHS * span)
+        for batch in batches:
+            p = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in XYZ])
+            passed, held = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+            for k, view in enumerate(at):
+                r, cell, _, ok = _ray_cells(p, view)
+                bucket = sent.value[k, cell]
+                there, surface = ok & (bucket != NOBODY), far[bucket]
+                passed += there & (r < surface - np.maximum(0.25, 0.05 * surface))
+                held += there & (np.abs(r - surface) <= np.maximum(slack + 0.02 * surface, 0.12))
+            ghost = (passed >= least) & (passed > 2 * held)
+            yield pa.RecordBatch.from_arrays([batch.column("pid"), pa.array(passed), pa.array(held), pa.array(ghost)], names=["pid", "passed", "held", "ghost"])
+
+    kind = known.schema["pid"].dataType.simpleString()
+    return known.mapInArrow(voted, f"pid {kind}, passed long, held long, ghost boolean")
+
+
 def classify(points: DataFrame, cell: float = 0.5, band: float = 0.2, voxel: float = 0.3, least: int = 40) -> DataFrame:
     """(pid, class) of points with x, y, z and, where known, r, g, b: ground, vehicle, vegetation, bars or rest.
 

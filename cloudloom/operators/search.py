@@ -13,7 +13,7 @@ fewer points than ``min_inliers`` give no planes; equal points count each.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +30,36 @@ _NORMAL = ("nx", "ny", "nz")
 _SHAPE = "plane_id long, n long, mx double, my double, mz double, nx double, ny double, nz double, d double, rms double, variation double"
 
 
-def _overlaps(points: DataFrame, tried: np.ndarray, threshold: float, cos: float) -> np.ndarray:
-    """How many points each two of the hypotheses (rows n, d) explain together."""
-    h = len(tried)
+def counted(points: DataFrame, explained: Callable[[np.ndarray, np.ndarray], np.ndarray], tried: int) -> np.ndarray:
+    """How many points each two of ``tried`` hypotheses explain together; ``explained(xyz, normals)`` tells which explain which points.
+
+    Every task sums its points; Spark adds these counts up by the pair, so at most ``tried``
+    squared numbers come to the driver, in one job.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((h, h))
+        total = np.zeros((tried, tried))
         for batch in batches:
             column = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*XYZ, *_NORMAL)]
             for a in range(0, batch.num_rows, 4_096):
-                p, n = np.stack([c[a : a + 4_096] for c in column[:3]]), np.stack([c[a : a + 4_096] for c in column[3:]])
-                near = (np.abs(tried[:, :3] @ p + tried[:, 3:]) < threshold) & (np.abs(tried[:, :3] @ n) > cos)
-                own = near.astype(np.float32)
+                p, n = (np.stack([c[a : a + 4_096] for c in column[k : k + 3]]) for k in (0, 3))
+                own = explained(p, n).astype(np.float32)
                 total += own @ own.T
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+        i, j = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array(i * tried + j), pa.array(total[i, j].astype(np.int64))], names=["pair", "n"])
 
-    rows = points.select(*XYZ, *_NORMAL).mapInArrow(run, "total binary")
-    # a row per partition, added up a few at a time
-    out = np.zeros((h, h))
-    for r in rows.toLocalIterator():
-        out += np.frombuffer(r["total"]).reshape(h, h)
+    sums = points.select(*XYZ, *_NORMAL).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair, n = (sums.column(c).to_numpy() for c in ("pair", "n"))
+    out = np.zeros((tried, tried))
+    out[pair // tried, pair % tried] = out[pair % tried, pair // tried] = n
     return out
 
 
+def _overlaps(points: DataFrame, tried: np.ndarray, threshold: float, cos: float) -> np.ndarray:
+    """How many points each two of the planes (rows n, d) explain together."""
+    return counted(points, lambda p, n: (np.abs(tried[:, :3] @ p + tried[:, 3:]) < threshold) & (np.abs(tried[:, :3] @ n) > cos), len(tried))
+
+
 def _taken(both: np.ndarray, least: int, most: int, share: float) -> list[int]:
     """Hypotheses by count that share at most ``share`` of their points with any taken before."""
     taken: list[int] = []

@@ -143,12 +143,18 @@ def budget_thin(spark, sf_dir):
     return rounded(points.budget_voxel(orders_cloud(spark, sf_dir), 500))
 
 
+#: Pairs of points of the cloud over orders up to 8 units apart, among which all nearest ones are: by rank of distance.
+NEAR_SQL = f"""p AS ({O}), c AS (SELECT pid, x, y, z, floor(x / 8) AS i, floor(y / 8) AS j FROM p),
+near AS MATERIALIZED (SELECT a.pid, b.pid AS nid, b.x, b.y, b.z, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2
+  FROM (SELECT c.pid, x, y, z, i + u.di AS i, j + v.dj AS j FROM c, range(-1, 2) u(di), range(-1, 2) v(dj)) a JOIN c b USING (i, j)
+  WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 64)"""
+
+
 @query(f"""
-WITH p AS ({E_SQL}), q AS (SELECT a.pid, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d,
-  row_number() OVER (PARTITION BY a.pid ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pid) AS rk FROM p a JOIN p b ON a.pid <> b.pid)
-SELECT pid, {r6('avg(d) AS spacing')} FROM q WHERE rk <= 8 GROUP BY pid""")
+WITH {NEAR_SQL}, q AS (SELECT pid, sqrt(d2) AS d FROM near WHERE pid <> nid QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, nid) <= 8)
+SELECT pid, {r6('avg(d) AS spacing')} FROM q GROUP BY pid""")
 def knn_spacing(spark, sf_dir):
-    return rounded(points.local_spacing(embedded(spark, sf_dir), 8, 0.5))
+    return rounded(points.local_spacing(orders_cloud(spark, sf_dir), 8, 2.0))
 
 
 @query(f"""
@@ -159,21 +165,19 @@ def point_spacing(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS ({E_SQL}), q AS (SELECT a.pid, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d,
-  row_number() OVER (PARTITION BY a.pid ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pid) AS rk FROM p a JOIN p b ON a.pid <> b.pid),
-m AS (SELECT pid, avg(d) AS s FROM q WHERE rk <= 16 GROUP BY pid)
+WITH {NEAR_SQL}, q AS (SELECT pid, sqrt(d2) AS d FROM near WHERE pid <> nid QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, nid) <= 16),
+m AS (SELECT pid, avg(d) AS s FROM q GROUP BY pid)
 SELECT pid FROM m WHERE s <= (SELECT avg(s) + 25e-1 * stddev_pop(s) FROM m)""")
 def sor_filter(spark, sf_dir):
-    return points.remove_statistical_outliers(embedded(spark, sf_dir), 16, 2.5, 0.5).select("pid")
+    return points.remove_statistical_outliers(orders_cloud(spark, sf_dir), 16, 2.5, 2.0).select("pid")
 
 
 @query(f"""
-WITH p AS ({E_SQL}), q AS (SELECT a.pid, b.x, b.y, b.z,
-  row_number() OVER (PARTITION BY a.pid ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pid) AS rk FROM p a, p b),
-m AS (SELECT pid, {MOMENTS_SQL} FROM q WHERE rk <= 17 GROUP BY pid), {eigen_sql('m', 'pid')}
+WITH {NEAR_SQL}, q AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, nid) <= 17),
+m AS (SELECT pid, {MOMENTS_SQL} FROM q GROUP BY pid), {eigen_sql('m', 'pid')}
 SELECT pid, {r6('nx', 'ny', 'nz', 'l1', 'l2', 'l3')} FROM eig""")
 def pca_normals(spark, sf_dir):
-    shape = points.neighbourhood_shape(embedded(spark, sf_dir), 16, 0.5)
+    shape = points.neighbourhood_shape(orders_cloud(spark, sf_dir), 16, 2.0)
     return rounded(shape.select("pid", "nx", "ny", "nz", "l1", "l2", "l3"))
 
 
