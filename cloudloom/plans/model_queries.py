@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import MOMENTS_SQL, eigen_sql
-from cloudloom.operators import holes, mesh, parts, planes, scene, skin, thinning, visibility, watertight
+from cloudloom.operators import bridges, holes, mesh, parts, paths, planes, scene, skin, thinning, visibility, watertight
 from cloudloom.operators.points import XYZ
-from cloudloom.plans.queries import BOX, FACES, VERTICES, O, box, orders_cloud, part_mesh, query, r6, rounded, view
+from cloudloom.plans.queries import BOX, FACES, TRACK, TRACK_SQL, VERTICES, O, box, orders_cloud, part_mesh, query, r6, rounded, view
 from cloudloom.plans.scratch import saved
 
 # ---------------------------------------------------------------- closed models
@@ -100,12 +100,12 @@ def freeform_skin(spark, sf_dir):
 # ---------------------------------------------------------------- carving
 
 #: A track over supplier, through the cloud over orders.
-TRACK = """
+SUPPLY_TRACK = """
 SELECT s_suppkey AS pid, ((s_suppkey * 4391) % 1009) / 1e1 AS x, ((s_suppkey * 7001) % 1013) / 1e1 AS y, 15e-1 + ((s_suppkey * 37) % 11) / 1e2 AS z FROM supplier"""
 
 
 @query(f"""
-WITH p AS ({O}), t AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS i, count(*) OVER () AS n FROM ({TRACK}) s),
+WITH p AS ({O}), t AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS i, count(*) OVER () AS n FROM ({SUPPLY_TRACK}) s),
 v AS (SELECT pid AS vid, x AS vx, y AS vy, z AS vz FROM t WHERE n <= 110 OR i IN (SELECT floor(k * (n - 1) / 109e0) FROM range(110) r(k))),
 d AS (SELECT p.pid, vid, x - vx AS dx, y - vy AS dy, z - vz AS dz, sqrt((x - vx)*(x - vx) + (y - vy)*(y - vy) + (z - vz)*(z - vz)) AS r FROM p, v),
 c AS MATERIALIZED (SELECT pid, vid, r, least(floor((atan2(dy, dx) + pi()) / (2 * pi()) * 512), 511) * 160 + least(floor((asin(greatest(-1, least(1, dz / greatest(r, 1e-6)))) + pi() / 2) / pi() * 160), 159) AS cell,
@@ -117,7 +117,7 @@ w AS (SELECT pid, count(*) FILTER (r < far - greatest(25e-2, 5e-2 * far)) AS pas
 SELECT pid, coalesce(passed, 0)::BIGINT AS passed, coalesce(held, 0)::BIGINT AS held, coalesce(passed >= 3 AND passed > 2 * held, FALSE) AS ghost FROM p LEFT JOIN w USING (pid)""")
 def carved_ghosts(spark, sf_dir):
     """Votes of up to 110 views along a track over the cloud of orders."""
-    return scene.carve_views(orders_cloud(spark, sf_dir), view(spark, sf_dir, TRACK, "supplier"))
+    return scene.carve_views(orders_cloud(spark, sf_dir), view(spark, sf_dir, SUPPLY_TRACK, "supplier"))
 
 
 # ---------------------------------------------------------------- cameras
@@ -232,3 +232,80 @@ def cone_search(spark, sf_dir):
     found, _ = parts.detect_cones(p, 0.02, min_inliers=p.count() // 5, radius=0.5)
     axis = F.when(F.abs("ax") > 0.999, "x").when(F.abs("az") > 0.999, "z").otherwise("none")
     return found.select(axis.alias("axis"), F.round("half_deg", 1).alias("half_deg"), "n", F.round("rms", 4).alias("rms"), F.round("r_min", 2).alias("r_min"), F.round("r_max", 2).alias("r_max"))
+
+
+# ---------------------------------------------------------------- bridges
+
+_TREMBLE = {k: f"1e-2 * (2 * (((l_orderkey * {a} + l_linenumber * {b} + l_partkey) % 9973) / 9973e0) - 1)" for k, a, b in (("ex", 1299709, 31), ("ey", 224737, 57), ("ez", 350377, 91))}
+#: Two square pylons of 1.2 m, 20 m high, and four cables that run down from them; a centimetre of noise.
+BRIDGE = f"""
+SELECT pid, part, CASE WHEN part < 2 THEN x0 + CASE w WHEN 0 THEN 6e-1 WHEN 1 THEN -6e-1 ELSE 12e-1 * s - 6e-1 END ELSE x0 + way * (2 + 16 * s) END + ex AS x,
+       CASE WHEN part < 2 THEN CASE w WHEN 2 THEN 6e-1 WHEN 3 THEN -6e-1 ELSE 12e-1 * s - 6e-1 END ELSE 0e0 END + ey AS y, CASE WHEN part < 2 THEN 20 * t ELSE 18 - 16 * s END + ez AS z, s
+FROM (SELECT *, CASE WHEN part % 2 = 0 THEN -20e0 ELSE 20e0 END AS x0, CASE WHEN part < 4 THEN -1 ELSE 1 END AS way FROM (
+  SELECT l_orderkey * 8 + l_linenumber AS pid, (l_orderkey * 31 + l_linenumber * 7) % 6 AS part, (l_partkey * 13 + l_orderkey) % 4 AS w,
+         ((l_orderkey * 7919 + l_linenumber * 613 + l_suppkey) % 99991) / 99991e0 AS s, ((l_partkey * 104729 + l_orderkey * 17) % 99989) / 99989e0 AS t,
+         {', '.join(f'{v} AS {k}' for k, v in _TREMBLE.items())} FROM lineitem) q0) q1"""
+CELL = 0.5
+
+
+@query(f"""
+WITH p AS (SELECT *, floor(x / 5e-1) AS i, floor(y / 5e-1) AS j FROM ({BRIDGE}) b WHERE part < 2)
+SELECT round((min(i) + max(i) + 1) / 2 * 5e-1, 6) AS x, round((min(j) + max(j) + 1) / 2 * 5e-1, 6) + 0e0 AS y, (max(i) - min(i) + 1) * 5e-1 AS width_x, (max(j) - min(j) + 1) * 5e-1 AS width_y,
+       {r6('min(z) AS z0', 'max(z) AS z1')}, count(DISTINCT (i, j)) AS cells FROM p GROUP BY part""")
+def bridge_pylons(spark, sf_dir):
+    """Pylons of the scene, found without labels among its cables."""
+    found, _ = bridges.pylons(view(spark, sf_dir, BRIDGE, "lineitem"), CELL, 15.0)
+    return rounded(found.drop("pylon"))
+
+
+@query(f"""
+WITH p AS (SELECT part, sqrt(2) * 16 * s AS t, x, z FROM ({BRIDGE}) b WHERE part >= 2)
+SELECT round(quantile_cont(t, 99e-2) - quantile_cont(t, 1e-2), 1) AS length, 45e0 AS inclination_deg, count(*) AS n,
+       round(CASE WHEN part % 2 = 0 THEN -20e0 ELSE 20e0 END + CASE WHEN part < 4 THEN -10e0 ELSE 10e0 END, 0) + 0e0 AS middle FROM p GROUP BY part""")
+def bridge_cables(spark, sf_dir):
+    """Cables of the scene: length, inclination, how many points, and over which place of the deck their middle is."""
+    p = saved(view(spark, sf_dir, BRIDGE, "lineitem").select("pid", *XYZ), "bridge")
+    _, cells = bridges.pylons(p, CELL, 15.0)
+    found = bridges.cables(bridges.beside(p, cells, CELL), 0.3, 5.0, 0.5, 2.0)
+    middle = F.round((F.col("sx") + F.col("ex")) / 2, 0) + F.lit(0.0)
+    return found.select(F.round("length", 1).alias("length"), F.round("inclination_deg", 0).alias("inclination_deg"), "n", middle.alias("middle"))
+
+
+# ---------------------------------------------------------------- long tracks
+
+DAY = 86_400_000_000
+
+
+@query(f"""
+WITH e AS ({TRACK_SQL}), k AS (SELECT t, avg(v) AS v FROM e GROUP BY 1), q AS (SELECT DISTINCT t + 3600000000 AS t FROM k),
+a AS (SELECT q.t, k.t AS t0, k.v AS v0 FROM q ASOF LEFT JOIN k ON q.t >= k.t), b AS (SELECT a.*, k.t AS t1, k.v AS v1 FROM a ASOF LEFT JOIN k ON a.t <= k.t)
+SELECT t, round(CASE WHEN v1 IS NULL THEN v0 WHEN v0 IS NULL THEN v1 WHEN t1 > t0 THEN v0 + (v1 - v0) * ((t - t0)::DOUBLE / (t1 - t0)) ELSE v0 END, 6) AS v FROM b""")
+def long_track(spark, sf_dir):
+    """All events as one track, asked an hour after each: cut by day."""
+    track = view(spark, sf_dir, TRACK, "events").groupBy("t").agg(F.avg("v").alias("v"))
+    return rounded(paths.between(track, track.select((F.col("t") + 3_600_000_000).alias("t")).distinct(), ["v"], DAY))
+
+
+@query(f"""
+WITH k AS (SELECT t, v FROM ({TRACK_SQL}) e), s AS (SELECT t, v, coalesce(abs(v - lag(v) OVER (ORDER BY t, v)), 0) AS d FROM k)
+SELECT t, round(v, 6) AS v, round(sum(d) OVER (ORDER BY t, v ROWS UNBOUNDED PRECEDING), 4) AS s FROM s""")
+def long_track_lengths(spark, sf_dir):
+    """Running length along all events as one track."""
+    out = paths.lengths(view(spark, sf_dir, TRACK, "events").select("t", "v"), ["v"], DAY)
+    return out.select("t", F.round("v", 6).alias("v"), F.round("s", 4).alias("s"))
+
+
+#: A walk over orders, and photos taken along it in a frame of their own, turned by 90 degrees, half as large and 150 off, their clock 5,000 behind.
+WALK = """
+SELECT CAST(o_orderkey AS DOUBLE) AS t, 40 * cos(o_orderkey / 9e3) + o_orderkey / 1e3 AS x, 25 * sin(o_orderkey / 7e3) AS y, 2 + sin(o_orderkey / 4e3) AS z FROM orders"""
+PHOTOS = f"SELECT t - 5000 AS t, 150 + y / 2 AS x, -x / 2 AS y, z / 2 AS z FROM ({WALK}) w WHERE CAST(t AS BIGINT) % 97 = 0 OR t = (SELECT min(o_orderkey) FROM orders)"
+
+
+@query(f"SELECT 'time from start, scaled' AS label, TRUE AS applied, count(*)::BIGINT AS photos, 2e0 AS scale, round(max(t) - min(t), 3) AS span FROM ({PHOTOS}) p")
+def matched_walk(spark, sf_dir):
+    """The pairing of photos and walk that fits, of eight tried, with its scale."""
+    walk = saved(view(spark, sf_dir, WALK, "orders"), "walk")
+    photos = saved(spark.sql(PHOTOS), "photos")
+    found = paths.match(photos, walk, 5_000.0)
+    facts = photos.agg(F.count(F.lit(1)).alias("photos"), F.round(F.max("t") - F.min("t"), 3).alias("span"))
+    return facts.select(F.lit(found.label).alias("label"), F.lit(bool(found.applied)).alias("applied"), "photos", F.round(F.lit(found.scale), 6).alias("scale"), "span")
