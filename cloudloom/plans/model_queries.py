@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import MOMENTS_SQL, eigen_sql
-from cloudloom.operators import bridges, holes, mesh, parts, paths, planes, scene, skin, thinning, visibility, watertight
+from cloudloom.operators import bridges, holes, mesh, parts, paths, planes, scene, skin, textures, thinning, visibility, watertight
 from cloudloom.operators.points import XYZ
 from cloudloom.plans.queries import BOX, FACES, TRACK, TRACK_SQL, VERTICES, O, box, orders_cloud, part_mesh, query, r6, rounded, view
 from cloudloom.plans.scratch import saved
@@ -309,3 +309,111 @@ def matched_walk(spark, sf_dir):
     found = paths.match(photos, walk, 5_000.0)
     facts = photos.agg(F.count(F.lit(1)).alias("photos"), F.round(F.max("t") - F.min("t"), 3).alias("span"))
     return facts.select(F.lit(found.label).alias("label"), F.lit(bool(found.applied)).alias("applied"), "photos", F.round(F.lit(found.scale), 6).alias("scale"), "span")
+
+
+# ---------------------------------------------------------------- textures
+
+_NB = "nb AS MATERIALIZED (SELECT x.fid, y.fid AS other FROM e x JOIN e y ON x.u = y.u AND x.v = y.v AND x.fid <> y.fid)"
+
+
+def _smooth_sql(k: int) -> str:
+    return f"""n{k} AS MATERIALIZED (SELECT fid, CASE WHEN s > 1e-12 THEN sx / s ELSE nx END AS nx, CASE WHEN s > 1e-12 THEN sy / s ELSE ny END AS ny, CASE WHEN s > 1e-12 THEN sz / s ELSE nz END AS nz FROM (
+  SELECT *, sqrt(sx*sx + sy*sy + sz*sz) AS s FROM (SELECT n.fid, n.nx, n.ny, n.nz, n.nx + coalesce(sum(o.nx), 0) AS sx, n.ny + coalesce(sum(o.ny), 0) AS sy, n.nz + coalesce(sum(o.nz), 0) AS sz
+  FROM n{k - 1} n LEFT JOIN nb USING (fid) LEFT JOIN n{k - 1} o ON o.fid = nb.other GROUP BY n.fid, n.nx, n.ny, n.nz) q0) q1)"""
+
+
+def _join_sql(k: int) -> str:
+    """One round: charts, their sizes and borders, and which chart each small one joins."""
+    return f"""z{k} AS MATERIALIZED (SELECT chart, bin, count(*) AS n FROM o{k - 1} GROUP BY ALL),
+g{k} AS MATERIALIZED (SELECT p.chart AS a, q.chart AS b, count(*) AS edges FROM nb JOIN o{k - 1} p ON p.fid = nb.fid JOIN o{k - 1} q ON q.fid = nb.other WHERE p.chart <> q.chart GROUP BY ALL),
+j{k} AS MATERIALIZED (SELECT g.a, g.b, t.bin FROM g{k} g JOIN z{k} s ON s.chart = g.a JOIN z{k} t ON t.chart = g.b WHERE s.n < 24 AND t.n >= 24
+  QUALIFY row_number() OVER (PARTITION BY g.a ORDER BY g.edges DESC, g.b) = 1),
+o{k} AS MATERIALIZED (SELECT o.fid, coalesce(j.b, o.chart) AS chart, coalesce(j.bin, o.bin) AS bin FROM o{k - 1} o LEFT JOIN j{k} j ON j.a = o.chart)"""
+
+
+CHARTS_SQL = f"""v AS ({SPIKES}), f AS ({FACES}),
+e AS MATERIALIZED (SELECT fid, least(a, b) AS u, greatest(a, b) AS v FROM f UNION ALL SELECT fid, least(b, c), greatest(b, c) FROM f UNION ALL SELECT fid, least(c, a), greatest(c, a) FROM f), {_NB},
+tri AS (SELECT fid, p.x ax, p.y ay, p.z az, q.x bx, q.y by_, q.z bz, r.x cx, r.y cy, r.z cz FROM f JOIN v p ON p.vid = f.a JOIN v q ON q.vid = f.b JOIN v r ON r.vid = f.c),
+w AS (SELECT *, (by_-ay)*(cz-az) - (bz-az)*(cy-ay) AS wx, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) AS wy, (bx-ax)*(cy-ay) - (by_-ay)*(cx-ax) AS wz FROM tri),
+n0 AS MATERIALIZED (SELECT fid, wx/sqrt(wx*wx+wy*wy+wz*wz) AS nx, wy/sqrt(wx*wx+wy*wy+wz*wz) AS ny, wz/sqrt(wx*wx+wy*wy+wz*wz) AS nz FROM w), {', '.join(_smooth_sql(k) for k in (1, 2, 3))},
+ab AS (SELECT fid, nx, ny, nz, round(abs(nx), 9) AS x, round(abs(ny), 9) AS y, round(abs(nz), 9) AS z FROM n3),
+bn AS MATERIALIZED (SELECT fid, (CASE WHEN x >= y AND x >= z THEN 0 + (round(nx, 9) < 0)::INT WHEN y >= z THEN 2 + (round(ny, 9) < 0)::INT ELSE 4 + (round(nz, 9) < 0)::INT END)::INTEGER AS bin FROM ab),
+ed AS MATERIALIZED (SELECT nb.fid AS a, nb.other AS b FROM nb JOIN bn p ON p.fid = nb.fid JOIN bn q ON q.fid = nb.other WHERE p.bin = q.bin),
+c(node, root, step) USING KEY (node) AS (SELECT fid, fid, 0 FROM bn UNION
+   SELECT ed.b, min(c.root), max(c.step) + 1 FROM c JOIN ed ON ed.a = c.node JOIN recurring.c t ON t.node = ed.b WHERE c.root < t.root GROUP BY ed.b),
+o0 AS MATERIALIZED (SELECT fid, root AS chart, bin FROM bn JOIN c ON c.node = bn.fid), {', '.join(_join_sql(k) for k in (1, 2, 3, 4))}"""
+
+
+def _charts(spark, sf_dir):
+    faces, _ = part_mesh(spark, sf_dir)
+    vertices = view(spark, sf_dir, SPIKES, "part")
+    return faces, vertices, textures.charts(faces, vertices)
+
+
+@query(f"WITH RECURSIVE {CHARTS_SQL} SELECT fid, chart, bin FROM o4")
+def mesh_charts(spark, sf_dir):
+    """Charts of the spiky mesh after four rounds of joining small ones."""
+    return _charts(spark, sf_dir)[2].select("fid", "chart", "bin")
+
+
+PAGES_SQL = """
+t AS (SELECT o4.chart, o4.bin, p.* FROM o4 JOIN f USING (fid) JOIN v p ON p.vid IN (f.a, f.b, f.c)),
+x AS (SELECT chart, max(uu) - min(uu) AS width, max(vv) - min(vv) AS height FROM (SELECT chart, CASE WHEN bin < 2 THEN y ELSE x END AS uu, CASE WHEN bin >= 4 THEN y ELSE z END AS vv FROM t) q GROUP BY chart),
+s AS (SELECT chart, least(greatest(ceil(width / 2e-2) + 1, 1), 504)::BIGINT AS w, least(greatest(ceil(height / 2e-2) + 1, 1), 504)::BIGINT AS h FROM x),
+k AS (SELECT *, w + 8 AS cw, h + 8 AS ch, len(bin(h + 7)) AS cl FROM s),
+m AS (SELECT *, greatest(1, 512 - max(cw) OVER (PARTITION BY cl)) AS room, sum(cw) OVER (PARTITION BY cl ORDER BY chart) - cw AS before FROM k),
+l AS MATERIALIZED (SELECT *, before // room AS shelf, before % room AS px FROM m),
+h AS (SELECT cl, shelf, max(ch) AS sh FROM l GROUP BY 1, 2),
+r AS (SELECT *, greatest(1, 512 - max(sh) OVER ()) AS room, sum(sh) OVER (ORDER BY cl DESC, shelf) - sh AS upto FROM h)"""
+
+
+@query(f"""
+WITH RECURSIVE {CHARTS_SQL}, {PAGES_SQL}
+SELECT chart, (upto // r.room)::BIGINT AS page, (px + 4)::BIGINT AS px, (upto % r.room + 4)::BIGINT AS py, w, l.h FROM l JOIN r USING (cl, shelf)""")
+def chart_pages(spark, sf_dir):
+    """Places of the charts on pages of 512 texels."""
+    faces, vertices, owner = _charts(spark, sf_dir)
+    placed = textures.packed(textures.chart_places(saved(owner, "owner"), faces, vertices), 0.02, 512)
+    return placed.select("chart", F.col("page").cast("long").alias("page"), F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), "w", "h")
+
+
+FLAT = f"""SELECT fid, p.x * 10 AS au, p.y * 10 AS av, q.x * 10 AS bu, q.y * 10 AS bv, r.x * 10 AS cu, r.y * 10 AS cv
+FROM ({FACES}) f JOIN ({VERTICES}) p ON p.vid = f.a JOIN ({VERTICES}) q ON q.vid = f.b JOIN ({VERTICES}) r ON r.vid = f.c"""
+
+
+@query(f"""
+WITH t AS ({FLAT}), g AS (SELECT t.*, ix, iy FROM t, LATERAL unnest(range(least(greatest(floor(least(au, bu, cu)), 0), 199)::BIGINT, least(greatest(ceil(greatest(au, bu, cu)), 0), 199)::BIGINT + 1)) i(ix),
+  LATERAL unnest(range(least(greatest(floor(least(av, bv, cv)), 0), 299)::BIGINT, least(greatest(ceil(greatest(av, bv, cv)), 0), 299)::BIGINT + 1)) j(iy)),
+d AS (SELECT *, (bu-au)*(cv-av) - (bv-av)*(cu-au) AS den, (ix + 5e-1 - au) AS du, (iy + 5e-1 - av) AS dv FROM g),
+b AS (SELECT fid, ix, iy, (du*(cv-av) - dv*(cu-au)) / den AS b1, ((bu-au)*dv - (bv-av)*du) / den AS b2 FROM d WHERE abs(den) > 1e-12),
+c AS (SELECT fid, ix, iy, least(greatest(1 - b1 - b2, 0), 1) AS c0, least(greatest(b1, 0), 1) AS c1, least(greatest(b2, 0), 1) AS c2 FROM b WHERE b1 >= -0.35 AND b2 >= -0.35 AND 1 - b1 - b2 >= -0.35)
+SELECT fid, count(*) AS texels, round(sum(c1 / (c0 + c1 + c2)), 6) AS b1, round(sum(c2 / (c0 + c1 + c2)), 6) AS b2 FROM c GROUP BY fid""")
+def face_texels(spark, sf_dir):
+    """Texels of every face of the part mesh seen from above, ten to a unit, and the sums of their weights."""
+    part_mesh(spark, sf_dir)
+    rows = textures.face_texels(spark.sql(FLAT), 200, 300)
+    return rows.groupBy("fid").agg(F.count(F.lit(1)).alias("texels"), F.round(F.sum("b1"), 6).alias("b1"), F.round(F.sum("b2"), 6).alias("b2"))
+
+
+@query(f"""
+WITH p AS ({O}), s AS (SELECT * FROM (VALUES (0, 1e0), (1, 2e0)) s(plane_id, level)),
+h AS (SELECT plane_id::BIGINT AS plane_id, floor((x - 10) / 2)::BIGINT AS ix, floor((y - 20) / 2)::BIGINT AS iy, r, g, b FROM p, s WHERE abs(z - level) < 4e-1 AND x >= 10 AND x < 90 AND y >= 20 AND y < 80)
+SELECT plane_id, ix, iy, count(*) AS n, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM h GROUP BY 1, 2, 3""")
+def cloud_texels(spark, sf_dir):
+    """Mean colours of the cloud over orders on two level surfaces."""
+    level = [(k, 0.0, 0.0, float(k + 1), 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 10.0, 20.0, 90.0, 80.0) for k in range(2)]
+    names = "plane_id long, " + ", ".join(f"{p}{c} double" for p in "ouv" for c in XYZ) + ", u0 double, v0 double, u1 double, v1 double"
+    return rounded(textures.cloud_texels(orders_cloud(spark, sf_dir), spark.createDataFrame(level, names), 2.0, 0.4))
+
+
+#: Colours of parts of orders as photos and as a scan saw them, by clerk's customer.
+SHADES = """
+SELECT o_custkey % 40 AS cam_id, (o_orderkey * 37) % 200 + 20 AS r, (o_orderkey * 91) % 200 + 20 AS g, (o_orderkey * 53) % 200 + 20 AS b,
+       ((o_orderkey * 37) % 200 + 20) * (7e-1 + (o_custkey % 40) / 6e1) AS pr, ((o_orderkey * 91) % 200 + 20) * (13e-1 - (o_custkey % 40) / 8e1) AS pg, ((o_orderkey * 53) % 200 + 20) * 11e-1 AS pb FROM orders"""
+
+
+@query(f"""
+WITH s AS ({SHADES}), m AS (SELECT cam_id, median((r + 8) / (pr + 8)) AS r, median((g + 8) / (pg + 8)) AS g, median((b + 8) / (pb + 8)) AS b FROM s GROUP BY 1 HAVING count(*) >= 40)
+SELECT cam_id, {', '.join(f"round(least(greatest({c} / (SELECT median({c}) FROM m), 6e-1), 16e-1), 6) AS {c}" for c in 'rgb')} FROM m""")
+def camera_gains(spark, sf_dir):
+    return rounded(textures.gains(view(spark, sf_dir, SHADES, "orders")))
