@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import cross, dot, minus, moments, norm, vec, with_eigen
-from cloudloom.operators.points import XYZ, _offsets, with_cell
+from cloudloom.operators.points import XYZ, _offsets, radius_pairs, with_cell
 from cloudloom.plans.scratch import saved
 
 
@@ -129,10 +132,27 @@ def footprints(points: DataFrame, planes: DataFrame) -> DataFrame:
 
 def footprint_overlaps(points: DataFrame, planes: DataFrame, least: float = 0.3) -> DataFrame:
     """Planes i < j: share of the smaller bounding box, both in i's frame, that the other covers, and whether it reaches ``least``."""
-    frames = basis(planes).select(F.col("plane_id").alias("frame"), *[f"{a}{k}" for a in "uv" for k in "xyz"])
-    own = points.select("plane_id", "x", "y", "z").join(F.broadcast(frames), F.col("plane_id") >= F.col("frame"))  # planes of a model
-    uv = own.select("frame", "plane_id", dot(vec(""), vec("u")).alias("s"), dot(vec(""), vec("v")).alias("t"))
-    boxes = uv.groupBy("frame", "plane_id").agg(*[f(c).alias(f"{c}{k}") for c in "st" for k, f in ((0, F.min), (1, F.max))])
+    frames = [tuple(r) for r in basis(planes).select("plane_id", *[f"{a}{k}" for a in "uv" for k in "xyz"]).dropna().orderBy("plane_id").collect()]  # planes of a model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Boxes of the batch's points in the frame of every plane up to their own: no row per point and plane."""
+        for batch in batches:
+            own = batch.column("plane_id").to_numpy(zero_copy_only=False)
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in XYZ])
+            ids, which = np.unique(own, return_inverse=True)
+            rows = []
+            for frame, *uv in frames:
+                s, t = (sum(at[i] * uv[k + i] for i in range(3)) for k in (0, 3))
+                ends = [np.full(len(ids), v) for v in (np.inf, -np.inf, np.inf, -np.inf)]
+                for f, out, x in ((np.minimum, ends[0], s), (np.maximum, ends[1], s), (np.minimum, ends[2], t), (np.maximum, ends[3], t)):
+                    f.at(out, which, x)
+                rows += [(frame, int(k), *(float(e[i]) for e in ends)) for i, k in enumerate(ids.tolist()) if k >= frame]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["frame", "plane_id", "s0", "s1", "t0", "t1"])
+
+    parts = points.select(F.col("plane_id").cast("long").alias("plane_id"), *XYZ).dropna().mapInArrow(run, "frame long, plane_id long, s0 double, s1 double, t0 double, t1 double")
+    boxes = parts.groupBy("frame", "plane_id").agg(*[f(f"{c}{k}").alias(f"{c}{k}") for c in "st" for k, f in ((0, F.min), (1, F.max))])
     a = boxes.where("frame = plane_id").select(F.col("frame").alias("i"), *[F.col(f"{c}{k}").alias(f"a_{c}{k}") for c in "st" for k in (0, 1)])
     both = boxes.where("frame <> plane_id").join(F.broadcast(a), F.col("frame") == F.col("i"))
     side = [F.least(f"{c}1", f"a_{c}1") - F.greatest(f"{c}0", f"a_{c}0") for c in "st"]
@@ -143,26 +163,38 @@ def footprint_overlaps(points: DataFrame, planes: DataFrame, least: float = 0.3)
 
 
 def snap_to_corners(points: DataFrame, corners: DataFrame, most: float) -> DataFrame:
-    """pid and the nearest corner (i, j, k, x, y, z) within ``most``; points further away keep their place."""
-    c = corners.select("i", "j", "k", *[F.col(x).alias(f"c{x}") for x in "xyz"])
-    both = points.join(F.broadcast(c), F.lit(True), "left")  # corners of a model; points stay without any
-    both = both.withColumn("d2", dot(minus(vec(""), vec("c")), minus(vec(""), vec("c"))))
-    best = both.groupBy("pid", "x", "y", "z").agg(F.min_by(F.struct("cx", "cy", "cz", "d2"), F.struct(F.round("d2", 12), "i", "j", "k")).alias("b"))
-    close = F.coalesce(F.col("b.d2") <= most * most, F.lit(False))
-    return best.select("pid", *[F.when(close, F.col(f"b.c{k}")).otherwise(F.col(k)).alias(k) for k in "xyz"], close.alias("snapped"))
+    """pid and the nearest corner (i, j, k, x, y, z) within ``most``; points further away keep their place. Both meet by grid cell."""
+    number = F.struct("i", "j", "k", *[F.col(c).alias(f"c{c}") for c in XYZ])
+    near = radius_pairs(corners.select(number.alias("pid"), *XYZ), points.select("pid", *XYZ), most)
+    best = near.groupBy("nid").agg(F.min_by("pid", F.struct(F.round("d2", 12), "pid.i", "pid.j", "pid.k")).alias("b"))
+    both = points.select("pid", *XYZ).join(best.withColumnRenamed("nid", "pid"), "pid", "left")
+    close = F.col("b").isNotNull()
+    return both.select("pid", *[F.when(close, F.col(f"b.c{k}")).otherwise(F.col(k)).alias(k) for k in "xyz"], close.alias("snapped"))
 
 
 def snap_to_lines(points: DataFrame, lines: DataFrame, most: float) -> DataFrame:
-    """pid and the foot on the nearest line within ``most``; points further away keep their place."""
-    both = points.crossJoin(F.broadcast(lines.select(*[f"d{k}" for k in "xyz"], *[f"p{k}" for k in "xyz"], "i", "j")))
-    t = dot(minus(vec(""), vec("p")), vec("d"))
-    both = both.withColumn("t", t)
-    foot = tuple(F.col(f"p{k}") + F.col(f"d{k}") * F.col("t") for k in "xyz")
-    both = both.withColumns(dict(zip(("fx", "fy", "fz"), foot, strict=True)))
-    both = both.withColumn("d2", dot(minus(vec(""), vec("f")), minus(vec(""), vec("f"))))
-    best = both.groupBy("pid", "x", "y", "z").agg(F.min_by(F.struct("fx", "fy", "fz", "d2"), F.struct(F.round("d2", 12), "i", "j")).alias("b"))
-    close = F.col("b.d2") <= most * most
-    return best.select("pid", *[F.when(close, F.col(f"b.f{k}")).otherwise(F.col(k)).alias(k) for k in "xyz"], close.alias("snapped"))
+    """pid and the foot on the nearest line (i, j, direction d, place p) within ``most``, the lower (i, j) on ties; points further away keep their place.
+
+    The lines are a model's; every task compares its points with them, so no row per point and line is made.
+    """
+    own = [tuple(r) for r in lines.select(*[f"d{k}" for k in "xyz"], *[f"p{k}" for k in "xyz"]).orderBy("i", "j").collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in XYZ])
+            least, foot = np.full(at.shape[1], np.inf), at.copy()
+            for line in own:
+                t = sum((at[i] - line[3 + i]) * line[i] for i in range(3))
+                on = np.stack([line[3 + i] + line[i] * t for i in range(3)])
+                d2 = ((at - on) ** 2).sum(axis=0)
+                better = np.round(d2, 12) < least
+                least[better], foot[:, better] = np.round(d2, 12)[better], on[:, better]
+            close = least <= most * most
+            moved = np.where(close, foot, at)
+            yield pa.RecordBatch.from_arrays([batch.column("pid"), *map(pa.array, moved), pa.array(close)], names=["pid", *XYZ, "snapped"])
+
+    kind = points.schema["pid"].dataType.simpleString()
+    return points.select("pid", *XYZ).mapInArrow(run, f"pid {kind}, x double, y double, z double, snapped boolean")
 
 
 def classify(surfaces: DataFrame) -> DataFrame:

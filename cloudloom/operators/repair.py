@@ -10,7 +10,10 @@ faces keeps its place; empty meshes give empty results.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,15 +198,28 @@ def snapped_to_planes(vertices: DataFrame, normals: DataFrame, surfaces: DataFra
     the vertices. A vertex belongs to a surface within 0.8 ``voxel`` of its plane and two of its
     box; the first two by plane_id count. A single surface must also face as the vertex does.
     """
-    s = surfaces.select("plane_id", *[F.col(f"n{c}").alias(f"s{c}") for c in XYZ], F.col("d").alias("sd"), *[f"{c}{k}" for c in XYZ for k in (0, 1)])
-    inside = [F.col(c).between(F.col(f"{c}0") - 2 * voxel, F.col(f"{c}1") + 2 * voxel) for c in XYZ]
-    off = dot(vec(""), vec("s")) + F.col("sd")
-    on = vertices.join(F.broadcast(s), inside[0] & inside[1] & inside[2] & (F.abs(off) < 0.8 * voxel))
-    held = on.groupBy("vid").agg(F.slice(F.sort_array(F.collect_list(F.struct("plane_id", "sx", "sy", "sz", "sd"))), 1, 2).alias("p"))
-    both = vertices.join(held, "vid", "left").join(normals.select("vid", *[F.col(f"n{c}").alias(f"w{c}") for c in XYZ]), "vid", "left")
-    one, two = F.get("p", F.lit(0)), F.get("p", F.lit(1))
-    both = both.withColumns({f"a{c}": one[f"s{c}"] for c in XYZ} | {f"b{c}": two[f"s{c}"] for c in XYZ})
-    both = both.withColumns({"ea": dot(vec(""), vec("a")) + one["sd"], "eb": dot(vec(""), vec("b")) + two["sd"], "c": dot(vec("a"), vec("b"))})
+    own = [tuple(r) for r in surfaces.select(*[f"n{c}" for c in XYZ], "d", *[f"{c}{k}" for c in XYZ for k in (0, 1)]).orderBy("plane_id").collect()]
+    held = ["ax", "ay", "az", "ad", "bx", "by", "bz", "bd"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first two surfaces each vertex is on; no row per vertex and surface."""
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in XYZ])
+            two, n = np.full((8, at.shape[1]), np.nan), np.zeros(at.shape[1], np.int64)
+            for nx, ny, nz, d, *box in own:
+                on = np.abs(at[0] * nx + at[1] * ny + at[2] * nz + d) < 0.8 * voxel
+                for i in range(3):
+                    on &= (at[i] >= box[2 * i] - 2 * voxel) & (at[i] <= box[2 * i + 1] + 2 * voxel)
+                for k in (0, 1):
+                    two[4 * k : 4 * k + 4, on & (n == k)] = np.array([[nx], [ny], [nz], [d]])
+                n += on
+            yield pa.RecordBatch.from_arrays([batch.column("vid"), *[pa.array(x, mask=np.isnan(x)) for x in two]], names=["vid", *held])
+
+    kind = vertices.schema["vid"].dataType.simpleString()
+    on = vertices.select("vid", *XYZ).mapInArrow(run, f"vid {kind}, " + ", ".join(f"{c} double" for c in held)).withColumnsRenamed({c: f"__{c}" for c in held})
+    both = vertices.join(on, "vid", "left").join(normals.select("vid", *[F.col(f"n{c}").alias(f"w{c}") for c in XYZ]), "vid", "left")
+    both = both.withColumnsRenamed({f"__{c}": c for c in held})
+    both = both.withColumns({"ea": dot(vec(""), vec("a")) + F.col("ad"), "eb": dot(vec(""), vec("b")) + F.col("bd"), "c": dot(vec("a"), vec("b"))})
     # the nearest point of both planes, or of the first
     det = 1 - F.col("c") * F.col("c")
     cross_ = F.col("eb").isNotNull() & (F.abs("c") < 0.95)
@@ -219,15 +235,24 @@ def snapped_to_planes(vertices: DataFrame, normals: DataFrame, surfaces: DataFra
 
 def snapped_to_cylinders(vertices: DataFrame, cylinders: DataFrame, voxel: float) -> DataFrame:
     """Vertices within 0.8 ``voxel`` of a cylinder (cyl_id, px .. az, radius, length) moved onto it, the first by cyl_id."""
-    k = cylinders.select("cyl_id", *[F.col(f"{p}{c}").alias(f"k{p}{c}") for p in "pa" for c in XYZ], "radius", "length")
-    way = tuple(F.col(c) - F.col(f"kp{c}") for c in XYZ)
-    t = dot(way, vec("ka"))
-    far = F.sqrt(F.greatest(dot(way, way) - t * t, F.lit(0.0)))
-    on = vertices.join(F.broadcast(k), (F.abs(t) <= F.col("length") / 2) & (F.abs(far - F.col("radius")) < 0.8 * voxel) & (far > 1e-9))
-    to = [(F.col(f"kp{c}") + F.col(f"ka{c}") * t + (w - F.col(f"ka{c}") * t) * F.col("radius") / far).alias(f"m{c}") for c, w in zip(XYZ, way, strict=True)]
-    best = on.select("vid", "cyl_id", *to).groupBy("vid").agg(F.min_by(F.struct(*[f"m{c}" for c in XYZ]), "cyl_id").alias("m"))
-    both = vertices.join(best, "vid", "left")
-    return both.withColumns({c: F.coalesce(F.col(f"m.m{c}"), F.col(c)) for c in XYZ}).drop("m")
+    own = [tuple(r) for r in cylinders.select(*[f"{p}{c}" for p in "pa" for c in XYZ], "radius", "length").orderBy("cyl_id").collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in XYZ])
+            moved, done = at.copy(), np.zeros(at.shape[1], bool)
+            for *line, radius, length in own:
+                p, a = np.array(line[:3])[:, None], np.array(line[3:])[:, None]
+                t = ((at - p) * a).sum(axis=0)
+                across = at - p - t * a
+                far = np.sqrt((across * across).sum(axis=0))
+                on = ~done & (np.abs(t) <= length / 2) & (np.abs(far - radius) < 0.8 * voxel) & (far > 1e-9)
+                moved[:, on] = (p + a * t)[:, on] + across[:, on] * radius / far[on]
+                done |= on
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([pa.array(moved[XYZ.index(c)]) if c in XYZ else batch.column(c) for c in names], names=names)
+
+    return vertices.withColumns({c: F.col(c).cast("double") for c in XYZ}).mapInArrow(run, ", ".join(f"{c} {'double' if c in XYZ else t}" for c, t in vertices.dtypes))
 
 
 def panes(holes: DataFrame, inward: float = 0.04, least: float = 0.04, most: float = 25.0) -> DataFrame:

@@ -77,16 +77,16 @@ def extrusions(triangles: DataFrame, loops: DataFrame) -> DataFrame:
     return low.unionByName(high).unionByName(one).unionByName(two)
 
 
-def palette(n: int, spark) -> DataFrame:
-    """i, r, g, b: ``n`` colours a golden angle of hue apart, saturation 0.45, value 0.85."""
-    rows = spark.range(n).select(F.col("id").cast("int").alias("i"), (F.col("id") * 0.61803398875 % 1.0 * 6).alias("h"))
+def palette(rows: DataFrame, number: str) -> DataFrame:
+    """``rows`` with r, g, b: colours a golden angle of hue apart by ``number`` (not negative), saturation 0.45, value 0.85; null for null."""
+    rows = rows.withColumn("__h", F.col(number) * 0.61803398875 % 1.0 * 6)
     low, span = 0.85 * (1 - 0.45), 0.85 * 0.45
 
     def channel(shift: int) -> Column:
-        k = (F.col("h") + shift) % 6
+        k = (F.col("__h") + shift) % 6
         return F.round((low + span * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs(k - 3) - 1))) * 255).cast("int")
 
-    return rows.select("i", channel(0).alias("r"), channel(4).alias("g"), channel(2).alias("b"))
+    return rows.withColumns({"r": channel(0), "g": channel(4), "b": channel(2)}).drop("__h")
 
 
 def camera_frame(points: DataFrame, cameras: DataFrame) -> DataFrame:

@@ -351,13 +351,14 @@ def box_volumes(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT range AS i, (range * 0.61803398875::DOUBLE) % 1e0 * 6 AS h FROM range(24)),
+WITH h AS (SELECT s_suppkey AS i, (s_suppkey * 0.61803398875::DOUBLE) % 1e0 * 6 AS h FROM supplier),
 c AS (SELECT i, h, (h + 4) % 6 AS h4, (h + 2) % 6 AS h2 FROM h)
-SELECT i::INTEGER AS i, round((85e-2 * 55e-2 + 85e-2 * 45e-2 * greatest(0e0, least(1e0, abs(h - 3) - 1))) * 255)::INTEGER AS r,
+SELECT i, round((85e-2 * 55e-2 + 85e-2 * 45e-2 * greatest(0e0, least(1e0, abs(h - 3) - 1))) * 255)::INTEGER AS r,
        round((85e-2 * 55e-2 + 85e-2 * 45e-2 * greatest(0e0, least(1e0, abs(h4 - 3) - 1))) * 255)::INTEGER AS g,
        round((85e-2 * 55e-2 + 85e-2 * 45e-2 * greatest(0e0, least(1e0, abs(h2 - 3) - 1))) * 255)::INTEGER AS b FROM c""")
 def palette(spark, sf_dir):
-    return solids.palette(24, spark)
+    """A colour for every supplier's surface."""
+    return solids.palette(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("i")), "i")
 
 
 #: Cameras above the cloud, turned about the vertical.

@@ -8,13 +8,18 @@ be on a file system that every executor mounts.
 
 Columns: pid (record number), x, y, z, then those of r, g, b, nx, ny, nz, intensity, t
 that the file has.
+
+Text records take the first words of a line; blank lines are passed over, and a line with too
+few words, or with one that is no number, is a record without a point: its pid is left out.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +147,20 @@ def _columns(records: dict[str, np.ndarray], first: int, names: list[str]) -> pa
     return pa.RecordBatch.from_arrays(arrays, names=["pid", *names])
 
 
+def _numbers(f: BinaryIO, n: int) -> list[float]:
+    """The first ``n`` numbers of the next line that is not blank; a short line, or one with a word that is no number, is a point without a place (NaN)."""
+    words: list[bytes] = []
+    while not words:
+        line = f.readline()
+        if not line:
+            break
+        words = line.split()
+    try:
+        return [float(x) for x in words[:n]] if len(words) >= n else [math.nan] * n
+    except ValueError:
+        return [math.nan] * n
+
+
 class CloudReader(DataSourceReader):
     def __init__(self, path: str, kind: str, rows: int):
         self.path, self.kind, self.rows = path, kind, rows
@@ -159,8 +178,7 @@ class CloudReader(DataSourceReader):
             f.seek(table.start)
             if table.dtype is None:
                 for first in range(0, table.count, 65_536):
-                    lines = [f.readline().split() for _ in range(min(65_536, table.count - first))]
-                    whole = np.array([x for x in lines if len(x) >= len(table.names)], dtype=float).reshape(-1, len(lines[0]))
+                    whole = np.array([_numbers(f, len(table.names)) for _ in range(min(65_536, table.count - first))], dtype=float).reshape(-1, len(table.names))
                     yield self._batch(table, {n: whole[:, i] for i, n in enumerate(table.names)}, first, names)
                 return
             size = table.dtype.itemsize

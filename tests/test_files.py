@@ -200,3 +200,12 @@ def test_command_line(spark, tmp_path):
     assert same["points"] == 300 and same["largest"] == 0 and same["within"] == 1
     with pytest.raises(ValueError, match="no writer"):
         models.write_mesh(spark.range(0), spark.range(0), "x.abc")
+
+
+def test_text_records_of_any_length(spark, tmp_path):
+    """Blank lines anywhere, longer and shorter lines, a word that is no number."""
+    head = "ply\nformat ascii 1.0\nelement vertex 6\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+    (tmp_path / "a.ply").write_text(head + "\n1 2 3 99 98\n4 5 6\n\n7 8\n9 x 9\n10 11 12 13\n14 15 16\n")
+    clouds.register(spark)
+    rows = spark.read.format("cloud-ply").option("path", str(tmp_path / "a.ply")).load().collect()
+    assert sorted((r["pid"], r["x"], r["y"], r["z"]) for r in rows) == [(0, 1, 2, 3), (1, 4, 5, 6), (4, 10, 11, 12), (5, 14, 15, 16)]
