@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import MOMENTS_SQL, eigen_sql
-from cloudloom.operators import bridges, holes, mesh, parts, paths, planes, scene, skin, textures, thinning, visibility, watertight
+from cloudloom.operators import bridges, holes, mesh, parts, paths, planes, repair, scene, skin, textures, thinning, visibility, watertight
 from cloudloom.operators.points import XYZ
 from cloudloom.plans.queries import BOX, FACES, TRACK, TRACK_SQL, VERTICES, O, box, orders_cloud, part_mesh, query, r6, rounded, view
 from cloudloom.plans.scratch import saved
@@ -417,3 +417,61 @@ WITH s AS ({SHADES}), m AS (SELECT cam_id, median((r + 8) / (pr + 8)) AS r, medi
 SELECT cam_id, {', '.join(f"round(least(greatest({c} / (SELECT median({c}) FROM m), 6e-1), 16e-1), 6) AS {c}" for c in 'rgb')} FROM m""")
 def camera_gains(spark, sf_dir):
     return rounded(textures.gains(view(spark, sf_dir, SHADES, "orders")))
+
+
+# ---------------------------------------------------------------- snapping, contours, panes, terrain
+
+_LINES_SQL = f"""m AS (SELECT plane_id, {MOMENTS_SQL} FROM p GROUP BY 1), {eigen_sql('m', 'plane_id, n, mx, my, mz')},
+fit AS (SELECT plane_id, nx, ny, nz, -(nx*mx + ny*my + nz*mz) AS d FROM eig),
+w AS (SELECT a.plane_id AS i, b.plane_id AS j, a.ny*b.nz - a.nz*b.ny AS wx, a.nz*b.nx - a.nx*b.nz AS wy, a.nx*b.ny - a.ny*b.nx AS wz, b.d*a.nx - a.d*b.nx AS ux, b.d*a.ny - a.d*b.ny AS uy, b.d*a.nz - a.d*b.nz AS uz
+      FROM fit a JOIN fit b ON a.plane_id < b.plane_id),
+ln AS (SELECT i, j, wx / sqrt(l2) AS dx, wy / sqrt(l2) AS dy, wz / sqrt(l2) AS dz, (uy*wz - uz*wy) / l2 AS px, (uz*wx - ux*wz) / l2 AS py, (ux*wy - uy*wx) / l2 AS pz FROM (SELECT *, wx*wx + wy*wy + wz*wz AS l2 FROM w) q WHERE l2 >= 1e-2)"""
+
+
+@query(f"""
+WITH p AS ({BOX}), {_LINES_SQL},
+f AS (SELECT pid, x, y, z, i, j, px + dx * t AS fx, py + dy * t AS fy, pz + dz * t AS fz FROM (SELECT p.pid, p.x, p.y, p.z, ln.*, (p.x - px) * dx + (p.y - py) * dy + (p.z - pz) * dz AS t FROM p, ln) q),
+b AS (SELECT *, (x-fx)*(x-fx) + (y-fy)*(y-fy) + (z-fz)*(z-fz) AS d2 FROM f QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round((x-fx)*(x-fx) + (y-fy)*(y-fy) + (z-fz)*(z-fz), 12), i, j) = 1)
+SELECT pid, {r6('CASE WHEN d2 <= 1e-2 THEN fx ELSE x END AS x', 'CASE WHEN d2 <= 1e-2 THEN fy ELSE y END AS y', 'CASE WHEN d2 <= 1e-2 THEN fz ELSE z END AS z')}, d2 <= 1e-2 AS snapped FROM b""")
+def line_snap(spark, sf_dir):
+    """Points of the room within 10 cm of an edge moved onto it."""
+    p = box(spark, sf_dir)
+    lines = planes.intersection_lines(planes.fit_planes(p), 0.1)
+    return rounded(planes.snap_to_lines(p, saved(lines, "lines"), 0.1))
+
+
+#: Level and steep surfaces over nation, in boxes of their own.
+SURFACES = """
+SELECT CAST(n_nationkey AS BIGINT) AS plane_id, CASE WHEN n_nationkey % 2 = 0 THEN 0e0 ELSE 6e-1 END AS nx, 0e0 AS ny, CASE WHEN n_nationkey % 2 = 0 THEN 1e0 ELSE 8e-1 END AS nz,
+       -(n_nationkey % 7) * 4e-1 AS d, -1e0 AS x0, 21e0 AS x1, CAST(n_nationkey % 5 * 4 AS DOUBLE) AS y0, n_nationkey % 5 * 4 + 6e0 AS y1, -1e0 AS z0, 6e0 AS z1 FROM nation"""
+
+
+@query(f"""
+WITH v AS ({SPIKES}), s AS ({SURFACES}),
+o AS (SELECT v.*, s.plane_id, s.nx AS sx, s.ny AS sy, s.nz AS sz, s.d, row_number() OVER (PARTITION BY vid ORDER BY plane_id) AS k FROM v JOIN s ON abs(x * nx + y * ny + z * nz + d) < 168e-3 AND x BETWEEN x0 - 42e-2 AND x1 + 42e-2 AND y BETWEEN y0 - 42e-2 AND y1 + 42e-2 AND z BETWEEN z0 - 42e-2 AND z1 + 42e-2),
+t AS (SELECT v.vid, v.x, v.y, v.z, a.sx AS ax, a.sy AS ay, a.sz AS az, v.x*a.sx + v.y*a.sy + v.z*a.sz + a.d AS ea, b.sx AS bx, b.sy AS by_, b.sz AS bz, v.x*b.sx + v.y*b.sy + v.z*b.sz + b.d AS eb
+      FROM v LEFT JOIN o a ON a.vid = v.vid AND a.k = 1 LEFT JOIN o b ON b.vid = v.vid AND b.k = 2),
+c AS (SELECT *, ax*bx + ay*by_ + az*bz AS c FROM t),
+e AS (SELECT *, eb IS NOT NULL AND abs(c) < 95e-2 AS two, coalesce(abs(az) >= cos(radians(32)), FALSE) AS one, (ea - c*eb) / (1 - c*c) AS p, (eb - c*ea) / (1 - c*c) AS q FROM c)
+SELECT vid, {r6(*[f'CASE WHEN two THEN {k} - p * a{k} - q * {b} WHEN ea IS NOT NULL AND one THEN {k} - ea * a{k} ELSE {k} END AS {k}' for k, b in zip('xyz', ('bx', 'by_', 'bz'), strict=True)])},
+       coalesce(two OR (ea IS NOT NULL AND one), FALSE) AS snapped FROM e""")
+def contoured_mesh(spark, sf_dir):
+    """Vertices of the spiky mesh, all facing up, drawn onto the surfaces they are near, or onto the line of two."""
+    vertices = view(spark, sf_dir, SPIKES, "part")
+    up = vertices.select("vid", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
+    return rounded(repair.snapped_to_planes(vertices, up, view(spark, sf_dir, SURFACES, "nation"), 0.21))
+
+
+#: Level rods over nation.
+RODS = """
+SELECT CAST(n_nationkey AS BIGINT) AS cyl_id, 10e0 AS px, n_nationkey * 9e-1 AS py, 2e0 + n_nationkey % 3 AS pz, 1e0 AS ax, 0e0 AS ay, 0e0 AS az, 5e-1 AS radius, 14e0 AS length FROM nation"""
+
+
+@query(f"""
+WITH v AS ({SPIKES}), k AS ({RODS}),
+o AS (SELECT v.vid, cyl_id, x AS mx, py + (y - py) * radius / far AS my, pz + (z - pz) * radius / far AS mz, row_number() OVER (PARTITION BY v.vid ORDER BY cyl_id) AS r
+      FROM (SELECT v.*, k.*, sqrt((y - py)*(y - py) + (z - pz)*(z - pz)) AS far FROM v, k) v WHERE abs(x - px) <= length / 2 AND abs(far - radius) < 16e-2 AND far > 1e-9)
+SELECT vid, {r6('coalesce(mx, x) AS x', 'coalesce(my, y) AS y', 'coalesce(mz, z) AS z')} FROM v LEFT JOIN (SELECT * FROM o WHERE r = 1) o USING (vid)""")
+def rounded_mesh(spark, sf_dir):
+    """Vertices of the spiky mesh near a rod drawn onto it."""
+    return rounded(repair.snapped_to_cylinders(view(spark, sf_dir, SPIKES, "part"), view(spark, sf_dir, RODS, "nation"), 0.2))

@@ -30,16 +30,16 @@ def _room(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
 
 
 @query(f"""
-WITH p AS ({B}), m AS (SELECT plane_id, avg(x) ax, avg(y) ay, avg(z) az, min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 FROM p GROUP BY 1)
+WITH p AS ({B}), m AS (SELECT plane_id, avg(x) ax, avg(y) ay, avg(z) az, stddev_pop(x) sx, stddev_pop(y) sy, stddev_pop(z) sz, min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 FROM p GROUP BY 1)
 SELECT CASE WHEN x1 - x0 < 1 THEN 'x' WHEN y1 - y0 < 1 THEN 'y' ELSE 'z' END AS axis,
-       round(CASE WHEN x1 - x0 < 1 THEN ax WHEN y1 - y0 < 1 THEN ay ELSE az END, 1) + 0e0 AS at FROM m""")
+       round(CASE WHEN x1 - x0 < 1 THEN ax WHEN y1 - y0 < 1 THEN ay ELSE az END, 2) + 0e0 AS at, round(CASE WHEN x1 - x0 < 1 THEN sx WHEN y1 - y0 < 1 THEN sy ELSE sz END, 3) AS rms FROM m""")
 def plane_search(spark, sf_dir):
-    """The room's faces found from points alone: the axis each is square to and where it crosses it."""
+    """The room's faces found from points alone: the axis each is square to, where it crosses it, and the spread of its points."""
     room, spacing = _room(spark, sf_dir)
     found, _ = search.detect(room, 0.02, min_inliers=max(20, room.count() // 40), radius=max(0.08, 3 * spacing))
     axis = F.when(F.abs("nx") > 0.99, "x").when(F.abs("ny") > 0.99, "y").when(F.abs("nz") > 0.99, "z").otherwise("none")
     at = F.when(axis == "x", F.col("mx")).when(axis == "y", F.col("my")).otherwise(F.col("mz"))
-    return found.select(axis.alias("axis"), (F.round(at, 1) + F.lit(0.0)).alias("at"))
+    return found.select(axis.alias("axis"), (F.round(at, 2) + F.lit(0.0)).alias("at"), F.round("rms", 3).alias("rms"))
 
 
 @query("SELECT * FROM (VALUES (0, 'x'), (1, 'y'), (2, 'z')) t(axis_id, axis)")
@@ -412,13 +412,15 @@ FROM (SELECT o_orderkey AS pid, (o_orderkey * 31) % 3 % 2 AS part, CASE WHEN (o_
              6.283185307179586 * (((o_orderkey * 7919 + 13) % 999983) / 999983e0) AS t, ((o_orderkey * 104729 + 7) % 999979) / 999979e0 AS s FROM orders) q"""
 
 
-@query("SELECT * FROM (VALUES ('x', 0.4::DOUBLE), ('z', 0.25::DOUBLE)) t(axis, radius)")
+@query(f"""
+WITH p AS (SELECT part, CASE WHEN part = 0 THEN sqrt((x - 2)*(x - 2) + (y - 2)*(y - 2)) ELSE sqrt((y - 5)*(y - 5) + (z - 1)*(z - 1)) END AS r, CASE WHEN part = 0 THEN z ELSE x END AS s FROM ({PIPES}) q)
+SELECT CASE WHEN part = 0 THEN 'z' ELSE 'x' END AS axis, round(avg(r), 3) AS radius, count(*) AS n, round(stddev_pop(r), 4) AS rms, round(max(s) - min(s), 2) AS length FROM p GROUP BY part""")
 def cylinder_search(spark, sf_dir):
-    """The pillar and the pipe found from points and normals: axis and radius to a centimetre."""
+    """The pillar and the pipe found from points and normals: axis, radius to a millimetre, how many points, their rms, length."""
     p = saved(view(spark, sf_dir, PIPES, "orders"), "pipes")
     found, _ = parts.detect_cylinders(p, 0.02, min_inliers=p.count() // 5, radius=0.4)
     axis = F.when(F.abs("ax") > 0.99, "x").when(F.abs("ay") > 0.99, "y").when(F.abs("az") > 0.99, "z").otherwise("none")
-    return found.select(axis.alias("axis"), F.round("radius", 2).alias("radius"))
+    return found.select(axis.alias("axis"), F.round("radius", 3).alias("radius"), "n", F.round("rms", 4).alias("rms"), F.round("length", 2).alias("length"))
 
 
 #: Surface points of an I section 200 x 100 and a hollow section 100 x 100, 3 m long, half a millimetre of noise.
