@@ -17,12 +17,13 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cloudloom.llm.common import arrow, sliced
 
@@ -105,6 +106,13 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def chunk_ratios(raw: bytes, packer: zstandard.ZstdCompressor, bands: Bands) -> list[float]:
+    """Ratio of each fixed chunk; a tail shorter than half a chunk joins the chunk before it."""
+    starts = list(range(0, max(1, len(raw) - bands.chunk // 2), bands.chunk))
+    ends = [*starts[1:], len(raw)]
+    return [(e - s) / len(packer.compress(raw[s:e])) for s, e in zip(starts, ends, strict=True)]
+
+
 def measure(text: str | None, packer: zstandard.ZstdCompressor, bands: Bands) -> tuple:
     """All columns of one document but its id."""
     text = text or ""
@@ -120,10 +128,7 @@ def measure(text: str | None, packer: zstandard.ZstdCompressor, bands: Bands) ->
     reason = "base" if failed else ""
     if raw:
         least, most = bands.of(len(raw))
-        # a tail shorter than half a chunk joins the chunk before it
-        starts = list(range(0, max(1, len(raw) - bands.chunk // 2), bands.chunk))
-        ends = [*starts[1:], len(raw)]
-        each = [(e - s) / len(packer.compress(raw[s:e])) for s, e in zip(starts, ends, strict=True)]
+        each = chunk_ratios(raw, packer, bands)
         low = sum(x < bands.chunk_band[0] for x in each) / len(each)
         high = sum(x > bands.chunk_band[1] for x in each) / len(each)
         # a single chunk is the whole text, which has a band of its own
@@ -165,3 +170,33 @@ def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     names = docs.columns
     kept = score(docs, bands, names).where("kept")
     return kept.select(*[kept[f"__in_{n}"].alias(n) for n in names])
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, start: Bands = Bands(), widen: float = 0.03, least: int = 5) -> Bands:
+    """Bands from texts labelled good (labels: doc_id, quality 1), for a corpus other than the one the defaults come from.
+
+    A bounded sample of ``most_rows`` of them, by a hash of doc_id, past the base rules: each length's
+    limits are its lowest and highest ratio, widened; likewise for the chunks of texts of two or
+    more. Lengths with under ``least`` texts keep the limits of ``start``.
+    """
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    sample = docs.select("doc_id", "text").join(good, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=start.level)
+        for batch in sliced(batches, "text"):
+            told: list[tuple[int, float]] = []
+            for text in batch.column("text").to_pylist():
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                _, _, _, _, _, failed, _, ratio, *_ = measure(text, packer, start)
+                if failed:
+                    continue
+                told.append((next(k for k, (upto, _, _) in enumerate(start.whole) if len(raw) <= upto), ratio))
+                each = chunk_ratios(raw, packer, start)
+                told += [(-1, x) for x in each] if len(each) > 1 else []
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in told], pa.int64()), pa.array([x for _, x in told], pa.float64())], names=["band", "ratio"])
+
+    rows = arrow(sample, run, "band long, ratio double").groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("ratio").alias("low"), F.max("ratio").alias("high"))
+    found = {r["band"]: (round(r["low"] - widen, 2), round(r["high"] + widen, 2)) for r in rows.where(F.col("n") >= least).collect()}  # a row per band
+    whole = tuple((upto, *found.get(k, (low, high))) for k, (upto, low, high) in enumerate(start.whole))
+    return replace(start, whole=whole, chunk_band=found.get(-1, start.chunk_band))

@@ -319,6 +319,27 @@ def test_scores_do_not_depend_on_blocks(spark):
     assert one == two
 
 
+# ------------------------------------------------------------ bands from labels
+
+
+def test_bands_fit_the_texts_they_come_from(spark):
+    """Good texts of another kind are rejected by the default bands, kept by those fitted to them; junk is not."""
+    r = random.Random(2)
+    stock = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(250)]
+    good = [(i, " ".join(r.choice(stock) for _ in range(r.randint(300, 1_200)))) for i in range(60)]
+    junk = [(1_000 + i, " ".join("".join(r.choices("0123456789abcdefghijklmnop", k=12)) for _ in range(500))) for i in range(5)]
+    docs = spark.createDataFrame([*good, *junk, (2_000, None), (None, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good[:50]] + [(1_000, 0), (2_000, 1), (None, 1)], "doc_id long, quality int")
+    bands = quality.fit_bands(docs, labels, least=1)
+    assert bands == quality.fit_bands(docs.repartition(7), labels, least=1) and bands.whole[0] == quality.Bands().whole[0]
+    kept = {x["doc_id"] for x in quality.score(docs, bands).where("kept").collect()}
+    # the fitted limits are the sample's own, so they keep all of it
+    assert set(range(50)) <= kept and not kept & {1_000 + i for i in range(5)}
+    before = {x["doc_id"] for x in quality.score(docs).where("kept").collect()}
+    assert len(before & set(range(60))) < len(kept & set(range(60)))
+    assert quality.fit_bands(docs, labels.where("false")) == quality.Bands()
+
+
 # ------------------------------------------------------------ secrets under random layers
 
 
