@@ -14,13 +14,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cloudloom.operators.graph import components
+from cloudloom.functions.linalg import moments
+from cloudloom.operators.graph import components, grid_components
 from cloudloom.operators.points import XYZ
 from cloudloom.operators.search import _taken, counted
 from cloudloom.plans.scratch import saved
@@ -162,6 +165,74 @@ def cables(
     return spark.createDataFrame(rows, _CABLE)
 
 
+@dataclass(frozen=True)
+class Deck:
+    """``axis``: level and of unit length; stations run along it from the centre."""
+
+    plane_id: int
+    centre: tuple[float, float, float]
+    axis: tuple[float, float, float]
+    length: float
+    width: float
+    elevation: float
+
+
+def deck(points: DataFrame, least_points: int = 300, least_level: float = 0.9, least_ratio: float = 2.0) -> Deck | None:
+    """The deck among planes (points: plane_id, x, y, z): the highest of the level, long ones whose area is near the largest; None without any."""
+    rows = []
+    for r in moments(points.dropna(subset=["plane_id", *XYZ]), "plane_id").where(F.col("n") >= least_points).collect():  # a row per plane
+        values, vectors = np.linalg.eigh(np.array([[r[f"c{min(a, b)}{max(a, b)}"] for b in XYZ] for a in XYZ]))
+        long, wide = (4 * math.sqrt(max(v, 0.0)) for v in (values[2], values[1]))
+        along = vectors[:, 2] * np.array([1.0, 1.0, 0.0])
+        # an axis points towards +x, or +y
+        along = -along if (along[0], along[1]) < (-1e-9, 0.0) or abs(along[0]) <= 1e-9 and along[1] < 0 else along
+        if abs(vectors[2, 0]) >= least_level and wide > 0 and long >= least_ratio * wide and np.linalg.norm(along) > 1e-9:
+            rows.append((r["plane_id"], *(r[f"m{c}"] for c in XYZ), *map(float, vectors[:, 2]), *map(float, vectors[:, 1]), long * wide, *map(float, along / np.linalg.norm(along))))
+    if not rows:
+        return None
+    names = "plane_id long, " + ", ".join(f"{p}{c} double" for p in "oaw" for c in XYZ)
+    frames = points.sparkSession.createDataFrame([r[:10] for r in rows], names)
+    own = points.join(F.broadcast(frames), "plane_id")  # a row per plane
+    t, w = (sum((F.col(c) - F.col(f"o{c}")) * F.col(f"{p}{c}") for c in XYZ) for p in "aw")
+    ends = own.groupBy("plane_id").agg(*[F.percentile(v, F.lit([0.005, 0.995])).alias(k) for v, k in ((t, "t"), (w, "w"))], F.percentile("z", 0.9).alias("z"))
+    found = {r["plane_id"]: r for r in ends.collect()}
+    best = max(r[10] for r in rows)
+    made = [Deck(r[0], r[1:4], r[11:14], found[r[0]]["t"][1] - found[r[0]]["t"][0], found[r[0]]["w"][1] - found[r[0]]["w"][0], found[r[0]]["z"]) for r in rows if r[10] >= 0.7 * best]
+    return max(made, key=lambda d: (d.elevation, -d.plane_id))
+
+
+def substructure(points: DataFrame, found: Deck, spacing: float, least_points: int = 200) -> DataFrame:
+    """(support, kind, station, x, y, z, height, footprint, bearing_x, bearing_y, bearing_z): what stands below the deck.
+
+    Points (x, y, z) below the deck and within its reach are joined through cells of six
+    spacings. A piece tall enough is an abutment at an end of the deck if it is wide, else a pier
+    unless it is wider than the deck; the bearing is the mean of its topmost points.
+    """
+    at = sum((F.col(c) - found.centre[i]) * found.axis[i] for i, c in enumerate(XYZ))
+    # numbered anew, so that repeated pids don't count twice
+    own = points.select(*XYZ).dropna().select(F.monotonically_increasing_id().alias("pid"), *XYZ, at.alias("station"))
+    own = saved(own.where((F.col("z") < found.elevation - max(0.02 * found.length, 8 * spacing)) & (F.abs("station") < 0.55 * found.length)), "below")
+    owned = saved(own.join(grid_components(own.select("pid", *XYZ), 6 * spacing), "pid"), "pieces")
+    facts = owned.groupBy(F.col("label").alias("support")).agg(
+        F.count(F.lit(1)).alias("n"), (F.max("z") - F.min("z")).alias("height"), F.max("z").alias("top"), F.avg("station").alias("station"), *[F.avg(c).alias(c) for c in XYZ],
+        F.sqrt((F.max("x") - F.min("x")) * (F.max("x") - F.min("x")) + (F.max("y") - F.min("y")) * (F.max("y") - F.min("y"))).alias("footprint"),
+    )
+    facts = facts.where((F.col("n") >= least_points) & ((F.col("height") >= 0.1 * found.length) | (F.col("height") >= 80 * spacing)))
+    end = (F.abs("station") > 0.4 * found.length) & (F.col("footprint") > 0.5 * found.width)
+    facts = saved(facts.withColumn("kind", F.when(end, "abutment").when(F.col("footprint") <= 1.2 * found.width, "pier")).where("kind is not null"), "supports")
+    top = owned.join(F.broadcast(facts.select(F.col("support").alias("label"), "top")), "label").where(F.col("z") > F.col("top") - 4 * spacing)  # a row per support
+    bearing = top.groupBy(F.col("label").alias("support")).agg(*[F.avg(c).alias(f"bearing_{c}") for c in XYZ])
+    return facts.join(bearing, "support").select("support", "kind", "station", *XYZ, "height", "footprint", *[f"bearing_{c}" for c in XYZ])
+
+
+def fields(supports: DataFrame, found: Deck) -> DataFrame:
+    """(start, end, span): the deck from one end over its piers to the other; supports of one bridge."""
+    ends = supports.sparkSession.createDataFrame([(-found.length / 2,), (found.length / 2,)], "station double")
+    every = supports.where("kind = 'pier'").select("station").unionByName(ends)
+    after = F.lead("station").over(W.orderBy("station"))  # a row per support
+    return every.select(F.col("station").alias("start"), after.alias("end")).where("end is not null").withColumn("span", F.col("end") - F.col("start"))
+
+
 def kind(n_arches: int, n_pylons: int, tilts: list[float], n_piers: int) -> str:
     """Type of a bridge from what was found; ``tilts``: inclinations of its cables from the vertical, in degrees."""
     if n_arches:

@@ -232,3 +232,15 @@ def roof_report(surfaces: DataFrame) -> DataFrame:
     azimuth = F.degrees(F.atan2(F.col("nx") * up, F.col("ny") * up))
     slope = F.degrees(F.acos(F.least(F.lit(1.0), F.abs("nz"))))
     return surfaces.select("plane_id", slope.alias("slope"), F.when(azimuth < 0, azimuth + 360).otherwise(azimuth).alias("azimuth"), "area")
+
+
+def footprint(vertices: DataFrame) -> DataFrame:
+    """One row: size_x, size_y and height of a model."""
+    ends = [(F.max(c) - F.min(c)).alias(n) for c, n in zip(XYZ, ("size_x", "size_y", "height"), strict=True)]
+    return vertices.agg(*ends)
+
+
+def roof_summary(faces: DataFrame) -> DataFrame:
+    """One row: ridge and eaves heights, total area and number of roof surfaces (plane_id, area, outline: array of x, y, z)."""
+    tops, lows = (f(F.transform("outline", lambda p: p["z"])) for f in (F.array_max, F.array_min))
+    return faces.agg(F.max(tops).alias("ridge"), F.min(lows).alias("eaves"), F.sum("area").alias("area"), F.count(F.lit(1)).alias("n"))

@@ -475,3 +475,47 @@ SELECT vid, {r6('coalesce(mx, x) AS x', 'coalesce(my, y) AS y', 'coalesce(mz, z)
 def rounded_mesh(spark, sf_dir):
     """Vertices of the spiky mesh near a rod drawn onto it."""
     return rounded(repair.snapped_to_cylinders(view(spark, sf_dir, SPIKES, "part"), view(spark, sf_dir, RODS, "nation"), 0.2))
+
+
+#: A deck of 100 by 10 m at height 20, three piers and two abutments below it; a centimetre of noise.
+SPANS = f"""
+SELECT pid, CASE WHEN part < 4 THEN 0 ELSE part END AS part, CASE WHEN part < 4 THEN 100 * s - 50 WHEN part < 7 THEN (part - 5) * 25 + CASE w WHEN 0 THEN 75e-2 WHEN 1 THEN -75e-2 ELSE 15e-1 * s - 75e-2 END
+         ELSE CASE part WHEN 7 THEN -48e0 ELSE 48e0 END + CASE w WHEN 0 THEN 5e-1 WHEN 1 THEN -5e-1 ELSE s - 5e-1 END END + ex AS x,
+       CASE WHEN part < 4 THEN 10 * t - 5 WHEN part < 7 THEN CASE w WHEN 2 THEN 2e0 WHEN 3 THEN -2e0 ELSE 4 * s - 2 END ELSE CASE w WHEN 2 THEN 4e0 WHEN 3 THEN -4e0 ELSE 8 * s - 4 END END + ey AS y,
+       CASE WHEN part < 4 THEN 20e0 WHEN part < 7 THEN 17 * t ELSE 5 + 12 * t END + ez AS z
+FROM (SELECT l_orderkey * 8 + l_linenumber AS pid, (l_orderkey * 31 + l_linenumber * 7) % 9 AS part, (l_partkey * 13 + l_orderkey) % 4 AS w,
+         ((l_orderkey * 7919 + l_linenumber * 613 + l_suppkey) % 99991) / 99991e0 AS s, ((l_partkey * 104729 + l_orderkey * 17) % 99989) / 99989e0 AS t,
+         {', '.join(f'{v} AS {k}' for k, v in _TREMBLE.items())} FROM lineitem) q"""
+
+
+@query(f"""
+WITH p AS ({SPANS}), d AS (SELECT avg(x) AS cx, quantile_cont(x, 995e-3) - quantile_cont(x, 5e-3) AS length FROM p WHERE part = 0),
+f AS (SELECT part, count(*) AS n, avg(x) - cx AS station, max(z) - min(z) AS height, sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2)) AS footprint, max(z) AS top FROM p, d WHERE part > 0 GROUP BY part, cx),
+b AS (SELECT part, avg(z) AS bearing FROM p JOIN f USING (part) WHERE z > top - 1 GROUP BY part)
+SELECT CASE WHEN part < 7 THEN 'pier' ELSE 'abutment' END AS kind, round(station, 1) + 0e0 AS station, round(height, 3) AS height, round(footprint, 3) AS footprint, round(bearing, 3) AS bearing, round(length, 1) AS deck FROM f JOIN b USING (part), d""")
+def bridge_supports(spark, sf_dir):
+    """Piers and abutments below the deck that is found among the scene's planes."""
+    p = saved(view(spark, sf_dir, SPANS, "lineitem"), "spans")
+    found = bridges.deck(p.where("part = 0").withColumn("plane_id", F.lit(0).cast("long")).unionByName(p.where("part > 3").withColumn("plane_id", F.col("part").cast("long"))))
+    rows = bridges.substructure(p, found, 0.25)
+    return rows.select(
+        "kind", (F.round("station", 1) + F.lit(0.0)).alias("station"), F.round("height", 3).alias("height"), F.round("footprint", 3).alias("footprint"),
+        F.round("bearing_z", 3).alias("bearing"), F.round(F.lit(float(found.length)), 1).alias("deck"),
+    )
+
+
+#: A gabled roof over each region: two faces with their outlines.
+ROOFS = """
+SELECT CAST(r_regionkey * 2 + h AS BIGINT) AS plane_id, 10e0 + r_regionkey AS area, array(named_struct('x', 0e0, 'y', 0e0, 'z', 3e0 + r_regionkey / 4e0), named_struct('x', 5e0, 'y', 0e0, 'z', 3e0 + r_regionkey / 4e0),
+       named_struct('x', 5e0, 'y', 4e0, 'z', 5e0 + r_regionkey / 3e0), named_struct('x', 0e0, 'y', 4e0, 'z', 5e0 + r_regionkey / 3e0)) AS outline FROM region CROSS JOIN (SELECT 0 AS h UNION ALL SELECT 1) t"""
+
+
+@query("SELECT round(max(5e0 + r_regionkey / 3e0), 6) AS ridge, round(min(3e0 + r_regionkey / 4e0), 6) AS eaves, sum(2 * (10e0 + r_regionkey)) AS area, 2 * count(*) AS n FROM region")
+def roof_totals(spark, sf_dir):
+    """Ridge, eaves and area of the roofs of all regions."""
+    return rounded(planes.roof_summary(view(spark, sf_dir, ROOFS, "region")))
+
+
+@query(f"SELECT round(max(x) - min(x), 6) AS size_x, round(max(y) - min(y), 6) AS size_y, round(max(z) - min(z), 6) AS height FROM ({SPIKES}) v")
+def model_footprint(spark, sf_dir):
+    return rounded(planes.footprint(view(spark, sf_dir, SPIKES, "part")))

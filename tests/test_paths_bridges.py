@@ -98,6 +98,26 @@ def test_pylons_stand_apart_from_cables(spark):
     assert bridges.pylons(df.where("z < 1"), 0.5, 10.0)[0].count() == 0 and bridges.cables(df.where("pid < 5"), 0.1, 4.0, 0.4, 1.0).count() == 0
 
 
+def test_supports_in_the_frame_of_a_turned_deck(spark):
+    """A deck turned by 30 degrees over two piers and an abutment, above a wide embankment; stations run along it."""
+    r = random.Random(8)
+    c, s = math.cos(math.radians(30)), math.sin(math.radians(30))
+    rows = [(0, r.uniform(-30, 30), r.uniform(-3, 3), 10 + r.gauss(0, 0.01)) for _ in range(4_000)]
+    rows += [(1, r.uniform(-8, 8), r.uniform(-8, 8), 30.0) for _ in range(900)]  # level, but not long
+    for k, (x, wide) in enumerate(((-10.0, 1.0), (10.0, 1.0), (29.0, 2.5))):
+        rows += [(2 + k, x + r.uniform(-0.4, 0.4), r.uniform(-wide, wide), r.uniform(0, 8.5)) for _ in range(1_500)]
+    df = spark.createDataFrame([(7, p, c * x - s * y, s * x + c * y, z) for p, x, y, z in rows] + [(7, 0, None, 1.0, 1.0)], "pid long, plane_id long, x double, y double, z double")
+    found = bridges.deck(df)
+    assert found.plane_id == 0 and found.length == pytest.approx(60, abs=1) and found.width == pytest.approx(6, abs=0.3) and found.elevation == pytest.approx(10, abs=0.05)
+    assert abs(found.axis[0] * c + found.axis[1] * s) == pytest.approx(1, abs=1e-3)
+    got = sorted(bridges.substructure(df, found, 0.15).collect(), key=lambda x: abs(x["station"]))
+    assert [x["kind"] for x in got] == ["pier", "pier", "abutment"] and sorted(round(x["station"]) for x in got[:2]) == [-10, 10]
+    assert all(x["height"] == pytest.approx(8.5, abs=0.1) and x["bearing_z"] > 7.9 for x in got)
+    spans = sorted(x["span"] for x in bridges.fields(bridges.substructure(df, found, 0.15), found).collect())
+    assert spans == pytest.approx([20, 20, 20], abs=1.2)
+    assert bridges.deck(df.where("plane_id = 1")) is None and bridges.substructure(df.where("plane_id = 0"), found, 0.15).count() == 0
+
+
 def test_types_of_bridges():
     assert bridges.kind(1, 2, [30.0], 3) == "arch" and bridges.kind(0, 2, [40.0, 50.0], 0) == "cable-stayed"
     assert bridges.kind(0, 2, [10.0, 5.0, 40.0], 0) == "suspension" and bridges.kind(0, 0, [], 2) == "girder" and bridges.kind(0, 0, [], 0) == "single span"
