@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cloudloom.functions.linalg import MOMENTS_SQL, eigen_sql
 from cloudloom.operators import bridges, holes, mesh, parts, paths, planes, repair, scene, skin, textures, thinning, visibility, watertight
 from cloudloom.operators.points import XYZ
+from cloudloom.plans import reconstruct
 from cloudloom.plans.queries import BOX, FACES, TRACK, TRACK_SQL, VERTICES, O, box, orders_cloud, part_mesh, query, r6, rounded, view
 from cloudloom.plans.scratch import saved
 
@@ -39,6 +40,20 @@ def watertight_room(spark, sf_dir):
     return rounded(facets.select("plane_id", F.size("polygon").alias("corners"), "area").crossJoin(F.broadcast(whole)))
 
 
+@query(f"""
+WITH p AS ({OPEN_BOX}), m AS (SELECT plane_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1),
+e AS (SELECT max(x) FILTER (plane_id = 6) - max(x) FILTER (plane_id = 5) AS a, max(y) FILTER (plane_id = 4) - max(y) FILTER (plane_id = 3) AS b, max(z) FILTER (plane_id = 2) - max(z) FILTER (plane_id = 1) AS c FROM m)
+SELECT class, n, round(area, 1) AS area, round(a * b * c, 1) AS volume, 0::BIGINT AS open_edges
+FROM e, LATERAL (SELECT unnest(['floor', 'ceiling', 'wall']) AS class, unnest([1, 1, 4])::BIGINT AS n, unnest([a * b, a * b, 2 * (a + b) * c]) AS area) t""")
+def closed_room(spark, sf_dir):
+    """The same room closed from points alone: surfaces by class, volume, open edges."""
+    p = saved(view(spark, sf_dir, OPEN_BOX, "orders").select("pid", *XYZ), "open")
+    found, faces, vertices = reconstruct.closed_model(p, reconstruct.settings("indoor", outward=True, voxel_size=0.0, edge_artifact_filter=False))
+    whole = mesh.signed_volume(mesh.corners(faces, vertices)).crossJoin(F.broadcast(mesh.edge_stats(faces).select(F.col("boundary").alias("open_edges"))))  # one row each
+    sums = found.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area")).crossJoin(F.broadcast(whole))
+    return sums.select("class", "n", F.round("area", 1).alias("area"), F.round("volume", 1).alias("volume"), "open_edges")
+
+
 # ---------------------------------------------------------------- thinning and skins
 
 #: A cloud over lineitem: a thousand-fold denser middle, and outliers.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import dot, vec
-from cloudloom.operators import mesh, planes, points, search, shapes
+from cloudloom.operators import mesh, planes, points, search, shapes, watertight
 from cloudloom.operators.points import XYZ
 from cloudloom.plans.scratch import saved
 
@@ -145,9 +145,8 @@ def snapped(outlines: DataFrame, fit: DataFrame, own: DataFrame, spacing: float,
     return outer.join(inner, "plane_id", "left").select("plane_id", "loop", F.coalesce("holes", F.expr("array()").cast(f"array<{shapes.LOOP}>")).alias("holes"), "area")
 
 
-def surfaces(cloud: DataFrame, s: Settings | None = None, path: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
-    """Surfaces (plane_id, n, normal, d, rms, mean_z, class, outline, holes, area), the points' owners, and the spacing."""
-    s = s or Settings()
+def found_planes(cloud: DataFrame, s: Settings, path: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """Planes (turned outwards), the points on them (pid, plane_id, x, y, z), the points' owners, and the spacing."""
     work, spacing = preprocess(cloud, s, path)
     threshold = s.distance_threshold or s.distance_factor * spacing
     least = max(s.min_inliers_abs, int(s.min_inlier_ratio * work.count()))
@@ -164,6 +163,13 @@ def surfaces(cloud: DataFrame, s: Settings | None = None, path: DataFrame | None
         fit, to = search.regularise(own, fit, s.parallel_tol_deg, s.ortho_tol_deg, s.merge_offset_factor * threshold, s.ghost_offset_tol)
         own = saved(own.join(F.broadcast(to), "plane_id").drop("plane_id").withColumnRenamed("to", "plane_id"), "own")  # a row per plane
     fit = saved(search.oriented(fit, work, s.outward), "planes")
+    return fit, own, owners, spacing
+
+
+def surfaces(cloud: DataFrame, s: Settings | None = None, path: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """Surfaces (plane_id, n, normal, d, rms, mean_z, class, outline, holes, area), the points' owners, and the spacing."""
+    s = s or Settings()
+    fit, own, owners, spacing = found_planes(cloud, s, path)
     frames = planes.basis(fit).select("plane_id", *[f"{a}{k}" for a in "uv" for k in XYZ])
     uv = own.select("pid", "plane_id", *XYZ).join(F.broadcast(frames), "plane_id")
     uv = uv.select("plane_id", *[dot(vec(""), vec(a)).alias(a) for a in "uv"])
@@ -173,6 +179,23 @@ def surfaces(cloud: DataFrame, s: Settings | None = None, path: DataFrame | None
     return saved(named.join(outlines.select("plane_id", "loop", "holes", F.abs("area").alias("area")), "plane_id"), "surfaces"), owners, spacing
 
 
+def closed_model(cloud: DataFrame, s: Settings | None = None, path: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The closed model of a cloud instead of single outlines: surfaces (plane_id, class, area, covered), faces, vertices.
+
+    ``covered`` is the area that points measured; the rest of a surface was hidden and follows from
+    the planes around it. Planes that bound nothing have no surface. More than 30 planes raise an error.
+    """
+    s = s or Settings()
+    fit, own, _, spacing = found_planes(cloud, s, path)
+    facets, _ = watertight.close(own.select("plane_id", *XYZ), fit, 2 * spacing)
+    facets = saved(facets, "facets")
+    faces, vertices = watertight.as_mesh(facets)
+    height = F.aggregate("polygon", F.lit(0.0), lambda total, p: total + p["z"]) / F.size("polygon")
+    held = facets.groupBy("plane_id").agg(F.sum("area").alias("area"), F.sum("covered").alias("covered"), (F.sum(height * F.col("area")) / F.sum("area")).alias("mean_z"))
+    named = planes.refine(planes.classify(held.join(F.broadcast(fit.select("plane_id", "nz", "rms")), "plane_id")))  # a row per plane
+    return named.select("plane_id", "class", "area", "covered"), saved(faces, "faces"), saved(vertices, "vertices")
+
+
 def surface_mesh(found: DataFrame) -> DataFrame:
     """Triangles (fid, plane_id, ax .. cz) of the surfaces' outlines with their holes, in space."""
     tri = shapes.triangles(found.select(F.col("plane_id").alias("poly"), "loop", "holes"))
