@@ -38,3 +38,13 @@ def test_colours_come_without_a_broadcast(spark):
     own = np.arange(600) % 4 == 0
     near = np.sqrt(((at[~own][:, None] - at[own][None]) ** 2).sum(axis=2)).min(axis=1) <= 0.5
     assert [r["hit"] for r in made.orderBy("pid").collect()] == near.tolist()
+
+
+def test_segments_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fitting, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    rows = [(k, *map(float, rng.random(6))) for k in range(40)]
+    made = fitting.segment_distances(spark.createDataFrame(rows, "sid long, px double, py double, pz double, qx double, qy double, qz double"))
+    assert "Broadcast" not in plan(made) and made.rdd.getNumPartitions() == 25
+    got = {(r["i"], r["j"]) for r in made.collect()}
+    assert got == {(i, j) for i in range(40) for j in range(i + 1, 40)}
