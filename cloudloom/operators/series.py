@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cloudloom.operators.fitting import each_two
+
 
 def levels(values: DataFrame, value: str, gap: float, by: list[str] | None = None) -> DataFrame:
     """Clusters of sorted values: a new one where the step from the previous exceeds ``gap``. (k, n, level)."""
@@ -112,9 +114,7 @@ def match_profiles(measured: DataFrame, catalog: DataFrame, tolerance: float = 0
 
 def gear_stages(gears: DataFrame, tolerance: float = 0.08) -> DataFrame:
     """Pairs of parallel gears whose centre distance is half the sum of their pitch diameters, with the ratio."""
-    a = gears.select(*[F.col(c).alias(f"a_{c}") for c in gears.columns])
-    b = gears.select(*[F.col(c).alias(f"b_{c}") for c in gears.columns])
-    both = a.join(F.broadcast(b), F.col("a_gid") < F.col("b_gid"))  # gears of a machine, few
+    both = each_two(gears, "gid")
     d = [F.col(f"b_{k}") - F.col(f"a_{k}") for k in "xyz"]
     cos = sum(F.col(f"a_a{k}") * F.col(f"b_a{k}") for k in "xyz")
     along = sum(x * F.col(f"a_a{k}") for x, k in zip(d, "xyz", strict=True))

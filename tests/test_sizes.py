@@ -48,3 +48,11 @@ def test_segments_meet_in_blocks(spark, monkeypatch):
     assert "Broadcast" not in plan(made) and made.rdd.getNumPartitions() == 25
     got = {(r["i"], r["j"]) for r in made.collect()}
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+
+
+def test_gears_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fitting, "BLOCK", 8)
+    rows = [(k, float(k), 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 10.0 + k) for k in range(40)]
+    made = series.gear_stages(spark.createDataFrame(rows, "gid long, x double, y double, z double, ax double, ay double, az double, diameter double, teeth double"))
+    assert "Broadcast" not in plan(made) and made.rdd.getNumPartitions() == 25
+    assert {(r["a_gid"], r["b_gid"]) for r in made.collect()} == {(k, k + 1) for k in range(39)}
