@@ -103,13 +103,18 @@ def nearest_stock(measured: DataFrame, stock: list[float], tolerance: float = 0.
 
 def match_profiles(measured: DataFrame, catalog: DataFrame, tolerance: float = 0.08) -> DataFrame:
     """Best catalog section of the family by the larger relative error of height and width; null beyond tolerance."""
-    c = catalog.select(F.col("family").alias("c_family"), "profile", "h", "b")
+    own = F.struct("profile", "h", "b")
+    c = catalog.where("family is not null").groupBy(F.col("family").alias("c_family")).agg(F.collect_list(own).alias("__sections"))
     both = measured.join(F.broadcast(c), F.col("family") == F.col("c_family"), "left")  # the catalog is a fixed list
-    error = F.greatest(F.abs(F.col("height") - F.col("h")) / F.col("h"), F.abs(F.col("width") - F.col("b")) / F.col("b"))
-    both = both.withColumn("error", error)
-    best = both.groupBy(*measured.columns).agg(F.min_by(F.struct("profile", "error"), F.struct("error", "profile")).alias("m"))
-    ok = F.col("m.error") <= tolerance
-    return best.select(*measured.columns, F.when(ok, F.col("m.profile")).alias("profile"), F.col("m.error").alias("deviation"))
+
+    def off(s: Column) -> Column:
+        error = F.greatest(F.abs(F.col("height") - s["h"]) / s["h"], F.abs(F.col("width") - s["b"]) / s["b"])
+        return F.struct(error.alias("error"), s["profile"].alias("profile"))
+
+    # a row meets its family's sections where it lies: no row for each section
+    best = both.withColumn("__m", F.array_min(F.transform("__sections", off)))
+    ok = F.col("__m.error") <= tolerance
+    return best.select(*measured.columns, F.when(ok, F.col("__m.profile")).alias("profile"), F.col("__m.error").alias("deviation"))
 
 
 def gear_stages(gears: DataFrame, tolerance: float = 0.08) -> DataFrame:

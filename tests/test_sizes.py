@@ -56,3 +56,13 @@ def test_gears_meet_in_blocks(spark, monkeypatch):
     made = series.gear_stages(spark.createDataFrame(rows, "gid long, x double, y double, z double, ax double, ay double, az double, diameter double, teeth double"))
     assert "Broadcast" not in plan(made) and made.rdd.getNumPartitions() == 25
     assert {(r["a_gid"], r["b_gid"]) for r in made.collect()} == {(k, k + 1) for k in range(39)}
+
+
+def test_profiles_are_matched_where_the_rows_lie(spark):
+    catalog = spark.createDataFrame([("I", "a", 0.1, 0.05), ("I", "b", 0.2, 0.1), ("H", "c", 0.1, 0.1)], "family string, profile string, h double, b double")
+    rows = [(1, "I", 0.102, 0.05), (2, "I", 0.3, 0.1), (3, "X", 0.1, 0.1), (4, None, 0.1, 0.1), (5, "H", None, None)]
+    made = series.match_profiles(spark.createDataFrame(rows, "part int, family string, height double, width double"), catalog)
+    # the only exchange is that of the catalog
+    assert plan(made.select("part")).count("Exchange") <= 2 and "HashAggregate(keys=[part" not in plan(made)
+    got = {r["part"]: (r["profile"], r["deviation"] and round(r["deviation"], 6)) for r in made.collect()}
+    assert got == {1: ("a", 0.02), 2: (None, 0.5), 3: (None, None), 4: (None, None), 5: (None, None)}
