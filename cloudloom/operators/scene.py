@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,26 @@ def z_buffer(points: DataFrame, pixel: float, depth: str = "z") -> DataFrame:
     return keyed.groupBy("px", "py").agg(best.alias("b"), F.count(F.lit(1)).alias("hits")).select("px", "py", "b.pid", F.col(f"b.{depth}").alias("depth"), "hits")
 
 
+def _whole(scaled: np.ndarray, again: Callable[[int], float]) -> np.ndarray:
+    """Whole parts. What lies next to a whole number is worked out ``again``, one by one in the C library: arrays may differ from it in the last bit."""
+    out = np.floor(scaled).astype(np.int64)
+    for k in np.flatnonzero(np.abs(scaled - np.rint(scaled)) < 1e-9).tolist():
+        out[k] = math.floor(again(k))
+    return out
+
+
+def _rays(at: np.ndarray, view: np.ndarray, az: int, el: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Range, cell of azimuth and of elevation of points (rows) seen from ``view``."""
+    d = at - view
+    r = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+    up = np.clip(d[:, 2] / np.maximum(r, 1e-6), -1, 1)
+    turned = lambda t: (t + math.pi) / (2 * math.pi) * az
+    lifted = lambda t: (t + math.pi / 2) / math.pi * el
+    a = _whole(turned(np.arctan2(d[:, 1], d[:, 0])), lambda k: turned(math.atan2(d[k, 1], d[k, 0])))
+    e = _whole(lifted(np.arcsin(up)), lambda k: lifted(math.asin(up[k])))
+    return r, np.minimum(a, az - 1), np.minimum(e, el - 1)
+
+
 def carve_votes(points: DataFrame, view: tuple[float, float, float], az: int = 512, el: int = 160) -> DataFrame:
     """pid and whether the view's ray to it passes on to a surface farther off.
 
@@ -65,12 +85,17 @@ def carve_votes(points: DataFrame, view: tuple[float, float, float], az: int = 5
     cell's ranges, in cells of six points at least; a point nearer than it by more than
     max(0.25, 5 %) was passed through.
     """
-    dx, dy, dz = (F.col(n) - v for n, v in zip("xyz", view, strict=True))
-    r = F.sqrt(dx * dx + dy * dy + dz * dz)
-    at = points.select("pid", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), r.alias("r")).where("r > 0")
-    a = F.least(F.floor((F.atan2("dy", "dx") + math.pi) / (2 * math.pi) * az), F.lit(az - 1))
-    e = F.least(F.floor((F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dz") / F.col("r")))) + math.pi / 2) / math.pi * el), F.lit(el - 1))
-    at = at.withColumns({"az": a, "el": e})
+    place = np.array(view, dtype=np.float64)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, a, e = _rays(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in XYZ]), place, az, el)
+            there = np.flatnonzero(r > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("pid").take(pa.array(there)), *[pa.array(x[there]) for x in (r, a, e)]], names=["pid", "r", "az", "el"])
+
+    kind = points.schema["pid"].dataType.simpleString()
+    known = points.select("pid", *[F.col(c).cast("double").alias(c) for c in XYZ]).dropna(subset=list(XYZ))
+    at = known.mapInArrow(seen, f"pid {kind}, r double, az long, el long")
     wall = at.groupBy("az", "el").agg(F.percentile("r", F.lit(0.6)).alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 6")
     both = at.join(wall, ["az", "el"])
     return both.select("pid", (F.col("r") < F.col("c") - F.greatest(F.lit(0.25), F.col("c") * 0.05)).alias("passed"))
@@ -83,15 +108,12 @@ NOBODY = 255
 
 def _ray_cells(at: np.ndarray, view: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Range, ray cell and depth bucket of points (rows) seen from ``view``, and which are in range."""
-    d = at - view
-    r = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
-    turn = np.arctan2(d[:, 1], d[:, 0])
-    lift = np.arcsin(np.clip(d[:, 2] / np.maximum(r, 1e-6), -1, 1))
-    az = np.minimum(((turn + math.pi) / (2 * math.pi) * RAYS_AZ).astype(np.int64), RAYS_AZ - 1)
-    el = np.minimum(((lift + math.pi / 2) / math.pi * RAYS_EL).astype(np.int64), RAYS_EL - 1)
+    r, az, el = _rays(at, view, RAYS_AZ, RAYS_EL)
     ok = (r > NEAREST) & (r < FARTHEST)
     near = math.log(NEAREST)
-    bucket = ((np.log(np.maximum(r, NEAREST)) - near) / (math.log(FARTHEST) - near) * DEPTHS).astype(np.int64)
+    scaled = lambda t: (t - near) / (math.log(FARTHEST) - near) * DEPTHS
+    held = np.where(ok, r, NEAREST * 2)
+    bucket = _whole(scaled(np.log(held)), lambda k: scaled(math.log(held[k])))
     return r, az * RAYS_EL + el, np.minimum(bucket, DEPTHS - 1), ok
 
 

@@ -1,10 +1,12 @@
 """What must not grow: rows by the driver, rows per pair, tasks that hold all."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.operators import fitting, points, series
+from cloudloom.operators import fitting, points, scene, series
 
 
 def plan(df) -> str:
@@ -66,3 +68,17 @@ def test_profiles_are_matched_where_the_rows_lie(spark):
     assert plan(made.select("part")).count("Exchange") <= 2 and "HashAggregate(keys=[part" not in plan(made)
     got = {r["part"]: (r["profile"], r["deviation"] and round(r["deviation"], 6)) for r in made.collect()}
     assert got == {1: ("a", 0.02), 2: (None, 0.5), 3: (None, None), 4: (None, None), 5: (None, None)}
+
+
+def test_rays_on_the_border_of_two_cells_are_those_of_the_c_library(spark):
+    # differences of hundredths: diagonals that miss 45 degrees by a last bit
+    k = np.arange(1, 10_007)
+    at = np.concatenate([np.column_stack([k / 1e2, (sign * k + shift) / 1e2, np.full(len(k), 1.0)]) for sign, shift in ((1, 0), (-1, 10_000), (-1, 9_406), (1, 1_337))])
+    view = np.array([50.0, 50.0, 1.5])
+    for place, az, el in ((view, 64, 20), (np.array([43.7, 50.37, 1.52]), 512, 160), (np.array([13.37, 26.74, 1.5]), 512, 160)):
+        r, a, e = scene._rays(at, place, az, el)
+        d = at - place
+        want = [min(math.floor((math.atan2(y, x) + math.pi) / (2 * math.pi) * az), az - 1) for x, y, _ in d.tolist()]
+        assert a.tolist() == want
+        rise = [min(math.floor((math.asin(z / f) + math.pi / 2) / math.pi * el), el - 1) for (_, _, z), f in zip(d.tolist(), r.tolist(), strict=True)]
+        assert e.tolist() == rise
