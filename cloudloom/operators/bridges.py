@@ -103,6 +103,27 @@ def _fits(own: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray, float,
     return out
 
 
+#: Parts of a line's length, and the share of them in which a cable must have points.
+PARTS, WHOLE = 16, 0.75
+
+
+def _ends(own: DataFrame, facts: dict[int, tuple]) -> dict[int, tuple]:
+    """Per line: its outermost points, the percentiles 1 and 99 along it, and the share of ``PARTS`` between these that hold points; a row each comes to the driver."""
+    spark = own.sparkSession
+    table = spark.createDataFrame([(k, *map(float, f[1])) for k, f in facts.items()], "line long, " + ", ".join(f"{p}{c} double" for p in "oa" for c in XYZ))
+    t = sum((F.col(c) - F.col(f"o{c}")) * F.col(f"a{c}") for c in XYZ)
+    along = own.join(F.broadcast(table), "line").withColumn("t", t)  # a row per line
+    spot = F.struct(*XYZ)
+    ends = along.groupBy("line").agg(
+        F.min_by(spot, F.struct("t", "pid")).alias("s"), F.max_by(spot, F.struct("t", "pid")).alias("e"), F.percentile("t", F.lit([0.01, 0.99])).alias("q")
+    ).collect()
+    cut = spark.createDataFrame([(r["line"], *r["q"]) for r in ends], "line long, q0 double, q1 double")
+    part = F.floor((F.col("t") - F.col("q0")) / (F.col("q1") - F.col("q0")) * PARTS)
+    held = along.join(F.broadcast(cut), "line").withColumn("part", part).where(F.col("part").between(0, PARTS - 1))
+    held = {r["line"]: r["n"] for r in held.select("line", "part").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {r["line"]: (r["s"], r["e"], r["q"], held.get(r["line"], 0) / PARTS) for r in ends}
+
+
 def cables(
     points: DataFrame, tolerance: float, least_length: float, most_thick: float, apart: float, least_points: int = 60, most: int = 24, least_stretch: float = 8.0,
     hypotheses: int = 256, share: float = 0.3, seed: int = 7, dry: int = 3,
@@ -111,7 +132,8 @@ def cables(
 
     A line's points lie within ``tolerance``; it is a cable if its spread along is ``least_stretch``
     times that across, it is longer than ``least_length`` (between its percentiles 1 and 99) and
-    thinner than ``most_thick``. A piece of a cable found before (parallel within five degrees, its
+    thinner than ``most_thick``, and if its points lie all along it: a line across some cables has
+    its points where it meets them, however many these are. A piece of a cable found before (parallel within five degrees, its
     middle within ``apart`` of its line) is not told again.
     """
     spark = points.sparkSession
@@ -137,24 +159,21 @@ def cables(
             facts = _fits(own)
             # the last time without what is no cable, whose crossings with cables are theirs again
             kept = [k for k, f in sorted(facts.items()) if step != 1 or f[0] >= least_points and f[3] > least_stretch and f[4] < most_thick]
+            if step == 1 and kept:
+                held = _ends(own, {k: facts[k] for k in kept})
+                kept = [k for k in kept if held[k][3] >= WHOLE]
             lines = np.array([facts[k][1] for k in kept]).reshape(-1, 6)
             if not kept:
                 break
         if not len(lines):
             continue
-        table = spark.createDataFrame([(k, *map(float, f[1])) for k, f in facts.items()], "line long, " + ", ".join(f"{p}{c} double" for p in "oa" for c in XYZ))
-        along = own.join(F.broadcast(table), "line")  # a row per line
-        t = sum((F.col(c) - F.col(f"o{c}")) * F.col(f"a{c}") for c in XYZ)
-        spot = F.struct(*XYZ)
-        ends = along.withColumn("t", t).groupBy("line").agg(
-            F.min_by(spot, F.struct("t", "pid")).alias("s"), F.max_by(spot, F.struct("t", "pid")).alias("e"), F.percentile("t", F.lit([0.01, 0.99])).alias("q")
-        )
-        for r in sorted(ends.collect(), key=lambda r: (-facts[r["line"]][0], r["line"])):
-            n, line, _, stretch, thick = facts[r["line"]]
-            length = r["q"][1] - r["q"][0]
-            if not (n >= least_points and stretch > least_stretch and length > least_length and thick < most_thick):
+        ends = _ends(own, facts)
+        for k in sorted(ends, key=lambda k: (-facts[k][0], k)):
+            (first, last, q, whole), (n, line, _, stretch, thick) = ends[k], facts[k]
+            length = q[1] - q[0]
+            if not (n >= least_points and stretch > least_stretch and length > least_length and thick < most_thick and whole >= WHOLE):
                 continue
-            s, e = (np.array([r[k][c] for c in XYZ]) for k in "se")
+            s, e = (np.array([x[c] for c in XYZ]) for x in (first, last))
             middle = (s + e) / 2
             again = [c for c in found if abs(line[3:] @ c[-1]) >= math.cos(math.radians(5)) and np.linalg.norm((middle - c[0]) - ((middle - c[0]) @ c[-1]) * c[-1]) < apart]
             if not again:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.operators import fitting, points, scene, series
+from cloudloom.operators import bridges, fitting, points, scene, series
 
 
 def plan(df) -> str:
@@ -82,3 +82,12 @@ def test_rays_on_the_border_of_two_cells_are_those_of_the_c_library(spark):
         assert a.tolist() == want
         rise = [min(math.floor((math.asin(z / f) + math.pi / 2) / math.pi * el), el - 1) for (_, _, z), f in zip(d.tolist(), r.tolist(), strict=True)]
         assert e.tolist() == rise
+
+
+def test_a_line_through_some_clumps_is_no_cable(spark):
+    rng = np.random.default_rng(11)
+    clumps = np.concatenate([np.column_stack([np.full(200, x), np.zeros(200), np.full(200, 5.0)]) for x in (0.0, 10.0, 20.0)]) + rng.uniform(-0.1, 0.1, (600, 3))
+    cable = np.column_stack([rng.random(600) * 20, np.full(600, 30.0), np.full(600, 5.0)]) + rng.uniform(-0.1, 0.1, (600, 3))
+    p = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(np.concatenate([clumps, cable]))], "pid long, x double, y double, z double")
+    found = bridges.cables(p, 0.3, 5.0, 0.5, 2.0).collect()
+    assert [(r["n"], round(r["sy"])) for r in found] == [(600, 30)]
