@@ -100,7 +100,7 @@ def preprocess(cloud: DataFrame, s: Settings, path: DataFrame | None = None) ->
         work = saved(work.join(gone, "pid", "left_anti"), "faces")
     if work.limit(16).count() < 16:
         raise ValueError("fewer than 16 points are left: check the units or the voxel size")
-    normals = saved(points.estimate_normals(work, s.normal_neighbors, cell), "normals")
+    normals = saved(points.steady_normals(work, s.normal_neighbors, cell), "normals")
     if path is not None:
         normals = points.towards(normals, work, path, 4 * cell)
     work = saved(work.join(normals, "pid"), "work")

@@ -26,7 +26,7 @@ def _room(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     """The room without labels, with normals, and its mean spacing."""
     room = saved(box(spark, sf_dir).select("pid", *XYZ), "room")
     spacing = math.sqrt(59.0 / max(1, room.count()))
-    return saved(room.join(points.estimate_normals(room, 12, 3 * spacing), "pid"), "normals"), spacing
+    return saved(room.join(points.steady_normals(room, 12, 3 * spacing), "pid"), "normals"), spacing
 
 
 @query(f"""

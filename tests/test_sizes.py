@@ -91,3 +91,16 @@ def test_a_line_through_some_clumps_is_no_cable(spark):
     p = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(np.concatenate([clumps, cable]))], "pid long, x double, y double, z double")
     found = bridges.cables(p, 0.3, 5.0, 0.5, 2.0).collect()
     assert [(r["n"], round(r["sy"])) for r in found] == [(600, 30)]
+
+
+def test_normals_of_a_cloud_closer_than_its_noise(spark):
+    rng = np.random.default_rng(12)
+    at = np.column_stack([rng.random((20_000, 2)) * 0.4, rng.uniform(-0.008, 0.008, 20_000)])
+    p = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(at)], "pid long, x double, y double, z double")
+    got = points.steady_normals(p, 12, 0.01)
+    assert got.count() == 20_000 and got.where("abs(nz) > 0.95").count() > 19_000
+    assert points.estimate_normals(p, 12, 0.01).where("abs(nz) > 0.95").count() < 10_000
+    # a cloud with flat neighbourhoods keeps the normals of its own
+    calm = p.withColumn("z", F.col("z") / 1000)
+    own = points.estimate_normals(calm, 12, 0.01).join(points.steady_normals(calm, 12, 0.01).withColumnsRenamed({c: f"s{c}" for c in ("nx", "ny", "nz")}), "pid")
+    assert own.where("nx = snx and ny = sny and nz = snz").count() == 20_000
