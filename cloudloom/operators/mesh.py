@@ -21,7 +21,8 @@ def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     out = faces
     for k in "abc":
         v = vertices.select(F.col("vid").alias(k), *[F.col(n).alias(f"{k}{n}") for n in "xyz"])
-        out = out.join(v, k)
+        # merged: a table of vertices compresses well, and would be sent whole through the driver by its file's size
+        out = out.join(v.hint("merge"), k)
     return out
 
 
@@ -72,7 +73,8 @@ def edge_stats(faces: DataFrame) -> DataFrame:
 def crease_edges(tri: DataFrame, degrees: float = 25.0) -> DataFrame:
     """Edges that are not between exactly two faces, separate groups, or bend by more than ``degrees``."""
     sides = edges(with_face_normals(tri), "group_id", "fid", "nx", "ny", "nz")
-    g = sides.groupBy("u", "v").agg(
+    # dealt by edge first: few tasks read a mesh, and each would hold a sum for every edge of its part
+    g = sides.repartition("u", "v").groupBy("u", "v").agg(
         F.count(F.lit(1)).alias("n"), F.min("group_id").alias("g0"), F.max("group_id").alias("g1"),
         *[F.min_by(f"n{k}", "fid").alias(f"p{k}") for k in "xyz"], *[F.max_by(f"n{k}", "fid").alias(f"q{k}") for k in "xyz"],
     )

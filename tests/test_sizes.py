@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.operators import bridges, fitting, points, scene, series
+from cloudloom.operators import bridges, fitting, graph, holes, mesh, parts, points, registration, repair, scene, series, textures
 
 
 def plan(df) -> str:
@@ -104,3 +104,16 @@ def test_normals_of_a_cloud_closer_than_its_noise(spark):
     calm = p.withColumn("z", F.col("z") / 1000)
     own = points.estimate_normals(calm, 12, 0.01).join(points.steady_normals(calm, 12, 0.01).withColumnsRenamed({c: f"s{c}" for c in ("nx", "ny", "nz")}), "pid")
     assert own.where("nx = snx and ny = sny and nz = snz").count() == 20_000
+
+
+def grid(spark, n=12):
+    rows = [(i * n + j, float(j), float(i), float((i * j) % 3)) for i in range(n) for j in range(n)]
+    quads = [i * n + j for i in range(n - 1) for j in range(n - 1)]
+    faces = [f for q in quads for f in ((2 * q, q, q + 1, q + n, 0), (2 * q + 1, q + 1, q + n + 1, q + n, 0))]
+    return spark.createDataFrame(faces, "fid long, a long, b long, c long, group_id int"), spark.createDataFrame(rows, "vid long, x double, y double, z double")
+
+
+def test_creases_deal_edges_before_they_are_summed(spark):
+    faces, vertices = grid(spark)
+    made = plan(mesh.crease_edges(mesh.corners(faces, vertices)))
+    assert "Broadcast" not in made and "REPARTITION_BY_COL" in made
