@@ -28,9 +28,9 @@ def joined(rows: DataFrame, own: DataFrame, key: str, times: str, total: int, sh
     million rows one task can hold any key.
     """
     if total <= 1 << 20:
-        return rows.join(own.drop(times), key)
+        return rows.join(own.drop(times).hint("merge"), key)
     hot, rest = (own.where(F.col(times) * share > total).drop(times), own.where(F.col(times) * share <= total).drop(times))
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.hint("merge"), key))
 
 
 #: Edges contracted at once.
@@ -88,7 +88,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         before = after
     found = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.select("node").distinct().join(found.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def grid_components(points: DataFrame, size: float, faces_only: bool = False) -> DataFrame:
@@ -104,8 +104,8 @@ def grid_components(points: DataFrame, size: float, faces_only: bool = False) ->
         to = to.where(F.abs("o.i") + F.abs("o.j") + F.abs("o.k") <= 1)
     to = to.select(F.col("node").alias("a"), F.expr("shiftleft(cx + o.i, 42) + shiftleft(cy + o.j, 21) + cz + o.k").alias("b"), *[F.col(f"c{n}") for n in XYZ])
     there = cells.select(F.col("node").alias("b"))
-    found = components(cells, to.select("a", "b").where("a > b").join(there, "b"))
-    return keyed.join(found, "node").select("pid", F.col("root").alias("label"))
+    found = components(cells, to.select("a", "b").where("a > b").join(there.hint("merge"), "b"))
+    return keyed.join(found.hint("merge"), "node").select("pid", F.col("root").alias("label"))
 
 
 def largest_component(points: DataFrame, size: float) -> DataFrame:
@@ -113,4 +113,4 @@ def largest_component(points: DataFrame, size: float) -> DataFrame:
     labels = saved(grid_components(points, size), "labels")
     best = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
     keep = labels.join(F.broadcast(best), "label", "left_semi").select("pid")  # one row
-    return points.join(keep, "pid", "left_semi")
+    return points.join(keep.hint("merge"), "pid", "left_semi")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import cross, dot, minus, vec
-from cloudloom.operators.graph import components
+from cloudloom.operators.graph import _contracted, components, joined
 from cloudloom.operators.mesh import corners, edges
 from cloudloom.operators.points import XYZ, radius_pairs
 from cloudloom.plans.scratch import saved
@@ -87,8 +87,10 @@ def merge_regions(boxes: DataFrame, dilate: float = 0.25, cap: int = 40) -> Data
         cells = cells.withColumn(f"g{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / size), F.floor(F.col(f"{c}1") / size))))
     other = cells.select(F.col("bid").alias("o"), *[F.col(f"{c}{k}").alias(f"o{c}{k}") for c in XYZ for k in (0, 1)], "gx", "gy", "gz")
     meet = [(F.col(f"{c}0") <= F.col(f"o{c}1")) & (F.col(f"o{c}0") <= F.col(f"{c}1")) for c in XYZ]
-    both = cells.join(other, ["gx", "gy", "gz"]).where("bid > o").where(meet[0] & meet[1] & meet[2])
-    found = components(boxes.select(F.col("bid").alias("node")), both.select(F.col("bid").alias("a"), F.col("o").alias("b")).distinct())
+    both = cells.repartition("gx", "gy", "gz").join(other.hint("merge"), ["gx", "gy", "gz"]).where("bid > o").where(meet[0] & meet[1] & meet[2])
+    # what meets in a task is contracted there: no pair of boxes is written or held, however many lie in a cell
+    links = both.select(F.col("bid").cast("long").alias("a"), F.col("o").cast("long").alias("b")).mapInArrow(_contracted, "a long, b long")
+    found = components(boxes.select(F.col("bid").alias("node")), links)
     own = boxes.join(found.select(F.col("node").alias("bid"), "root"), "bid")
     ends = [f(f"{c}{k}").alias(f"{c}{k}") for c in XYZ for k, f in ((0, F.min), (1, F.max))]
     out = own.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), *ends)
@@ -171,23 +173,25 @@ def oriented_faces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     sides = F.array(*[F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), (F.col(p) < F.col(q)).alias("up")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])
     run = faces.select("fid", F.explode(sides).alias("e")).select("fid", "e.u", "e.v", "e.up")
     # the faces of an edge are linked to its first one: image to image if they run against each other, else crosswise
+    # dealt by edge first: few tasks read a mesh, and each would hold a sum for every edge of its part
+    run = run.repartition("u", "v")
     head = run.groupBy("u", "v").agg(F.min_by(F.struct("fid", "up"), "fid").alias("h"))
-    met = run.join(head, ["u", "v"]).where("fid <> h.fid").withColumn("cross", (F.col("up") == F.col("h.up")).cast("int"))
+    met = run.join(head.hint("merge"), ["u", "v"]).where("fid <> h.fid").withColumn("cross", (F.col("up") == F.col("h.up")).cast("int"))
     links = met.withColumn("t", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         (F.col("fid") * 2 + F.col("t")).alias("a"), (F.col("h.fid") * 2 + F.abs(F.col("t") - F.col("cross"))).alias("b")
     )
     rooted = saved(components(both.select(node.alias("node")), links), "sides")
     own = rooted.select(F.floor(F.col("node") / 2).alias("fid"), (F.col("node") % 2).cast("int").alias("turn"), "root")
-    pairs = own.where("turn = 0").select("fid", F.col("root").alias("r0")).join(own.where("turn = 1").select("fid", F.col("root").alias("r1")), "fid")
-    turned = both.join(own, ["fid", "turn"])
+    pairs = own.where("turn = 0").select("fid", F.col("root").alias("r0")).join(own.where("turn = 1").select("fid", F.col("root").alias("r1")).hint("merge"), "fid")
+    turned = both.join(own.hint("merge"), ["fid", "turn"])
     tri = corners(turned.select("fid", "a", "b", "c", "root"), vertices)
-    volume = tri.groupBy("root").agg(F.sum(dot(vec("a"), cross(vec("b"), vec("c")))).alias("volume"))
-    v0, v1 = (volume.select(F.col("root").alias(f"r{k}"), F.col("volume").alias(f"v{k}")) for k in (0, 1))
-    choice = pairs.join(v0, "r0").join(v1, "r1")
+    volume = saved(tri.groupBy("root").agg(F.sum(dot(vec("a"), cross(vec("b"), vec("c")))).alias("volume"), F.count(F.lit(1)).alias("n")), "volumes")
+    total, (v0, v1) = rooted.count(), (volume.select(F.col("root").alias(f"r{k}"), F.col("volume").alias(f"v{k}"), "n") for k in (0, 1))
+    choice = joined(joined(pairs, v0, "r0", "n", total), v1, "r1", "n", total)
     flip = F.when(F.col("r0") == F.col("r1"), 0).when(F.round("v1", 12) > F.round("v0", 12), 1).when((F.round("v1", 12) == F.round("v0", 12)) & (F.col("r1") < F.col("r0")), 1).otherwise(0)
     chosen = choice.select("fid", flip.alias("turn"))
     rest = [c for c in faces.columns if c not in ("a", "b", "c")]
-    out = both.join(chosen, ["fid", "turn"]).select("fid", "a", "b", "c", F.col("turn").alias("turned"))
+    out = both.join(chosen.hint("merge"), ["fid", "turn"]).select("fid", "a", "b", "c", F.col("turn").alias("turned"))
     return out.join(faces.select(*rest), "fid") if len(rest) > 1 else out
 
 

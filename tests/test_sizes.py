@@ -117,3 +117,23 @@ def test_creases_deal_edges_before_they_are_summed(spark):
     faces, vertices = grid(spark)
     made = plan(mesh.crease_edges(mesh.corners(faces, vertices)))
     assert "Broadcast" not in made and "REPARTITION_BY_COL" in made
+
+
+def test_regions_are_contracted_where_they_meet(spark, monkeypatch):
+    boxes = spark.range(200).selectExpr("id bid", "0d x0", "1d x1", "0d y0", "1d y1", "0d z0", "1d z1", "1L weight")
+    seen = []
+    monkeypatch.setattr(repair, "components", lambda nodes, links: seen.append(links.count()) or graph.components(nodes, links))
+    assert [(r["root"], r["n"]) for r in repair.merge_regions(boxes).collect()] == [(0, 200)]
+    # a link for every two boxes, once per cell they share, were 19,900 at least
+    assert seen[0] <= 8 * 200
+
+
+def test_faces_are_turned_without_a_broadcast(spark):
+    faces, vertices = grid(spark)
+    assert "Broadcast" not in plan(repair.oriented_faces(faces, vertices))
+
+
+def test_components_send_no_nodes_through_the_driver(spark):
+    nodes = spark.range(100).select(F.col("id").alias("node"))
+    made = graph.components(nodes, spark.range(1, 100).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")))
+    assert "Broadcast" not in plan(made) and made.where("root = 0").count() == 100
