@@ -27,8 +27,8 @@ def steps(faces: DataFrame) -> DataFrame:
     single = saved(count.where("n = 1").select("u", "v"), "single")
     ends = single.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("x")
     leaves = single.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("u").alias("x"))
-    clean = saved(ends.join(leaves, "x", "left_semi"), "clean")
-    return single.join(clean.select(F.col("x").alias("u")), "u", "left_semi").join(clean.select(F.col("x").alias("v")), "v", "left_semi")
+    clean = saved(ends.join(leaves.hint("merge"), "x", "left_semi"), "clean")
+    return single.join(clean.select(F.col("x").alias("u")).hint("merge"), "u", "left_semi").join(clean.select(F.col("x").alias("v")).hint("merge"), "v", "left_semi")
 
 
 def loops(faces: DataFrame) -> DataFrame:
@@ -39,20 +39,20 @@ def loops(faces: DataFrame) -> DataFrame:
     before = None
     while True:
         ahead = now.select(F.col("vid").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        now = saved(now.join(ahead, "to").select("vid", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "jump")
+        now = saved(now.join(ahead.hint("merge"), "to").select("vid", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "jump")
         after = tuple(now.agg(F.count(F.lit(1)), F.sum(F.col("low").cast("decimal(38,0)"))).first())
         if after == before:
             break
         before = after
     own = now.select("vid", F.col("low").alias("loop"))
     # steps to the loop's lowest vertex, again by doubling; there the way ends
-    rank = step.select(F.col("u").alias("vid"), F.col("v").alias("to")).join(own, "vid")
+    rank = step.select(F.col("u").alias("vid"), F.col("v").alias("to")).join(own.hint("merge"), "vid")
     rank = saved(rank.select("vid", "loop", F.when(F.col("vid") == F.col("loop"), F.col("vid")).otherwise(F.col("to")).alias("to"), (F.col("vid") != F.col("loop")).cast("long").alias("far")), "rank")
     while not rank.where("to <> loop").isEmpty():
         ahead = rank.select(F.col("vid").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
-        rank = saved(rank.join(ahead, "to").select("vid", "loop", F.col("to2").alias("to"), (F.col("far") + F.col("far2")).alias("far")), "rank")
+        rank = saved(rank.join(ahead.hint("merge"), "to").select("vid", "loop", F.col("to2").alias("to"), (F.col("far") + F.col("far2")).alias("far")), "rank")
     sizes = rank.groupBy("loop").agg(F.count(F.lit(1)).alias("n"))
-    return rank.join(sizes, "loop").select("loop", "vid", F.when(F.col("far") == 0, 0).otherwise(F.col("n") - F.col("far")).cast("long").alias("place"), "n")
+    return rank.join(sizes.hint("merge"), "loop").select("loop", "vid", F.when(F.col("far") == 0, 0).otherwise(F.col("n") - F.col("far")).cast("long").alias("place"), "n")
 
 
 def close_planar(
@@ -66,10 +66,10 @@ def close_planar(
     number from behind the largest vertex, in order of the holes.
     """
     found = saved(loops(faces), "loops")
-    held = found.where((F.col("n") >= 4) & (F.col("n") <= longest)).join(vertices.select("vid", *XYZ), "vid")
+    held = found.where((F.col("n") >= 4) & (F.col("n") <= longest)).join(vertices.select("vid", *XYZ).hint("merge"), "vid")
     size = F.sqrt(sum((F.max(c) - F.min(c)) * (F.max(c) - F.min(c)) for c in XYZ))
     holes = saved(held.groupBy("loop", "n").agg(size.alias("across"), *[F.avg(c).alias(c) for c in XYZ]).where(F.col("across") <= most), "holes")
-    small = held.join(holes.select("loop"), "loop", "left_semi")
+    small = held.join(holes.select("loop").hint("merge"), "loop", "left_semi")
     at = small.join(F.broadcast(planes), F.lit(True))  # planes of a model, corners of small holes only
     gap = F.abs(sum(F.col(f"n{c}") * F.col(c) for c in XYZ) + F.col("d"))
     inside = F.lit(True)
@@ -77,7 +77,7 @@ def close_planar(
         inside = inside & (F.col(c) >= F.col(f"{c}0") - margin) & (F.col(c) <= F.col(f"{c}1") + margin)
     fits = at.groupBy("loop", "plane_id").agg(F.avg((gap < off).cast("double")).alias("near"), F.avg(inside.cast("double")).alias("within"))
     fits = fits.where((F.col("near") >= share) & (F.col("within") >= share)).groupBy("loop").agg(F.min("plane_id").alias("plane_id"))
-    placed = holes.join(fits, "loop").join(F.broadcast(planes.select("plane_id", "nx", "ny", "nz", "d")), "plane_id")  # planes of a model
+    placed = holes.join(fits.hint("merge"), "loop").join(F.broadcast(planes.select("plane_id", "nx", "ny", "nz", "d")), "plane_id")  # planes of a model
     lift = sum(F.col(f"n{c}") * F.col(c) for c in XYZ) + F.col("d")
     placed = saved(placed.select("loop", "plane_id", "n", "across", *[(F.col(c) - lift * F.col(f"n{c}")).alias(c) for c in XYZ]), "placed")
     top = vertices.agg(F.max("vid")).first()[0] or 0
@@ -88,7 +88,7 @@ def close_planar(
     numbered = ranged.join(F.broadcast(sizes.select("__p", before.alias("__b"))), "__p")
     numbered = numbered.withColumn("vid", F.lit(top) + F.col("__b") + F.row_number().over(W.partitionBy("__p").orderBy("loop")))
     middles = saved(numbered.select("loop", "vid", "plane_id", "n", "across", *XYZ), "middles")
-    ring = found.join(middles.select("loop", F.col("vid").alias("a")), "loop")
+    ring = found.join(middles.select("loop", F.col("vid").alias("a")).hint("merge"), "loop")
     after = ring.select("loop", ((F.col("place") - 1 + F.col("n")) % F.col("n")).alias("place"), F.col("vid").alias("c"))
-    fans = ring.select("loop", "place", "a", F.col("vid").alias("b")).join(after, ["loop", "place"])
+    fans = ring.select("loop", "place", "a", F.col("vid").alias("b")).join(after.hint("merge"), ["loop", "place"])
     return fans.select(F.xxhash64("loop", "place").alias("fid"), "a", "b", "c"), middles.select("vid", *XYZ), middles

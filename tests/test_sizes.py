@@ -137,3 +137,9 @@ def test_components_send_no_nodes_through_the_driver(spark):
     nodes = spark.range(100).select(F.col("id").alias("node"))
     made = graph.components(nodes, spark.range(1, 100).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")))
     assert "Broadcast" not in plan(made) and made.where("root = 0").count() == 100
+
+
+def test_loops_send_no_vertices_through_the_driver(spark):
+    faces, _ = grid(spark)
+    made = holes.loops(faces)
+    assert "Broadcast" not in plan(made) and made.count() == 44
