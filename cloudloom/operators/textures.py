@@ -33,7 +33,7 @@ _N = ("nx", "ny", "nz")
 def neighbours(faces: DataFrame) -> DataFrame:
     """(fid, other): faces that share an edge, both ways, once per edge."""
     side = edges(faces, "fid")
-    both = side.select("u", "v", "fid").join(side.select("u", "v", F.col("fid").alias("other")), ["u", "v"])
+    both = side.select("u", "v", "fid").join(side.select("u", "v", F.col("fid").alias("other")).hint("merge"), ["u", "v"])
     return both.where("fid <> other").select("fid", "other")
 
 
@@ -42,8 +42,8 @@ def directions(faces: DataFrame, vertices: DataFrame, near: DataFrame, smooth: i
     now = saved(with_face_normals(corners(faces, vertices)).select("fid", *_N), "normals")
     for _ in range(smooth):
         theirs = now.select(F.col("fid").alias("other"), *[F.col(c).alias(f"o{c}") for c in _N])
-        sums = near.join(theirs, "other").groupBy("fid").agg(*[F.sum(f"o{c}").alias(f"s{c}") for c in _N])
-        both = now.join(sums, "fid", "left").withColumns({f"s{c}": F.col(c) + F.coalesce(f"s{c}", F.lit(0.0)) for c in _N})
+        sums = near.join(theirs.hint("merge"), "other").groupBy("fid").agg(*[F.sum(f"o{c}").alias(f"s{c}") for c in _N])
+        both = now.join(sums.hint("merge"), "fid", "left").withColumns({f"s{c}": F.col(c) + F.coalesce(f"s{c}", F.lit(0.0)) for c in _N})
         size = F.sqrt(sum(F.col(f"s{c}") * F.col(f"s{c}") for c in _N))
         now = saved(both.select("fid", *[F.when(size > 1e-12, F.col(f"s{c}") / size).otherwise(F.col(c)).alias(c) for c in _N]), "normals")
     x, y, z = (F.round(F.abs(c), 9) for c in _N)
@@ -57,11 +57,11 @@ def charts(faces: DataFrame, vertices: DataFrame, smooth: int = 3, least: int =
     near = saved(neighbours(faces), "near")
     bins = saved(directions(faces, vertices, near, smooth), "bins")
     own = bins.select(F.col("fid").alias("other"), F.col("bin").alias("theirs"))
-    alike = near.join(bins, "fid").join(own, "other").where("bin = theirs").select(F.col("fid").alias("a"), F.col("other").alias("b"))
+    alike = near.join(bins.hint("merge"), "fid").join(own.hint("merge"), "other").where("bin = theirs").select(F.col("fid").alias("a"), F.col("other").alias("b"))
     first = components(bins.select(F.col("fid").alias("node")), alike).select(F.col("node").alias("fid"), F.col("root").alias("chart"))
-    owner = saved(first.join(bins, "fid").select("fid", "chart", "bin"), "charts")
-    side = near.where("fid < other").join(owner.select("fid", F.col("chart").alias("a")), "fid")
-    side = side.join(owner.select(F.col("fid").alias("other"), F.col("chart").alias("b")), "other").where("a <> b")
+    owner = saved(first.join(bins.hint("merge"), "fid").select("fid", "chart", "bin"), "charts")
+    side = near.where("fid < other").join(owner.select("fid", F.col("chart").alias("a")).hint("merge"), "fid")
+    side = side.join(owner.select(F.col("fid").alias("other"), F.col("chart").alias("b")).hint("merge"), "other").where("a <> b")
     # from here on charts, not faces: sizes, and borders in edges both ways
     sizes = saved(owner.groupBy("chart", "bin").agg(F.count(F.lit(1)).alias("n")), "sizes")
     one = side.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("edges"))
@@ -69,16 +69,16 @@ def charts(faces: DataFrame, vertices: DataFrame, smooth: int = 3, least: int =
     for _ in range(rounds):
         big = sizes.where(F.col("n") >= least).select(F.col("chart").alias("b"), F.col("bin").alias("new_bin"))
         small = sizes.where(F.col("n") < least).select(F.col("chart").alias("a"))
-        best = border.join(small, "a").join(big, "b").groupBy("a").agg(F.max_by(F.struct("b", "new_bin"), F.struct("edges", -F.col("b"))).alias("to"))
+        best = border.join(small.hint("merge"), "a").join(big.hint("merge"), "b").groupBy("a").agg(F.max_by(F.struct("b", "new_bin"), F.struct("edges", -F.col("b"))).alias("to"))
         best = saved(best.select("a", "to.b", "to.new_bin"), "joined")
         if best.isEmpty():
             break
         to = best.select(F.col("a").alias("chart"), F.col("b").alias("to"), "new_bin")
-        owner = saved(owner.join(to, "chart", "left").select("fid", F.coalesce("to", "chart").alias("chart"), F.coalesce("new_bin", "bin").alias("bin")), "charts")
+        owner = saved(owner.join(to.hint("merge"), "chart", "left").select("fid", F.coalesce("to", "chart").alias("chart"), F.coalesce("new_bin", "bin").alias("bin")), "charts")
         sizes = saved(owner.groupBy("chart", "bin").agg(F.count(F.lit(1)).alias("n")), "sizes")
         for c in "ab":
             moved = best.select(F.col("a").alias(c), F.col("b").alias("__to"))
-            border = border.join(moved, c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+            border = border.join(moved.hint("merge"), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
         border = saved(border.where("a <> b").groupBy("a", "b").agg(F.sum("edges").alias("edges")), "borders")
     return owner
 
@@ -86,7 +86,7 @@ def charts(faces: DataFrame, vertices: DataFrame, smooth: int = 3, least: int =
 def chart_places(owner: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """(chart, bin, u0, v0, width, height): each chart's box along the two axes across its direction; u runs back in odd bins."""
     at = vertices.select("vid", *XYZ)
-    each = faces.select("fid", F.explode(F.array("a", "b", "c")).alias("vid")).join(owner, "fid").join(at, "vid")
+    each = faces.select("fid", F.explode(F.array("a", "b", "c")).alias("vid")).join(owner.hint("merge"), "fid").join(at.hint("merge"), "vid")
     axis = F.floor(F.col("bin") / 2)
     u = F.when(axis == 0, F.col("y")).otherwise(F.col("x")) * F.when(F.col("bin") % 2 == 1, -1.0).otherwise(1.0)
     v = F.when(axis == 2, F.col("y")).otherwise(F.col("z"))
@@ -113,7 +113,7 @@ def packed(places: DataFrame, texel: float, page: int, gutter: int = 4) -> DataF
     upto = F.sum("sh").over(W.orderBy(F.desc("class"), "shelf").rowsBetween(W.unboundedPreceding, 0)) - F.col("sh")
     placed = shelves.withColumns({"room": room, "upto": upto})
     placed = placed.select("class", "shelf", F.floor(F.col("upto") / F.col("room")).alias("page"), (F.col("upto") % F.col("room")).alias("y"))
-    both = rows.join(placed, ["class", "shelf"])
+    both = rows.join(placed.hint("merge"), ["class", "shelf"])
     return both.select("chart", "page", (F.col("px") + gutter).alias("px"), (F.col("y") + gutter).alias("py"), "w", "h")
 
 

@@ -143,3 +143,9 @@ def test_loops_send_no_vertices_through_the_driver(spark):
     faces, _ = grid(spark)
     made = holes.loops(faces)
     assert "Broadcast" not in plan(made) and made.count() == 44
+
+
+def test_charts_send_no_faces_through_the_driver(spark):
+    faces, vertices = grid(spark)
+    places = textures.chart_places(textures.charts(faces, vertices), faces, vertices)
+    assert "Broadcast" not in plan(places) and "Broadcast" not in plan(textures.packed(places, 0.1, 256))
