@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import dot, minus, vec
 from cloudloom.operators.fitting import icp_sums
-from cloudloom.operators.points import XYZ, estimate_normals, knn, median_spacing, transform
+from cloudloom.operators.points import XYZ, _cell_size, estimate_normals, knn, median_spacing, transform
 from cloudloom.plans.scratch import saved
 
 #: Limits of the change histogram in metres.
@@ -74,6 +74,8 @@ def register(
         source = source.orderBy(F.xxhash64("pid"), "pid").limit(sample)
     source = saved(source, "source")
     facts = target.select(F.col("pid").alias("nid"), *[F.col(c).alias(f"t{c}") for c in XYZ], "nx", "ny", "nz")
+    # told once: each search would count the target's cells anew, size by size
+    cell = _cell_size(target.select(*XYZ).dropna(), cell, 1)[0]
     whole, rmse, done = np.hstack([np.eye(3), np.zeros((3, 1))]), math.inf, 0
     for done in range(1, steps + 1):
         moved = transform(source, [float(v) for v in whole.ravel()])

@@ -149,3 +149,12 @@ def test_charts_send_no_faces_through_the_driver(spark):
     faces, vertices = grid(spark)
     places = textures.chart_places(textures.charts(faces, vertices), faces, vertices)
     assert "Broadcast" not in plan(places) and "Broadcast" not in plan(textures.packed(places, 0.1, 256))
+
+
+def test_registration_tells_the_size_of_cells_once(spark, monkeypatch):
+    p = cloud(spark, 500).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
+    told, tried, own = [], [], points._cell_size
+    monkeypatch.setattr(registration, "_cell_size", lambda df, cell, k: told.append(1) or (0.125, 1.0))
+    monkeypatch.setattr(registration, "knn", lambda a, b, k, cell: tried.append(cell) or points.knn(a, b, k, cell))
+    registration.register(p.select("pid", "x", "y", "z"), p, 1.0, steps=2, most=1.0)
+    assert len(told) == 1 and tried == [0.125] * len(tried) and own is points._cell_size
