@@ -179,7 +179,7 @@ def cables(
             if not again:
                 found.append((s, e, n, length, thick, math.degrees(math.acos(min(1.0, abs(line[5])))), line[3:]))
                 idle = 0
-        left = saved(left.join(own.select("pid"), "pid", "left_anti"), "left")
+        left = saved(left.join(own.select("pid").hint("merge"), "pid", "left_anti"), "left")
     rows = [(k, int(n), *map(float, s), *map(float, e), float(length), thick, tilt) for k, (s, e, n, length, thick, tilt, _) in enumerate(found[:most])]
     return spark.createDataFrame(rows, _CABLE)
 

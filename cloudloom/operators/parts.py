@@ -186,7 +186,7 @@ def detect_cylinders(
         number = spark.createDataFrame(list(to.items()), "plane_id long, cyl_id long")
         mine = saved(own.join(F.broadcast(number), "plane_id").select("pid", "cyl_id"), "assigned")
         owners = mine if owners is None else owners.unionByName(mine)
-        left = saved(left.join(mine.select("pid"), "pid", "left_anti"), "left")
+        left = saved(left.join(mine.select("pid").hint("merge"), "pid", "left_anti"), "left")
     if owners is None:
         owners = spark.createDataFrame([], "pid long, cyl_id long")
     schema = "cyl_id long, n long, px double, py double, pz double, ax double, ay double, az double, radius double, length double, rms double"
@@ -342,7 +342,7 @@ def detect_cones(
         number = spark.createDataFrame(list(to.items()), "plane_id long, cone_id long")
         mine = saved(own.join(F.broadcast(number), "plane_id").select("pid", "cone_id"), "assigned")  # a row per cone
         owners = mine if owners is None else owners.unionByName(mine)
-        left = saved(left.join(mine.select("pid"), "pid", "left_anti"), "left")
+        left = saved(left.join(mine.select("pid").hint("merge"), "pid", "left_anti"), "left")
     if owners is None:
         owners = spark.createDataFrame([], "pid long, cone_id long")
     return spark.createDataFrame(found, _CONE), owners

@@ -97,13 +97,13 @@ def preprocess(cloud: DataFrame, s: Settings, path: DataFrame | None = None) ->
     work = saved(points.remove_statistical_outliers(work, s.sor_neighbors, s.sor_std_ratio, cell), "clean")
     if s.edge_artifact_filter and work.count() > 100:
         gone = points.edge_artifacts(work, sparse_only=False, cell=cell)
-        work = saved(work.join(gone, "pid", "left_anti"), "faces")
+        work = saved(work.join(gone.hint("merge"), "pid", "left_anti"), "faces")
     if work.limit(16).count() < 16:
         raise ValueError("fewer than 16 points are left: check the units or the voxel size")
     normals = saved(points.steady_normals(work, s.normal_neighbors, cell), "normals")
     if path is not None:
         normals = points.towards(normals, work, path, 4 * cell)
-    work = saved(work.join(normals, "pid"), "work")
+    work = saved(work.join(normals.hint("merge"), "pid"), "work")
     return work, float(points.median_spacing(work, cell).first()["spacing"])
 
 
@@ -157,7 +157,7 @@ def found_planes(cloud: DataFrame, s: Settings, path: DataFrame | None = None) -
         _, owners = search.rescue(work, owners, threshold, least, normal_deg=s.normal_threshold_deg, max_planes=s.max_planes, radius=reach)
         threshold *= 1.6
     owners = saved(owners, "owners")
-    own = saved(work.join(owners, "pid"), "own")
+    own = saved(work.join(owners.hint("merge"), "pid"), "own")
     fit = planes.fit_planes(own)
     if s.regularize:
         fit, to = search.regularise(own, fit, s.parallel_tol_deg, s.ortho_tol_deg, s.merge_offset_factor * threshold, s.ghost_offset_tol)

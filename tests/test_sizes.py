@@ -158,3 +158,13 @@ def test_registration_tells_the_size_of_cells_once(spark, monkeypatch):
     monkeypatch.setattr(registration, "knn", lambda a, b, k, cell: tried.append(cell) or points.knn(a, b, k, cell))
     registration.register(p.select("pid", "x", "y", "z"), p, 1.0, steps=2, most=1.0)
     assert len(told) == 1 and tried == [0.125] * len(tried) and own is points._cell_size
+
+
+def test_points_of_a_cylinder_leave_without_a_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    t, s = rng.random(600) * 2 * np.pi, rng.random(600) * 3
+    rows = [(k, math.cos(a) / 2, math.sin(a) / 2, float(z), math.cos(a), math.sin(a), 0.0) for k, (a, z) in enumerate(zip(t.tolist(), s.tolist(), strict=True))]
+    plans, own = [], parts.saved
+    monkeypatch.setattr(parts, "saved", lambda df, tag: (plans.append(plan(df)) if tag == "left" else None, own(df, tag))[1])
+    found, _ = parts.detect_cylinders(spark.createDataFrame(rows, "pid long, x double, y double, z double, nx double, ny double, nz double"), 0.02, 200)
+    assert found.count() == 1 and len(plans) > 1 and not any("Broadcast" in p for p in plans)
