@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.operators import bridges, fitting, graph, holes, mesh, parts, points, registration, repair, scene, series, textures
+from cloudloom.operators import bridges, fitting, graph, holes, mesh, parts, points, registration, repair, scene, series, shapes, textures
 
 
 def plan(df) -> str:
@@ -168,3 +168,23 @@ def test_points_of_a_cylinder_leave_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(parts, "saved", lambda df, tag: (plans.append(plan(df)) if tag == "left" else None, own(df, tag))[1])
     found, _ = parts.detect_cylinders(spark.createDataFrame(rows, "pid long, x double, y double, z double, nx double, ny double, nz double"), 0.02, 200)
     assert found.count() == 1 and len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+def test_polygons_of_many_corners_are_swept(spark, monkeypatch):
+    monkeypatch.setattr(shapes, "_clipped", lambda p: pytest.fail("clipped ear by ear"), raising=False)
+    rng = np.random.default_rng(9)
+    star = lambda n, size=1.0, at=(0.0, 0.0): (1 + rng.integers(0, 101, n) / 100)[:, None] * size * np.column_stack([f(2 * np.pi * np.arange(n) / n) for f in (np.cos, np.sin)]) + at
+    loops = [(1, star(20_000), []), (2, star(500, 4.0), [star(200, 0.3, (1.0, 1.0)), star(300, 0.3, (-1.0, 0.5))[::-1]]), (3, np.array([[0, 0], [1, 0], [2, 0], [2, 2], [1, 2], [0, 2.0]]), [])]
+    told = lambda p: [(float(a), float(b)) for a, b in p]
+    made = shapes.triangles(spark.createDataFrame([(k, told(p), [told(h) for h in holes]) for k, p, holes in loops], f"poly long, loop {shapes.LOOP}, holes array<{shapes.LOOP}>"))
+    twice = (F.col("b_u") - F.col("a_u")) * (F.col("c_v") - F.col("a_v")) - (F.col("b_v") - F.col("a_v")) * (F.col("c_u") - F.col("a_u"))
+    got = {r["poly"]: r for r in made.groupBy("poly").agg(F.count("k").alias("n"), F.max("k").alias("k"), F.sum(twice / 2).alias("area"), F.min(twice).alias("least")).collect()}
+    for poly, p, holes in loops:
+        want = abs(shapes.signed_area(p)) - sum(abs(shapes.signed_area(h)) for h in holes)
+        r = got[poly]
+        assert r["n"] == r["k"] + 1 == len(p) + sum(len(h) + 2 for h in holes) - 2 and r["area"] == pytest.approx(want) and r["least"] > 0
+
+
+def test_crossing_loops_are_clipped_still():
+    bow = np.array([[0, 0], [2, 2], [2, 0], [0, 2.0]])
+    assert shapes.swept(bow, [4]) is None and len(shapes.triangulated(bow)) == 2
