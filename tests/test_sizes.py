@@ -188,3 +188,14 @@ def test_polygons_of_many_corners_are_swept(spark, monkeypatch):
 def test_crossing_loops_are_clipped_still():
     bow = np.array([[0, 0], [2, 2], [2, 0], [0, 2.0]])
     assert shapes.swept(bow, [4]) is None and len(shapes.triangulated(bow)) == 2
+
+
+def test_points_amid_others_need_no_circles(monkeypatch):
+    rng = np.random.default_rng(13)
+    p = rng.uniform(0, 100, (10_000, 2))
+    inner = (np.abs(p - 50) < 30).all(axis=1)
+    asked, own = [], np.sqrt
+    monkeypatch.setattr(shapes.np, "sqrt", lambda x: (asked.append(1), own(x))[1])
+    assert shapes.tile_edges(*p.T, inner, 4.0) == []
+    # a pair of circles for each of its near points, once per point that is asked for
+    assert len(asked) < inner.sum() / 20
