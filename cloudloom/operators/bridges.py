@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import moments
+from cloudloom.functions.quantiles import percentiles
 from cloudloom.operators.graph import components, grid_components
 from cloudloom.operators.points import XYZ
 from cloudloom.operators.search import _taken, counted
@@ -115,13 +116,14 @@ def _ends(own: DataFrame, facts: dict[int, tuple]) -> dict[int, tuple]:
     along = own.join(F.broadcast(table), "line").withColumn("t", t)  # a row per line
     spot = F.struct(*XYZ)
     ends = along.groupBy("line").agg(
-        F.min_by(spot, F.struct("t", "pid")).alias("s"), F.max_by(spot, F.struct("t", "pid")).alias("e"), F.percentile("t", F.lit([0.01, 0.99])).alias("q")
+        F.min_by(spot, F.struct("t", "pid")).alias("s"), F.max_by(spot, F.struct("t", "pid")).alias("e")
     ).collect()
-    cut = spark.createDataFrame([(r["line"], *r["q"]) for r in ends], "line long, q0 double, q1 double")
+    q = {k: x["t"] for k, x in percentiles(along, "line", {"t": [0.01, 0.99]}).items()}
+    cut = spark.createDataFrame([(k, *x) for k, x in q.items()], "line long, q0 double, q1 double")
     part = F.floor((F.col("t") - F.col("q0")) / (F.col("q1") - F.col("q0")) * PARTS)
     held = along.join(F.broadcast(cut), "line").withColumn("part", part).where(F.col("part").between(0, PARTS - 1))
     held = {r["line"]: r["n"] for r in held.select("line", "part").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {r["line"]: (r["s"], r["e"], r["q"], held.get(r["line"], 0) / PARTS) for r in ends}
+    return {r["line"]: (r["s"], r["e"], q[r["line"]], held.get(r["line"], 0) / PARTS) for r in ends}
 
 
 def cables(
@@ -213,10 +215,9 @@ def deck(points: DataFrame, least_points: int = 300, least_level: float = 0.9, l
     frames = points.sparkSession.createDataFrame([r[:10] for r in rows], names)
     own = points.join(F.broadcast(frames), "plane_id")  # a row per plane
     t, w = (sum((F.col(c) - F.col(f"o{c}")) * F.col(f"{p}{c}") for c in XYZ) for p in "aw")
-    ends = own.groupBy("plane_id").agg(*[F.percentile(v, F.lit([0.005, 0.995])).alias(k) for v, k in ((t, "t"), (w, "w"))], F.percentile("z", 0.9).alias("z"))
-    found = {r["plane_id"]: r for r in ends.collect()}
+    found = percentiles(own.select("plane_id", t.alias("t"), w.alias("w"), "z"), "plane_id", {"t": [0.005, 0.995], "w": [0.005, 0.995], "z": [0.9]})
     best = max(r[10] for r in rows)
-    made = [Deck(r[0], r[1:4], r[11:14], found[r[0]]["t"][1] - found[r[0]]["t"][0], found[r[0]]["w"][1] - found[r[0]]["w"][0], found[r[0]]["z"]) for r in rows if r[10] >= 0.7 * best]
+    made = [Deck(r[0], r[1:4], r[11:14], found[r[0]]["t"][1] - found[r[0]]["t"][0], found[r[0]]["w"][1] - found[r[0]]["w"][0], found[r[0]]["z"][0]) for r in rows if r[10] >= 0.7 * best]
     return max(made, key=lambda d: (d.elevation, -d.plane_id))
 
 

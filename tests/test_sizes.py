@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cloudloom.functions import quantiles
 from cloudloom.operators import bridges, fitting, graph, holes, mesh, parts, points, registration, repair, scene, series, shapes, textures
 
 
@@ -199,3 +200,26 @@ def test_points_amid_others_need_no_circles(monkeypatch):
     assert shapes.tile_edges(*p.T, inner, 4.0) == []
     # a pair of circles for each of its near points, once per point that is asked for
     assert len(asked) < inner.sum() / 20
+
+
+def test_percentiles_are_spark_s_own_and_hold_no_group(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BINS", 16)
+    monkeypatch.setattr(quantiles, "FEW", 8)
+    rng = np.random.default_rng(14)
+    rows = [(k % 3, float(a), float(round(b, 1)), c) for k, (a, b, c) in enumerate(zip(rng.normal(0, 1e6, 3000), rng.random(3000), [1e300, -1e300, 5e-324, float("inf"), float("-inf"), float("nan"), None, 0.0] * 375, strict=True))]
+    p = spark.createDataFrame([*rows, (4, 2.5, 1.0, 1.0), (5, None, 1.0, None)], "g long, a double, b double, c double").repartition(5)
+    asked = {"a": [0.005, 0.5, 0.995], "b": [0.0, 0.33, 1.0], "c": [0.1, 0.4, 0.9]}
+    want = {r["g"]: r for r in p.groupBy("g").agg(*[F.percentile(c, F.lit(q)).alias(c) for c, q in asked.items()]).collect()}
+    got = quantiles.percentiles(p, "g", asked)
+    for g, r in want.items():
+        for c in asked:
+            assert str(got[g].get(c)) == str(r[c])
+    assert quantiles.percentiles(p, None, {"a": [0.5]})[0]["a"][0] == p.agg(F.percentile("a", 0.5)).first()[0] and quantiles.percentiles(p.limit(0), None, {"a": [0.5]}) == {}
+
+
+def test_decks_are_measured_without_a_task_that_holds_a_plane(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    p = spark.createDataFrame([(1, float(x), float(y), 5.0) for x, y in rng.random((2_000, 2)) * (40, 6)], "plane_id long, x double, y double, z double")
+    monkeypatch.setattr(bridges.F, "percentile", lambda *_: pytest.fail("a task would hold the plane"))
+    found = bridges.deck(p)
+    assert 38 < found.length < 40 and 5.7 < found.width < 6 and found.elevation == 5
