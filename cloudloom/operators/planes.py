@@ -165,6 +165,7 @@ def footprint_overlaps(points: DataFrame, planes: DataFrame, least: float = 0.3)
 def snap_to_corners(points: DataFrame, corners: DataFrame, most: float) -> DataFrame:
     """pid and the nearest corner (i, j, k, x, y, z) within ``most``; points further away keep their place. Both meet by grid cell."""
     number = F.struct("i", "j", "k", *[F.col(c).alias(f"c{c}") for c in XYZ])
+    corners = saved(corners, "corners")  # a model's few, asked for twice
     near = radius_pairs(corners.select(number.alias("pid"), *XYZ), points.select("pid", *XYZ), most)
     best = near.groupBy("nid").agg(F.min_by("pid", F.struct(F.round("d2", 12), "pid.i", "pid.j", "pid.k")).alias("b"))
     both = points.select("pid", *XYZ).join(best.withColumnRenamed("nid", "pid"), "pid", "left")

@@ -19,6 +19,33 @@ def cloud(spark, n, seed=3):
     return spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(rng.random((n, 3)) * 4)], "pid long, x double, y double, z double")
 
 
+@pytest.mark.parametrize(("inclusive", "batch"), [(True, 10_000), (False, 7)])
+def test_pairs_of_a_dense_cell_are_made_in_blocks(spark, monkeypatch, inclusive, batch):
+    monkeypatch.setattr(points, "BLOCK_POINTS", 16)
+    monkeypatch.setattr(points, "MEETING", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        p = spark.range(300).select(F.col("id").alias("pid"), *[(F.col("id") * m % 101 % 9 / 16.0 - 0.25).alias(c) for c, m in zip("xyz", (7, 13, 29), strict=True)])
+        odd = spark.createDataFrame([(-1, float("nan"), 0.0, 0.0), (-2, None, 0.0, 0.0), (-3, float("inf"), 0.0, 0.0), (None, 0.0, 0.0, 0.0)], "pid long, x double, y double, z double")
+        left = p.where("pid % 3 > 0").select(F.struct("pid").alias("pid"), "x", "y", "z")
+        made = points.radius_pairs(left, p.unionByName(odd), 0.25, inclusive)
+        got = sorted((r["pid"]["pid"], -9 if r["nid"] is None else r["nid"], r["d2"]) for r in made.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    at = {r["pid"]: np.array(r[1:]) for r in p.collect()}
+    d2 = {(i, j): float(((at[i] - y) ** 2).sum()) for i in at if i % 3 for j, y in [*at.items(), (-9, np.zeros(3))]}
+    assert got == sorted((i, j, d) for (i, j), d in d2.items() if d < 1 / 16 or inclusive and d == 1 / 16)
+    assert "Broadcast" not in plan(made) and len(got) > 1_000
+
+
+def test_pairs_keep_few_bytes_in_files(spark, tmp_path):
+    p = cloud(spark, 2_000).withColumns({c: F.col(c) / 8 for c in "xyz"})
+    pairs = points.radius_pairs(p, p, 0.25)
+    pairs.withColumn("d2", F.round("d2", 6)).coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    files = list((tmp_path / "pairs").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 6 * pairs.count()
+
+
 @pytest.mark.parametrize("few", [0, 64])
 def test_moments_of_neighbours_are_summed_in_their_blocks(spark, monkeypatch, few):
     monkeypatch.setattr(points, "FEW", few)
