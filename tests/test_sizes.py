@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudloom.functions import quantiles
-from cloudloom.operators import bridges, fitting, graph, holes, mesh, parts, points, registration, repair, scene, series, shapes, textures
+from cloudloom.operators import bridges, fitting, graph, holes, mesh, parts, points, registration, repair, scene, search, series, shapes, textures
 
 
 def plan(df) -> str:
@@ -134,6 +134,17 @@ def test_normals_of_a_cloud_closer_than_its_noise(spark):
     assert own.where("nx = snx and ny = sny and nz = snz").count() == 20_000
 
 
+def test_a_face_of_tilted_normals_is_one_plane(spark):
+    rng = np.random.default_rng(16)
+    at = np.column_stack([rng.random((4_000, 2)) * (4, 3) + 1_000, rng.normal(0, 0.004, 4_000)])
+    # the plane through any point with its normal leaves the face 0.7 m to either side
+    rows = [(k, *map(float, p), 0.03 * (-1) ** k, 0.0, math.sqrt(1 - 0.03**2)) for k, p in enumerate(at)]
+    p = spark.createDataFrame(rows, "pid long, x double, y double, z double, nx double, ny double, nz double")
+    found, _ = search.detect(p, 0.02, min_inliers=400, radius=0.3, hypotheses=16, dry=1)
+    (r,) = found.collect()
+    assert abs(r["nz"]) > 0.99999 and abs(r["mz"]) < 1e-3 and round(r["rms"], 3) == 0.004 and r["n"] > 3_990
+
+
 def grid(spark, n=12):
     rows = [(i * n + j, float(j), float(i), float((i * j) % 3)) for i in range(n) for j in range(n)]
     quads = [i * n + j for i in range(n - 1) for j in range(n - 1)]
