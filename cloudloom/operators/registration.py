@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.linalg import dot, minus, vec
+from cloudloom.functions.quantiles import percentiles
 from cloudloom.operators.fitting import icp_sums
-from cloudloom.operators.points import XYZ, _cell_size, estimate_normals, knn, median_spacing, transform
+from cloudloom.operators.points import XYZ, _cell_size, _in_blocks, estimate_normals, knn, median_spacing, transform
 from cloudloom.plans.scratch import saved
 
 #: Limits of the change histogram in metres.
@@ -54,37 +55,69 @@ def step_of(row) -> tuple[np.ndarray, np.ndarray]:
     return rotation(x[:3]), x[3:]
 
 
+def summed_points(points: DataFrame, size: float) -> DataFrame:
+    """A row per cell of that size, of all points in it: pid (of the cell), their mean place and how many (w); with normals also a row per axis these are nearest to, and their mean."""
+    normals = [c for c in ("nx", "ny", "nz") if c in points.columns]
+    # about multiples of their size, where models have their faces: a face's noise is not cut in two there
+    keyed = points.dropna(subset=list(XYZ)).withColumns({f"c{c}": F.floor(F.col(c) / size + 0.5) for c in XYZ})
+    key = ["cx", "cy", "cz"]
+    if normals:
+        steep = F.greatest(*[F.abs(c) for c in normals])
+        keyed = keyed.where(steep > 0).withColumn("axis", F.when(F.abs("nx") == steep, 0).when(F.abs("ny") == steep, 1).otherwise(2))
+        # one side for all, or opposite normals of a face would cancel
+        turn = F.signum(F.element_at(F.array(*normals), F.col("axis") + 1))
+        keyed, key = keyed.withColumns({c: F.col(c) * turn for c in normals}), [*key, "axis"]
+    cells = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("w"), *[F.avg(c).alias(c) for c in (*XYZ, *normals)])
+    size_n = F.sqrt(sum(F.col(c) * F.col(c) for c in normals)) if normals else None
+    return cells.select(F.xxhash64(*key).alias("pid"), "w", *XYZ, *[(F.col(c) / size_n).alias(c) for c in normals])
+
+
 def register(
     source: DataFrame, target: DataFrame, cell: float, steps: int = 40, trim: float = 0.8, most: float | None = None,
-    sample: int | None = None, tolerance: float = 1e-7, least: int = 50, k: int = 16,
+    sample: int | None = None, tolerance: float = 1e-7, least: int = 50, k: int = 16, summed: float | None = None,
 ) -> Registration:
     """Trimmed point-to-plane alignment of ``source`` (pid, x, y, z) onto ``target``, with normals or without.
 
     Each step pairs the moved source with its nearest target points closer than ``most`` (20
     spacings of the target if not given), keeps the best share ``trim`` of them, and solves for a
     small motion. ``sample``: so many source points, by hash, take part (all if not given).
+    ``summed``: all points of both are first summed in cells of that size; the steps pair means of
+    cells up to four cells apart, which count as many as their points and are trimmed by how far
+    they lie off the target's plane. Points that lie closer than their noise is thick pair by chance, their means don't; and
+    a step's work follows the cells, not the points.
     """
     if "nx" not in target.columns:
         target = target.select("pid", *XYZ).join(estimate_normals(target, k, cell), "pid")
+    if summed:
+        source, target = summed_points(source.select(*XYZ), summed), summed_points(target, summed)
     target = saved(target.select("pid", *XYZ, "nx", "ny", "nz"), "target")
     if most is None:
         most = 20 * (median_spacing(target, cell).first()["spacing"] or 0.0)
-    source = source.select("pid", *XYZ)
+    source = source.select("pid", *XYZ, F.col("w") if summed else F.lit(1).alias("w"))
     if sample:
         source = source.orderBy(F.xxhash64("pid"), "pid").limit(sample)
     source = saved(source, "source")
     facts = target.select(F.col("pid").alias("nid"), *[F.col(c).alias(f"t{c}") for c in XYZ], "nx", "ny", "nz")
-    # told once: each search would count the target's cells anew, size by size
-    cell = _cell_size(target.select(*XYZ).dropna(), cell, 1)[0]
+    if summed:
+        reach = min(most, 4 * summed)
+    else:
+        # told once: each search would count the target's cells anew, size by size
+        cell = _cell_size(target.select(*XYZ).dropna(), cell, 1)[0]
     whole, rmse, done = np.hstack([np.eye(3), np.zeros((3, 1))]), math.inf, 0
     for done in range(1, steps + 1):
         moved = transform(source, [float(v) for v in whole.ravel()])
-        pairs = saved(knn(moved, target, 1, cell).where(F.col("d2") < most * most), "pairs")
-        limit = pairs.agg(F.percentile(F.sqrt("d2"), F.lit(trim)).alias("q"), F.count(F.lit(1)).alias("n")).first()
-        if limit["n"] < least:
+        if summed:
+            # cells lie sparse: one pass finds what lies within reach
+            pairs, gap = _in_blocks(moved, target, 1, reach, 8, False).where(F.col("d2") <= reach * reach), F.abs(dot(minus(vec("t"), vec("")), vec("n")))
+        else:
+            pairs, gap = knn(moved, target, 1, cell).where(F.col("d2") < most * most), F.sqrt("d2")
+        # merged: sizes told by compressed files would have these sent whole through the driver
+        pairs = saved(pairs.join(facts.hint("merge"), "nid").join(moved.hint("merge"), "pid").withColumn("gap", gap), "pairs")
+        if pairs.limit(least).count() < least:
             break
-        near = pairs.where(F.sqrt("d2") <= limit["q"]).join(facts, "nid").join(moved, "pid")
-        row = icp_sums(near).first()
+        # cells are few: no task that holds their gaps grows with the points
+        limit = pairs.agg(F.percentile("gap", F.lit(trim))).first()[0] if summed else percentiles(pairs, None, {"gap": [trim]})[0]["gap"][0]
+        row = icp_sums(pairs.where(F.col("gap") <= limit), "w").first()
         turn, shift = step_of(row)
         whole = np.hstack([turn @ whole[:, :3], (turn @ whole[:, 3] + shift)[:, None]])
         size = math.sqrt(float(np.sum(shift**2)) + float(np.sum((turn - np.eye(3)) ** 2)) / 2)

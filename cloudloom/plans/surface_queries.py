@@ -202,7 +202,7 @@ def registration_matrix(spark, sf_dir):
     back = _TURN.T
     gone = [float(v) for r, s in zip(back, -back @ _SHIFT, strict=True) for v in (*r, s)]
     source = points.transform(target.select("pid", *XYZ), gone)
-    found = registration.register(source, target, 0.1, steps=20, sample=600, most=0.5)
+    found = registration.register(source, target, 0.1, steps=20, most=0.5, summed=0.05)
     rows = [(i, round(v, 3) + 0.0) for i, v in enumerate(found.matrix)]
     return spark.createDataFrame(rows, "place int, value double")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions import quantiles
 from cloudloom.operators import bridges, fitting, graph, holes, mesh, parts, points, registration, repair, scene, search, series, shapes, textures
+from cloudloom.plans import surface_queries
 
 
 def plan(df) -> str:
@@ -145,6 +146,20 @@ def test_a_face_of_tilted_normals_is_one_plane(spark):
     assert abs(r["nz"]) > 0.99999 and abs(r["mz"]) < 1e-3 and round(r["rms"], 3) == 0.004 and r["n"] > 3_990
 
 
+def test_registration_counts_every_point(spark, data, monkeypatch):
+    own = registration.saved
+
+    def seen(df, tag):
+        if tag == "source":
+            raise InterruptedError(df.agg(F.sum("w") if "w" in df.columns else F.count("pid")).first()[0])
+        return own(df, tag)
+
+    monkeypatch.setattr(registration, "saved", seen)
+    with pytest.raises(InterruptedError) as all_:
+        surface_queries.registration_matrix(spark, data)
+    assert all_.value.args == (spark.read.parquet(f"{data}/orders.parquet").count(),)
+
+
 def grid(spark, n=12):
     rows = [(i * n + j, float(j), float(i), float((i * j) % 3)) for i in range(n) for j in range(n)]
     quads = [i * n + j for i in range(n - 1) for j in range(n - 1)]
